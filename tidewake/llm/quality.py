@@ -3,7 +3,8 @@
 Each class's dictionary is trained on a bounded sample of labelled texts (SAMPLE_TEXTS distinct texts a class, of up to
 SAMPLE_CHARS characters).  A text is compressed whole, in blocks of BLOCK bytes that start afresh, so that the dictionary
 and not the text's own past decides; x = (bad - good) / (bad + good), from the summed compressed sizes.  The score is a
-logistic function of x, fitted on other texts of the sample than those that the dictionaries come from.
+logistic function of x, and of u = log(good / size) and its square (text that repeats itself is small under any
+dictionary), fitted on other texts of the sample than those that the dictionaries come from.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .sampling import labelled_sample
 SAMPLE_TEXTS = 1200
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 112_640
-BLOCK = 2048
+BLOCK = 512
 LEVEL = 3
 FOLDS, HELD_OUT = 3, 1
 
@@ -34,10 +35,13 @@ FOLDS, HELD_OUT = 3, 1
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
-    prior: float
-    """Score of a text with nothing to compress."""
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        z = (features - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def blocks(text: str | None, size: int = BLOCK) -> list[bytes]:
@@ -46,7 +50,7 @@ def blocks(text: str | None, size: int = BLOCK) -> list[bytes]:
 
 
 class Sizer:
-    """Compressed-size difference of a text under two dictionaries."""
+    """Compressed sizes of texts under the two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.both = []
@@ -55,13 +59,15 @@ class Sizer:
             known.precompute_compress(level=LEVEL)
             self.both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
-    def difference(self, text: str | None) -> float:
-        """Above zero if the good dictionary compresses better."""
-        good = bad = 0
-        for b in blocks(text):
-            good += len(self.both[0](b))
-            bad += len(self.both[1](b))
-        return (bad - good) / (bad + good) if good + bad else 0.0
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """[text, (x, u, u squared)]; x is above zero if the good dictionary compresses better; empty: zeros."""
+        out = np.zeros((len(texts), 3))
+        for i, text in enumerate(texts):
+            if parts := blocks(text):
+                good, bad = (sum(map(len, map(compress, parts))) for compress in self.both)
+                u = math.log(good / sum(map(len, parts)))
+                out[i] = (bad - good) / (bad + good), u, u * u
+        return out
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -72,7 +78,7 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:] or b" " * 8
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.3) -> np.ndarray:
     """Weights (last: constant) of a ridge-regularised logistic regression by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -96,17 +102,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     train = {c: t[: max(1, len(t) * 2 // 3)] for c, t in texts.items()}
     rest = {c: t[len(train[c]) :] or t for c, t in texts.items()}
     good, bad = _dictionary(train["1"]), _dictionary(train["0"])
-    sizer = Sizer(good, bad)
-    x = np.array([sizer.difference(t) for c in ("0", "1") for t in rest[c]])
-    y = np.array([float(c) for c in ("0", "1") for _ in rest[c]])
-    scale = float(np.abs(x).max()) or 1.0
-    slope, offset = logistic(x / scale, y)
-    return Model(good, bad, slope / scale, offset, 1 / (1 + math.exp(-offset)))
+    x = Sizer(good, bad).features(rest["0"] + rest["1"])
+    y = np.array([0.0] * len(rest["0"]) + [1.0] * len(rest["1"]))
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    return Model(good, bad, mean, scale, logistic((x - mean) / scale, y))
 
 
 def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
-    """docs, all columns kept, and the score (0 to 1) of each row's whole text; empty and null texts get the score of no
-    difference, and without a model every row gets 0.5.  A column of that name is replaced."""
+    """docs, all columns kept, and the score (0 to 1) of each row's whole text; empty and null texts get the score of features
+    that are zero, and without a model every row gets 0.5.  A column of that name is replaced."""
     docs = docs.drop(column)
     if model is None:
         return docs.withColumn(column, F.lit(0.5))
@@ -115,8 +119,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model.good, model.bad)
         for b in batches:
-            x = np.array([sizer.difference(t) for t in b.column(at).to_pylist()], float)
-            score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -500, 500)))
+            score = model.scores(sizer.features(b.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, column])
 
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
