@@ -8,6 +8,7 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 CACHED_CHUNKS = 400_000
+MARKS = "!#$%&*+,-./:;=?@^_~)]}"
 
 _open: dict[str, WordEncoder] = {}
 
@@ -22,8 +23,8 @@ class WordEncoder:
     """Encodes texts chunk by chunk, the chunks being what spaces and line feeds part, and keeps the ids of the chunks.
 
     Right for tokenizers that drop white space before they split and never look across it, which holds for the
-    word-end BPE used here; the tests compare it with the library's result for whole texts.  The ids kept are dropped
-    when there are CACHED_CHUNKS of them, which bounds the memory.
+    word-end BPE used here; the tests compare it with the library's result for whole texts.  It keeps the ids of at most
+    2 * CACHED_CHUNKS chunks: when the newer half is full, the older half, less what was used since, is dropped.
     """
 
     def __init__(self, path: str):
@@ -31,29 +32,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower() for t in added]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and end_id, as little-endian unsigned 32-bit integers; a null text is empty."""
         end = int(end_id).to_bytes(4, "little")
         out = []
         for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
+            chunks = self._folded(text or "").replace("\n", " ").split(" ")
             try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)) + end)
+                ids = b"".join(map(self.new.__getitem__, chunks))
             except KeyError:
                 self._learn(set(chunks))
-                out.append(b"".join(map(self.known.__getitem__, chunks)) + end)
+                ids = b"".join(map(self.new.__getitem__, chunks))
+            out.append(ids + end)
         return out
 
+    def _folded(self, text: str) -> str:
+        """Lower-cased where that changes no id, so that fewer chunks differ: the tokenizer lower-cases letter by letter,
+        as Python does within Latin-1; but a special token's text must keep its case."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else low
+
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {"": b""}
-        new = [c for c in chunks if c not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        if len(self.new) > CACHED_CHUNKS:
+            self.new, self.old = {"": b""}, self.new
+        new, old = self.new, self.old
+        whole, parts = set(), []
+        for c in chunks:
+            if c in new:
+                continue
+            if c in old:
+                new[c] = old[c]
+                continue
+            head = c.rstrip(MARKS)
+            if len(head) < len(c) and head[-1:].lower().isalpha():  # the marks behind a word are a piece of their own
+                parts.append((c, head, c[len(head) :]))
+                whole.update(x for x in (head, c[len(head) :]) if x not in new)
+            else:
+                whole.add(c)
+        missing = list(whole)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                new[c] = np.array(e.ids, "<u4").tobytes()
+        for c, head, tail in parts:
+            new[c] = new[head] + new[tail]
 
 
 def encoder(path: str) -> WordEncoder:
