@@ -22,6 +22,8 @@ from .tokens import encoder, tokenizer_path
 LENGTH = 2048
 END_ID = 1
 PAD_ID = 0
+BROADCAST_PARTS = 1_000_000
+"""Rows of 16 bytes that are broadcast at most."""
 
 
 def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
@@ -67,8 +69,9 @@ def offsets(ids: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))
 
 
-def pieces(ids: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A record per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids."""
+def pieces(ids: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
+    """A record per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids, or their crc32."""
+    last = ("ids_crc32", "long", pa.int64(), lambda x: zlib.crc32(x)) if digest else ("ids", "binary", pa.binary(), lambda x: x.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,21 +83,24 @@ def pieces(ids: DataFrame, length: int = LENGTH) -> DataFrame:
                     cuts = [0, *range(length - first % length, len(x), length), len(x)]
                     for a, z in zip(cuts, cuts[1:]):
                         pos = first + a
-                        for c, v in zip(cols, (doc, a, z - a, len(x), pos // length, pos % length, x[a:z].tobytes())):
+                        for c, v in zip(cols, (doc, a, z - a, len(x), pos // length, pos % length, last[3](x[a:z]))):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())],
-                    names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                    [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], last[2])],
+                    names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", last[0]],
                 )
 
-    placed = ids.join(offsets(ids), "part").select("doc_id", (F.col("base") + F.col("before")).alias("first"), "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    # one small row per input partition: broadcast, unless there are more of them than a broadcast should hold
+    base = offsets(ids)
+    few = ids.select("part").distinct().count() <= BROADCAST_PARTS
+    placed = ids.join(F.broadcast(base) if few else base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("first"), "ids")
+    return placed.mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")
 
 
-def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, digest: bool = False) -> DataFrame:
     """The pieces of all documents.  Null texts hold only the end id; null ids and repeated rows are kept as they are;
     no documents, no pieces.  All sequences but the last are full, so padding is below one window for the corpus."""
-    return pieces(encoded(docs, end_id, path), length)
+    return pieces(encoded(docs, end_id, path), length, digest)
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = PAD_ID) -> DataFrame:
@@ -114,14 +120,3 @@ def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = PAD_ID) ->
 
     whole = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return whole.mapInArrow(run, "sequence_id long, tokens array<int>")
-
-
-def piece_digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column(6).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays(b.columns[:6] + [crc], names=b.schema.names[:6] + ["ids_crc32"])
-
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")

@@ -17,7 +17,7 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digest(packing.packed(table(spark, sf_dir, "documents")))
+    return packing.packed(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 WORD_BPE = "word_bpe_49k.json"
 CACHED_CHUNKS = 400_000
@@ -43,12 +42,11 @@ class WordEncoder:
         out = []
         for text in texts:
             chunks = self._folded(text or "").replace("\n", " ").split(" ")
-            try:
-                ids = b"".join(map(self.new.__getitem__, chunks))
-            except KeyError:
-                self._learn(set(chunks))
-                ids = b"".join(map(self.new.__getitem__, chunks))
-            out.append(ids + end)
+            if missing := set(chunks).difference(self.new):
+                self._learn(missing)
+            out.append(b"".join(map(self.new.__getitem__, chunks)) + end)
+            if len(self.new) > CACHED_CHUNKS:
+                self.new, self.old = {"": b""}, self.new
         return out
 
     def _folded(self, text: str) -> str:
@@ -62,15 +60,11 @@ class WordEncoder:
         return text if any(s in low for s in self.special) else low
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.new) > CACHED_CHUNKS:
-            self.new, self.old = {"": b""}, self.new
         new, old = self.new, self.old
         whole, parts = set(), []
         for c in chunks:
-            if c in new:
-                continue
             if c in old:
-                new[c] = old[c]
+                new[c] = old.pop(c)
                 continue
             head = c.rstrip(MARKS)
             if len(head) < len(c) and head[-1:].lower().isalpha():  # the marks behind a word are a piece of their own
@@ -82,7 +76,7 @@ class WordEncoder:
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                new[c] = np.array(e.ids, "<u4").tobytes()
+                new[c] = array("I", e.ids).tobytes()
         for c, head, tail in parts:
             new[c] = new[head] + new[tail]
 
