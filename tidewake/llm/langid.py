@@ -166,7 +166,7 @@ def parser(sample: list[tuple[str, str]]) -> Parser:
 
 def fit(docs: DataFrame, learn: Column) -> list[tuple[str, str]]:
     """The sample: texts of rows with a language for which ``learn`` holds."""
-    return labelled_sample(docs.where(learn), F.col("lang"), SAMPLE_TEXTS, SAMPLE_CHARS)
+    return labelled_sample(docs.where(learn), None, "lang", SAMPLE_TEXTS, SAMPLE_CHARS)
 
 
 def predictions(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:

@@ -94,8 +94,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.3
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     """From the rows of labels for which ``learn`` (a condition on doc_id) holds; None without any of both classes."""
     known = labels.where(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    sample = labelled_sample(rows, F.col("_label"), SAMPLE_TEXTS, SAMPLE_CHARS)
+    sample = labelled_sample(docs, known, "_label", SAMPLE_TEXTS, SAMPLE_CHARS)
     texts = {c: [t for label, t in sample if label == c] for c in ("0", "1")}
     if not texts["0"] or not texts["1"]:
         return None

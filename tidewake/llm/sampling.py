@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, label: Column, per_label: int, most_chars: int) -> list[tuple[str, str]]:
+BROADCAST_ROWS = 1_000_000
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows joined with labels (doc_id, distinct, and a label); labels of up to BROADCAST_ROWS rows, which a count proves,
+    are broadcast, so that the texts are not shuffled."""
+    small = labels.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(labels) if small else labels, "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_label: int, most_chars: int) -> list[tuple[str, str]]:
     """(label, text) of at most per_label distinct whole texts of each label, none longer than most_chars.
 
-    The texts with the smallest hashes are taken, so the sample depends neither on the partitions nor on how often a
-    text is copied.  Only hashes are ranked; the texts of the chosen rows are then read.  Null labels and texts are left out.
+    The label is a column of labels (doc_id and the label), or without them of docs.  The texts with the smallest hashes
+    are taken, so the sample depends neither on the partitions nor on how often a text is copied.  Only hashes are joined
+    and ranked; the texts of the chosen rows are then read.  Null labels and texts are left out.
     """
-    rows = docs.select(label.cast("string").alias("label"), "text").where("label is not null and text is not null")
-    rows = rows.where((F.length("text") <= most_chars) & (F.length("text") > 0))
-    hashed = rows.select("label", F.xxhash64("text").alias("h")).distinct()
+    fits = docs.where("text is not null").where((F.length("text") <= most_chars) & (F.length("text") > 0))
+    own = [] if labels is not None else [F.col(label).cast("string").alias("label")]
+    hashed = fits.select("doc_id", F.xxhash64("text").alias("h"), *own)
+    if labels is not None:
+        hashed = hashed.join(labels.select("doc_id", F.col(label).cast("string").alias("label")), "doc_id")
+    hashed = hashed.where("label is not null").select("label", "h").distinct()
     first = hashed.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
     chosen = sorted((r.label, r.h) for r in first.select("label", "h").collect())
     if not chosen:
         return []
-    hashes = [h for _, h in chosen]
-    texts = rows.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(hashes)).dropDuplicates(["label", "h"]).collect()
-    wanted = set(chosen)
-    return [(r.label, r.text) for r in sorted(texts, key=lambda r: (r.label, r.h)) if (r.label, r.h) in wanted]
+    wanted = sorted({h for _, h in chosen})
+    found = fits.select(F.xxhash64("text").alias("h"), "text").where(F.col("h").isin(wanted)).dropDuplicates(["h"])
+    texts = {r.h: r.text for r in found.collect()}
+    return [(c, texts[h]) for c, h in chosen]
