@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of what is left."""
-    return packing.piece_digest(packing.packed(docs))
+    return packing.packed(docs, digest=True)
 
 
 STAGES = [
