@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-A line's fields that hold a digit are variable and become <*>.  The tree has a fixed depth: token count, then the first
+A line's fields that hold a digit are variable and become <*>, and its white space single spaces.  The tree has a fixed depth: token count, then the first
 LEAD tokens; a line's leaf is the hash of both.  In a leaf a token is constant at its position if more than half of the
 leaf's lines have it there; a line of which at least SIMILAR of the positions are constant belongs to the leaf's general
 template, with <*> at the other positions; any other line is its own template.
@@ -13,7 +13,7 @@ occurrences of recurring templates are dropped.  Blank lines are kept and count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -23,21 +23,38 @@ SIMILAR = 0.7
 CONSTANT = 0.5
 MIN_DOCS = 10
 SPREAD = 0.25
-FIELD = r"\S*[0-9]\S*"
+FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df (rows of a few numbers), to be broadcast if a count proves it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _doc() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _lines() -> Column:
+    """The lines that are not blank: at (from 0) and words, the line with single spaces and masked fields."""
+    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", FIELD, "<*>")).otherwise(F.col("text"))
+    plain = F.when(masked.rlike(r"[^\S\n ]|  "), F.regexp_replace(masked, r"[^\S\n]+", " ")).otherwise(masked)
+    return F.filter(F.transform(F.split(plain, "\n"), lambda line, i: F.struct(i.alias("at"), F.trim(line).alias("words"))), lambda x: x["words"] != "")
+
+
+def _leaf(words: Column) -> Column:
+    return F.xxhash64(F.length(words) - F.length(F.replace(words, F.lit(" "))), F.substring_index(words, " ", LEAD))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row per line that is not blank: doc (hash of id and text), at, template, leaf, size, around and, for lines in
-    the tree's upper levels, words (the masked line)."""
-    masked = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), FIELD, "<*>").alias("words")))
-    lines = F.filter(masked, lambda x: x["words"] != "")
-    leaf = lambda words: F.xxhash64(F.size(F.split(words, " ")), F.substring_index(words, " ", LEAD))
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id"), lines.alias("lines"))
-    rows = rows.withColumn("leaves", F.transform("lines", lambda x: leaf(x["words"])))
+    """A row per line that is not blank: doc (hash of id and text), at, template and leaf (hashes), and around (hash of
+    the leaves before and after)."""
+    rows = docs.where("text is not null").select(_doc().alias("doc"), _lines().alias("lines"))
+    rows = rows.withColumn("leaves", F.transform("lines", lambda x: _leaf(x["words"])))
     around = lambda i: F.xxhash64(F.get("leaves", i - 1), F.get("leaves", i + 1))
-    each = F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), x["words"].alias("words"), F.get("leaves", i).alias("leaf"), around(i).alias("around")))
-    out = rows.select("doc", "doc_id", F.explode(each).alias("x")).select("doc", "doc_id", "x.*")
-    return out.withColumn("template", F.xxhash64("words"))
+    each = F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), F.xxhash64(x["words"]).alias("template"), F.get("leaves", i).alias("leaf"), around(i).alias("around")))
+    return rows.select("doc", F.explode(each).alias("x")).select("doc", "x.*")
 
 
 def _recurring(lines: DataFrame, key: str) -> DataFrame:
@@ -46,31 +63,39 @@ def _recurring(lines: DataFrame, key: str) -> DataFrame:
     return counted.where((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS) & (F.col("arounds") >= SPREAD * F.col("docs")))
 
 
-def generalised(lines: DataFrame) -> DataFrame:
-    """template and general: the leaf's key, for the templates that match their leaf's general template.
-
-    Only leaves with at least two templates and MIN_DOCS documents are looked into, and of each template only one line.
-    """
-    kinds = lines.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.first("words").alias("words"))
-    stats = kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    busy = kinds.join(stats.where((F.col("kinds") > 1) & (F.col("total") >= MIN_DOCS)), "leaf")
-    tokens = busy.select("leaf", "template", "n", "total", F.posexplode(F.split("words", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("of"), F.first("total").alias("total"))
+def busy_leaves(lines: DataFrame) -> DataFrame:
+    """leaf: those with two templates or more, and enough lines and surroundings for a general template to recur."""
+    kinds = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("template").alias("a"), F.max("template").alias("b"))
+    kinds = kinds.where((F.col("n") >= MIN_DOCS) & (F.col("a") != F.col("b"))).select("leaf")
+    counted = lines.join(kinds, "leaf", "left_semi").groupBy("leaf")
+    counted = counted.agg(F.countDistinct("doc").alias("docs"), F.countDistinct("around").alias("arounds"))
+    return counted.where((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS)).select("leaf")
+
+
+def generalised(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """template and general: the leaf, for the templates that match the general template of their leaf, one of leaves."""
+    leaves = _small(leaves)
+    words = docs.where("text is not null").select(F.explode(_lines()).alias("x")).select(F.col("x.words").alias("words"))
+    there = words.withColumn("leaf", _leaf(F.col("words"))).join(leaves, "leaf", "left_semi")
+    kinds = stored(there.groupBy("leaf", "words").agg(F.count("*").alias("n")), "line-kinds")
+    kinds = kinds.join(kinds.groupBy("leaf").agg(F.sum("n").alias("total")), "leaf")
+    tokens = kinds.select("leaf", "n", "total", F.posexplode(F.split("words", " ")).alias("pos", "token"))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("of"), F.max("total").alias("total"))
     constant = constant.where(F.col("of") > CONSTANT * F.col("total")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("general"))
-    words = F.split("words", " ")
-    same = F.size(F.filter(F.transform(words, lambda w, i: F.element_at("general", i) == w), lambda x: x))
-    matched = busy.join(constant, "leaf").where(same >= SIMILAR * F.size(words))
-    return matched.select("template", F.col("leaf").alias("general"))
+    each = F.split("words", " ")
+    same = F.size(F.filter(F.transform(each, lambda w, i: F.element_at("general", i) == w), lambda x: x))
+    matched = kinds.join(constant, "leaf").where(same >= SIMILAR * F.size(each))
+    return matched.select(F.xxhash64("words").alias("template"), F.col("leaf").alias("general"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """doc and ats: the line numbers (from 0) that recur, for the documents that have any."""
     lines = stored(parsed(docs), "lines")
-    general = generalised(lines)
+    general = stored(generalised(docs, stored(busy_leaves(lines), "leaves")), "general")
     # A template is one row here, and few are general: the lines' own keys stay unless a join finds another.
-    keyed = lines.join(general, "template", "left").withColumn("key", F.coalesce("general", "template"))
-    keyed = stored(keyed.select("doc", "at", "around", "key"), "line-keys")
-    hits = keyed.join(_recurring(keyed, "key").select("key"), "key", "left_semi")
+    keyed = lines.join(_small(general), "template", "left").withColumn("key", F.coalesce("general", "template"))
+    recurring = stored(_recurring(keyed, "key").select("key"), "recurring")
+    hits = keyed.join(_small(recurring), "key", "left_semi")
     return hits.groupBy("doc").agg(F.collect_set("at").alias("ats"))
 
 
@@ -80,8 +105,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     Texts that are null or empty stay as they are; a text of which every line recurs becomes empty.  Rows that repeat a
     document are one document in the counts, and both are cleaned.
     """
-    gone = dropped(docs).withColumnRenamed("doc", "_doc")
-    joined = docs.withColumn("_at", F.xxhash64("doc_id", "text")).join(gone, F.col("_at") == F.col("_doc"), "left")
+    gone = _small(stored(dropped(docs), "dropped-lines").withColumnRenamed("doc", "_doc"))
+    joined = docs.withColumn("_at", _doc()).join(gone, F.col("_at") == F.col("_doc"), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("ats", i))
     joined = joined.withColumn("text", F.when(F.col("ats").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
