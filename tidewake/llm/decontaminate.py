@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of 2 * STRIDE words, one every STRIDE words, over all documents, and the benchmark's items.  Their
-TF-IDF vectors have the benchmark's words as terms, weighted by 1 / sqrt(passages that hold the term), the weight under
-which every term's column has unit norm; terms in more than MAX_SHARE of the passages are left out, but for each item's
+TF-IDF vectors have the benchmark's words as terms, weighted by 1 / sqrt(occurrences), under which the terms' columns
+have about equal norms; terms that occur more often than in MAX_SHARE of the passages are left out, but for each item's
 RARE rarest.  A randomised SVD in one pass gives the latent space: with a Gaussian test matrix W every partition sums
 B = A' (A W) over its own passages, the sums are added by term, and B (W' B)^-1/2 spans the leading right singular
 vectors (the Nystroem form).  Its rank, items + OVERSAMPLE, follows the number of items, so no item's direction is cut.
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRIDE = 16
-MAX_SHARE = 0.01
+MAX_SHARE = 0.003
 RARE = 8
 OVERSAMPLE = 16
 BLOCK_ITEMS = 400
@@ -78,6 +79,10 @@ class Block:
     answers: list[list[str]]
     terms: dict[str, int]
 
+    def used(self, weight: np.ndarray) -> dict[str, int]:
+        """The terms that have a weight."""
+        return {w: i for w, i in self.terms.items() if weight[i] > 0}
+
     @classmethod
     def of(cls, rows: list) -> Block | None:
         items = [(r.item_id, words_of(r.text), answer_of(r.text, r["answer"] if "answer" in r else None)) for r in rows if r.text]
@@ -96,65 +101,83 @@ class Block:
 
 
 @dataclass
-class Passages:
-    """The passages of a batch of documents as (passage, term) entries; words[document] as they came."""
+class Cells:
+    """A batch of documents, words[document], in cells of STRIDE words; a passage is a cell and the next of its document,
+    and has the first one's number.  Entries (cell, term) are those of the terms, in order of place."""
 
     words: list[list[str]]
-    passage: np.ndarray
+    cell: np.ndarray
     term: np.ndarray
-    n: int
     owner: np.ndarray
-    """document of a passage"""
+    """document of a cell"""
     first: np.ndarray
     """place of its first word in its document"""
+    joined: np.ndarray
+    """whether the next cell is of the same document"""
+    passage: np.ndarray
+    """whether a passage begins there: also at a document's only cell"""
 
 
-def passages(texts: list[str | None], terms: dict[str, int]) -> Iterator[Passages]:
+def cells(texts: list[str | None], terms: dict[str, int]) -> Iterator[Cells]:
     """In batches of about BATCH_WORDS words; a very long text makes a batch of its own."""
     held: list[list[str]] = []
     n = 0
-    at = 0
     for i, t in enumerate(texts):
         held.append(words_of(t))
         n += len(held[-1])
         if n >= BATCH_WORDS or i == len(texts) - 1:
             yield _batch(held, terms)
-            at += len(held)
             held, n = [], 0
 
 
-def _batch(docs: list[list[str]], terms: dict[str, int]) -> Passages:
-    get = terms.get
+def _batch(docs: list[list[str]], terms: dict[str, int]) -> Cells:
     sizes = np.array([len(d) for d in docs], np.int64)
-    ids = np.fromiter((get(w, 0) for d in docs for w in d), np.int32, int(sizes.sum()))
-    count = np.maximum(1, -(-sizes // STRIDE) - 1) * (sizes > 0)  # the last passage may be shorter
+    ids = np.fromiter(map(terms.get, chain.from_iterable(docs), repeat(0)), np.int32, int(sizes.sum()))
+    count = -(-sizes // STRIDE)
     owner = np.repeat(np.arange(len(docs)), count)
     base = np.cumsum(count) - count
     at = np.flatnonzero(ids)
-    doc = np.repeat(np.arange(len(docs)), sizes)[at]
-    place = at - (np.cumsum(sizes) - sizes)[doc]
-    cell = place // STRIDE
-    # a word is in the passage that its stretch begins, and in the one that it ends
-    begin, end = cell < count[doc], cell > 0
-    passage = np.concatenate([(base[doc] + cell)[begin], (base[doc] + cell - 1)[end]])
-    term = np.concatenate([ids[at][begin], ids[at][end]])
-    return Passages(docs, passage, term, int(count.sum()), owner, (np.arange(int(count.sum())) - np.repeat(base, count)) * STRIDE)
+    starts = np.cumsum(sizes) - sizes
+    doc = np.searchsorted(np.cumsum(sizes), at, "right")
+    cell = base[doc] + (at - starts[doc]) // STRIDE
+    joined = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.empty(0, bool)
+    first = (np.arange(len(owner)) - np.repeat(base, count)) * STRIDE
+    return Cells(docs, cell, ids[at], owner, first, joined, joined | (first == 0))
+
+
+def _sweep(c: Cells, rows: np.ndarray, size: int = 2048) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``size`` cells at a time, those without any term left out: (a, z, low, y) with y the sums of the passages' terms'
+    rows, for the cells from low (a, or the one before) up to z."""
+    for a in range(0, len(c.owner), size):
+        z = min(a + size, len(c.owner))
+        low, high = max(a - 1, 0), min(z + 1, len(c.owner))
+        e0, e1 = np.searchsorted(c.cell, [low, high])
+        if e0 == e1:
+            continue
+        cell = c.cell[e0:e1] - low
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        s = np.zeros((high - low + 1, rows.shape[1]), rows.dtype)
+        s[cell[start]] = np.add.reduceat(rows[c.term[e0:e1]], start, axis=0)
+        y = s[: z - low] * c.passage[low:z, None]
+        y += s[1 : z - low + 1] * c.joined[low:z, None]
+        yield a, z, low, y
 
 
 def _texts(b: pa.RecordBatch) -> list[str | None]:
     return b.column(b.schema.get_field_index("text")).to_pylist()
 
 
-def passage_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """For each term the number of passages of docs that hold it, and the number of passages."""
+def term_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """How often each term occurs in docs, and the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(terms) + 1, np.int64)
         for b in batches:
-            for p in passages(_texts(b), terms):
-                pairs = np.unique(p.passage * (len(terms) + 1) + p.term)
-                held += np.bincount(pairs % (len(terms) + 1), minlength=len(held))
-                held[0] += p.n
+            for t in _texts(b):
+                words = words_of(t)
+                ids = np.fromiter(map(terms.get, words, repeat(0)), np.int32, len(words))
+                held += np.bincount(ids, minlength=len(held))
+                held[0] += max(1, -(-len(words) // STRIDE) - 1) * (len(words) > 0) - np.count_nonzero(ids == 0)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
@@ -166,10 +189,10 @@ def passage_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray,
 
 
 def term_weights(block: Block, counts: np.ndarray, n: int) -> np.ndarray:
-    """1 / sqrt(count) by term, counting the items as passages; zero for terms that are left out."""
+    """1 / sqrt(count) by term, the items counted in; zero for terms that are left out."""
     counts = counts.copy()
     for ws in block.words:
-        for w in set(ws):
+        for w in ws:
             counts[block.terms[w]] += 1
     keep = counts <= max(MAX_SHARE * n, 1)
     for ws in block.words:
@@ -183,7 +206,7 @@ def term_weights(block: Block, counts: np.ndarray, n: int) -> np.ndarray:
 def latent_space(docs: DataFrame, block: Block, weight: np.ndarray) -> np.ndarray:
     """Orthonormal columns [term, direction] that span the leading right singular vectors of the weighted passages."""
     d, rank = len(weight), min(len(block.ids) + OVERSAMPLE, len(weight))
-    given = docs.sparkSession.sparkContext.broadcast((block.terms, weight.astype(np.float32), rank))  # bounded by the block
+    given = docs.sparkSession.sparkContext.broadcast((block.used(weight), weight.astype(np.float32), rank))  # bounded by the block
 
     def test_matrix(d: int, rank: int) -> np.ndarray:
         return np.random.default_rng(SEED).standard_normal((d, rank), np.float32)
@@ -193,11 +216,8 @@ def latent_space(docs: DataFrame, block: Block, weight: np.ndarray) -> np.ndarra
         w = test_matrix(len(weight), rank) * weight[:, None]
         held = np.zeros((len(weight), rank))
         for b in batches:
-            for p in passages(_texts(b), terms):
-                used = weight[p.term] > 0
-                passage, term = p.passage[used], p.term[used]
-                if len(term):
-                    _add(held, w, weight, passage, term)
+            for c in cells(_texts(b), terms):
+                _add(held, w, weight, c)
         at = np.flatnonzero(held.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.astype("<f8").tobytes() for x in held[at]], pa.binary())], names=["term", "row"])
 
@@ -223,38 +243,24 @@ def latent_space(docs: DataFrame, block: Block, weight: np.ndarray) -> np.ndarra
     return basis
 
 
-def _sums(rows: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Per passage the sum of its terms' rows; a passage's terms start where ``start`` says."""
-    return np.add.reduceat(rows[term], start, axis=0)
-
-
-def _slices(passage: np.ndarray, term: np.ndarray, size: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Entries ordered by passage, ``size`` passages at a time: passages, terms, their starts, and each entry's passage
-    in the slice."""
-    order = np.argsort(passage, kind="stable")
-    passage, term = passage[order], term[order]
-    start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.empty(0, np.int64)
-    bounds = np.append(start, len(passage))
-    for a in range(0, len(start), size):
-        z = min(a + size, len(start))
-        part = slice(bounds[a], bounds[z])
-        own = start[a:z] - bounds[a]
-        yield passage[start[a:z]], term[part], own, np.repeat(np.arange(z - a), np.diff(bounds[a : z + 1]))
-
-
-def _add(held: np.ndarray, w: np.ndarray, weight: np.ndarray, passage: np.ndarray, term: np.ndarray) -> None:
-    """held += A' (A W) of some passages."""
-    for _, terms, start, inside in _slices(passage, term):
-        back = _sums(w, terms, start)[inside] * weight[terms, None]
-        by = np.argsort(terms, kind="stable")
-        which, first = np.unique(terms[by], return_index=True)
-        held[which] += np.add.reduceat(back[by], first, axis=0)
+def _add(held: np.ndarray, w: np.ndarray, weight: np.ndarray, c: Cells) -> None:
+    """held += A' (A W) of the batch's passages."""
+    for a, z, low, y in _sweep(c, w):
+        both = y[a - low :].copy()  # a term counts in the passage that its cell begins, and in the one that it ends
+        both[a == low :] += (y * c.joined[low:z, None])[: z - a - (a == low)]
+        e0, e1 = np.searchsorted(c.cell, [a, z])
+        term = c.term[e0:e1]
+        if len(term):
+            by = np.argsort(term, kind="stable")
+            back = (both[c.cell[e0:e1] - a] * weight[term, None])[by]
+            which, first = np.unique(term[by], return_index=True)
+            held[which] += np.add.reduceat(back, first, axis=0)
 
 
 @dataclass(frozen=True)
 class Model:
     block: Block
-    weight: np.ndarray
+    terms: dict[str, int]
     basis: np.ndarray
     """[term, direction], rows multiplied by the terms' weights"""
     items: np.ndarray
@@ -265,26 +271,29 @@ class Model:
         """(text, item, cosine, share of the item in common order) of each leak, once per text and item."""
         found: list[tuple[int, int, float, float]] = []
         at = 0
-        for p in passages(texts, self.block.terms):
-            used = self.weight[p.term] > 0
+        least = LENGTH * float(self.lengths.min())
+        for c in cells(texts, self.terms):
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for which, terms, start, _ in _slices(p.passage[used], p.term[used]):
-                x = _sums(self.basis, terms, start)
-                length = np.linalg.norm(x, axis=1)
+            for a, _, low, y in _sweep(c, self.basis):
+                length = np.linalg.norm(y, axis=1)
+                long = np.flatnonzero(length >= max(least, 1e-12))
+                long = long[long >= a - low]
+                x, length = y[long], length[long]
                 dot = x @ self.items.T
-                near = (dot >= COSINE * np.maximum(length, 1e-12)[:, None]) & (length[:, None] >= LENGTH * self.lengths)
+                near = (dot >= COSINE * length[:, None]) & (length[:, None] >= LENGTH * self.lengths)
                 for row, item in zip(*np.nonzero(near)):
-                    key = (int(p.owner[which[row]]), int(item))
-                    if key not in best and (share := self._verified(p, int(which[row]), key)) is not None:
+                    cell = low + int(long[row])
+                    key = (int(c.owner[cell]), int(item))
+                    if key not in best and (share := self._verified(c, cell, key)) is not None:
                         best[key] = (float(dot[row, item] / length[row]), share)
             found += [(at + doc, item, *v) for (doc, item), v in best.items()]
-            at += len(p.words)
+            at += len(c.words)
         return found
 
-    def _verified(self, p: Passages, passage: int, key: tuple[int, int]) -> float | None:
+    def _verified(self, c: Cells, cell: int, key: tuple[int, int]) -> float | None:
         doc, i = key
-        item, first = self.block.words[i], int(p.first[passage])
-        words = p.words[doc][max(0, first - len(item)) : first + 2 * STRIDE + len(item)]
+        item, first = self.block.words[i], int(c.first[cell])
+        words = c.words[doc][max(0, first - len(item)) : first + 2 * STRIDE + len(item)]
         there = set(words)
         if sum(w in there for w in item) < LCS_ANSWER * len(item):  # it bounds the common subsequence
             return None
@@ -298,13 +307,13 @@ class Model:
 
 
 def fit(docs: DataFrame, block: Block) -> Model:
-    counts, n = passage_counts(docs, block.terms)
+    counts, n = term_counts(docs, block.terms)
     weight = term_weights(block, counts, n)
     basis = latent_space(docs, block, weight)
     items = block.vectors(weight) @ basis
     lengths = np.linalg.norm(items, axis=1)
     unit = items / np.maximum(lengths, 1e-12)[:, None]
-    return Model(block, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32))
+    return Model(block, block.used(weight), (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32))
 
 
 def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
