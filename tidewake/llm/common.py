@@ -39,6 +39,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (rows of a few numbers), to be broadcast if a count proves it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id is in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

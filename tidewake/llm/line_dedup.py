@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 LEAD = 3
 SIMILAR = 0.7
@@ -24,12 +24,6 @@ CONSTANT = 0.5
 MIN_DOCS = 10
 SPREAD = 0.25
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df (rows of a few numbers), to be broadcast if a count proves it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _doc() -> Column:
@@ -74,7 +68,7 @@ def busy_leaves(lines: DataFrame) -> DataFrame:
 
 def generalised(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     """template and general: the leaf, for the templates that match the general template of their leaf, one of leaves."""
-    leaves = _small(leaves)
+    leaves = small(leaves)
     words = docs.where("text is not null").select(F.explode(_lines()).alias("x")).select(F.col("x.words").alias("words"))
     there = words.withColumn("leaf", _leaf(F.col("words"))).join(leaves, "leaf", "left_semi")
     kinds = stored(there.groupBy("leaf", "words").agg(F.count("*").alias("n")), "line-kinds")
@@ -93,9 +87,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     lines = stored(parsed(docs), "lines")
     general = stored(generalised(docs, stored(busy_leaves(lines), "leaves")), "general")
     # A template is one row here, and few are general: the lines' own keys stay unless a join finds another.
-    keyed = lines.join(_small(general), "template", "left").withColumn("key", F.coalesce("general", "template"))
+    keyed = lines.join(small(general), "template", "left").withColumn("key", F.coalesce("general", "template"))
     recurring = stored(_recurring(keyed, "key").select("key"), "recurring")
-    hits = keyed.join(_small(recurring), "key", "left_semi")
+    hits = keyed.join(small(recurring), "key", "left_semi")
     return hits.groupBy("doc").agg(F.collect_set("at").alias("ats"))
 
 
@@ -105,7 +99,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     Texts that are null or empty stay as they are; a text of which every line recurs becomes empty.  Rows that repeat a
     document are one document in the counts, and both are cleaned.
     """
-    gone = _small(stored(dropped(docs), "dropped-lines").withColumnRenamed("doc", "_doc"))
+    gone = small(stored(dropped(docs), "dropped-lines").withColumnRenamed("doc", "_doc"))
     joined = docs.withColumn("_at", _doc()).join(gone, F.col("_at") == F.col("_doc"), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("ats", i))
     joined = joined.withColumn("text", F.when(F.col("ats").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-BROADCAST_ROWS = 1_000_000
+from .common import small
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows joined with labels (doc_id, distinct, and a label); labels of up to BROADCAST_ROWS rows, which a count proves,
-    are broadcast, so that the texts are not shuffled."""
-    small = labels.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(labels) if small else labels, "doc_id")
+    """rows joined with labels (doc_id, distinct, and a label), which are broadcast where they are few, so that the texts
+    are not shuffled."""
+    return rows.join(small(labels), "doc_id")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_label: int, most_chars: int) -> list[tuple[str, str]]:

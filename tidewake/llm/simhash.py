@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, shared_dir, stored
+from .common import grouped, shared_dir, small, stored
 
 SEED = 42
 SHINGLE = 3
@@ -243,6 +243,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     document and collapse.  Rows without doc_id go if their class has a document with one, else one of them stays."""
     named = stored(classes(docs), "simhash-classes")
     keep = named.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = small(stored(keep, "simhash-kept"))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

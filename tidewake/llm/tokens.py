@@ -6,7 +6,7 @@ import os
 from array import array
 
 WORD_BPE = "word_bpe_49k.json"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 320_000
 MARKS = "!#$%&*+,-./:;=?@^_~)]}"
 
 _open: dict[str, WordEncoder] = {}
