@@ -66,18 +66,18 @@ def in_polygon(points: DataFrame, polygons: DataFrame, key: str, pick: str, valu
     return points.join(best, key, "left").select(*points.columns, *(F.col("_p")[v].alias(v) for v in values))
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str, size: float = 0.1, most_rings: int = 6) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, key: str, size: float = 0.1, most_rings: int = 4) -> DataFrame:
     """key, port name and nm (degrees times 60, on the plane) of the nearest place; ties to the smaller port_id.
 
     A point first looks at its own and the neighbouring cells; what it finds within one cell's size is final.  The others
-    look twice as far, and so on, up to most_rings times; beyond that distance a point has no nearest place."""
+    look four times as far, and so on, up to most_rings times; beyond that distance a point has no nearest place."""
     todo = points.select(key, "lat", "lon")
     out: DataFrame | None = None
     d = F.sqrt(F.pow(F.col("lat") - F.col("p_lat"), 2) + F.pow(F.col("lon") - F.col("p_lon"), 2))
     named = places.select(F.col("port_id"), F.col("name").alias("port"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     best = F.min(F.struct(d.alias("d"), "port_id", "port")).alias("b")
     for i in range(most_rings):
-        s = size * 2**i
+        s = size * 4**i
         step = F.array(F.lit(-1), F.lit(0), F.lit(1))
         dealt = named.select("*", *(c.alias(n) for c, n in zip(cells(F.col("p_lat"), F.col("p_lon"), s), ("_a", "_b"))))
         dealt = dealt.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).select("port_id", "port", "p_lat", "p_lon", (F.col("_a") + F.col("_i")).alias("_a"), (F.col("_b") + F.col("_j")).alias("_b"))
