@@ -352,3 +352,16 @@ def test_pipeline(spark):
     odd_rows = odd(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_rows, SF).count() > 0 and stage(spark, odd_rows.limit(0), SF).count() == 0
+
+
+def test_oracles(spark):
+    import duckdb
+
+    from tidewake.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, SF)
+        want = con.sql(sql)
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.columns == want.columns
