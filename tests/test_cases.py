@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo
 from tidewake.operators import context, describe, ingest, motion, resample, segment, tasks, thin
-from tidewake.sources import readers
+from tidewake.sources import readers, sinks
+from tidewake.streaming import positions
 
 
 def track(spark, ts, **more):
@@ -123,3 +124,26 @@ def test_readers(spark, tmp_path):
     (tmp_path / "20181024_d1_0830_0900.csv").write_text(f"track_id; type; traveled_d; avg_speed; lat; lon; speed; lon_acc; lat_acc; time\n1; Car; 48.85; 9.77; {obs}\n")
     r = readers.pneuma(spark, str(tmp_path / "20181024_d1_0830_0900.csv")).orderBy("timestamp").collect()
     assert [x.timestamp for x in r] == [1540359000, 1540359001, 1540359002] and r[0].transport_mode == "car"
+
+
+def test_sinks(spark, tmp_path):
+    df = track(spark, range(5))
+    sinks.points(df, str(tmp_path / "p"), by=["mmsi"], sort=["ts_unix"])
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 5
+    sinks.delimited(df.select("mmsi", "lon", "lat", "ts_unix"), str(tmp_path / "t"), " ", sort=["mmsi", "ts_unix"])
+    assert [r.value.split(" ")[3] for r in spark.read.text(str(tmp_path / "t")).collect()] == list("01234")
+    sinks.summary(segment.manifest(df, ["mmsi"]), str(tmp_path / "m"))
+    assert sinks.stage(df, str(tmp_path), "s").count() == sinks.stage(df.limit(0), str(tmp_path), "s").count() == 5
+
+
+def test_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:10:00", 2.0), (1, "2024-01-01 02:00:00", 3.0), (2, "2024-01-01 00:00:30", 4.0)]
+    df = spark.createDataFrame(rows, "k int, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    for name, build in (("trips", lambda s: positions.trips(s, "k", "t")), ("first", lambda s: positions.per_bucket(s, "k", "t", "v", "1 hour")), ("dedup", lambda s: positions.deduplicated(s, ["k"], "t"))):
+        stream = build(positions.read(spark, str(tmp_path / "in"), df.schema))
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append" if name == "dedup" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r.n for r in spark.table("trips").collect()) == [1, 1, 2]
+    assert sorted(r.v for r in spark.table("first").collect()) == [1.0, 3.0, 4.0]
+    assert spark.table("dedup").count() == 2

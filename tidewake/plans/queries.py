@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import context, describe, ingest, motion, resample, segment, tasks, thin
-from ..sources import demo, readers
+from ..operators import context, describe, ingest, motion, resample, roads, segment, tasks, thin
+from ..sources import demo, readers, sinks
 
 GAP, LEAST = 86400, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,3 +502,41 @@ def kalman_smooth(spark, d):
 @query()
 def dmr_subsample(spark, d):
     return thin.subsampled(demo.points(spark, d), ["mmsi"], 40).select("event_id")
+
+
+_ROADS = """e AS (SELECT s_suppkey AS edge_id, CAST(s_suppkey*7919 % 20000 AS DOUBLE) AS ax, CAST(s_suppkey*6271 % 20000 AS DOUBLE) AS ay, CAST(s_suppkey*7919 % 20000 + 700 AS DOUBLE) AS bx, CAST(s_suppkey*6271 % 20000 + s_suppkey % 900 AS DOUBLE) AS byy FROM supplier),
+  q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders WHERE o_orderstatus = 'F'),
+  t AS (SELECT *, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) AS t FROM q, e),
+  d AS (SELECT k, edge_id, sqrt(pow(x-ax-t*(bx-ax),2)+pow(y-ay-t*(byy-ay),2)) AS d FROM t)"""
+
+
+@query(f"WITH {_ROADS} SELECT k, arg_min(edge_id, (round(d, 9), edge_id)) AS edge_id, round(min(d), 5) AS d FROM d WHERE d <= 500 GROUP BY k")
+def nearest_road(spark, d):
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    q = demo.table(spark, d, "orders").where("o_orderstatus = 'F'").select(k.alias("k"), (k * 7919 % 20000).cast("double").alias("x"), (k * 104729 % 20000).cast("double").alias("y"))
+    ax, ay = (s * 7919 % 20000).cast("double"), (s * 6271 % 20000).cast("double")
+    line = F.array(F.struct(ax.alias("x"), ay.alias("y")), F.struct((ax + 700).alias("x"), (ay + s % 900).alias("y")))
+    out = roads.nearest_edge(q, demo.table(spark, d, "supplier").select(s.alias("edge_id"), line.alias("line")), "k", 500.0)
+    return out.withColumn("d", F.round("d", 5))
+
+
+@query(f"""WITH {PTS}, v AS (SELECT DISTINCT CAST(floor((lat-55)*20) AS BIGINT) AS i, CAST(floor((lon-10)*10) AS BIGINT) AS j FROM pts), c AS (SELECT i*1000 + j AS cell, i, j FROM v),
+  n AS (SELECT a.cell, b.cell AS neighbour, sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)) AS d FROM c a JOIN c b ON abs(a.i-b.i) <= 2 AND abs(a.j-b.j) <= 2)
+  SELECT cell, neighbour, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, neighbour) AS rank FROM n) WHERE rank <= 6""")
+def knn_cells(spark, d):
+    i, j = F.floor((F.col("lat") - 55) * 20), F.floor((F.col("lon") - 10) * 10)
+    v = demo.points(spark, d).select(i.alias("i"), j.alias("j")).distinct().withColumn("cell", F.col("i") * 1000 + F.col("j"))
+    return roads.nearest_cells(v, 6, 2).withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH {PTS} SELECT count(*) AS n_rows, count(DISTINCT mmsi) AS n_trajectories, min(ts_unix) AS start_ts, max(ts_unix) AS end_ts FROM pts")
+def file_stats(spark, d):
+    return sinks.file_stats(demo.points(spark, d), "mmsi", "ts_unix")
+
+
+@query(f"WITH {PTS} SELECT event_id, round(lat, 3) AS lat3, count(*) OVER (PARTITION BY floor(lat*100), floor(lon*100)) AS n_near FROM pts WHERE event_id % 2 = 0".replace("round(lat, 3) AS lat3, ", ""))
+def unique_places(spark, d):
+    """A feature found once per place (here: how many rows share it) and joined back."""
+    p = demo.points(spark, d).where("event_id % 2 = 0").withColumns({"a": F.floor(F.col("lat") * 100).cast("double"), "b": F.floor(F.col("lon") * 100).cast("double")})
+    n = p.groupBy("a", "b").agg(F.count("*").alias("n_near"))
+    return context.via_unique(p, 3, lambda u: u.join(n, ["a", "b"]), ("a", "b")).select("event_id", "n_near")
