@@ -36,15 +36,16 @@ def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         enc = encoder(path)
+        mark = bytes([enc.width])  # says how wide the ids are
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 rows = b.slice(at, 512)
-                ids = enc.encode(rows.column(1).to_pylist(), end_id)
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids = enc.encode_narrow(rows.column(1).to_pylist(), end_id)
+                n = np.array([len(x) // enc.width for x in ids], np.int64)
                 offset = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.full(len(n), part)), pa.array(offset), pa.array(n), pa.array([_narrow(x) for x in ids], pa.binary())],
+                    [rows.column(0), pa.array(np.full(len(n), part)), pa.array(offset), pa.array(n), pa.array([mark + x for x in ids], pa.binary())],
                     names=["doc_id", "part", "before", "n", "ids"],
                 )
 
@@ -52,12 +53,6 @@ def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
     return stored(rows.mapInArrow(run, "doc_id long, part long, before long, n long, ids binary"), "ids")
 
 
-def _narrow(ids: bytes) -> bytes:
-    """The ids behind a byte that says how wide they are."""
-    x = np.frombuffer(ids, "<u4")
-    return b"\2" + x.astype("<u2").tobytes() if len(x) and x.max() < 65536 else b"\4" + ids
-
-
 def widened(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype("<u4")
 

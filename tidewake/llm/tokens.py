@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 WORD_BPE = "word_bpe_49k.json"
-CACHED_CHUNKS = 320_000
+CACHED_CHUNKS = 450_000
 MARKS = "!#$%&*+,-./:;=?@^_~)]}"
 
 _open: dict[str, WordEncoder] = {}
@@ -33,12 +35,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.width = 2 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else 4
+        """Bytes of an id as it is kept."""
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.lower() for t in added]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and end_id, as little-endian unsigned 32-bit integers; a null text is empty."""
-        end = int(end_id).to_bytes(4, "little")
+        return [np.frombuffer(x, f"<u{self.width}").astype("<u4").tobytes() for x in self.encode_narrow(texts, end_id)]
+
+    def encode_narrow(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """The same, ``width`` bytes an id."""
+        end = int(end_id).to_bytes(self.width, "little")
         out = []
         for text in texts:
             chunks = self._folded(text or "").replace("\n", " ").split(" ")
@@ -60,7 +68,7 @@ class WordEncoder:
         return text if any(s in low for s in self.special) else low
 
     def _learn(self, chunks: set[str]) -> None:
-        new, old = self.new, self.old
+        new, old, code = self.new, self.old, "H" if self.width == 2 else "I"
         whole, parts = set(), []
         for c in chunks:
             if c in old:
@@ -76,7 +84,7 @@ class WordEncoder:
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                new[c] = array("I", e.ids).tobytes()
+                new[c] = array(code, e.ids).tobytes()
         for c, head, tail in parts:
             new[c] = new[head] + new[tail]
 
