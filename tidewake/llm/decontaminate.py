@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRIDE = 16
-MAX_SHARE = 0.003
+MAX_SHARE = 0.01
 RARE = 8
 OVERSAMPLE = 16
 BLOCK_ITEMS = 400
