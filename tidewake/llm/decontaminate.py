@@ -12,7 +12,8 @@ the passage is at least LCS of the item, or at least LCS_ANSWER while the item's
 ``answer``) is found with at least ANSWER of its words in order.
 
 The benchmark is handled in blocks of BLOCK_ITEMS items, each with its own latent space, which bounds what is broadcast;
-the items come to the driver one block at a time.
+the items come to the driver one block at a time.  Texts are split into words once a block: what is stored are the terms'
+numbers, 0 for any other word, which is all that the passages' vectors and the common subsequences depend on.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 STRIDE = 16
 MAX_SHARE = 0.01
 RARE = 8
@@ -50,9 +53,9 @@ def words_of(text: str | None) -> list[str]:
     return text.split()
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | (1 << i)
     full = (1 << len(a)) - 1
@@ -72,40 +75,43 @@ def answer_of(item: str, answer: str | None = None) -> list[str]:
 
 @dataclass(frozen=True)
 class Block:
-    """Some items and their terms (1..d; 0 stands for any other word)."""
+    """Some items, their words and answers as terms (1..d; 0 stands for any other word)."""
 
     ids: list[int]
-    words: list[list[str]]
-    answers: list[list[str]]
+    words: list[list[int]]
+    answers: list[list[int]]
     terms: dict[str, int]
 
-    def used(self, weight: np.ndarray) -> dict[str, int]:
-        """The terms that have a weight."""
-        return {w: i for w, i in self.terms.items() if weight[i] > 0}
-
     @classmethod
     def of(cls, rows: list) -> Block | None:
         items = [(r.item_id, words_of(r.text), answer_of(r.text, r["answer"] if "answer" in r else None)) for r in rows if r.text]
         items = [x for x in items if x[1]]
         if not items:
             return None
-        terms = {w: i + 1 for i, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
-        return cls([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], terms)
+        terms = {w: i + 1 for i, w in enumerate(sorted({w for _, ws, answer in items for w in (*ws, *answer)}))}
+        number = lambda ws: [terms[w] for w in ws]
+        return cls([x[0] for x in items], [number(x[1]) for x in items], [number(x[2]) for x in items], terms)
+
+    @property
+    def width(self) -> str:
+        """How a term's number is stored."""
+        return "<u2" if len(self.terms) < 1 << 16 else "<u4"
 
     def vectors(self, weight: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.ids), len(self.terms) + 1))
         for i, ws in enumerate(self.words):
-            for w, n in Counter(ws).items():
-                out[i, self.terms[w]] = n * weight[self.terms[w]]
+            for t, n in Counter(ws).items():
+                out[i, t] = n * weight[t]
         return out
 
 
 @dataclass
 class Cells:
-    """A batch of documents, words[document], in cells of STRIDE words; a passage is a cell and the next of its document,
-    and has the first one's number.  Entries (cell, term) are those of the terms, in order of place."""
+    """A batch of documents in cells of STRIDE words; a passage is a cell and the next of its document, and has the first
+    one's number.  Entries (cell, term) are those of the terms that have a weight, in order of place."""
 
-    words: list[list[str]]
+    docs: list[np.ndarray]
+    """the terms of each document's words"""
     cell: np.ndarray
     term: np.ndarray
     owner: np.ndarray
@@ -118,31 +124,31 @@ class Cells:
     """whether a passage begins there: also at a document's only cell"""
 
 
-def cells(texts: list[str | None], terms: dict[str, int]) -> Iterator[Cells]:
-    """In batches of about BATCH_WORDS words; a very long text makes a batch of its own."""
-    held: list[list[str]] = []
+def cells(docs: list[np.ndarray], used: np.ndarray) -> Iterator[Cells]:
+    """In batches of about BATCH_WORDS words; a very long document makes a batch of its own.  used: by term."""
+    held: list[np.ndarray] = []
     n = 0
-    for i, t in enumerate(texts):
-        held.append(words_of(t))
-        n += len(held[-1])
-        if n >= BATCH_WORDS or i == len(texts) - 1:
-            yield _batch(held, terms)
+    for i, d in enumerate(docs):
+        held.append(d)
+        n += len(d)
+        if n >= BATCH_WORDS or i == len(docs) - 1:
+            yield _batch(held, used)
             held, n = [], 0
 
 
-def _batch(docs: list[list[str]], terms: dict[str, int]) -> Cells:
+def _batch(docs: list[np.ndarray], used: np.ndarray) -> Cells:
     sizes = np.array([len(d) for d in docs], np.int64)
-    ids = np.fromiter(map(terms.get, chain.from_iterable(docs), repeat(0)), np.int32, int(sizes.sum()))
+    ids = np.concatenate(docs)
     count = -(-sizes // STRIDE)
     owner = np.repeat(np.arange(len(docs)), count)
     base = np.cumsum(count) - count
-    at = np.flatnonzero(ids)
+    at = np.flatnonzero(used[ids])
     starts = np.cumsum(sizes) - sizes
     doc = np.searchsorted(np.cumsum(sizes), at, "right")
     cell = base[doc] + (at - starts[doc]) // STRIDE
     joined = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.empty(0, bool)
     first = (np.arange(len(owner)) - np.repeat(base, count)) * STRIDE
-    return Cells(docs, cell, ids[at], owner, first, joined, joined | (first == 0))
+    return Cells(docs, cell, ids[at].astype(np.int32), owner, first, joined, joined | (first == 0))
 
 
 def _sweep(c: Cells, rows: np.ndarray, size: int = 2048) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -163,60 +169,77 @@ def _sweep(c: Cells, rows: np.ndarray, size: int = 2048) -> Iterator[tuple[int,
         yield a, z, low, y
 
 
-def _texts(b: pa.RecordBatch) -> list[str | None]:
-    return b.column(b.schema.get_field_index("text")).to_pylist()
+def in_terms(docs: DataFrame, block: Block) -> DataFrame:
+    """doc_id, hash (of the text) and ids (the terms of the text's words, block.width each), a stored row per row of docs."""
+    given = docs.sparkSession.sparkContext.broadcast((block.terms, block.width))  # bounded by the block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, width = given.value
+        for b in batches:
+            ids = []
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                ids.append(np.fromiter(map(terms.get, words, repeat(0)), width, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "hash", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return stored(rows.mapInArrow(run, "doc_id long, hash long, ids binary"), "benchmark-terms")
+
 
+def _ids(b: pa.RecordBatch, width: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, width) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
 
-def term_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """How often each term occurs in docs, and the number of passages."""
+
+def term_counts(rows: DataFrame, block: Block) -> tuple[np.ndarray, int]:
+    """How often each term occurs in rows (of in_terms), and the number of passages."""
+    size, width = len(block.terms) + 1, block.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(terms) + 1, np.int64)
+        held = np.zeros(size, np.int64)
         for b in batches:
-            for t in _texts(b):
-                words = words_of(t)
-                ids = np.fromiter(map(terms.get, words, repeat(0)), np.int32, len(words))
-                held += np.bincount(ids, minlength=len(held))
-                held[0] += max(1, -(-len(words) // STRIDE) - 1) * (len(words) > 0) - np.count_nonzero(ids == 0)
+            for ids in _ids(b, width):
+                n = np.bincount(ids, minlength=size)
+                n[0] = max(1, -(-len(ids) // STRIDE) - 1) * (len(ids) > 0)
+                held += n
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:  # one row a term of the block
+    counted = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size, np.int64)
+    for r in counted:  # one row a term of the block
         out[r.term] = r.n
     return out, int(out[0])
 
 
 def term_weights(block: Block, counts: np.ndarray, n: int) -> np.ndarray:
-    """1 / sqrt(count) by term, the items counted in; zero for terms that are left out."""
-    counts = counts.copy()
+    """1 / sqrt(count) by term, the items counted in; zero for terms that are left out, and for those of answers only."""
+    counts, there = counts.copy(), np.zeros(len(counts), bool)
     for ws in block.words:
-        for w in ws:
-            counts[block.terms[w]] += 1
-    keep = counts <= max(MAX_SHARE * n, 1)
+        for t in ws:
+            counts[t] += 1
+            there[t] = True
+    keep = there & (counts <= max(MAX_SHARE * n, 1))
     for ws in block.words:
-        for w in sorted(set(ws), key=lambda w: (counts[block.terms[w]], w))[:RARE]:
-            keep[block.terms[w]] = True
+        keep[sorted(set(ws), key=lambda t: (counts[t], t))[:RARE]] = True
     weight = np.where(keep, 1 / np.sqrt(np.maximum(counts, 1)), 0)
     weight[0] = 0
     return weight
 
 
-def latent_space(docs: DataFrame, block: Block, weight: np.ndarray) -> np.ndarray:
+def latent_space(rows: DataFrame, block: Block, weight: np.ndarray) -> np.ndarray:
     """Orthonormal columns [term, direction] that span the leading right singular vectors of the weighted passages."""
     d, rank = len(weight), min(len(block.ids) + OVERSAMPLE, len(weight))
-    given = docs.sparkSession.sparkContext.broadcast((block.used(weight), weight.astype(np.float32), rank))  # bounded by the block
+    given = rows.sparkSession.sparkContext.broadcast((weight.astype(np.float32), rank, block.width))  # bounded by the block
 
     def test_matrix(d: int, rank: int) -> np.ndarray:
         return np.random.default_rng(SEED).standard_normal((d, rank), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, rank = given.value
+        weight, rank, width = given.value
         w = test_matrix(len(weight), rank) * weight[:, None]
         held = np.zeros((len(weight), rank))
         for b in batches:
-            for c in cells(_texts(b), terms):
+            for c in cells(_ids(b, width), weight > 0):
                 _add(held, w, weight, c)
         at = np.flatnonzero(held.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.astype("<f8").tobytes() for x in held[at]], pa.binary())], names=["term", "row"])
@@ -229,7 +252,7 @@ def latent_space(docs: DataFrame, block: Block, weight: np.ndarray) -> np.ndarra
                 sums[term] = sums[term] + x if term in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["term", "row"])
 
-    parts = docs.select("text").mapInArrow(run, "term long, row binary")
+    parts = rows.select("ids").mapInArrow(run, "term long, row binary")
     total = np.zeros((d, rank))
     for r in parts.repartition("term").mapInArrow(add, "term long, row binary").collect():  # one row a term of the block
         total[r.term] = np.frombuffer(bytes(r.row), "<f8")
@@ -252,27 +275,30 @@ def _add(held: np.ndarray, w: np.ndarray, weight: np.ndarray, c: Cells) -> None:
         term = c.term[e0:e1]
         if len(term):
             by = np.argsort(term, kind="stable")
-            back = (both[c.cell[e0:e1] - a] * weight[term, None])[by]
             which, first = np.unique(term[by], return_index=True)
-            held[which] += np.add.reduceat(back, first, axis=0)
+            held[which] += np.add.reduceat(both[(c.cell[e0:e1] - a)[by]], first, axis=0) * weight[which, None]
 
 
 @dataclass(frozen=True)
 class Model:
-    block: Block
-    terms: dict[str, int]
+    ids: list[int]
+    words: list[list[int]]
+    answers: list[list[int]]
+    width: str
+    used: np.ndarray
+    """By term, whether it has a weight"""
     basis: np.ndarray
     """[term, direction], rows multiplied by the terms' weights"""
     items: np.ndarray
     """The items in the latent space, of length 1"""
     lengths: np.ndarray
 
-    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
-        """(text, item, cosine, share of the item in common order) of each leak, once per text and item."""
+    def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
+        """(document, item, cosine, share of the item in common order) of each leak, once per document and item."""
         found: list[tuple[int, int, float, float]] = []
         at = 0
         least = LENGTH * float(self.lengths.min())
-        for c in cells(texts, self.terms):
+        for c in cells(docs, self.used):
             best: dict[tuple[int, int], tuple[float, float]] = {}
             for a, _, low, y in _sweep(c, self.basis):
                 length = np.linalg.norm(y, axis=1)
@@ -287,85 +313,83 @@ class Model:
                     if key not in best and (share := self._verified(c, cell, key)) is not None:
                         best[key] = (float(dot[row, item] / length[row]), share)
             found += [(at + doc, item, *v) for (doc, item), v in best.items()]
-            at += len(c.words)
+            at += len(c.docs)
         return found
 
     def _verified(self, c: Cells, cell: int, key: tuple[int, int]) -> float | None:
         doc, i = key
-        item, first = self.block.words[i], int(c.first[cell])
-        words = c.words[doc][max(0, first - len(item)) : first + 2 * STRIDE + len(item)]
+        item, first = self.words[i], int(c.first[cell])
+        words = c.docs[doc][max(0, first - len(item)) : first + 2 * STRIDE + len(item)].tolist()
         there = set(words)
         if sum(w in there for w in item) < LCS_ANSWER * len(item):  # it bounds the common subsequence
             return None
         share = lcs(item, words) / len(item)
         if share >= LCS:
             return share
-        answer = self.block.answers[i]
+        answer = self.answers[i]
         if share >= LCS_ANSWER and answer and lcs(answer, words) >= ANSWER * len(answer):
             return share
         return None
 
 
-def fit(docs: DataFrame, block: Block) -> Model:
-    counts, n = term_counts(docs, block.terms)
+def fit(rows: DataFrame, block: Block) -> Model:
+    """rows: of in_terms."""
+    counts, n = term_counts(rows, block)
     weight = term_weights(block, counts, n)
-    basis = latent_space(docs, block, weight)
+    basis = latent_space(rows, block, weight)
     items = block.vectors(weight) @ basis
     lengths = np.linalg.norm(items, axis=1)
     unit = items / np.maximum(lengths, 1e-12)[:, None]
-    return Model(block, block.used(weight), (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32))
+    return Model(block.ids, block.words, block.answers, block.width, weight > 0, (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32))
 
 
-def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
-    """A model per block of items.  Items whose text is null or without words are in none."""
+def blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """The items in blocks.  Those whose text is null or without words are in none."""
     columns = ["item_id", "text", *(["answer"] if "answer" in benchmark.columns else [])]
     held: list = []
     for r in benchmark.select(*columns).where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         held.append(r)
         if len(held) == BLOCK_ITEMS:
             if block := Block.of(held):
-                yield fit(docs, block)
+                yield block
             held = []
     if held and (block := Block.of(held)):
-        yield fit(docs, block)
-
+        yield block
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine and lcs (share of the item) of every document and item that it leaks.
 
-    A row per input row and item: repeated rows report each.  Null and empty texts, and an empty benchmark, give none.
-    """
-    schema = "doc_id long, item_id long, cosine double, lcs double"
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), item_id, cosine and lcs."""
+    schema = "doc_id long, hash long, item_id long, cosine double, lcs double"
     out = docs.sparkSession.createDataFrame([], schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for model in models(rows, benchmark):
-        given = docs.sparkSession.sparkContext.broadcast(model)
+    for block in blocks(benchmark):
+        rows = in_terms(docs, block)
+        given = docs.sparkSession.sparkContext.broadcast(fit(rows, block))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             m = given.value
             for b in batches:
-                found = m.leaks(_texts(b))
-                ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                found = m.leaks(_ids(b, m.width))
+                at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([m.block.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())],
-                    names=["doc_id", "item_id", "cosine", "lcs"],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array([m.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())],
+                    names=["doc_id", "hash", "item_id", "cosine", "lcs"],
                 )
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns kept, without the documents that leak an item."""
-    out = docs
-    for model in models(docs, benchmark):
-        given = docs.sparkSession.sparkContext.broadcast(model)
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine and lcs (share of the item) of every document and item that it leaks.
 
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[f[0] for f in given.value.leaks(_texts(b))]] = False
-                yield b.filter(pa.array(keep))
+    A row per input row and item: repeated rows report each.  Null and empty texts, and an empty benchmark, give none.
+    """
+    return _leaks(docs, benchmark).drop("hash")
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all columns kept, without the documents that leak an item; a document is known by its id and its text's hash."""
+    found = _leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("hash").alias("_leak_hash")).distinct()
+    found = small(stored(found, "leaking"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_leak_id"]) & (F.xxhash64(docs["text"]) == found["_leak_hash"])
+    return docs.join(found, same, "left_anti")
