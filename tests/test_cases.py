@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo
-from tidewake.operators import context, describe, ingest, motion, resample, segment, tasks, thin
+from tidewake.operators import context, describe, ingest, masks, motion, resample, segment, tasks, thin
 from tidewake.sources import readers, sinks
 from tidewake.streaming import positions
 
@@ -147,3 +147,77 @@ def test_stream(spark, tmp_path):
     assert sorted(r.n for r in spark.table("trips").collect()) == [1, 1, 2]
     assert sorted(r.v for r in spark.table("first").collect()) == [1.0, 3.0, 4.0]
     assert spark.table("dedup").count() == 2
+
+
+def placed(spark, where):
+    data = [(1, i, i * 10, lat, lon) for i, (lat, lon) in enumerate(where)]
+    return spark.createDataFrame(data, "mmsi long, event_id long, ts_unix long, lat double, lon double")
+
+
+def test_key_points_of_a_loop_are_those_far_from_its_start(spark):
+    loop = placed(spark, [(0.0, 0.0), (1.0, 0.0), (3.0, 0.0), (1.0, 1.0), (0.0, 0.0)])
+    assert values(tasks.key_point_mask(loop, "mmsi"), "masked") == [False, False, True, False, False]
+
+
+def test_two_points_have_no_key_points(spark):
+    assert values(tasks.key_point_mask(placed(spark, [(0.0, 0.0), (1.0, 0.0)]), "mmsi"), "masked") == [False, False]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 57])
+def test_masks_have_their_sizes(spark, n):
+    df = track(spark, range(n))
+    assert sum(values(masks.random_mask(df, "mmsi"), "masked")) == max(1, round(n * 0.5))
+    block = values(masks.block_mask(df, "mmsi"), "masked")
+    at = [i for i, m in enumerate(block) if m]
+    assert at == list(range(at[0], at[-1] + 1)) and max(1, round(0.2 * n)) <= len(at) <= max(1, round(0.3 * n))
+
+
+@pytest.mark.parametrize("mode, size", [("spatial_random", 10), ("kinematic_group", 10), ("last_n", 3), ("key_point", 20)])
+def test_masked_by_mode(spark, mode, size):
+    """On a straight line every point is equally far from the chord: ties are all key points."""
+    assert sum(values(masks.masked(track(spark, range(20)), "mmsi", F.lit(mode)), "masked")) == size
+
+
+def test_modes_are_drawn_with_their_probabilities(spark):
+    n = {r["m"]: r["count"] for r in spark.range(20000).groupBy(masks.mode_of(F.col("id")).alias("m")).count().collect()}
+    assert set(n) == set(masks.MODES) and all(abs(n[m] / 20000 - p) < 0.02 for m, p in masks.MODES.items())
+
+
+def test_downsampling_keeps_the_ends(spark):
+    assert values(masks.downsampled(track(spark, range(30)), "mmsi", rate=1.0), "event_id") == [0, 29]
+    assert masks.downsampled(track(spark, [5]), "mmsi", rate=1.0).count() == 1
+
+
+def test_jitter_moves_by_the_radius(spark):
+    df = track(spark, range(30))
+    xy = lambda d: [(r.x, r.y) for r in d.select("event_id", *(c.alias(n) for c, n in zip(geo.mercator(F.col("lat"), F.col("lon")), "xy"))).orderBy("event_id").collect()]
+    moved = xy(masks.jittered(df, "mmsi", rate=1.0))
+    assert all(((a - c) ** 2 + (b - d) ** 2) ** 0.5 == pytest.approx(50, abs=1e-3) for (a, b), (c, d) in zip(xy(df), moved))
+
+
+def test_prefixes_need_two_tokens_and_a_masked_row(spark):
+    data = [(1, i, i, t, m) for i, (t, m) in enumerate([(7, False), (7, False), (8, False), (9, True)])]
+    data += [(2, i, i, 7, i == 2) for i in range(3)] + [(3, i, i, i, False) for i in range(3)]
+    df = spark.createDataFrame(data, "mmsi long, event_id long, ts_unix long, cell long, masked boolean")
+    rows = masks.prefixes(df, "mmsi", "cell", ["ts_unix"]).collect()
+    assert [(r.mmsi, r.tokens, [t.ts_unix for t in r.targets]) for r in rows] == [(1, [7, 8], [3])]
+
+
+def test_extent(spark):
+    df = spark.range(101).selectExpr("double(id) as x", "double(100 - 2 * id) as y")
+    assert tuple(masks.extent(df, buffer=0.0).first()) == (0, -100, 100, 100)
+    assert tuple(masks.extent(df, clip_pct=0.5, buffer=1.0).first()) == pytest.approx((-0.5, -100, 100.5, 100))
+
+
+def test_vectors_are_gathered_or_the_read_fails(spark):
+    rows, vectors = spark.range(3).toDF("k"), spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (5, 9.0)], "k long, v double")
+    assert sorted(r.v for r in sinks.gathered(rows, vectors, ["k"]).collect()) == [1.0, 2.0, 3.0]
+    with pytest.raises(Exception, match="do not match"):
+        sinks.gathered(rows, vectors.where("k <> 1"), ["k"]).collect()
+    with pytest.raises(Exception, match="do not match"):
+        sinks.gathered(rows, vectors.union(vectors), ["k"]).collect()
+
+
+def test_epoch_by_type(spark):
+    df = spark.sql("SELECT 90 AS a, timestamp_ntz'1970-01-02 00:00:01' AS b, '1970-01-01T00:01:00' AS c, 'x' AS e, timestamp_seconds(77) AS f")
+    assert [df.select(readers.as_epoch(df, c, "yyyy-MM-dd'T'HH:mm:ss")).first()[0] for c in "abcef"] == [90, 86401, 60, None, 77]

@@ -54,6 +54,12 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return lon * half / 180, y * half / 180
 
 
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of spherical Web-Mercator metres."""
+    half, pi = 20037508.34, F.lit(3.141592653589793)
+    return F.atan(F.exp(y / half * pi)) * 360 / pi - 90, x * 180 / half
+
+
 def speed_from_components(u: Column, v: Column, scale: float = 3.6) -> Column:
     return F.sqrt(u * u + v * v) * scale
 

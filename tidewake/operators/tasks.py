@@ -67,15 +67,18 @@ def last_n_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str] |
     return df.withColumn("masked", back <= k)
 
 
-def key_point_mask(df: DataFrame, key: str, share: float = 0.3, order: list[str] | None = None) -> DataFrame:
-    """masked: the points farthest from the chord between the ends, ties with the last of them too."""
+def key_point_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str] | None = None) -> DataFrame:
+    """masked: the points farthest from the chord between the ends, ties with the last of them too; where the ends are one
+    point, those farthest from it.  Trajectories of fewer than three points have none."""
     w = Window.partitionBy(key).orderBy(*(order or ["ts_unix", "event_id"])).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({"_a": F.first(F.struct("lat", "lon")).over(w), "_b": F.last(F.struct("lat", "lon")).over(w), "_n": F.count("*").over(Window.partitionBy(key))})
     dy, dx = F.col("_b.lat") - F.col("_a.lat"), F.col("_b.lon") - F.col("_a.lon")
-    off = F.abs(dx * (F.col("lat") - F.col("_a.lat")) - dy * (F.col("lon") - F.col("_a.lon"))) / F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-12))
+    y, x, chord = F.col("lat") - F.col("_a.lat"), F.col("lon") - F.col("_a.lon"), F.sqrt(dx * dx + dy * dy)
+    off = F.when(chord < 1e-12, F.sqrt(x * x + y * y)).otherwise(F.abs(dx * y - dy * x) / chord)
     df = df.withColumn("_off", F.round(off, 9))
     k = F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0).cast("int"))
-    return df.withColumn("masked", F.rank().over(Window.partitionBy(key).orderBy(F.desc("_off"))) <= k).drop("_a", "_b", "_n", "_off")
+    far = F.rank().over(Window.partitionBy(key).orderBy(F.desc("_off"))) <= k
+    return df.withColumn("masked", far & (F.col("_n") >= 3)).drop("_a", "_b", "_n", "_off")
 
 
 def interpolated(df: DataFrame, key: str, columns: tuple[str, ...] = ("lat", "lon"), order: list[str] | None = None) -> DataFrame:

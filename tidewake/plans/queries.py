@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import context, describe, ingest, motion, resample, roads, segment, tasks, thin
+from ..operators import context, describe, ingest, masks, motion, resample, roads, segment, tasks, thin
 from ..sources import demo, readers, sinks
 
 GAP, LEAST = 86400, 5
@@ -394,8 +394,8 @@ def last_n_mask(spark, d):
 
 @query(f"""WITH {PTS}, e AS (SELECT *, first_value(lat) OVER w AS a, first_value(lon) OVER w AS o, last_value(lat) OVER w AS b, last_value(lon) OVER w AS p, count(*) OVER (PARTITION BY mmsi) AS n FROM pts
   WINDOW w AS (PARTITION BY mmsi ORDER BY ts_unix, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-  f AS (SELECT *, round(abs((p-o)*(lat-a) - (b-a)*(lon-o))/greatest(sqrt((p-o)*(p-o)+(b-a)*(b-a)), 1e-12), 9) AS off FROM e)
-  SELECT event_id, rank() OVER (PARTITION BY mmsi ORDER BY off DESC) <= greatest(1, CAST(round_even(n*0.3, 0) AS INTEGER)) AS masked FROM f""")
+  f AS (SELECT *, round(CASE WHEN sqrt((p-o)*(p-o)+(b-a)*(b-a)) < 1e-12 THEN sqrt((lat-a)*(lat-a)+(lon-o)*(lon-o)) ELSE abs((p-o)*(lat-a) - (b-a)*(lon-o))/sqrt((p-o)*(p-o)+(b-a)*(b-a)) END, 9) AS off FROM e)
+  SELECT event_id, n >= 3 AND rank() OVER (PARTITION BY mmsi ORDER BY off DESC) <= greatest(1, CAST(round_even(n*0.15, 0) AS INTEGER)) AS masked FROM f""")
 def key_point_mask(spark, d):
     return tasks.key_point_mask(demo.points(spark, d), "mmsi").select("event_id", "masked")
 
@@ -540,3 +540,67 @@ def unique_places(spark, d):
     p = demo.points(spark, d).where("event_id % 2 = 0").withColumns({"a": F.floor(F.col("lat") * 100).cast("double"), "b": F.floor(F.col("lon") * 100).cast("double")})
     n = p.groupBy("a", "b").agg(F.count("*").alias("n_near"))
     return context.via_unique(p, 3, lambda u: u.join(n, ["a", "b"]), ("a", "b")).select("event_id", "n_near")
+
+
+_PLACED = f"{PTS}, p0 AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts_unix, event_id) - 1 AS i, count(*) OVER (PARTITION BY mmsi) AS n FROM pts)"
+
+
+def _drawn(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)/4294967296.0"
+
+
+_RANDOM = f"{_PLACED}, r AS (SELECT *, {_drawn("'42|' || mmsi || '|' || i")} AS x FROM p0), m AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY x, i) <= greatest(1, CAST(round_even(n*0.5, 0) AS INTEGER)) AS masked FROM r)"
+
+
+@query(f"WITH {_RANDOM} SELECT event_id, masked FROM m")
+def random_mask(spark, d):
+    return masks.random_mask(demo.points(spark, d), "mmsi").select("event_id", "masked")
+
+
+@query(f"""WITH {_PLACED}, s AS (SELECT *, greatest(1, CAST(round_even(n*(0.2 + (0.3 - 0.2)*{_drawn("'42|size|' || mmsi")}), 0) AS INTEGER)) AS size FROM p0),
+  t AS (SELECT *, floor({_drawn("'42|start|' || mmsi")}*greatest(1, n - size + 1)) AS a FROM s) SELECT event_id, i >= a AND i < a + size AS masked FROM t""")
+def block_mask(spark, d):
+    return masks.block_mask(demo.points(spark, d), "mmsi").select("event_id", "masked")
+
+
+@query(f"WITH {_PLACED} SELECT event_id FROM p0 WHERE i = 0 OR i = n - 1 OR {_drawn("'42|' || mmsi || '|' || i")} > 0.3")
+def downsample_ends(spark, d):
+    return masks.downsampled(demo.points(spark, d), "mmsi").select("event_id")
+
+
+@query()
+def jitter(spark, d):
+    return masks.jittered(demo.points(spark, d), "mmsi").select("event_id", "lat", "lon")
+
+
+@query()
+def mixed_masks(spark, d):
+    return masks.masked(demo.points(spark, d), "mmsi", masks.mode_of(F.col("mmsi"))).select("event_id", "masked")
+
+
+@query(f"WITH {PTS} SELECT round(quantile_cont(lon, 0.005) - 0.01, 9) AS x_min, round(quantile_cont(lat, 0.005) - 0.01, 9) AS y_min, round(quantile_cont(lon, 0.995) + 0.01, 9) AS x_max, round(quantile_cont(lat, 0.995) + 0.01, 9) AS y_max FROM pts")
+def cell_extent(spark, d):
+    box = masks.extent(demo.points(spark, d), "lon", "lat", clip_pct=0.5, buffer=0.01)
+    return box.select(*(F.round(c, 9).alias(c) for c in box.columns))
+
+
+@query(f"WITH {PTS} SELECT mmsi, event_id FROM pts QUALIFY count(*) OVER (PARTITION BY mmsi) <= 100")
+def length_gate(spark, d):
+    return masks.within_length(demo.points(spark, d), "mmsi", 100).select("mmsi", "event_id")
+
+
+@query(f"""WITH {_MASK}, c AS (SELECT *, {_CELL} AS cell FROM m), v AS (SELECT *, lag(cell) OVER (PARTITION BY mmsi ORDER BY ts_unix, event_id) AS b FROM c WHERE NOT masked),
+  a AS (SELECT mmsi, string_agg(cell, ',' ORDER BY ts_unix, event_id) FILTER (b IS NULL OR b <> cell) AS tokens, count(*) AS visible, count(*) FILTER (b IS NULL OR b <> cell) AS k FROM v GROUP BY 1),
+  t AS (SELECT mmsi, string_agg(event_id, ',' ORDER BY ts_unix, event_id) AS targets FROM c WHERE masked GROUP BY 1)
+  SELECT mmsi, tokens, targets FROM a JOIN t USING (mmsi) WHERE visible >= 2 AND k >= 2""")
+def prefix_targets(spark, d):
+    rows = tasks.last_n_mask(_celled(spark, d), "mmsi")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return masks.prefixes(rows, "mmsi", "cell", ["event_id"]).select("mmsi", joined("tokens").alias("tokens"), joined("targets.event_id").alias("targets"))
+
+
+@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE vec_id % 7 < 3")
+def gather_vectors(spark, d):
+    """The vectors of some rows, by key; as many come out as were asked for."""
+    rows = demo.table(spark, d, "embeddings")
+    return sinks.gathered(rows.where("vec_id % 7 < 3").select("vec_id"), rows.select("vec_id", "label", F.size("embedding").alias("n")), ["vec_id"])

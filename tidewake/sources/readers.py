@@ -19,10 +19,25 @@ def _seconds(text: Column, fmt: str, zone: str | None = None) -> Column:
     t = F.try_to_timestamp(text, F.lit(fmt))
     if zone:
         t = F.to_utc_timestamp(t, zone)
+    return _wall(t)
+
+
+def _wall(t: Column) -> Column:
+    """Seconds from 1970 to the date and time that t shows."""
     whole = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400
     return whole + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
+def as_epoch(df: DataFrame, column: str, fmt: str) -> Column:
+    """Epoch seconds by the column's type: whole numbers as they are, times converted, text parsed (null where it is not one)."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(column).cast("long")
+    if kind == "timestamp":
+        return F.unix_seconds(column)
+    return _wall(F.col(column)) if kind == "timestamp_ntz" else _seconds(F.col(column), fmt)
+
+
 def _stem() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
 

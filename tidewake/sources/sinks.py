@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,12 @@ def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def gathered(rows: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their vectors, joined by key.  A row without a vector, or with several, is an error when it is read."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    vectors = vectors.withColumn("_found", n)
+    out = rows.join(vectors, keys, "left")
+    right = F.when(F.col("_found") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("rows and vectors do not match")).cast("boolean"))
+    return out.where(right).drop("_found")
