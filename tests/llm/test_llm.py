@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -107,6 +108,50 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.deduplicated(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [512, 3])
+def test_groups_keep_every_candidate(monkeypatch, limit):
+    monkeypatch.setattr(simhash, "ANCHOR_LIMIT", limit)
+    rng = np.random.default_rng(4)
+    anchor = np.sort(np.concatenate([rng.integers(0, 200, 400), np.full(250, 77)]))
+    fp = rng.integers(0, 1 << 62, len(anchor)) & np.where(rng.random(len(anchor)) < 0.5, 0xFFFFF, -1)
+    key = np.arange(len(anchor))
+    rows = pa.table({"anchor": anchor, "key": key, "fp": fp})
+    out = pa.Table.from_batches(list(simhash._groups(iter(rows.to_batches(97))))).to_pylist()
+    members = {}
+    for r in out:
+        members.setdefault(r["anchor"], {r["rep"]}).add(r["key"])
+        assert r["near"] == ((int(fp[r["rep"]]) ^ int(fp[r["key"]])).bit_count() <= simhash.NEAR_BITS)
+    for i in range(len(key)):
+        for j in range(i):
+            if anchor[i] == anchor[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= simhash.NEAR_BITS:
+                assert {i, j} <= members[anchor[i]]
+
+
+def test_near_dedup_joins_near_copies(spark):
+    rnd = random.Random(11)
+    text = lambda: [f"w{rnd.randrange(4000)}" for _ in range(160)]
+    texts = []
+    for _ in range(30):
+        base = text()
+        for edits in (0, 1, 2, 3):  # of 156 shingles, three edits change 15: Jaccard 0.82 or more with the base
+            words = list(base)
+            for at in rnd.sample(range(160), edits):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[:100] + text()[:60]))  # shares a part, but is no copy
+    gram = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [gram(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    low = list(range(len(texts)))
+    for _ in range(5):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert len(links) >= 90
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(low))
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs_of(spark, texts)).collect()) == sorted(set(low))
+
+
 # --- 2 packing, 8 files -------------------------------------------------------------------------------------------
 
 def test_chunks_encode_as_whole_texts():
