@@ -338,6 +338,22 @@ def test_recurring_lines_go(spark):
     assert "Python" not in cleaned._jdf.queryExecution().toString() and "Arrow" not in cleaned._jdf.queryExecution().toString()
 
 
+def test_runs_of_recurring_lines_go(spark):
+    rnd = random.Random(8)
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    menu = ["home and all the news", "sports on every day", "weather for the coast", "contact our small office"]
+    own = [line() for _ in range(12)]
+    texts = ["\n".join([*menu, x, "our footer begins here", "and our footer ends there"]) for x in own]
+    note = "a note that one carrier repeats"
+    apart = [[line(), line()] for _ in range(12)]
+    texts += [f"{a}\n{note}\n{b}" for a, b in apart]
+    texts += [f"copied above the note\n{note}\ncopied below the note"] * 1000
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(12)] == own
+    assert [got[i] for i in range(12, 24)] == [f"{a}\n{b}" for a, b in apart]
+    assert all(got[i] == "copied above the note\ncopied below the note" for i in range(24, 1024))
+
+
 # --- 9 decontamination --------------------------------------------------------------------------------------------
 
 def test_lcs():

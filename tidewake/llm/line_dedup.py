@@ -5,15 +5,16 @@ LEAD tokens; a line's leaf is the hash of both.  In a leaf a token is constant a
 leaf's lines have it there; a line of which at least SIMILAR of the positions are constant belongs to the leaf's general
 template, with <*> at the other positions; any other line is its own template.
 
-A template recurs if it is in at least MIN_DOCS documents and in different surroundings: the leaves of the lines before
-and after it, taken as a pair, must be at least MIN_DOCS different pairs and at least SPREAD of its documents.  Lines
-that repeat only because whole documents are copied keep their neighbours, so they are left to near-dedup.  All
+A template that is in at least MIN_DOCS documents is a candidate.  Candidates that follow each other in a document are a
+run and share its surroundings: the leaves of the lines before and after the run, or, where the run is the whole
+document, the run's own templates.  A template recurs if it is in at least MIN_DOCS different surroundings, however often
+each occurs.  Lines that repeat only because whole documents are copied have one, so they are left to near-dedup.  All
 occurrences of recurring templates are dropped.  Blank lines are kept and count neither as lines nor as surroundings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stored
@@ -22,7 +23,6 @@ LEAD = 3
 SIMILAR = 0.7
 CONSTANT = 0.5
 MIN_DOCS = 10
-SPREAD = 0.25
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -42,28 +42,38 @@ def _leaf(words: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row per line that is not blank: doc (hash of id and text), at, template and leaf (hashes), and around (hash of
-    the leaves before and after)."""
+    """A row per line that is not blank: doc (hash of id and text), at, i (its number among these lines), template and leaf
+    (hashes), before and after (the leaves of its neighbours)."""
     rows = docs.where("text is not null").select(_doc().alias("doc"), _lines().alias("lines"))
     rows = rows.withColumn("leaves", F.transform("lines", lambda x: _leaf(x["words"])))
-    around = lambda i: F.xxhash64(F.get("leaves", i - 1), F.get("leaves", i + 1))
-    each = F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), F.xxhash64(x["words"]).alias("template"), F.get("leaves", i).alias("leaf"), around(i).alias("around")))
+    leaf = lambda i: F.get("leaves", i)
+    each = F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"), F.xxhash64(x["words"]).alias("template"), leaf(i).alias("leaf"), leaf(i - 1).alias("before"), leaf(i + 1).alias("after")))
     return rows.select("doc", F.explode(each).alias("x")).select("doc", "x.*")
 
 
-def _recurring(lines: DataFrame, key: str) -> DataFrame:
-    """The keys that are in enough documents and surroundings."""
-    counted = lines.groupBy(key).agg(F.countDistinct("doc").alias("docs"), F.countDistinct("around").alias("arounds"))
-    return counted.where((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS) & (F.col("arounds") >= SPREAD * F.col("docs")))
+def _candidates(lines: DataFrame, key: str) -> DataFrame:
+    """The keys that are in enough documents."""
+    return lines.groupBy(key).agg(F.countDistinct("doc").alias("docs")).where(F.col("docs") >= MIN_DOCS).select(key)
+
+
+def _recurring(hits: DataFrame) -> DataFrame:
+    """The keys of hits (all lines of candidates) that are in enough surroundings."""
+    of_doc = Window.partitionBy("doc").orderBy("i")
+    runs = hits.withColumn("run", F.col("i") - F.row_number().over(of_doc)).groupBy("doc", "run").agg(
+        F.min_by("before", "i").alias("before"), F.max_by("after", "i").alias("after"),
+        F.bit_xor(F.xxhash64("key", "i")).alias("templates"), F.collect_set("key").alias("keys"),
+    )
+    whole = F.col("before").isNull() & F.col("after").isNull()
+    around = F.when(whole, F.xxhash64(F.lit("whole"), "templates")).otherwise(F.xxhash64("before", "after"))
+    counted = runs.select(F.explode("keys").alias("key"), around.alias("around")).groupBy("key").agg(F.countDistinct("around").alias("arounds"))
+    return counted.where(F.col("arounds") >= MIN_DOCS).select("key")
 
 
 def busy_leaves(lines: DataFrame) -> DataFrame:
-    """leaf: those with two templates or more, and enough lines and surroundings for a general template to recur."""
+    """leaf: those with two templates or more, and in enough documents for a general template to recur."""
     kinds = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("template").alias("a"), F.max("template").alias("b"))
     kinds = kinds.where((F.col("n") >= MIN_DOCS) & (F.col("a") != F.col("b"))).select("leaf")
-    counted = lines.join(kinds, "leaf", "left_semi").groupBy("leaf")
-    counted = counted.agg(F.countDistinct("doc").alias("docs"), F.countDistinct("around").alias("arounds"))
-    return counted.where((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS)).select("leaf")
+    return _candidates(lines.join(kinds, "leaf", "left_semi"), "leaf")
 
 
 def generalised(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -88,8 +98,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     general = stored(generalised(docs, stored(busy_leaves(lines), "leaves")), "general")
     # A template is one row here, and few are general: the lines' own keys stay unless a join finds another.
     keyed = lines.join(small(general), "template", "left").withColumn("key", F.coalesce("general", "template"))
-    recurring = stored(_recurring(keyed, "key").select("key"), "recurring")
-    hits = keyed.join(small(recurring), "key", "left_semi")
+    candidates = stored(_candidates(keyed, "key"), "candidates")
+    hits = stored(keyed.join(small(candidates), "key", "left_semi").select("doc", "at", "i", "key", "before", "after"), "hits")
+    hits = hits.join(small(stored(_recurring(hits), "recurring")), "key", "left_semi")
     return hits.groupBy("doc").agg(F.collect_set("at").alias("ats"))
 
 
