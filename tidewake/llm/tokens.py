@@ -10,6 +10,8 @@ import numpy as np
 WORD_BPE = "word_bpe_49k.json"
 CACHED_CHUNKS = 450_000
 MARKS = "!#$%&*+,-./:;=?@^_~)]}"
+PARTING = "\x01"
+"""A character that parts chunks which are encoded as one text; a chunk that holds it is encoded alone."""
 
 _open: dict[str, WordEncoder] = {}
 
@@ -39,6 +41,8 @@ class WordEncoder:
         """Bytes of an id as it is kept."""
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.lower() for t in added]
+        alone = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+        self.parting = alone[0] if len(alone) == 1 else None
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and end_id, as little-endian unsigned 32-bit integers; a null text is empty."""
@@ -80,9 +84,20 @@ class WordEncoder:
                 whole.update(x for x in (head, c[len(head) :]) if x not in new)
             else:
                 whole.add(c)
-        missing = list(whole)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+        single = list(whole)
+        if self.parting is not None:  # many chunks pass as one text, parted by a piece of its own
+            many = [c for c in single if PARTING not in c]
+            single = [c for c in single if PARTING in c]
+            for at in range(0, len(many), 4096):
+                part = many[at : at + 4096]
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {PARTING} ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+                ends = [*np.flatnonzero(ids == self.parting).tolist(), len(ids)]
+                data, start = ids.tobytes(), 0
+                for c, end in zip(part, ends, strict=True):
+                    new[c] = data[start * self.width : end * self.width]
+                    start = end + 1
+        for at in range(0, len(single), 4096):
+            part = single[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 new[c] = array(code, e.ids).tobytes()
         for c, head, tail in parts:
