@@ -221,3 +221,30 @@ def test_vectors_are_gathered_or_the_read_fails(spark):
 def test_epoch_by_type(spark):
     df = spark.sql("SELECT 90 AS a, timestamp_ntz'1970-01-02 00:00:01' AS b, '1970-01-01T00:01:00' AS c, 'x' AS e, timestamp_seconds(77) AS f")
     assert [df.select(readers.as_epoch(df, c, "yyyy-MM-dd'T'HH:mm:ss")).first()[0] for c in "abcef"] == [90, 86401, 60, None, 77]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("n", [20_000, 400_000])
+def test_ranks_of_wide_rows_are_exact(spark, tmp_path, n, adaptive):
+    """No row is lost or misnumbered when wide rows are ranked and written: sizes and rows see the same ranges."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = F.repeat(F.md5(F.col("id").cast("string")), 8)
+        df = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % 104729).alias("start_ts"), F.col("id").alias("k"), wide.alias("payload"))
+        tasks.chronological_split(df, "k").write.parquet(str(tmp_path / "split"))
+        got = spark.read.parquet(str(tmp_path / "split"))
+        shares = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+        assert shares == {"train": int(n * 0.7), "val": int(n * 0.15), "test": n - int(n * 0.7) - int(n * 0.15)}
+        assert got.select("k", "payload").distinct().count() == n
+        tasks.numbered(df, "start_ts", "k").write.parquet(str(tmp_path / "ranked"))
+        rows = spark.read.parquet(str(tmp_path / "ranked")).select("start_ts", "k", "_i").toPandas().sort_values(["start_ts", "k"])
+        assert (rows["_i"].to_numpy() == range(1, n + 1)).all()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_percentiles_of_groups(spark):
+    data = [(g, float(v)) for g, n in ((None, 1), ("a", 4), ("b", 101)) for v in range(n)] + [("a", None)]
+    rows = tasks.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", {"m": 0.5, "p": 0.9}).collect()
+    assert {r.g: (r.m, pytest.approx(r.p)) for r in rows} == {None: (0.0, 0.0), "a": (1.5, 2.7), "b": (50.0, 90.0)}

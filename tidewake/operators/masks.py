@@ -112,19 +112,11 @@ def within_length(df: DataFrame, key: str, most: int = 200) -> DataFrame:
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") <= most).drop("_n")
 
 
-def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row: exact percentiles of a whole column, linear between ranks.  Ranges of the values are numbered each for
-    themselves, so no task holds the column; a rank's weight falls to nothing one place beside the percentile's."""
-    rows = tasks.numbered(df.select(column).where(F.col(column).isNotNull()), column)
-    weight = lambda p: F.greatest(F.lit(0.0), 1 - F.abs((F.col("_i") - 1) - (F.col("_n") - 1) * p))
-    return rows.agg(*(F.sum(weight(p) * F.col(column)).alias(name) for name, p in shares.items()))
-
-
 def extent(df: DataFrame, x: str = "x", y: str = "y", clip_pct: float = 0.0, buffer: float = 500.0) -> DataFrame:
     """One row x_min, y_min, x_max, y_max: the points' box, or that of the percentiles clip_pct and 100 - clip_pct, and a buffer."""
     if clip_pct > 0:
         p = clip_pct / 100
-        box = percentiles(df, x, {"x_min": p, "x_max": 1 - p}).crossJoin(percentiles(df, y, {"y_min": p, "y_max": 1 - p}))  # one row each
+        box = tasks.percentiles(df, [], x, {"x_min": p, "x_max": 1 - p}).crossJoin(tasks.percentiles(df, [], y, {"y_min": p, "y_max": 1 - p}))  # one row each
     else:
         box = df.agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"))
     return box.select(*((F.col(c) - buffer).alias(c) for c in ("x_min", "y_min")), *((F.col(c) + buffer).alias(c) for c in ("x_max", "y_max")))

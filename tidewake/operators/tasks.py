@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..functions.scratch import settled
 
 
 def grid_sample(manifest: DataFrame, key: str, n: int, grid: int = 20) -> DataFrame:
@@ -31,13 +34,33 @@ def grid_sample(manifest: DataFrame, key: str, n: int, grid: int = 20) -> DataFr
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """_i (from 1) by the order, and _n, the number of rows, without bringing the rows into one partition: ranges of the
-    order are numbered each for themselves, and the sums of their sizes, one row a range, added."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_size"))
+    order are numbered each for themselves, and the sums of their sizes, one row a range, added.
+
+    The ranged rows are settled first: where a range ends may differ from one execution to the next, and both the sizes and
+    the rows must see the same ranges."""
+    in_range = F.monotonically_increasing_id()  # the partition's number times 2^33, and the row's place in it
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", in_range))
+    ranged = ranged.withColumns({"_p": F.shiftright("_m", 33), "_own": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_m")
+    sizes = ranged.groupBy("_p").agg(F.max("_own").alias("_size"))
     w = Window.orderBy("_p")
     sizes = sizes.select("_p", (F.sum("_size").over(w) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_p").withColumn("_i", F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
+    return ranged.join(F.broadcast(sizes), "_p").withColumn("_i", F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
+
+
+def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """A row a group (one of all rows, without ``by``): exact percentiles of the column, linear between ranks, nulls left
+    out.  All groups are ranked together, so no task holds a group; a rank's weight falls to nothing one place beside the
+    percentile's."""
+    rows = numbered(df.select(*by, column).where(F.col(column).isNotNull()), *by, column)
+    if by:
+        groups = rows.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg((F.min("_i") - 1).alias("_first"), F.count("*").alias("_size"))
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        rows = rows.join(groups, reduce(lambda a, b: a & b, same))
+        place, size = F.col("_i") - F.col("_first"), F.col("_size")
+    else:
+        place, size = F.col("_i"), F.col("_n")
+    weight = lambda p: F.greatest(F.lit(0.0), 1 - F.abs((place - 1) - (size - 1) * p))
+    return rows.groupBy(*by).agg(*(F.sum(weight(p) * F.col(column)).alias(name) for name, p in shares.items()))
 
 
 def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -104,10 +127,16 @@ def interpolated(df: DataFrame, key: str, columns: tuple[str, ...] = ("lat", "lo
 
 
 def errors(df: DataFrame, levels: list[str]) -> DataFrame:
-    """n_points, mae, rmse, median and p90 of error_m, over all and by each of the levels, in one pass."""
-    stats = [F.count("*").alias("n_points"), F.avg("error_m").alias("mae_m"), F.sqrt(F.avg(F.col("error_m") * F.col("error_m"))).alias("rmse_m"), F.percentile("error_m", 0.5).alias("median_m"), F.percentile("error_m", 0.9).alias("p90_m")]
-    sets = [[], *([c] for c in levels)]
-    return df.groupingSets(sets, *levels).agg(*stats)
+    """n_points, mae, rmse, median and p90 of error_m, over all and by each of the levels."""
+    empty = [F.lit(None).cast(df.schema[c].dataType) for c in levels]
+    sets = [F.struct(F.lit(0).alias("_set"), *(e.alias(c) for c, e in zip(levels, empty)))]
+    sets += [F.struct(F.lit(i).alias("_set"), *((F.col(c) if c == level else e).alias(c) for c, e in zip(levels, empty))) for i, level in enumerate(levels, 1)]
+    each = df.select("error_m", F.explode(F.array(*sets)).alias("_s")).select("error_m", "_s.*")
+    by = ["_set", *levels]
+    means = each.groupBy(*by).agg(F.count("*").alias("n_points"), F.avg("error_m").alias("mae_m"), F.sqrt(F.avg(F.col("error_m") * F.col("error_m"))).alias("rmse_m"))
+    ranks = percentiles(each, by, "error_m", {"median_m": 0.5, "p90_m": 0.9}).withColumnsRenamed({c: f"_r{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in by))
+    return means.join(ranks, same, "left").select(*levels, "n_points", "mae_m", "rmse_m", "median_m", "p90_m")
 
 
 def recovery_error(lat: Column, lon: Column, lat_hat: Column, lon_hat: Column) -> Column:
@@ -115,10 +144,10 @@ def recovery_error(lat: Column, lon: Column, lat_hat: Column, lon_hat: Column) -
 
 
 def robust_stats(df: DataFrame, group: str, column: str) -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.16), F.lit(0.84)))
-    out = df.groupBy(group).agg(p.alias("p"))
-    half = (F.col("p")[2] - F.col("p")[1]) / 2
-    return out.select(group, F.col("p")[0].alias("center"), F.when(half < 1e-9, 1.0).otherwise(half).alias("scale"))
+    """center (median) and scale (half of the 16th to the 84th percentile, 1 where that is nothing) of each group."""
+    p = percentiles(df, [group], column, {"center": 0.5, "_lo": 0.16, "_hi": 0.84})
+    half = (F.col("_hi") - F.col("_lo")) / 2
+    return p.select(group, "center", F.when(half < 1e-9, 1.0).otherwise(half).alias("scale"))
 
 
 def vocabulary(df: DataFrame, cell: str, most: int = 50_000, least: int = 1) -> DataFrame:
