@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -310,6 +311,67 @@ def test_labels_are_predicted(spark, module, label, least):
     assert module.scores(odd(spark), known).where("score is null or score < 0 or score > 1").count() == 0
 
 
+class BruteKneserNey:
+    """The same by the definition, over sets and counters."""
+
+    def __init__(self, words):
+        self.k = {5: {c: Counter() for c in (0, 1)}}
+        for w, toxic, plain in words:
+            w = "\x01" * 4 + w + "\x02"
+            for i in range(len(w) - 4):
+                self.k[5][1][w[i : i + 5]] += toxic
+                self.k[5][0][w[i : i + 5]] += plain
+        kinds = {c: {g for g, n in self.k[5][c].items() if n} for c in (0, 1)}
+        for n in (4, 3):
+            self.k[n] = {c: Counter(g[1:] for g in kinds[c]) for c in (0, 1)}
+            kinds = {c: set(self.k[n][c]) for c in (0, 1)}
+        both = kinds[0] | kinds[1]
+        for n in (2, 1):
+            count = Counter(g[1:] for g in both)
+            self.k[n], both = {0: count, 1: count}, set(count)
+
+    def p(self, gram, c):
+        n, count = len(gram), self.k[len(gram)][c]
+        if n == 1:
+            total, kinds = sum(count.values()), len(count)
+            return max(count[gram] - 0.75, 0) / total + 0.75 * kinds / total / (kinds + 1)
+        after = [v for g, v in count.items() if g[:-1] == gram[:-1] and v]
+        if not after:
+            return self.p(gram[1:], c)
+        return max(count[gram] - 0.75, 0) / sum(after) + 0.75 * len(after) / sum(after) * self.p(gram[1:], c)
+
+
+def test_kneser_ney(spark):
+    """Probabilities are those of the definition, and sum to one over all letters, the end and one that was never seen."""
+    rnd = random.Random(9)
+    words = [("".join(rnd.choice("abcdé日") for _ in range(rnd.randint(1, 6))), rnd.randint(0, 3), rnd.randint(0, 3)) for _ in range(60)]
+    words = list({w: (w, t, p) for w, t, p in words if t + p}.values())
+    counts = toxicity.gram_counts(spark.createDataFrame(words, "word string, toxic long, plain long"))
+    heads = {("\x01" * 4 + w)[i : i + 4] for w, _, _ in words for i in range(len(w) + 1)} | {"zzzz", "\x01\x01za"}
+    letters = sorted({x for w, _, _ in words for x in w}) + ["\x02", "z"]
+    grams = [h + x for h in sorted(heads) for x in letters]
+    got = {r.gram: (r.plain, r.toxic) for r in toxicity.probabilities(spark.createDataFrame([(g,) for g in grams], "gram string"), counts).collect()}
+    brute = BruteKneserNey(words)
+    assert len(got) == len(grams)
+    for g in grams:
+        assert got[g] == (pytest.approx(brute.p(g, 0)), pytest.approx(brute.p(g, 1)))
+    for h in heads:
+        for c in (0, 1):
+            assert sum(got[h + x][c] for x in letters) == pytest.approx(1)
+
+
+def test_toxicity_with_many_grams(spark, monkeypatch):
+    """Joins instead of a broadcast give the same scores, with frequent words dealt to several tasks too."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents").unionByName(odd(spark).select(*docs_of(spark, []).columns)), table(spark, "/root/testdata/sf0.01", "labels")
+    few = {r.doc_id: r.score for r in toxicity.scores(docs, labels).where("doc_id >= 10").collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(toxicity, "COMMON", 20)
+    rows = toxicity.scores(docs, labels)
+    assert rows.count() == docs.count()
+    assert {r.doc_id: r.score for r in rows.where("doc_id >= 10").collect()} == {k: pytest.approx(v, abs=1e-4) for k, v in few.items()}
+
+
 # --- 5 pages ------------------------------------------------------------------------------------------------------
 
 def page(body, side="Same <b>on</b> all"):

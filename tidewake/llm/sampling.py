@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, stored
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -26,8 +26,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_l
     hashed = fits.select("doc_id", F.xxhash64("text").alias("h"), *own)
     if labels is not None:
         hashed = hashed.join(labels.select("doc_id", F.col(label).cast("string").alias("label")), "doc_id")
-    hashed = hashed.where("label is not null").select("label", "h").distinct()
-    first = hashed.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
+    hashed = stored(hashed.where("label is not null").select("label", "h").distinct(), "sample-hashes")
+    # Ranked are only hashes so small that about 4 * per_label of a label are as small: no task ranks a label whole.
+    sizes = hashed.groupBy("label").agg(F.count("*").alias("n"))
+    upto = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * per_label) / F.col("n"))
+    low = hashed.join(small(sizes), "label").where(F.col("h") <= upto)
+    first = low.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
     chosen = sorted((r.label, r.h) for r in first.select("label", "h").collect())
     if not chosen:
         return []
