@@ -13,9 +13,9 @@ Where a count proves the 5-grams few (BROADCAST_GRAMS), their numbers are broadc
 otherwise they are joined with the corpus's words, and the words with the documents, which gives the same.  No count is
 cut off.
 
-A document's features are length-normalised differences of log-likelihood: of its most toxic word, of its second such
-word, and of the whole.  A logistic function of them, fitted on a bounded sample of training documents that the counts
-leave out (CALIBRATE), gives the score.
+A document's features are length-normalised differences of log-likelihood: of its most toxic words (BEST), and of the
+whole.  A logistic function of them, fitted on a bounded sample of training documents that the counts
+leave out (CALIBRATE), gives the score; the sample takes both classes alike, which its constant undoes.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SHARED = 2
 """Up to this order both classes have one model."""
 DISCOUNT = 0.75
 BROADCAST_GRAMS = 4_000_000
+BEST = (1, 2, 3, 5, 8)
+"""Places among a document's words, from the most toxic one on, that are features."""
 CACHED_WORDS = 400_000
 CALIBRATE_TEXTS = 600
 CALIBRATE_CHARS = 20_000
@@ -56,8 +58,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """word, toxic and plain: the counts of every word of the labelled documents (known: doc_id, toxic)."""
-    rows = with_labels(docs.select("doc_id", "text"), known).select(F.col("toxic").cast("int").alias("toxic"), "text")
+    """word, toxic and plain: the counts of every word of the labelled documents (known: doc_id, toxic).  Of labelled
+    documents of one text and class one is counted: copies say nothing new, but would make their own words look typical."""
+    once = with_labels(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")), known)
+    once = once.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    first = stored(once.select("doc_id", "toxic").distinct(), "toxicity-once")
+    rows = with_labels(docs.select("doc_id", "text"), first).select(F.col("toxic").cast("int").alias("toxic"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
@@ -202,7 +208,7 @@ class Scorer:
         self.differences, self.at, self.known = differences, {}, np.empty((0, 2))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """[text, (most toxic word, second such word, whole)] of differences a letter; zero without words."""
+        """[text, (the words at BEST places from the most toxic on, whole)] of differences a letter; zero where there is none."""
         each = [words_of(t) for t in texts]
         if len(self.at) > CACHED_WORDS:
             self.at, self.known = {}, np.empty((0, 2))
@@ -210,14 +216,15 @@ class Scorer:
         if new:
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.known = np.concatenate([self.known, self.differences.words(new)])
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), len(BEST) + 1))
         for i, ws in enumerate(each):
             if ws:
                 x = self.known[[self.at[w] for w in ws]]
                 single = x[:, 0] / x[:, 1]
-                out[i, 0] = single.max()
-                out[i, 1] = np.partition(single, -2)[-2] if len(single) > 1 else 0.0
-                out[i, 2] = x[:, 0].sum() / x[:, 1].sum()
+                most = min(BEST[-1], len(single))
+                best = np.sort(np.partition(single, -most)[-most:])[::-1]
+                out[i, :-1] = [best[k - 1] if k <= most else 0.0 for k in BEST]
+                out[i, -1] = x[:, 0].sum() / x[:, 1].sum()
         return out
 
 
@@ -242,7 +249,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
 
 def joined_features(docs: DataFrame, differences: DataFrame) -> DataFrame:
-    """doc_id and the features top, second and whole of each row, by joins with the table of differences (gram, value)."""
+    """doc_id and the features (an array) of each row, by joins with the table of differences (gram, value)."""
     rows = stored(word_rows(docs), "toxicity-words")
     words = rows.where("word is not null").groupBy("word").agg(F.count("*").alias("docs"))
     grams = words.select("word", "docs", F.explode(_grams_of(F.col("word"))).alias("gram"))
@@ -253,12 +260,14 @@ def joined_features(docs: DataFrame, differences: DataFrame) -> DataFrame:
     rows = rows.join(known.select("word", "_salt", "value"), ["word", "_salt"], "left")
     letters = F.length("word") + 1
     ratio = F.coalesce(F.col("value") / letters, F.lit(0.0))
-    twice = F.flatten(F.collect_list(F.array_repeat(ratio, F.least("n", F.lit(2)).cast("int"))))
+    most = BEST[-1]
+    each = F.flatten(F.collect_list(F.when(F.col("word").isNotNull(), F.array_repeat(ratio, F.least("n", F.lit(most)).cast("int")))))
     out = rows.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.slice(F.sort_array(twice, asc=False), 1, 2).alias("best"),
+        F.first("doc_id").alias("doc_id"), F.slice(F.sort_array(each, asc=False), 1, most).alias("best"),
         F.coalesce(F.sum(F.col("value") * F.col("n")) / F.sum(letters * F.col("n")), F.lit(0.0)).alias("whole"),
     )
-    return out.select("doc_id", F.col("best")[0].alias("top"), F.coalesce(F.get("best", F.lit(1)), F.lit(0.0)).alias("second"), "whole")
+    best = [F.coalesce(F.get("best", F.lit(k - 1)), F.lit(0.0)) for k in BEST]
+    return out.select("doc_id", F.array(*best, "whole").alias("features"))
 
 
 @dataclass(frozen=True)
@@ -297,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     else:
         spark = docs.sparkSession
         few = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(sample)], "doc_id long, text string")
-        x = joined_features(few, table).toPandas().sort_values("doc_id")[["top", "second", "whole"]].to_numpy()
+        x = np.array([r.features for r in sorted(joined_features(few, table).collect(), key=lambda r: r.doc_id)])  # the sample's
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     return Model(table, local, logistic(x / scale, y, ridge=1e-3), scale)
 
@@ -310,7 +319,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
     elif model.local is None:
         each = joined_features(docs, model.differences)
-        z = sum((F.col(c) * float(w / s) for c, w, s in zip(("top", "second", "whole"), model.weights, model.scale)), F.lit(float(model.weights[-1])))
+        z = sum((F.col("features")[i] * float(w / s) for i, (w, s) in enumerate(zip(model.weights, model.scale))), F.lit(float(model.weights[-1])))
         found = each.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).alias("score"))
     else:
         given = docs.sparkSession.sparkContext.broadcast((model.local, model.weights, model.scale))  # BROADCAST_GRAMS bounds it
