@@ -438,6 +438,20 @@ def test_runs_of_recurring_lines_go(spark):
     assert all(got[i] == "copied above the note\ncopied below the note" for i in range(24, 1024))
 
 
+def test_several_templates_of_a_leaf(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(8))
+    ways = ["seen in the garden of {} near our old mill", "seen in the street by {} before his long walk", "seen in the office with {} after their short call"]
+    texts = [f"{line()}\n{way.format(word())}\n{line()}" for way in ways for _ in range(30)]
+    rows = docs_of(spark, texts)
+    assert sum(r.n_dropped for r in line_dedup.line_counts(rows).collect()) == 90
+    clashing = rows.withColumns({"ats": F.lit(1), "_at": F.lit("user's"), "_doc": F.lit(2), "_ats": F.lit(3), "DOC": F.lit(4)})
+    got = line_dedup.cleaned(clashing)
+    assert got.columns == clashing.columns
+    assert all(r.text.count("\n") == 1 and (r["ats"], r["_at"], r["_doc"], r["_ats"], r["DOC"]) == (1, "user's", 2, 3, 4) for r in got.collect())
+
+
 # --- 9 decontamination --------------------------------------------------------------------------------------------
 
 def test_lcs():
@@ -505,7 +519,8 @@ def test_oracles(spark):
     from tidewake.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    for t in ("embeddings", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, SF)
         want = con.sql(sql)

@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's fields that hold a digit are variable and become <*>, and its white space single spaces.  The tree has a fixed depth: token count, then the first
-LEAD tokens; a line's leaf is the hash of both.  In a leaf a token is constant at its position if more than half of the
-leaf's lines have it there; a line of which at least SIMILAR of the positions are constant belongs to the leaf's general
-template, with <*> at the other positions; any other line is its own template.
+LEAD tokens; a line's leaf is the hash of both.  A leaf may hold several templates.  A token is general at its position if
+more than half of the leaf's lines have it there, and common if at least MIN_DOCS lines have.  A line of which at least
+SIMILAR of the positions are general belongs to the leaf's general template; of the others a line of which as many are
+general or common has the template that is left when its other tokens become <*>; any other line is its own template.
 
 A template that is in at least MIN_DOCS documents is a candidate.  Candidates that follow each other in a document are a
 run and share its surroundings: the leaves of the lines before and after the run, or, where the run is the whole
@@ -64,32 +65,38 @@ def _recurring(hits: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("key", "i")).alias("templates"), F.collect_set("key").alias("keys"),
     )
     whole = F.col("before").isNull() & F.col("after").isNull()
-    around = F.when(whole, F.xxhash64(F.lit("whole"), "templates")).otherwise(F.xxhash64("before", "after"))
+    side = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    around = F.when(whole, F.xxhash64(F.lit("whole"), "templates")).otherwise(F.xxhash64(side("before"), side("after")))
     counted = runs.select(F.explode("keys").alias("key"), around.alias("around")).groupBy("key").agg(F.countDistinct("around").alias("arounds"))
     return counted.where(F.col("arounds") >= MIN_DOCS).select("key")
 
 
 def busy_leaves(lines: DataFrame) -> DataFrame:
-    """leaf: those with two templates or more, and in enough documents for a general template to recur."""
+    """leaf: those with two templates or more, and in enough documents for a template of several to recur."""
     kinds = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("template").alias("a"), F.max("template").alias("b"))
-    kinds = kinds.where((F.col("n") >= MIN_DOCS) & (F.col("a") != F.col("b"))).select("leaf")
-    return _candidates(lines.join(kinds, "leaf", "left_semi"), "leaf")
+    kinds = stored(kinds.where((F.col("n") >= MIN_DOCS) & (F.col("a") != F.col("b"))).select("leaf"), "leaf-kinds")
+    return _candidates(lines.join(small(kinds), "leaf", "left_semi"), "leaf")
 
 
 def generalised(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """template and general: the leaf, for the templates that match the general template of their leaf, one of leaves."""
+    """template and general: the key of the template of several that a template belongs to, for those of leaves that do."""
     leaves = small(leaves)
     words = docs.where("text is not null").select(F.explode(_lines()).alias("x")).select(F.col("x.words").alias("words"))
     there = words.withColumn("leaf", _leaf(F.col("words"))).join(leaves, "leaf", "left_semi")
     kinds = stored(there.groupBy("leaf", "words").agg(F.count("*").alias("n")), "line-kinds")
-    kinds = kinds.join(kinds.groupBy("leaf").agg(F.sum("n").alias("total")), "leaf")
-    tokens = kinds.select("leaf", "n", "total", F.posexplode(F.split("words", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("of"), F.max("total").alias("total"))
-    constant = constant.where(F.col("of") > CONSTANT * F.col("total")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("general"))
-    each = F.split("words", " ")
-    same = F.size(F.filter(F.transform(each, lambda w, i: F.element_at("general", i) == w), lambda x: x))
-    matched = kinds.join(constant, "leaf").where(same >= SIMILAR * F.size(each))
-    return matched.select(F.xxhash64("words").alias("template"), F.col("leaf").alias("general"))
+    totals = small(stored(kinds.groupBy("leaf").agg(F.sum("n").alias("total")), "leaf-totals"))
+    tokens = kinds.select("leaf", "n", F.xxhash64("words").alias("template"), F.posexplode(F.split("words", " ")).alias("pos", "token"))
+    counts = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("of")).join(totals, "leaf")
+    general = F.col("of") > CONSTANT * F.col("total")
+    counts = counts.where(general | (F.col("of") >= MIN_DOCS)).select("leaf", "pos", "token", general.alias("is_general"))
+    marked = tokens.drop("n").join(small(stored(counts, "line-tokens")), ["leaf", "pos", "token"], "left")
+    shown = F.struct("pos", F.when(F.col("is_general").isNotNull(), F.col("token")).otherwise("<*>").alias("shown"))
+    each = marked.groupBy("leaf", "template").agg(
+        F.count("*").alias("size"), F.count_if("is_general").alias("general"), F.count("is_general").alias("common"), F.sort_array(F.collect_list(shown)).alias("shown")
+    )
+    of_leaf, enough = F.col("general") >= SIMILAR * F.col("size"), F.col("common") >= SIMILAR * F.col("size")
+    key = F.when(of_leaf, F.col("leaf")).otherwise(F.xxhash64(F.lit("<*>"), F.array_join(F.col("shown.shown"), " ")))
+    return each.where(of_leaf | enough).select("template", key.alias("general"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
@@ -110,13 +117,18 @@ def cleaned(docs: DataFrame) -> DataFrame:
     Texts that are null or empty stay as they are; a text of which every line recurs becomes empty.  Rows that repeat a
     document are one document in the counts, and both are cleaned.
     """
-    gone = small(stored(dropped(docs), "dropped-lines").withColumnRenamed("doc", "_doc"))
-    joined = docs.withColumn("_at", _doc()).join(gone, F.col("_at") == F.col("_doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("ats", i))
-    joined = joined.withColumn("text", F.when(F.col("ats").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    def free(name: str) -> str:
+        return name if name.lower() not in map(str.lower, docs.columns) else free("_" + name)
+
+    doc, ats = free("_doc"), free("_ats")
+    gone = small(stored(dropped(docs).select(F.col("doc").alias(doc), F.col("ats").alias(ats)), "dropped-lines"))
+    joined = docs.withColumn(doc, _doc()).join(gone, doc, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(ats, i)), "\n")
+    text = F.when(F.col(ats).isNull(), F.col("text")).otherwise(kept)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("ats").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(ats).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(new).select(*docs.columns)
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -73,4 +73,42 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    # a line's words, leaf and template as text instead of hashes
+    "op6_line_dedup": r"""
+        WITH u AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+        p AS (
+            SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '(^|[ \t\n\x0B\f\r])[^ \t\n\x0B\f\r0-9]*[0-9][^ \t\n\x0B\f\r]*', '\1<*>', 'g'),
+                '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)) AS ls FROM u
+        ), l AS (SELECT doc_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ln FROM p),
+        f AS (
+            SELECT doc_id, text, ln, trim(line, ' ') AS words, string_split(trim(line, ' '), ' ') AS ts,
+                len(ts) || '|' || array_to_string(ts[1:3], ' ') AS leaf, row_number() OVER (PARTITION BY doc_id, text ORDER BY ln) AS i
+            FROM l WHERE trim(line, ' ') <> ''
+        ), g AS (SELECT *, lag(leaf) OVER w AS b, lead(leaf) OVER w AS a FROM f WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+        busy AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT words) > 1 AND count(DISTINCT (doc_id, text)) >= 10),
+        kinds AS (SELECT leaf, words, ts, count(*) AS n FROM f WHERE leaf IN (SELECT leaf FROM busy) GROUP BY ALL),
+        totals AS (SELECT leaf, sum(n) AS total FROM kinds GROUP BY leaf),
+        tokens AS (SELECT leaf, words, n, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM kinds),
+        counts AS (
+            SELECT leaf, pos, token, sum(n) > 0.5 * any_value(total) AS general FROM tokens JOIN totals USING (leaf)
+            GROUP BY leaf, pos, token HAVING sum(n) > 0.5 * any_value(total) OR sum(n) >= 10
+        ), marked AS (
+            SELECT leaf, words, count(*) AS size, count(*) FILTER (general) AS general, count(general) AS common,
+                string_agg(CASE WHEN general IS NULL THEN '<*>' ELSE token END, ' ' ORDER BY pos) AS shown
+            FROM tokens LEFT JOIN counts USING (leaf, pos, token) GROUP BY leaf, words
+        ), keys AS (
+            SELECT leaf, words, CASE WHEN general >= 0.7 * size THEN 'leaf ' || leaf WHEN common >= 0.7 * size THEN 'masked ' || shown ELSE 'own ' || words END AS key FROM marked
+        ), keyed AS (SELECT g.*, coalesce(key, 'own ' || g.words) AS key FROM g LEFT JOIN keys USING (leaf, words)),
+        candidates AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT (doc_id, text)) >= 10),
+        hits AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS run FROM keyed WHERE key IN (SELECT key FROM candidates)),
+        runs AS (SELECT doc_id, text, run, first(b ORDER BY i) AS b, last(a ORDER BY i) AS a, string_agg(key || '@' || i, '|' ORDER BY i) AS whole, list(DISTINCT key) AS ks FROM hits GROUP BY doc_id, text, run),
+        arounds AS (SELECT unnest(ks) AS key, CASE WHEN b IS NULL AND a IS NULL THEN 'whole ' || whole ELSE coalesce(b, '') || '~' || coalesce(a, '') END AS around FROM runs),
+        recurring AS (SELECT key FROM arounds GROUP BY key HAVING count(DISTINCT around) >= 10),
+        gone AS (SELECT doc_id, text, list(ln) AS ats FROM hits WHERE key IN (SELECT key FROM recurring) GROUP BY doc_id, text),
+        kept AS (
+            SELECT d.doc_id, d.text, CASE WHEN ats IS NULL THEN d.text ELSE coalesce(array_to_string([x FOR x, i IN string_split(d.text, chr(10)) IF NOT list_contains(ats, i - 1)], chr(10)), '') END AS clean
+            FROM documents d LEFT JOIN gone g ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.text = d.text
+        ), n AS (SELECT *, coalesce(len([x FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> '']), 0) AS n_lines, coalesce(len([x FOR x IN string_split(clean, chr(10)) IF trim(x, ' ') <> '']), 0) AS n_left FROM kept)
+        SELECT doc_id, n_lines, n_lines - n_left AS n_dropped, clean AS text FROM n
+    """,
 }
