@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -391,12 +392,65 @@ def test_html(spark):
     assert html_wrappers.extracted(df.limit(0)).count() == 0
 
 
+def shape(body):
+    return html_wrappers.folded([t.path for t in html_wrappers.blocks(f"<body>{body}</body>")])
+
+
 def test_wrappers_align():
     w = None
     for body in ("<p>a</p><div class=x>k</div>", "<p>b</p><p>c</p><div class=x>k</div>", "<div class=x>k</div>"):
-        s = html_wrappers.sequence(html_wrappers.blocks(f"<body>{body}</body>"))
-        w = s if w is None else html_wrappers.align(w, s)
-    assert [(i.text is None, i.optional, i.repeated) for i in w] == [(True, True, True), (False, False, False)]
+        w = shape(body) if w is None else html_wrappers.align(w, shape(body))
+    assert [(i.optional, i.repeated) for i in w] == [(True, True), (False, False)]
+
+
+def test_groups_of_several_blocks_repeat():
+    pair = "<h2>t</h2><p>a</p><p>b</p>"
+    once, often = shape(f"<h1>x</h1>{pair}<div>end</div>"), shape(f"<h1>x</h1>{pair * 5}<div>end</div>")
+    assert [(len(i.paths), i.repeated) for i in often] == [(1, False), (2, True), (1, False)]
+    for w in (html_wrappers.align(once, often), html_wrappers.align(often, once)):
+        assert [(len(i.paths), i.repeated, i.optional) for i in w] == [(1, False, False), (2, True, False), (1, False, False)]
+
+
+def test_long_shapes_align(monkeypatch):
+    """Stretches too long to compare item by item are aligned by the items that occur once."""
+    a = [html_wrappers.Item((i,), False) for i in range(3000)]
+    b = [html_wrappers.Item((i if i % 7 else -i - 1,), False) for i in range(3000)]
+    w = html_wrappers.align(a, b)
+    assert [x.paths[0] for x in w if not x.optional] == [i for i in range(3000) if i % 7]
+    assert sum(x.optional for x in w) == 2 * len(range(0, 3000, 7))
+
+
+def test_wrappers_decide(spark):
+    """Pages without article, main or telling names: menus, teasers and notices go by what the host's pages share."""
+    rnd = random.Random(13)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        story = [words(3), *(words(40) for _ in range(rnd.randint(1, 4)))]
+        notice = "<p>We sell a thing that nobody needs, call us today.</p>" if i % 4 else ""
+        teasers = "".join(f"<li><a href=x>{words(4)}</a>" for _ in range(rnd.randint(2, 6)))
+        body = f"<div class=a1><ul><li>Start<li>All of it<li>Old things</ul></div><div class=b{i}><h1>{story[0]}</h1>{''.join(f'<p>{t}</p>' for t in story[1:2])}{notice}{''.join(f'<p>{t}</p>' for t in story[2:])}<div class='social-history promo-text'><p>{words(6)}</p></div></div><div class=c1><ul>{teasers}</ul></div><div class=d1>Made by us</div>"  # noqa: E501
+        rows.append((i, f"http://w.example/{i}", f"<html><body>{body}</body></html>"))
+        want[i] = [*story, body.split("promo-text'><p>")[1].split("</p>")[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5):
+        got = {r.page_id: r for r in html_wrappers.extracted(df.repartition(parts)).collect()}
+        assert all(got[i].by_wrapper and got[i].text == " ".join(want[i]) for i in want)
+
+
+@pytest.mark.parametrize("page", ['<button a="x">' * 40_000, "<div>" * 20_000 + "x</section>" * 20_000, "<h2>a</h2><p>b</p>" * 20_000, '<a b="' * 40_001, "<svg>" * 30_000, "<!--" * 30_000, "<" * 100_000, "<div><p>x" * 20_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_wrappers.folded([t.path for t in html_wrappers.blocks(page)])
+    html_wrappers.main_text(page, (1, frozenset()))
+    assert time.process_time() - began < 10
+
+
+def test_html_inside_articles_stays(spark):
+    rows = [(i, "http://h.example/a", page(f"<article><h1>T {i}</h1><div class='social-history'><p>Kept {i}</p></div><p class='promo-text'>Also {i}</p><div class='ad-box'>Buy {i}</div></article>")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for d in (df, df.limit(1)):
+        assert all(r.text == f"T {r.page_id} Kept {r.page_id} Also {r.page_id}" for r in html_wrappers.extracted(d).collect())
 
 
 # --- 6 lines ------------------------------------------------------------------------------------------------------
