@@ -256,6 +256,30 @@ def test_maxscore(spark, shape):
     assert maxscore.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["normal", "ties", "large", "huge", "falling", "constant"])
+@pytest.mark.parametrize("width", [5, 64, 100])
+def test_maxscore_splits_terms(shape, width):
+    """More dimensions than a step, ties and values beyond exact floats: as brute force, and both kinds of steps occur."""
+    rng = np.random.default_rng(width)
+    x = rng.normal(0, 1, (400, width))
+    if shape == "falling":
+        x *= 0.7 ** np.arange(width)
+    if shape == "ties":
+        x = np.sign(x) * (rng.random((400, width)) < 0.2)
+        x[300:] = x[300]
+    x = np.floor(x * {"large": 1e5, "huge": 1e9}.get(shape, 256.0)) if shape != "constant" else np.full((400, width), 3.0)
+    ids, steps = rng.permutation(400).astype(np.int64), Counter()
+    got = maxscore.search(ids[:20], x[:20], ids, x, 5, steps)
+    v = np.vectorize(int, otypes=[object])(x)
+    want = []
+    for q in range(20):
+        best = sorted((-int(s), int(i)) for s, i in zip(v @ v[q], ids) if i != ids[q])[:5]
+        want += [(int(ids[q]), i, -s) for s, i in best]
+    assert [(a, b, c) for a, b, c in got] == want
+    if width > maxscore.STEP:
+        assert sum(steps.values()) > 0 and (shape != "falling" or steps["probed"])
+
+
 # --- 3, 4, 7 classifiers ------------------------------------------------------------------------------------------
 
 def test_automaton_accepts_substrings():

@@ -3,14 +3,16 @@
 A query's terms are its dimensions.  Vectors are dealt into shards, queries into blocks, and each (shard, block) meets in
 one task of a co-grouping, so both sides of a task are bounded by the parameters and nothing passes the driver.  In a
 shard a term's bound is its largest possible contribution there, from the term's largest and smallest value.  Per query
-the terms are ordered by bound; those whose bounds together could still reach the k-th score are essential and their
-postings are traversed for all rows; the others are probed, in steps, only for rows whose partial score plus the
-remaining bounds still reaches the k-th score.  The shards' winners are merged by score, then vec_id.
+the terms are ordered by what they can add to a row.  Those from which on a row with the least of all earlier terms could
+still reach the k-th score are essential, and their postings are traversed for all rows; the others are probed, in steps,
+only for rows whose partial score plus the remaining bounds still reaches the k-th score.  The k-th score known so far
+rises meanwhile, so the split is made anew before each step.  The shards' winners are merged by score, then vec_id.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -52,10 +54,13 @@ def _exact(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.vectorize(int, otypes=[object])(q), np.vectorize(int, otypes=[object])(v)
 
 
-def search(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best rows here, and of all that tie with the last of them."""
+def search(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int, steps: Counter | None = None) -> list[tuple[int, int, int]]:
+    """(query_id, vec_id, score) of each query's k best rows here, ties to the smaller vec_id.  ``steps`` is given the
+    numbers of steps over essential and over probed terms."""
+    steps = Counter() if steps is None else steps
     q, v = _exact(q, v)
     n, width = v.shape
+    slack = 1e-12 if v.dtype == object else 0.0  # bounds are rounded to floats, scores are not
     postings = np.ascontiguousarray(v.T)
     high, low = v.max(0), v.min(0)
     found = []
@@ -63,29 +68,33 @@ def search(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndar
         others = vec_ids != query_id
         if not others.any():
             continue
-        bound = np.maximum(weights * high, weights * low)
-        order = np.argsort(-(bound - np.minimum(weights * high, weights * low)).astype(np.float64), kind="stable")
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the terms from here on can add at most
-        head = order[:STEP]
-        rows, score, done = np.flatnonzero(others), None, min(STEP, width)
+        most, least = np.maximum(weights * high, weights * low), np.minimum(weights * high, weights * low)
+        order = np.argsort(-(most - least).astype(np.float64), kind="stable")
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0)  # what the terms from here on add at most
+        tail = np.append(np.cumsum(least[order][::-1])[::-1], 0)  # and at least
+        rows, done = np.flatnonzero(others), min(STEP, width)
+        head = order[:done]
         score = (weights[head] @ postings[head])[rows]
         # The k-th score has a first lower bound from rows that look best: their whole scores.
         best = rows[np.argpartition(-score.astype(np.float64), min(4 * k, len(rows)) - 1)[: 4 * k]]
         sure = np.sort((v[best] @ weights).astype(np.float64))[::-1]
-        floor = sure[min(k, len(sure)) - 1] if len(others) and len(rows) >= k else -math.inf
+        floor = sure[k - 1] - slack * abs(sure[k - 1]) if len(sure) >= k else -math.inf
         while done < width:
-            alive = score + rest[done] >= floor
-            if not alive.all():
-                rows, score = rows[alive], score[alive]
             part = order[done : done + STEP]
-            if 4 * len(rows) > n:
+            # A term is essential while a row with the least of all terms before it could reach the k-th score by it and
+            # the terms after it: then its postings are traversed for all rows.
+            if tail[0] - tail[done] + rest[done] >= floor:
                 score = score + (weights[part] @ postings[part])[rows]
+                steps["essential"] += 1
             else:
+                alive = score + rest[done] >= floor
+                rows, score = rows[alive], score[alive]
                 score = score + v[rows[:, None], part] @ weights[part]
+                steps["probed"] += 1
             done += len(part)
-            if len(rows) > k:
-                tail = np.minimum(weights * high, weights * low)[order[done:]].sum()
-                floor = max(floor, float(np.partition(score.astype(np.float64), -k)[-k] + tail))
+            if len(rows) >= k:
+                sure = float(np.partition(score.astype(np.float64), -k)[-k] + tail[done])
+                floor = max(floor, sure - slack * abs(sure))
         top = np.lexsort((vec_ids[rows], -score.astype(np.float64) if score.dtype != object else [-int(s) for s in score]))[:k]
         found += [(query_id, int(vec_ids[rows[i]]), int(score[i])) for i in top]
     return found
