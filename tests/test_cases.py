@@ -1,10 +1,12 @@
 """Small cases worked out by hand."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo
-from tidewake.operators import context, describe, ingest, masks, motion, resample, segment, tasks, thin
+from tidewake.functions import geo, scalars
+from tidewake.operators import context, describe, ingest, layers, masks, motion, resample, segment, tasks, thin
 from tidewake.sources import readers, sinks
 from tidewake.streaming import positions
 
@@ -248,3 +250,43 @@ def test_percentiles_of_groups(spark):
     data = [(g, float(v)) for g, n in ((None, 1), ("a", 4), ("b", 101)) for v in range(n)] + [("a", None)]
     rows = tasks.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", {"m": 0.5, "p": 0.9}).collect()
     assert {r.g: (r.m, pytest.approx(r.p)) for r in rows} == {None: (0.0, 0.0), "a": (1.5, 2.7), "b": (50.0, 90.0)}
+
+
+def test_nearest_place_however_far(spark):
+    import random
+
+    rnd = random.Random(5)
+    places = [(i, f"p{i}", rnd.uniform(-60, 60), rnd.uniform(-170, 170)) for i in range(25)] + [(100 + i, f"q{i}", 50 + i * 0.01, 3.0) for i in range(20)]
+    at = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(150)] + [(200 + i, 50 + rnd.uniform(0, 0.3), 3 + rnd.uniform(0, 0.3)) for i in range(50)]
+    points = spark.createDataFrame([*at, (900, None, 1.0)], "k long, lat double, lon double")
+    layer = spark.createDataFrame(places, "port_id long, name string, lat double, lon double")
+    got = {r.k: (r.port, r.nm) for r in context.nearest(points, layer, "k").collect()}
+    assert got.pop(900) == (None, None)
+    for k, lat, lon in at:
+        d, _, name = min((math.hypot(lat - b, lon - c), i, n) for i, n, b, c in places)
+        assert got[k] == (name, pytest.approx(d * 60))
+    assert {(r.port, r.nm) for r in context.nearest(points, layer.limit(0), "k").collect()} == {(None, None)}
+
+
+def test_layers_attributes(spark):
+    tags = "amenity string, shop string, leisure string, tourism string, landuse string, ISO_SOV1 string, POL_TYPE string"
+    df = spark.createDataFrame([("cafe", "x", None, None, "grass", "NOR1", "Territorial Sea"), (None, "x", "park", None, None, None, "200NM"), ("school", None, None, "hotel", None, "", "12NM"), ("bench", None, "park", "hotel", None, "X", None), ("bench", None, None, None, None, None, None)], tags)
+    of = lambda c: [r[0] for r in df.select(c).collect()]
+    assert of(layers.place_class(df)) == ["food_drink", "retail", "education", "recreation", "other"]
+    assert of(layers.land_use(df)) == ["grass", "park", "school", "park", "bench"]
+    assert of(layers.zone_state(df)) == ["NOR", "high_seas", "high_seas", "X", "high_seas"]
+    assert of(layers.territorial(F.col("POL_TYPE"))) == [True, False, True, False, False]
+    wet = spark.createDataFrame([(1.0, 0.5), (5.0, 4.0), (5.0, 0.3), (5.0, 0.05), (5.0, 0.0), (None, 1.0), (1.0, float("nan"))], "t double, p double")
+    assert [r[0] for r in wet.select(layers.reanalysis_text(F.col("t"), F.col("p"))).collect()] == ["snow", "heavy rain", "moderate rain", "light rain", "dry", "unknown", "unknown"]
+
+
+def test_rasters_take_the_nearest_node_and_the_last_beyond_the_ends(spark):
+    nodes = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 1.0, 2.0), (1.0, 0.0, float("nan")), (1.0, 1.0, None)], "lat double, lon double, z double")
+    points = spark.createDataFrame([(1, 0.2, 0.49), (2, 0.1, 0.5), (3, -7.0, 9.0), (4, 0.9, 0.1), (5, 3.0, 3.0), (6, None, 1.0)], "k long, lat double, lon double")
+    out = layers.raster_at(points, nodes, {"lat": (0.0, 1.0, 2), "lon": (0.0, 1.0, 2)}, ["z"])
+    assert {r.k: r.z for r in out.collect()} == {1: 1.0, 2: 2.0, 3: 2.0, 4: None, 5: None, 6: None}
+
+
+def test_united_rows_keep_those_without_a_city(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k long, city string"), spark.createDataFrame([(3, 1.5)], "k long, v double")
+    assert sorted((r.k, r.city, r.v) for r in scalars.united(a, b).collect()) == [(1, "x", None), (2, None, None), (3, None, 1.5)]

@@ -70,4 +70,5 @@ def wind_direction(u: Column, v: Column) -> Column:
 
 
 def current_direction(u: Column, v: Column) -> Column:
-    return modulo(F.degrees(F.atan2(v, u)) + 360, 360)
+    """Where a current of u eastwards and v northwards goes, in degrees from north."""
+    return modulo(F.degrees(F.atan2(u, v)) + 360, 360)

@@ -44,48 +44,76 @@ def cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size), F.floor(y / size)
 
 
-def _inside(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting: an odd number of edges lies to the right."""
-    edge = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
-    crosses = F.filter(edge, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+def _edges(ring: Column) -> Column:
+    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(ring, (i + 1) % F.size(ring))["x"].alias("bx"), F.get(ring, (i + 1) % F.size(ring))["y"].alias("by")))
+
+
+def _inside(x: Column, y: Column, edges: Column) -> Column:
+    """Ray casting: an odd number of edges lies to the right; so holes and separate parts are rings like any other."""
+    crosses = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
     return F.size(crosses) % 2 == 1
 
 
 def in_polygon(points: DataFrame, polygons: DataFrame, key: str, pick: str, values: list[str], size: float = 0.1) -> DataFrame:
     """points with values of the polygon with the least ``pick`` among those that hold the point; null without one.
 
-    points have x, y and the unique key; polygons a ring (array of x, y), the boxes of which are dealt to cells."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size)))
+    points have x, y and the unique key; polygons a ring (array of x, y) or rings (several: parts, and holes in them).
+    Polygons are dealt to the cells of their box, each row of cells with the edges only that cross it."""
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
     names = list(dict.fromkeys([pick, *values]))
-    dealt = polygons.select(*names, "ring", span(xs).alias("_cx"), ys.alias("_ys")).select(*names, "ring", "_cx", span(F.col("_ys")).alias("_cy"))
+    shapes = polygons.select(*names, F.flatten(F.transform(rings, _edges)).alias("_e")).where(F.size("_e") > 0)
+    ends = lambda c: (F.floor(F.array_min(F.transform("_e", lambda e: e[c])) / size), F.floor(F.array_max(F.transform("_e", lambda e: e[c])) / size))
+    (x0, x1), (y0, y1) = ends("ax"), ends("ay")
+    rows = shapes.withColumns({"_x0": x0, "_x1": x1}).select(*names, "_e", "_x0", "_x1", F.explode(F.sequence(y0, y1)).alias("_cy"))
+    crossing = F.filter("_e", lambda e: (F.floor(F.least(e["ay"], e["by"]) / size) <= F.col("_cy")) & (F.floor(F.greatest(e["ay"], e["by"]) / size) >= F.col("_cy")))
+    dealt = rows.select(*names, crossing.alias("_e"), "_cy", F.explode(F.sequence("_x0", "_x1")).alias("_cx"))
     cx, cy = cells(F.col("x"), F.col("y"), size)
     near = points.select(key, "x", "y", cx.alias("_cx"), cy.alias("_cy")).join(dealt, ["_cx", "_cy"])
-    near = near.where(_inside(F.col("x"), F.col("y"), F.col("ring")))
+    near = near.where(_inside(F.col("x"), F.col("y"), F.col("_e")))
     best = near.groupBy(key).agg(F.min_by(F.struct(*values), F.col(pick)).alias("_p"))
     return points.join(best, key, "left").select(*points.columns, *(F.col("_p")[v].alias(v) for v in values))
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str, size: float = 0.1, most_rings: int = 4) -> DataFrame:
-    """key, port name and nm (degrees times 60, on the plane) of the nearest place; ties to the smaller port_id.
+BROADCAST_PLACES = 100_000
+
+
+def nearest(points: DataFrame, places: DataFrame, key: str, size: float = 0.1, extent: float = 360.0) -> DataFrame:
+    """key, port name and nm (degrees times 60, on the plane) of the nearest place, however far; ties to the smaller
+    port_id.  Without places both are null.
+
+    Cells come in levels, each four times as wide as the one before, up to ``extent``.  A point's level is the first at which
+    its own or a neighbouring cell holds a place; the nearest place is then in the nine cells of the next level, which it
+    meets in one join.  Levels are found by semi-joins with the occupied cells, a broadcast where places are counted few."""
+    named = places.select("port_id", F.col("name").alias("port"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    hint = F.broadcast if named.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES else (lambda df: df)
+    widths = [size]
+    while widths[-1] < extent:
+        widths.append(widths[-1] * 4)
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
 
-    A point first looks at its own and the neighbouring cells; what it finds within one cell's size is final.  The others
-    look four times as far, and so on, up to most_rings times; beyond that distance a point has no nearest place."""
-    todo = points.select(key, "lat", "lon")
-    out: DataFrame | None = None
+    def around(s: float) -> DataFrame:
+        a, b = cells(F.col("p_lat"), F.col("p_lon"), s)
+        each = named.withColumns({"_a": a, "_b": b}).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
+        return each.withColumns({"_a": F.col("_a") + F.col("_i"), "_b": F.col("_b") + F.col("_j")}).drop("_i", "_j")
+
+    own = points.select(key, "lat", "lon").withColumn("_level", F.lit(None).cast("int"))
+    for i, s in enumerate(widths):
+        a, b = cells(F.col("lat"), F.col("lon"), s)
+        occupied = around(s).select("_a", "_b").distinct().withColumn("_held", F.lit(True))
+        own = own.withColumns({"_a": a, "_b": b}).join(hint(occupied), ["_a", "_b"], "left")
+        own = own.withColumn("_level", F.coalesce("_level", F.when(F.col("_held"), i))).drop("_a", "_b", "_held")
+    dealt = None
+    here = F.lit(None).cast("struct<a:bigint,b:bigint>")
+    for i, s in enumerate(widths):
+        level = around(4 * s).withColumn("_level", F.lit(i))
+        dealt = level if dealt is None else dealt.unionByName(level)
+        a, b = cells(F.col("lat"), F.col("lon"), 4 * s)
+        here = F.when(F.col("_level") == i, F.struct(a.alias("a"), b.alias("b"))).otherwise(here)
+    own = own.withColumn("_c", here).withColumns({"_a": F.col("_c.a"), "_b": F.col("_c.b")}).drop("_c")
     d = F.sqrt(F.pow(F.col("lat") - F.col("p_lat"), 2) + F.pow(F.col("lon") - F.col("p_lon"), 2))
-    named = places.select(F.col("port_id"), F.col("name").alias("port"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    best = F.min(F.struct(d.alias("d"), "port_id", "port")).alias("b")
-    for i in range(most_rings):
-        s = size * 4**i
-        step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        dealt = named.select("*", *(c.alias(n) for c, n in zip(cells(F.col("p_lat"), F.col("p_lon"), s), ("_a", "_b"))))
-        dealt = dealt.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).select("port_id", "port", "p_lat", "p_lon", (F.col("_a") + F.col("_i")).alias("_a"), (F.col("_b") + F.col("_j")).alias("_b"))
-        own = todo.select("*", *(c.alias(n) for c, n in zip(cells(F.col("lat"), F.col("lon"), s), ("_a", "_b"))))
-        found = own.join(dealt, ["_a", "_b"]).groupBy(key).agg(best).where(F.col("b.d") <= s)
-        out = found if out is None else out.unionByName(found)
-        todo = todo.join(found, key, "left_anti")
-    return out.select(key, F.col("b.port").alias("port"), (F.col("b.d") * 60).alias("nm"))
+    met = own.join(hint(dealt), ["_level", "_a", "_b"], "left")
+    best = met.groupBy(key).agg(F.min(F.when(F.col("port_id").isNotNull(), F.struct(d.alias("d"), "port_id", "port"))).alias("b"))
+    return best.select(key, F.col("b.port").alias("port"), (F.col("b.d") * 60).alias("nm"))
 
 
 def port_label(stopped: Column, in_zone: Column, nm: Column) -> Column:
@@ -94,8 +122,8 @@ def port_label(stopped: Column, in_zone: Column, nm: Column) -> Column:
 
 
 def poi_profile(points: DataFrame, pois: DataFrame, key: str, radii: tuple[int, ...] = (50, 200, 500), mode: str = "circle") -> DataFrame:
-    """n_<r> and the categories' counts (JSON, most frequent first) within the largest radius; mode `envelope` takes the
-    square around a point.  Points meet the pois of 3 by 3 cells as wide as the largest radius."""
+    """poi_count_<r>m and poi_categories_<r>m, the categories' counts (JSON, most frequent first), for each radius; mode
+    `envelope` takes the square around a point.  Points meet the pois of 3 by 3 cells as wide as the largest radius."""
     size = float(max(radii))
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a, b = cells(F.col("x"), F.col("y"), size)
@@ -105,11 +133,12 @@ def poi_profile(points: DataFrame, pois: DataFrame, key: str, radii: tuple[int,
     far = F.greatest(dx, dy) if mode == "envelope" else F.sqrt(dx * dx + dy * dy)
     near = points.select(key, "x", "y", a.alias("_a"), b.alias("_b")).join(dealt, ["_a", "_b"]).withColumn("d", far).where(F.col("d") <= size)
     n = near.groupBy(key, "category").agg(*(F.count(F.when(F.col("d") <= r, 1)).alias(f"n_{r}") for r in radii))
-    entries = F.sort_array(F.collect_list(F.struct((-F.col(f"n_{max(radii)}")).alias("k"), "category", F.col(f"n_{max(radii)}").alias("n"))))
-    counts = n.groupBy(key).agg(*(F.sum(f"n_{r}").alias(f"n_{r}") for r in radii), entries.alias("e"))
-    text = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["category"], x["n"]))))
-    out = points.select(key).join(counts.select(key, *(f"n_{r}" for r in radii), text.alias("categories")), key, "left")
-    return out.select(key, *(F.coalesce(f"n_{r}", F.lit(0)).cast("long").alias(f"n_{r}") for r in radii), F.coalesce("categories", F.lit("{}")).alias("categories"))
+    entries = lambda r: F.sort_array(F.collect_list(F.when(F.col(f"n_{r}") > 0, F.struct((-F.col(f"n_{r}")).alias("k"), "category"))))
+    counts = n.groupBy(key).agg(*(F.sum(f"n_{r}").alias(f"n_{r}") for r in radii), *(entries(r).alias(f"e_{r}") for r in radii))
+    text = lambda r: F.to_json(F.map_from_entries(F.transform(f"e_{r}", lambda x: F.struct(x["category"], -x["k"]))))
+    out = points.select(key).join(counts, key, "left")
+    columns = [(F.coalesce(f"n_{r}", F.lit(0)).cast("long").alias(f"poi_count_{r}m"), F.coalesce(text(r), F.lit("{}")).alias(f"poi_categories_{r}m")) for r in radii]
+    return out.select(key, *(c for pair in columns for c in pair))
 
 
 def snapped(x: Column, start: float, step: float) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..operators import context, describe, ingest, masks, motion, resample, roads, segment, tasks, thin
+from ..functions import geo, scalars
+from ..operators import context, describe, ingest, layers, masks, motion, resample, roads, segment, tasks, thin
 from ..sources import demo, readers, sinks
 
 GAP, LEAST = 86400, 5
@@ -289,19 +289,36 @@ def landuse_tie(spark, d):
   WHEN annotation = 'STOP_START' AND event_id % 9 <> 0 AND b[1]*60 >= 5 THEN 'open_anchorage' ELSE 'offshore' END AS label FROM near JOIN pts USING (event_id)""")
 def port_label(spark, d):
     p = demo.points(spark, d).select("event_id", "lat", "lon", "annotation")
-    out = p.join(context.nearest(p, demo.ports(spark, d), "event_id"), "event_id")
+    out = p.join(context.nearest(p, demo.ports(spark, d), "event_id"), "event_id", "left")
     return out.select("event_id", context.port_label(F.col("annotation") == "STOP_START", F.col("event_id") % 9 == 0, F.col("nm")).alias("label"))
 
 
-_POI = """q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders WHERE o_orderstatus = 'O'),
+_POI = """q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders),
   p AS (SELECT p_type AS category, CAST(p_partkey*7919 % 20000 AS DOUBLE) AS px, CAST(p_partkey*6271 % 20000 AS DOUBLE) AS py FROM part)"""
 
 
-@query(f"WITH {_POI}, n AS (SELECT k, category, sqrt((px-x)*(px-x)+(py-y)*(py-y)) AS d FROM q JOIN p ON px BETWEEN x-500 AND x+500 AND py BETWEEN y-500 AND y+500) SELECT k, count(*) FILTER (d <= 50) AS n_50, count(*) FILTER (d <= 200) AS n_200, count(*) FILTER (d <= 500) AS n_500 FROM q LEFT JOIN n USING (k) GROUP BY k")  # noqa: E501
-def poi_profile(spark, d):
+def _poi_sql(distance: str) -> str:
+    n = ", ".join(f"count(*) FILTER (d <= {r}) AS n_{r}" for r in (50, 200, 500))
+    text = ", ".join(
+        f"CAST(coalesce(sum(n_{r}), 0) AS BIGINT) AS poi_count_{r}m, '{{' || coalesce(string_agg('\"' || category || '\":' || n_{r}, ',' ORDER BY n_{r} DESC, category) FILTER (n_{r} > 0), '') || '}}' AS poi_categories_{r}m"
+        for r in (50, 200, 500)
+    )
+    return f"WITH {_POI}, d AS (SELECT k, category, {distance} AS d FROM q JOIN p ON px BETWEEN x-500 AND x+500 AND py BETWEEN y-500 AND y+500), n AS (SELECT k, category, {n} FROM d GROUP BY 1, 2) SELECT k, {text} FROM q LEFT JOIN n USING (k) GROUP BY k"
+
+
+def _poi_points(spark, d):
     k = F.col("o_orderkey")
-    q = demo.table(spark, d, "orders").where("o_orderstatus = 'O'").select(k.alias("k"), (k * 7919 % 20000).cast("double").alias("x"), (k * 104729 % 20000).cast("double").alias("y"))
-    return context.poi_profile(q, demo.pois(spark, d), "k").drop("categories")
+    return demo.table(spark, d, "orders").select(k.alias("k"), (k * 7919 % 20000).cast("double").alias("x"), (k * 104729 % 20000).cast("double").alias("y"))
+
+
+@query(_poi_sql("sqrt((px-x)*(px-x)+(py-y)*(py-y))"))
+def poi_profile(spark, d):
+    return context.poi_profile(_poi_points(spark, d), demo.pois(spark, d), "k")
+
+
+@query(_poi_sql("greatest(abs(px-x), abs(py-y))"))
+def poi_envelope(spark, d):
+    return context.poi_profile(_poi_points(spark, d), demo.pois(spark, d), "k", mode="envelope")
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM c)
@@ -312,33 +329,75 @@ def poi_json_topk(spark, d):
     return c.groupBy("o_custkey").agg(text.alias("j")).select("o_custkey", F.array_join(tasks.top_categories(F.col("j")), ", ").alias("top"))
 
 
-@query(f"WITH {PTS} SELECT event_id, CAST(round((lat-55)/0.0625) AS BIGINT) AS i, CAST(round((lon-10)/0.0625) AS BIGINT) AS j, CASE WHEN (event_id*13 % 50) - 30 < 0 THEN round(abs((event_id*13 % 50) - 30), 1) END AS depth FROM pts")  # noqa: E501
+_NODES = "nodes AS (SELECT i, j, CASE WHEN (i + j) % 11 = 0 THEN NULL ELSE (i*31 + j*17) % 50 - 30 + 0.25 END AS elevation FROM range(17) a(i), range(33) b(j))"
+_AT = lambda c, low, step, n: f"CAST(least(greatest(floor(({c}-{low})/{step}+0.5), 0), {n - 1}) AS BIGINT)"
+
+
+@query(f"WITH {PTS}, {_NODES} SELECT event_id, CASE WHEN elevation < 0 THEN round(abs(elevation), 1) END AS depth FROM pts LEFT JOIN nodes ON i = {_AT('lat', 55, 0.0625, 17)} AND j = {_AT('lon', 10, 0.0625, 33)}")
 def raster_depth(spark, d):
-    p = demo.points(spark, d)
-    z = F.col("event_id") * 13 % 50 - 30
-    return p.select("event_id", context.snapped(F.col("lat"), 55, 0.0625).alias("i"), context.snapped(F.col("lon"), 10, 0.0625).alias("j"), F.when(z < 0, F.round(F.abs(z).cast("double"), 1)).alias("depth"))
+    out = layers.raster_at(demo.points(spark, d), demo.elevations(spark), {"lat": (55.0, 0.0625, 17), "lon": (10.0, 0.0625, 33)}, ["elevation"])
+    return out.select("event_id", layers.depth(F.col("elevation")).alias("depth"))
 
 
-@query(f"""WITH {PTS}, w AS (SELECT DISTINCT CAST(floor(ts_unix/259200) AS BIGINT)*259200 AS s FROM pts WHERE CAST(floor(ts_unix/259200) AS BIGINT) % 2 = 1)
-  SELECT event_id, coalesce((SELECT max(s) FROM w WHERE s <= ts_unix), (SELECT min(s) FROM w)) AS w_value FROM pts""")
+_WINDOWS = "w AS (SELECT DISTINCT CAST(floor(ts_unix/259200) AS BIGINT)*259200 AS s FROM pts WHERE CAST(floor(ts_unix/259200) AS BIGINT) % 2 = 1)"
+_IN_WINDOW = "coalesce((SELECT max(s) FROM w WHERE s <= ts_unix), (SELECT min(s) FROM w))"
+
+
+@query(f"WITH {PTS}, {_WINDOWS} SELECT event_id, {_IN_WINDOW} AS w_value FROM pts")
 def asof_window(spark, d):
-    p = demo.points(spark, d).withColumn("g", F.lit(0))
-    s = F.floor(F.col("ts_unix") / 259200)
-    cells = p.select("g", s.alias("k")).distinct().where("k % 2 = 1").select("g", (F.col("k") * 259200).alias("w_start"))
-    # The axis is replicated to the groups of points (here: vessels), so that a group's points stay together.
-    axis = cells.drop("g").join(F.broadcast(p.select(F.col("mmsi").alias("g")).distinct()), how="cross").withColumn("w_value", F.col("w_start"))
-    return context.as_of(p.withColumn("g", F.col("mmsi")), axis, "event_id")
+    p = demo.points(spark, d)
+    return layers.window_start(p, demo.windows(p)).select("event_id", F.col("w_start").alias("w_value"))
+
+
+@query(f"""WITH {PTS}, {_WINDOWS}, x AS (SELECT *, {_IN_WINDOW} AS s FROM pts), a AS (SELECT *, {_AT('ts_unix', 's', 21600, 12)} AS k, {_AT('lat', 55, 0.5, 3)} AS i, {_AT('lon', 10, 0.5, 5)} AS j FROM x),
+  v AS (SELECT *, CASE WHEN (i + j + k) % 7 = 0 THEN NULL ELSE (i*7 + j*5 + k*3 + s // 259200) % 40 / 8.0 END AS wave, CASE WHEN (i + 2*j + k) % 5 = 0 THEN 'NaN'::DOUBLE ELSE ((i*3 + j*11 + k*5) % 21 - 10) / 8.0 END AS u, ((i*13 + j*3 + k*7) % 21 - 10) / 8.0 + 0.0625 AS v FROM a)
+  SELECT event_id, round(wave, 2) AS wave_height_m, CASE WHEN NOT isnan(u) THEN round(sqrt(u*u + v*v), 3) END AS current_speed_ms, CASE WHEN NOT isnan(u) THEN round(((degrees(atan2(u, v)) + 360) % 360 + 360) % 360, 1) END AS current_dir_deg FROM v""")
+def ocean_lookup(spark, d):
+    """Waves and currents of the nearest node in time and place, in the window that a position is in."""
+    p = demo.points(spark, d)
+    windows = demo.windows(p)
+    at = layers.window_start(p, windows).withColumn("time", F.col("ts_unix"))
+    axes = {"time": ("w_start", 21600, 12), "lat": (55.0, 0.5, 3), "lon": (10.0, 0.5, 5)}
+    out = layers.raster_at(at, demo.ocean(windows), axes, ["wave", "u", "v"], keys=("w_start",))
+    return out.select("event_id", F.round("wave", 2).alias("wave_height_m"), F.round(geo.speed_from_components(F.col("u"), F.col("v"), 1.0), 3).alias("current_speed_ms"), F.round(geo.current_direction(F.col("u"), F.col("v")), 1).alias("current_dir_deg"))
+
+
+_CODES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in layers.WMO.items())
 
 
-@query(f"""WITH {PTS}, h AS (SELECT DISTINCT CAST(floor(ts_unix/3600) AS BIGINT) AS hr FROM pts WHERE CAST(floor(ts_unix/3600) AS BIGINT) % 3 <> 0)
-  SELECT event_id, CASE WHEN hr IS NULL THEN NULL ELSE CAST(hr % 30 AS DOUBLE) END AS temperature_c, CASE WHEN hr IS NULL THEN -1 ELSE CAST(hr % 4 AS INTEGER) END AS weather_code FROM pts LEFT JOIN h ON CAST(floor(ts_unix/3600) AS BIGINT) = hr""")
+@query(f"""WITH {PTS}, x AS (SELECT *, 'city ' || mmsi % 5 AS city, CAST(floor(ts_unix/3600) AS BIGINT) AS hr FROM pts),
+  h AS (SELECT *, city <> 'city 4' AND (hr + mmsi % 5) % 3 <> 0 AS known, CAST(hr * 7 % 100 AS INTEGER) AS c FROM x)
+  SELECT event_id, CASE WHEN known THEN CAST(hr % 30 AS DOUBLE) END AS temperature_c, CASE WHEN known THEN hr % 9 / 4.0 END AS precipitation_mm, CASE WHEN known THEN hr % 70 + 0.5 END AS wind_speed_kmh, CASE WHEN known THEN CAST(hr * 11 % 360 AS DOUBLE) END AS wind_direction_deg,
+  CASE WHEN known THEN c ELSE -1 END AS weather_code, CASE WHEN known THEN coalesce(CASE c {_CODES} END, 'unknown') ELSE 'unknown' END AS weather_description FROM h""")
 def weather_lookup(spark, d):
-    p = demo.points(spark, d).withColumn("hr", F.floor(F.col("ts_unix") / 3600))
-    w = p.select("hr").distinct().where("hr % 3 <> 0").select("hr", (F.col("hr") % 30).cast("double").alias("temperature_c"), (F.col("hr") % 4).cast("int").alias("code"))
-    return p.join(w, "hr", "left").select("event_id", "temperature_c", F.coalesce("code", F.lit(-1)).alias("weather_code"))
+    p = demo.points(spark, d).withColumn("city", F.concat(F.lit("city "), (F.col("mmsi") % 5).cast("string")))
+    out = layers.hourly(p, demo.weather(p), ["city"])
+    return out.select("event_id", "temperature_c", "precipitation_mm", "wind_speed_kmh", "wind_direction_deg", "weather_code", "weather_description")
+
+
+@query(f"""WITH {PTS}, z AS (SELECT CAST(n_nationkey AS BIGINT) AS zone_id, n_name AS zone, 10.000003 + (n_nationkey % 5)*0.35 AS x0, 55.000003 + (n_nationkey % 7)*0.12 AS y0 FROM nation),
+  h AS (SELECT event_id, min(zone_id) AS zone_id FROM pts, z WHERE (lon > x0 AND lon < x0+0.5 AND lat > y0 AND lat < y0+0.2 AND NOT (lon > x0+0.1 AND lon < x0+0.3 AND lat > y0+0.05 AND lat < y0+0.15)) OR (lon > x0+0.6 AND lon < x0+0.7 AND lat > y0 AND lat < y0+0.1) GROUP BY 1)
+  SELECT event_id, zone_id, zone FROM pts LEFT JOIN h USING (event_id) LEFT JOIN z USING (zone_id)""")
+def polygon_parts(spark, d):
+    """Zones of two parts, one of them with a hole."""
+    p = demo.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return context.in_polygon(p, demo.parted_zones(spark, d), "event_id", "zone_id", ["zone_id", "zone"]).select("event_id", "zone_id", "zone")
+
+
+@query(f"""WITH {PTS}, x AS (SELECT *, to_timestamp(ts_unix) AT TIME ZONE 'UTC' AS t FROM pts) SELECT event_id, greatest(0.0, least(1.0, sog/30)) AS speed_n, greatest(-1.0, least(1.0, cog/180 - 1)) AS heading_n, greatest(-1.0, least(1.0, (heading - 260)*4/720)) AS turn_n,
+  (isodow(t) - 1)/6.0 AS dow, hour(t)/23.0 AS hod, minute(t)/59.0 AS moh, CAST(day(last_day(t)) AS INTEGER) AS days, CASE WHEN ship_code % 3 = 0 THEN 'aegean_sea' ELSE 'Oslo' END AS city, 'set_' || ship_code AS name,
+  CAST(floor(round((lat-55)/0.03, 6)) AS BIGINT)*70 + CAST(floor(round((lon-10)/0.03, 6)) AS BIGINT) AS cell FROM x""")
+def scaled_features(spark, d):
+    p = demo.points(spark, d)
+    t = F.timestamp_seconds("ts_unix")
+    time = scalars.calendar(F.weekday(t), F.hour(t), F.minute(t))
+    moves = scalars.kinematics(F.col("sog"), F.col("cog"), (F.col("heading") - 260) * 4)
+    sea = F.when(F.col("ship_code") % 3 == 0, "Aegean Sea").when(F.col("ship_code") % 3 == 1, " ")
+    split = F.concat(F.lit("set_"), F.col("ship_code").cast("string"), F.when(F.col("event_id") % 2 == 0, "_TRAIN").otherwise("_valid"))
+    return p.select("event_id", *(c.alias(n) for n, c in {**moves, **time}.items()), scalars.days_in_month(t).alias("days"), scalars.city_of(F.lit("Oslo"), sea).alias("city"), scalars.without_split(split).alias("name"), scalars.cell_id(F.col("lon"), F.col("lat"), 10.0, 55.0, 0.03, 70).cast("long").alias("cell"))
 
 
-@query(f"WITH {PTS}, c AS (SELECT event_id, sin(event_id)*9 AS u, cos(event_id)*7 AS v FROM pts) SELECT event_id, round(sqrt(u*u+v*v)*3.6, 5) AS wind_kmh, round((((270 - degrees(atan2(v,u))) % 360) + 360) % 360, 5) AS wind_dir, round((((degrees(atan2(v,u)) + 360) % 360) + 360) % 360, 5) AS current_dir FROM c")  # noqa: E501
+@query(f"WITH {PTS}, c AS (SELECT event_id, sin(event_id)*9 AS u, cos(event_id)*7 AS v FROM pts) SELECT event_id, round(sqrt(u*u+v*v)*3.6, 5) AS wind_kmh, round((((270 - degrees(atan2(v,u))) % 360) + 360) % 360, 5) AS wind_dir, round((((degrees(atan2(u,v)) + 360) % 360) + 360) % 360, 5) AS current_dir FROM c")  # noqa: E501
 def wind_vector(spark, d):
     u, v = F.sin("event_id") * 9, F.cos("event_id") * 7
     return demo.points(spark, d).select("event_id", F.round(geo.speed_from_components(u, v), 5).alias("wind_kmh"), F.round(geo.wind_direction(u, v), 5).alias("wind_dir"), F.round(geo.current_direction(u, v), 5).alias("current_dir"))
@@ -459,11 +518,10 @@ def monthly_counts(spark, d):
     return demo.points(spark, d).groupBy(F.year(day).alias("y"), F.month(day).alias("m")).agg(F.count("*").alias("n"), F.countDistinct("mmsi").alias("vessels"))
 
 
-@query(f"WITH {PTS} SELECT mmsi, event_id - 1 AS e, ts_unix FROM pts WHERE event_id % 10 = 0".replace("mmsi, event_id - 1 AS e, ts_unix", "'porto_' || event_id AS trajectory_id, 0 AS point_idx, 41.5 AS lat, -8.5 AS lon, ts_unix AS timestamp") + f" UNION ALL SELECT 'porto_' || event_id, 1, 41.25, -8.25, ts_unix + 15 FROM (WITH {PTS} SELECT * FROM pts) WHERE event_id % 10 = 0")  # noqa: E501
+@query(f"WITH {PTS}, l AS (SELECT 'porto_' || event_id AS trajectory_id, event_id, ts_unix FROM pts WHERE event_id % 2 = 0) SELECT trajectory_id, 0 AS point_idx, 41.5 AS lat, -8.5 AS lon, ts_unix AS timestamp FROM l UNION ALL SELECT trajectory_id, 1, 41.25, -8.25, ts_unix + 15 FROM l")
 def polyline_explode(spark, d):
-    p = demo.points(spark, d).where("event_id % 5 = 0")
-    line = F.when(F.col("event_id") % 10 == 0, "[[-8.5,41.5],[-8.25,41.25]]").otherwise("[[-8.5,41.5]]")
-    return readers.polylines(p, F.col("event_id"), F.col("ts_unix"), line)
+    line = F.when(F.col("event_id") % 2 == 0, "[[-8.5,41.5],[-8.25,41.25]]").otherwise("[[-8.5,41.5]]")
+    return readers.polylines(demo.points(spark, d), F.col("event_id"), F.col("ts_unix"), line)
 
 
 @query(f"""WITH {KIN} SELECT event_id, '[AGENT]: vehicle, ' || p || ' at ' || k || ' km/h [CORRIDOR]: unknown, is not one-way. [INFRASTRUCTURE]: no points of interest nearby. [REGULATORY_ZONE]: no designated land use zone. [BEHAVIORAL_PHASE]: ' || p || ', ' || k || ' km/h. [ENVIRONMENT]: weather data unavailable. [TEMPORAL]: time unknown. [SPATIAL_CONTEXT]: sparse point of interest density (0 points of interest within 500 m).' AS description
@@ -488,7 +546,10 @@ def greedy_thin(spark, d):
     return thin.greedy_thin(demo.points(spark, d).select("event_id", "mmsi", "ts_unix"), ["mmsi"], 50000).select("event_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, o AS (SELECT mmsi, event_id, ts_unix, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY ts_unix, event_id) AS i FROM pts),
+  g AS (SELECT mmsi, i, event_id, ts_unix AS t, lat AS a, lon AS b, TRUE AS keep FROM o WHERE i = 1 UNION ALL
+  SELECT mmsi, i, event_id, CASE WHEN keep THEN ts_unix ELSE t END, CASE WHEN keep THEN lat ELSE a END, CASE WHEN keep THEN lon ELSE b END, keep FROM (
+    SELECT o.*, g.t, g.a, g.b, o.ts_unix > g.t AND {hav('g.a', 'g.b', 'o.lat', 'o.lon')} <= 5.0*(o.ts_unix - g.t) AS keep FROM g JOIN o ON o.mmsi = g.mmsi AND o.i = g.i + 1)) SELECT event_id FROM g WHERE keep""")
 def denoise(spark, d):
     return thin.denoise(demo.points(spark, d).select("event_id", "mmsi", "ts_unix", "lat", "lon"), ["mmsi"], 5.0).select("event_id")
 
@@ -499,21 +560,15 @@ def kalman_smooth(spark, d):
     return out.select("event_id", F.round("lat_s", 6).alias("lat_s"), F.round("lon_s", 6).alias("lon_s"))
 
 
-@query()
-def dmr_subsample(spark, d):
-    return thin.subsampled(demo.points(spark, d), ["mmsi"], 40).select("event_id")
-
-
 _ROADS = """e AS (SELECT s_suppkey AS edge_id, CAST(s_suppkey*7919 % 20000 AS DOUBLE) AS ax, CAST(s_suppkey*6271 % 20000 AS DOUBLE) AS ay, CAST(s_suppkey*7919 % 20000 + 700 AS DOUBLE) AS bx, CAST(s_suppkey*6271 % 20000 + s_suppkey % 900 AS DOUBLE) AS byy FROM supplier),
-  q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders WHERE o_orderstatus = 'F'),
+  q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders),
   t AS (SELECT *, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) AS t FROM q, e),
   d AS (SELECT k, edge_id, sqrt(pow(x-ax-t*(bx-ax),2)+pow(y-ay-t*(byy-ay),2)) AS d FROM t)"""
 
 
 @query(f"WITH {_ROADS} SELECT k, arg_min(edge_id, (round(d, 9), edge_id)) AS edge_id, round(min(d), 5) AS d FROM d WHERE d <= 500 GROUP BY k")
 def nearest_road(spark, d):
-    k, s = F.col("o_orderkey"), F.col("s_suppkey")
-    q = demo.table(spark, d, "orders").where("o_orderstatus = 'F'").select(k.alias("k"), (k * 7919 % 20000).cast("double").alias("x"), (k * 104729 % 20000).cast("double").alias("y"))
+    s, q = F.col("s_suppkey"), _poi_points(spark, d)
     ax, ay = (s * 7919 % 20000).cast("double"), (s * 6271 % 20000).cast("double")
     line = F.array(F.struct(ax.alias("x"), ay.alias("y")), F.struct((ax + 700).alias("x"), (ay + s % 900).alias("y")))
     out = roads.nearest_edge(q, demo.table(spark, d, "supplier").select(s.alias("edge_id"), line.alias("line")), "k", 500.0)
@@ -534,12 +589,15 @@ def file_stats(spark, d):
     return sinks.file_stats(demo.points(spark, d), "mmsi", "ts_unix")
 
 
-@query(f"WITH {PTS} SELECT event_id, round(lat, 3) AS lat3, count(*) OVER (PARTITION BY floor(lat*100), floor(lon*100)) AS n_near FROM pts WHERE event_id % 2 = 0".replace("round(lat, 3) AS lat3, ", ""))
+_EVEN = lambda k: f"({k} // 1000 + CASE WHEN {k} % 1000 > 500 OR ({k} % 1000 = 500 AND {k} // 1000 % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+@query(f"WITH r AS (SELECT event_id, (event_id*7919 + user_id*104729) % 100000 AS a, 2*((event_id*6271 + user_id*15485863) % 100000) AS o FROM events) SELECT event_id, count(*) OVER (PARTITION BY {_EVEN('a')}, {_EVEN('o')}) AS n_near FROM r")
 def unique_places(spark, d):
-    """A feature found once per place (here: how many rows share it) and joined back."""
-    p = demo.points(spark, d).where("event_id % 2 = 0").withColumns({"a": F.floor(F.col("lat") * 100).cast("double"), "b": F.floor(F.col("lon") * 100).cast("double")})
-    n = p.groupBy("a", "b").agg(F.count("*").alias("n_near"))
-    return context.via_unique(p, 3, lambda u: u.join(n, ["a", "b"]), ("a", "b")).select("event_id", "n_near")
+    """A feature found once per rounded place (here: how many rows share it) and joined back."""
+    p = demo.points(spark, d)
+    n = p.groupBy(F.bround("lat", 2).alias("lat"), F.bround("lon", 2).alias("lon")).agg(F.count("*").alias("n_near"))
+    return context.via_unique(p, 2, lambda u: u.join(n, ["lat", "lon"])).select("event_id", "n_near")
 
 
 _PLACED = f"{PTS}, p0 AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts_unix, event_id) - 1 AS i, count(*) OVER (PARTITION BY mmsi) AS n FROM pts)"
@@ -568,12 +626,29 @@ def downsample_ends(spark, d):
     return masks.downsampled(demo.points(spark, d), "mmsi").select("event_id")
 
 
-@query()
+_DRAW = lambda what: _drawn(f"'42|{what}|' || mmsi || '|' || i")
+
+
+@query(f"""WITH {_PLACED}, x AS (SELECT *, 2*{_DRAW('x')} - 1 AS dx, 2*{_DRAW('y')} - 1 AS dy, {_DRAW('move')} <= 0.3 AS hit, lon*20037508.34/180 AS mx, ln(tan((lat+90)*pi()/360))/(pi()/180)*20037508.34/180 AS my FROM p0),
+  m AS (SELECT *, mx + dx*50/sqrt(dx*dx+dy*dy) AS nx, my + dy*50/sqrt(dx*dx+dy*dy) AS ny FROM x)
+  SELECT event_id, round(CASE WHEN hit THEN atan(exp(ny/20037508.34*pi()))*360/pi() - 90 ELSE lat END, 6) AS lat, round(CASE WHEN hit THEN nx*180/20037508.34 ELSE lon END, 6) AS lon FROM m""")
 def jitter(spark, d):
-    return masks.jittered(demo.points(spark, d), "mmsi").select("event_id", "lat", "lon")
+    return masks.jittered(demo.points(spark, d), "mmsi").select("event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query()
+@query(f"""WITH {_PLACED}, p AS (SELECT *, CASE WHEN i <= 10 THEN 1.0 ELSE 1 - (1 - 40.0/n)*ln(greatest(i - 9, 1))/ln(greatest(n - 9, 2)) END AS p FROM p0),
+  r AS (SELECT event_id, row_number() OVER (PARTITION BY mmsi ORDER BY {_drawn("'42|' || mmsi || '|' || i")} - p, i) AS r FROM p) SELECT event_id FROM r WHERE r <= 40""")
+def dmr_subsample(spark, d):
+    return thin.subsampled(demo.points(spark, d), ["mmsi"], 40).select("event_id")
+
+
+@query(f"""WITH {_PLACED}, e AS (SELECT *, {_drawn("'42|' || mmsi || '|' || i")} AS draw, {_drawn("'42|mode|' || mmsi")} AS mode, first_value(lat) OVER w AS a, first_value(lon) OVER w AS o, last_value(lat) OVER w AS b, last_value(lon) OVER w AS p,
+    greatest(1, CAST(round_even(n*(0.2 + (0.3 - 0.2)*{_drawn("'42|size|' || mmsi")}), 0) AS INTEGER)) AS size FROM p0 WINDOW w AS (PARTITION BY mmsi ORDER BY ts_unix, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY draw, i) AS r, floor({_drawn("'42|start|' || mmsi")}*greatest(1, n - size + 1)) AS s,
+    round(CASE WHEN sqrt((p-o)*(p-o)+(b-a)*(b-a)) < 1e-12 THEN sqrt((lat-a)*(lat-a)+(lon-o)*(lon-o)) ELSE abs((p-o)*(lat-a) - (b-a)*(lon-o))/sqrt((p-o)*(p-o)+(b-a)*(b-a)) END, 9) AS off FROM e),
+  k AS (SELECT *, rank() OVER (PARTITION BY mmsi ORDER BY off DESC) AS far, greatest(1, CAST(round_even(n*0.15, 0) AS INTEGER)) AS few FROM f)
+  SELECT event_id, CASE WHEN mode >= 0.30 AND mode < 0.45 THEN i >= s AND i < s + size WHEN mode >= 0.45 AND mode < 0.60 THEN CASE WHEN n < 3 THEN r <= few ELSE far <= few END
+    WHEN mode >= 0.70 THEN i >= n - least(10, few) ELSE r <= greatest(1, CAST(round_even(n*0.5, 0) AS INTEGER)) END AS masked FROM k""")
 def mixed_masks(spark, d):
     return masks.masked(demo.points(spark, d), "mmsi", masks.mode_of(F.col("mmsi"))).select("event_id", "masked")
 

@@ -58,3 +58,49 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """poi_id, category, x, y in metres on a square of 20 km."""
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(k.alias("poi_id"), F.col("p_type").alias("category"), (k * 7919 % 20000).cast("double").alias("x"), (k * 6271 % 20000).cast("double").alias("y"))
+
+
+def parted_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zone_id, zone and rings: a box with a hole, and a smaller box beside it."""
+    k = F.col("n_nationkey")
+    x, y = 10.000003 + (k % 5) * 0.35, 55.000003 + (k % 7) * 0.12
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    box = lambda a, b, c, e: F.array(corner(x + a, y + b), corner(x + c, y + b), corner(x + c, y + e), corner(x + a, y + e))
+    rings = F.array(box(0.0, 0.0, 0.5, 0.2), box(0.1, 0.05, 0.3, 0.15), box(0.6, 0.0, 0.7, 0.1))
+    return table(spark, sf_dir, "nation").select(k.cast("long").alias("zone_id"), F.col("n_name").alias("zone"), rings.alias("rings"))
+
+
+def elevations(spark: SparkSession) -> DataFrame:
+    """A raster of 17 by 33 nodes, some without a value: lat, lon and elevation."""
+    nodes = spark.range(17 * 33).select(F.floor(F.col("id") / 33).alias("i"), (F.col("id") % 33).alias("j"))
+    z = F.when((F.col("i") + F.col("j")) % 11 != 0, (F.col("i") * 31 + F.col("j") * 17) % 50 - 30 + 0.25)
+    return nodes.select((55 + F.col("i") * 0.0625).alias("lat"), (10 + F.col("j") * 0.0625).alias("lon"), z.alias("elevation"))
+
+
+def windows(points: DataFrame) -> DataFrame:
+    """w_start: every other window of three days that has positions."""
+    k = F.floor(F.col("ts_unix") / 259200)
+    return points.select(k.alias("k")).distinct().where("k % 2 = 1").select((F.col("k") * 259200).alias("w_start"))
+
+
+def ocean(starts: DataFrame) -> DataFrame:
+    """A raster in each window: w_start, time (every six hours), lat, lon, and wave, u and v, some null or NaN."""
+    nodes = starts.select("w_start", F.explode(F.sequence(F.lit(0), F.lit(12 * 15 - 1))).alias("id"))
+    nodes = nodes.select("w_start", F.floor(F.col("id") / 15).alias("k"), F.floor(F.col("id") % 15 / 5).alias("i"), (F.col("id") % 5).alias("j"))
+    i, j, k = F.col("i"), F.col("j"), F.col("k")
+    wave = F.when((i + j + k) % 7 != 0, (i * 7 + j * 5 + k * 3 + F.floor(F.col("w_start") / 259200)) % 40 / 8.0)
+    u = F.when((i + 2 * j + k) % 5 == 0, float("nan")).otherwise(((i * 3 + j * 11 + k * 5) % 21 - 10) / 8.0)
+    v = ((i * 13 + j * 3 + k * 7) % 21 - 10) / 8.0 + 0.0625
+    return nodes.select("w_start", (F.col("w_start") + k * 21600).alias("time"), (55 + i * 0.5).alias("lat"), (10 + j * 0.5).alias("lon"), wave.alias("wave"), u.alias("u"), v.alias("v"))
+
+
+def weather(points: DataFrame) -> DataFrame:
+    """Hourly weather of the cities of positions but one, two hours of three: city, date, hour and values."""
+    hours = points.select("city", F.floor(F.col("ts_unix") / 3600).alias("h")).distinct()
+    h, n = F.col("h"), F.substring("city", 6, 1).cast("long")
+    hours = hours.where((F.col("city") != "city 4") & ((h + n) % 3 != 0))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(h / 24).cast("int"))
+    return hours.select(
+        "city", F.date_format(day, "yyyy-MM-dd").alias("date"), (h % 24).cast("int").alias("hour"), (h % 30).cast("double").alias("temperature_c"), (h % 9 / 4.0).alias("precipitation_mm"),
+        (h % 70 + 0.5).alias("wind_speed_kmh"), (h * 11 % 360).cast("double").alias("wind_direction_deg"), (h * 7 % 100).cast("int").alias("weather_code"),
+    )
