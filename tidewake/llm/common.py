@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back the memory that it freed: workers live on from stage to stage, and what one
+    stage's arrays took would otherwise stand beside the next one's."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return tidied
+
+
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id is in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import small, stored, tidy
 
 STRIDE = 16
 MAX_SHARE = 0.01
@@ -183,7 +183,7 @@ def in_terms(docs: DataFrame, block: Block) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "hash", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    return stored(rows.mapInArrow(run, "doc_id long, hash long, ids binary"), "benchmark-terms")
+    return stored(rows.mapInArrow(tidy(run), "doc_id long, hash long, ids binary"), "benchmark-terms")
 
 
 def _ids(b: pa.RecordBatch, width: str) -> list[np.ndarray]:
@@ -204,7 +204,7 @@ def term_counts(rows: DataFrame, block: Block) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
-    counted = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("ids").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for r in counted:  # one row a term of the block
         out[r.term] = r.n
@@ -252,9 +252,9 @@ def latent_space(rows: DataFrame, block: Block, weight: np.ndarray) -> np.ndarra
                 sums[term] = sums[term] + x if term in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["term", "row"])
 
-    parts = rows.select("ids").mapInArrow(run, "term long, row binary")
+    parts = rows.select("ids").mapInArrow(tidy(run), "term long, row binary")
     total = np.zeros((d, rank))
-    for r in parts.repartition("term").mapInArrow(add, "term long, row binary").collect():  # one row a term of the block
+    for r in parts.repartition("term").mapInArrow(tidy(add), "term long, row binary").collect():  # one row a term of the block
         total[r.term] = np.frombuffer(bytes(r.row), "<f8")
     w = test_matrix(d, rank).astype(float)
     own = block.vectors(weight)
@@ -375,7 +375,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=["doc_id", "hash", "item_id", "cosine", "lcs"],
                 )
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(tidy(run), schema))
     return out
 
 

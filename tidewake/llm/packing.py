@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -50,7 +50,7 @@ def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInArrow(run, "doc_id long, part long, before long, n long, ids binary"), "ids")
+    return stored(rows.mapInArrow(tidy(run), "doc_id long, part long, before long, n long, ids binary"), "ids")
 
 
 def widened(ids: bytes) -> np.ndarray:
@@ -89,7 +89,7 @@ def pieces(ids: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFr
     base = offsets(ids)
     few = ids.select("part").distinct().count() <= BROADCAST_PARTS
     placed = ids.join(F.broadcast(base) if few else base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("first"), "ids")
-    return placed.mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")
+    return placed.mapInArrow(tidy(run), f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")
 
 
 def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, digest: bool = False) -> DataFrame:
@@ -114,4 +114,4 @@ def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = PAD_ID) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["sequence_id", "tokens"])
 
     whole = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return whole.mapInArrow(run, "sequence_id long, tokens array<int>")
+    return whole.mapInArrow(tidy(run), "sequence_id long, tokens array<int>")

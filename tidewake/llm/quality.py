@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_fold
+from .common import crc_fold, tidy
 from .sampling import labelled_sample
 
 SAMPLE_TEXTS = 1200
@@ -122,7 +122,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, column])
 
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, shared_dir, small, stored
+from .common import grouped, shared_dir, small, stored, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([text_fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def anchors(fps: DataFrame) -> DataFrame:
                 [pa.array((low[:, None] ^ masks[s])[use]), pa.array(np.repeat(fp, count[s]))], names=["anchor", "fp"]
             )
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+    return fps.select("fp").mapInArrow(tidy(run), "anchor long, fp long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +198,9 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Distinct (u, v), u != v, that connect the fingerprints (column fp, distinct) exactly as their close pairs do."""
     dealt = anchors(fps).repartition("anchor").sortWithinPartitions("anchor")
-    found = stored(dealt.mapInArrow(_per_anchor, "u long, v long").distinct(), "simhash-links")
+    found = stored(dealt.mapInArrow(tidy(_per_anchor), "u long, v long").distinct(), "simhash-links")
     fine = (
-        found.where("v is null").select("u").mapInArrow(_fine, "word long, fp long")
+        found.where("v is null").select("u").mapInArrow(tidy(_fine), "word long, fp long")
         .groupBy("word").agg(F.collect_set("fp").alias("fps"))  # at most 65
         .where(F.size("fps") > 1)
         .select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u != v")
@@ -299,7 +299,7 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
             fps = pa.array([_block_words(w) for _, w in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), key, fps], names=["doc_id", "key", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, key long, fps array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             grams = pa.array([_shingles(w, NEAR_SHINGLE).view(np.int64) for _, w in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([key, grams], names=["key", "grams"])
 
-    return docs.select("text").mapInArrow(run, "key long, grams array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "key long, grams array<long>")
 
 
 def block_anchors(own: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def block_anchors(own: DataFrame) -> DataFrame:
                     [pa.array(anchor), pa.array(np.repeat(key, n)), pa.array(np.repeat(fp, n))], names=["anchor", "key", "fp"]
                 )
 
-    return own.select("key", "fps").mapInArrow(run, "anchor long, key long, fp long")
+    return own.select("key", "fps").mapInArrow(tidy(run), "anchor long, key long, fp long")
 
 
 GROUPS = "anchor long, rep long, key long, fp long, near boolean"
@@ -411,7 +411,7 @@ def near_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     """
     own = fp.where(F.size("fps") > 0).groupBy("key").agg(F.first("fps").alias("fps"))
     dealt = block_anchors(own).repartition("anchor").sortWithinPartitions("anchor")
-    groups = stored(dealt.mapInArrow(_groups, GROUPS), "near-groups")
+    groups = stored(dealt.mapInArrow(tidy(_groups), GROUPS), "near-groups")
     keys = small(stored(groups.select("key").union(groups.select("rep")).distinct(), "near-keys"))
     ids = small(stored(fp.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "near-ids"))
     texts = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), "left_semi")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small, stored
+from .common import crc_fold, small, stored, tidy
 from .quality import logistic
 from .sampling import labelled_sample, with_labels
 
@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    counted = rows.mapInArrow(run, "word string, toxic long, plain long")
+    counted = rows.mapInArrow(tidy(run), "word string, toxic long, plain long")
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
@@ -105,7 +105,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                 seen, grams = set(), set()
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string())], names=["gram"])
 
-    return docs.where("text is not null").select("text").mapInArrow(run, "gram string").distinct()
+    return docs.where("text is not null").select("text").mapInArrow(tidy(run), "gram string").distinct()
 
 
 def _grams_of(word: Column) -> Column:
@@ -245,7 +245,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "_row long, doc_id long, word string, n long")
+    return rows.mapInArrow(tidy(run), "_row long, doc_id long, word string, n long")
 
 
 def joined_features(docs: DataFrame, differences: DataFrame) -> DataFrame:
@@ -333,6 +333,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     z = scorer.features(rows.column(1).to_pylist()) / scale @ weights[:-1] + weights[-1]
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     held_out = F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
