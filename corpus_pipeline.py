@@ -15,8 +15,9 @@ from tidewake.llm.common import crc_fold, stored, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5 go."""
     learn = crc_fold(F.col("doc_id"), quality.FOLDS) != quality.HELD_OUT
+    score = "_" * (1 + max(map(len, docs.columns))) + "score"  # no column has this name
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learn)
-    return quality.with_score(docs, model, "_score").where("_score >= 0.5").select(*docs.columns)
+    return quality.with_score(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,13 @@ STAGES = [
 ORACLE_SQL = None  # no stage but the dedup's last step can be said in SQL; tests/llm compares with brute force
 
 
+BATCH_ROWS = 1000
+"""Rows in a batch that passes to a Python worker.  Documents are long: ten thousand, the default, are 50 MB and more, which
+a task holds several times, in the JVM and in the worker."""
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
