@@ -23,7 +23,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither repeat its work nor need its executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
