@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of what is left."""
-    return packing.packed(docs, digest=True)
+    return packing.packed(docs, digest=True, cached_chunks=PACKING_CHUNKS)
 
 
 STAGES = [
@@ -51,6 +51,8 @@ STAGES = [
 ORACLE_SQL = None  # no stage but the dedup's last step can be said in SQL; tests/llm compares with brute force
 
 
+PACKING_CHUNKS = 100_000
+"""Chunks that packing remembers: fewer than alone, as the executors still hold what earlier stages left."""
 BATCH_ROWS = 1000
 """Rows in a batch that passes to a Python worker.  Documents are long: ten thousand, the default, are 50 MB and more, which
 a task holds several times, in the JVM and in the worker."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, tidy
-from .tokens import encoder, tokenizer_path
+from .tokens import CACHED_CHUNKS, encoder, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -26,7 +26,7 @@ BROADCAST_PARTS = 1_000_000
 """Rows of 16 bytes that are broadcast at most."""
 
 
-def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, end_id: int, path: str | None = None, cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
     """doc_id, part, before (ids of the partition's earlier rows), n and ids (two bytes an id where they fit, else four).
 
     Stored, so that the offsets computed from it hold for every later reading, whatever is lost meanwhile.
@@ -35,7 +35,7 @@ def encoded(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        enc = encoder(path)
+        enc = encoder(path, cached_chunks)
         mark = bytes([enc.width])  # says how wide the ids are
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -92,10 +92,12 @@ def pieces(ids: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFr
     return placed.mapInArrow(tidy(run), f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")
 
 
-def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, digest: bool = False) -> DataFrame:
+def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, digest: bool = False, cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
     """The pieces of all documents.  Null texts hold only the end id; null ids and repeated rows are kept as they are;
-    no documents, no pieces.  All sequences but the last are full, so padding is below one window for the corpus."""
-    return pieces(encoded(docs, end_id, path), length, digest)
+    no documents, no pieces.  All sequences but the last are full, so padding is below one window for the corpus.
+
+    ``cached_chunks`` bounds what a worker remembers of texts, about 150 bytes a chunk and twice as many chunks."""
+    return pieces(encoded(docs, end_id, path, cached_chunks), length, digest)
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = PAD_ID) -> DataFrame:

@@ -13,7 +13,7 @@ MARKS = "!#$%&*+,-./:;=?@^_~)]}"
 PARTING = "\x01"
 """A character that parts chunks which are encoded as one text; a chunk that holds it is encoded alone."""
 
-_open: dict[str, WordEncoder] = {}
+_open: dict[tuple[str, int], WordEncoder] = {}
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -27,10 +27,11 @@ class WordEncoder:
 
     Right for tokenizers that drop white space before they split and never look across it, which holds for the
     word-end BPE used here; the tests compare it with the library's result for whole texts.  It keeps the ids of at most
-    2 * CACHED_CHUNKS chunks: when the newer half is full, the older half, less what was used since, is dropped.
+    2 * cached chunks: when the newer half is full, the older half, less what was used since, is dropped.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +58,7 @@ class WordEncoder:
             if missing := set(chunks).difference(self.new):
                 self._learn(missing)
             out.append(b"".join(map(self.new.__getitem__, chunks)) + end)
-            if len(self.new) > CACHED_CHUNKS:
+            if len(self.new) > self.cached:
                 self.new, self.old = {"": b""}, self.new
         return out
 
@@ -104,8 +105,8 @@ class WordEncoder:
             new[c] = new[head] + new[tail]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cached: int = CACHED_CHUNKS) -> WordEncoder:
     """This process's encoder for the file; the executors must find the file under the same path."""
-    if path not in _open:
-        _open[path] = WordEncoder(path)
-    return _open[path]
+    if (path, cached) not in _open:
+        _open[path, cached] = WordEncoder(path, cached)
+    return _open[path, cached]
