@@ -48,6 +48,35 @@ def test_denoise_skips_jumps_and_repeats(spark):
     assert values(thin.denoise(df, ["mmsi"]), "event_id") == [0, 2, 3]
 
 
+def test_thinning_streams_trajectories_across_batches(spark):
+    """Batches of three rows: what was kept last is carried on within a trajectory, and not into the next one."""
+    track_of = lambda m, n: [(m, i, float(i * (3 + (m or 0)) % 1009), 55.0 + (i % 7) * 0.01, 10.0, f"r{i}") for i in range(n)]
+    rows = [*track_of(1, 400), *track_of(2, 10), *track_of(None, 50)]
+    df = spark.createDataFrame(rows, "mmsi long, event_id long, ts_unix double, lat double, lon double, `_new` string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        thinned = {tuple(r) for r in thin.greedy_thin(df, ["mmsi"], 20).collect()}
+        calm = {tuple(r) for r in thin.denoise(df, ["mmsi"], 300.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def brute(keeps):
+        out = set()
+        for m in (1, 2, None):
+            last = None
+            for r in sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[1])):
+                if last is None or keeps(r, last):
+                    out.add(r)
+                    last = r
+        return out
+
+    metres = math.radians(1) * 6_371_000
+    assert thinned == brute(lambda r, q: r[2] - q[2] >= 20)
+    assert calm == brute(lambda r, q: r[2] != q[2] and abs(r[3] - q[3]) * metres / (r[2] - q[2]) <= 300.0)
+    assert 10 < len(thinned) < len(rows) and 10 < len(calm) < len(rows)
+
+
 def test_bucket_is_a_row_or_composite(spark):
     df = track(spark, [5, 59, 60, 61], sog=[None, 4.0, None, None])
     strict = {r.bucket: r.sog for r in resample.first_per_bucket(df, ["mmsi"], 60, ["sog"]).collect()}

@@ -1,47 +1,64 @@
-"""Sequential operators: what a row becomes depends on what was kept before it, so each trajectory runs in one call."""
+"""Sequential operators: what a row becomes depends on what was kept before it, so a trajectory runs in one task."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
+def _kept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], keeps: Callable[[tuple, tuple | None], bool]) -> DataFrame:
+    """The rows that ``keeps`` keeps, asked with a row's columns (as doubles) and those of the last row kept, None before.
+
+    Trajectories lie one after another in sorted partitions and are streamed by batches; all that is carried on is one row,
+    so a trajectory of any length fits.  Nulls in the order come last; null keys are one trajectory."""
+    name = "_" * (1 + max(map(len, df.columns))) + "new"  # no column has this name
+    by = [F.col(c).asc_nulls_last() for c in order]
+    starts = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) == 1
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            values = [b.column(c).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).tolist() for c in columns]
+            keep = []
+            for new, *row in zip(b.column(name).to_pylist(), *values):
+                last = None if new else last
+                keep.append(keeps(tuple(row), last))
+                last = tuple(row) if keep[-1] else last
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *by)
+    return placed.withColumn(name, starts).mapInArrow(run, df.schema)
+
+
 def greedy_thin(df: DataFrame, keys: list[str], every_s: float, ts: str = "ts_unix", order: list[str] | None = None) -> DataFrame:
     """Keeps a row if every_s have passed since the last one kept."""
-    order = order or [ts, "event_id"]
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order, kind="stable")
-        keep, last = [], -np.inf
-        for t in x[ts].to_numpy():
-            keep.append(t - last >= every_s)
-            last = t if keep[-1] else last
-        return x[keep]
+    def keeps(row: tuple, last: tuple | None) -> bool:
+        return row[0] - (-math.inf if last is None else last[0]) >= every_s
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    return _kept(df, keys, order or [ts, "event_id"], [ts], keeps)
 
 
 def denoise(df: DataFrame, keys: list[str], max_ms: float = 55.0, ts: str = "ts_unix", order: list[str] | None = None) -> DataFrame:
     """Keeps a row if it is reached from the last one kept in some time and at no more than max_ms; the first always."""
-    order = order or [ts, "event_id"]
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order, kind="stable")
-        lat, lon, t = np.radians(x["lat"].to_numpy()), np.radians(x["lon"].to_numpy()), x[ts].to_numpy()
-        keep, last = np.zeros(len(x), bool), 0
-        for i in range(len(x)):
-            if i:
-                dt = t[i] - t[last]
-                h = np.sin((lat[i] - lat[last]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[last]) * np.sin((lon[i] - lon[last]) / 2) ** 2
-                if dt == 0 or 2 * 6_371_000.0 * np.arcsin(np.sqrt(min(1.0, h))) / dt > max_ms:
-                    continue
-            keep[i], last = True, i
-        return x[keep]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    def keeps(row: tuple, last: tuple | None) -> bool:
+        if last is None:
+            return True
+        t, (lat, lon) = row[0] - last[0], map(math.radians, row[1:])
+        lat0, lon0 = map(math.radians, last[1:])
+        h = math.sin((lat - lat0) / 2) ** 2 + math.cos(lat) * math.cos(lat0) * math.sin((lon - lon0) / 2) ** 2
+        return t != 0 and not 2 * 6_371_000.0 * math.asin(math.sqrt(min(1.0, h))) / t > max_ms
+
+    return _kept(df, keys, order or [ts, "event_id"], [ts, "lat", "lon"], keeps)
 
 
 def kalman_smoothed(df: DataFrame, keys: list[str], q: float = 1e-4, r: float = 1e-4, order: list[str] | None = None) -> DataFrame:
