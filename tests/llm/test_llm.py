@@ -570,6 +570,63 @@ def test_leaks_are_found(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def test_long_items_are_found_by_their_parts(spark, monkeypatch):
+    """Whole copies, and paraphrases of every fifth word, of items whose passages are too small a part to be near them."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [text(n) for n in (300, 700, 160, 20)]
+    docs, want = [text(250) for _ in range(60)], set()
+    for i in range(0, 40, 5):
+        item = i // 5 % 4
+        leak = items[item].split()
+        if i >= 20:
+            leak = [rnd.choice(words) if k % 5 == 2 else w for k, w in enumerate(leak)]
+        docs[i] = f"{text(rnd.randint(0, 90))} {' '.join(leak)}. {docs[i]}"
+        want.add((i, item))
+    docs[3] += " " + " ".join(items[1].split()[100:200])  # a seventh of an item is no leak of it
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = docs_of(spark, docs).repartition(3)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 12)
+    assert [b.ids for b in decontaminate.blocks(bench)] == [[0, 1], [2, 3]]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+
+
+def test_leaks_hold_all_of_high_shingle_overlap(spark):
+    """Brute force: whoever holds four fifths of an item's five-word shingles is among the leaks."""
+    from tidewake.llm.queries import QUERIES
+
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [decontaminate.words_of(t)] for i in range(len(w) - 4)}
+    items = {r.item_id: x for r in table(spark, SF, "benchmark").collect() if (x := shingles(r.text))}
+    docs = {r.doc_id: shingles(r.text) for r in table(spark, SF, "documents").collect()}
+    want = {(d, i) for d, x in docs.items() for i, y in items.items() if len(x & y) >= 0.8 * len(y)}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op9_decontamination"](spark, SF).collect()}
+    assert want and want <= got
+
+
+def test_registered_digests_are_those_of_the_library(spark):
+    """op2 and op8 as registered against the tokenizers library, op10 against brute force, on a whole small table."""
+    from tidewake.llm.queries import QUERIES
+
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, SF, "documents").select("doc_id", "text").collect())
+    tok = encoder(tokenizer_path()).tokenizer
+    ids = {d: tok.encode(t, add_special_tokens=False).ids for d, t in docs}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    coded, start = [], 0
+    for d, _ in docs:
+        coded.append((d, start, len(ids[d]) + 1, crc([*ids[d], 2])))
+        start += len(ids[d]) + 1
+    assert sorted(tuple(r) for r in QUERIES["op8_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == coded
+    pieces = QUERIES["op2_packing"](spark, SF).collect()
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) + 1 and p.ids_crc32 == crc([*ids[p.doc_id], 1][p.start : p.start + p.length])
+    assert sum(p.length for p in pieces) == start and all(p.length > 0 for p in pieces)
+    fps = [(d, plain_fingerprint(t)) for d, t in docs]
+    want = sorted((d, f"{fp:016x}", c) for (d, fp), c in zip(fps, brute_classes(fps)))
+    assert sorted(tuple(r) for r in QUERIES["op10_simhash"](spark, SF).select("doc_id", "fingerprint", "component_id").collect()) == want
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark):

@@ -5,14 +5,17 @@ TF-IDF vectors have the benchmark's words as terms, weighted by 1 / sqrt(occurre
 have about equal norms; terms that occur more often than in MAX_SHARE of the passages are left out, but for each item's
 RARE rarest.  A randomised SVD in one pass gives the latent space: with a Gaussian test matrix W every partition sums
 B = A' (A W) over its own passages, the sums are added by term, and B (W' B)^-1/2 spans the leading right singular
-vectors (the Nystroem form).  Its rank, items + OVERSAMPLE, follows the number of items, so no item's direction is cut.
+vectors (the Nystroem form).  Its rank, items + OVERSAMPLE, follows the number of items, so no item's direction is cut.  A passage
+is too small a part of a long item to be near it: an item of more than LONG words is searched for by each 2 * STRIDE words
+of its own as well, one of which starts within STRIDE / 2 words of some passage of a copy.
 A passage is a candidate for an item if the cosine in the latent space is at least COSINE and its length there at least
 LENGTH of the item's.  A candidate is a leak if the longest common subsequence of the item's words with the words around
 the passage is at least LCS of the item, or at least LCS_ANSWER while the item's answer (its last sentence, or the column
 ``answer``) is found with at least ANSWER of its words in order.
 
-The benchmark is handled in blocks of BLOCK_ITEMS items, each with its own latent space, which bounds what is broadcast;
-the items come to the driver one block at a time.  Texts are split into words once a block: what is stored are the terms'
+The benchmark is handled in blocks of BLOCK_ITEMS items, long ones counted by their parts, each with its own latent space,
+which bounds what is broadcast to about that many times LONG words, or one item's; the items come to the driver one block
+at a time.  Texts are split into words once a block: what is stored are the terms'
 numbers, 0 for any other word, which is all that the passages' vectors and the common subsequences depend on.
 """
 
@@ -36,6 +39,7 @@ MAX_SHARE = 0.01
 RARE = 8
 OVERSAMPLE = 16
 BLOCK_ITEMS = 400
+LONG = 6 * STRIDE
 COSINE = 0.5
 LENGTH = 0.25
 LCS = 0.6
@@ -73,6 +77,11 @@ def answer_of(item: str, answer: str | None = None) -> list[str]:
     return words_of(parts[-1]) if parts else []
 
 
+def parts_of(words: list) -> list[list]:
+    """What an item is searched for by: all of its words, and if they are many, each 2 * STRIDE of them."""
+    return [words] + [words[i : i + 2 * STRIDE] for i in range(0, len(words), 2 * STRIDE) if len(words) > LONG]
+
+
 @dataclass(frozen=True)
 class Block:
     """Some items, their words and answers as terms (1..d; 0 stands for any other word)."""
@@ -97,9 +106,16 @@ class Block:
         """How a term's number is stored."""
         return "<u2" if len(self.terms) < 1 << 16 else "<u4"
 
+    @property
+    def parts(self) -> list[tuple[int, list[int]]]:
+        """The items' parts, each with its item's place."""
+        return [(i, part) for i, ws in enumerate(self.words) for part in parts_of(ws)]
+
     def vectors(self, weight: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.terms) + 1))
-        for i, ws in enumerate(self.words):
+        """A row per part."""
+        parts = self.parts
+        out = np.zeros((len(parts), len(self.terms) + 1))
+        for i, (_, ws) in enumerate(parts):
             for t, n in Counter(ws).items():
                 out[i, t] = n * weight[t]
         return out
@@ -219,7 +235,7 @@ def term_weights(block: Block, counts: np.ndarray, n: int) -> np.ndarray:
             counts[t] += 1
             there[t] = True
     keep = there & (counts <= max(MAX_SHARE * n, 1))
-    for ws in block.words:
+    for _, ws in block.parts:
         keep[sorted(set(ws), key=lambda t: (counts[t], t))[:RARE]] = True
     weight = np.where(keep, 1 / np.sqrt(np.maximum(counts, 1)), 0)
     weight[0] = 0
@@ -228,7 +244,7 @@ def term_weights(block: Block, counts: np.ndarray, n: int) -> np.ndarray:
 
 def latent_space(rows: DataFrame, block: Block, weight: np.ndarray) -> np.ndarray:
     """Orthonormal columns [term, direction] that span the leading right singular vectors of the weighted passages."""
-    d, rank = len(weight), min(len(block.ids) + OVERSAMPLE, len(weight))
+    d, rank = len(weight), min(len(block.parts) + OVERSAMPLE, len(weight))
     given = rows.sparkSession.sparkContext.broadcast((weight.astype(np.float32), rank, block.width))  # bounded by the block
 
     def test_matrix(d: int, rank: int) -> np.ndarray:
@@ -290,8 +306,10 @@ class Model:
     basis: np.ndarray
     """[term, direction], rows multiplied by the terms' weights"""
     items: np.ndarray
-    """The items in the latent space, of length 1"""
+    """The items' parts in the latent space, of length 1"""
     lengths: np.ndarray
+    owner: list[int]
+    """Of each part, its item's place"""
 
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(document, item, cosine, share of the item in common order) of each leak, once per document and item."""
@@ -307,11 +325,11 @@ class Model:
                 x, length = y[long], length[long]
                 dot = x @ self.items.T
                 near = (dot >= COSINE * length[:, None]) & (length[:, None] >= LENGTH * self.lengths)
-                for row, item in zip(*np.nonzero(near)):
+                for row, part in zip(*np.nonzero(near)):
                     cell = low + int(long[row])
-                    key = (int(c.owner[cell]), int(item))
+                    key = (int(c.owner[cell]), self.owner[part])
                     if key not in best and (share := self._verified(c, cell, key)) is not None:
-                        best[key] = (float(dot[row, item] / length[row]), share)
+                        best[key] = (float(dot[row, part] / length[row]), share)
             found += [(at + doc, item, *v) for (doc, item), v in best.items()]
             at += len(c.docs)
         return found
@@ -340,19 +358,21 @@ def fit(rows: DataFrame, block: Block) -> Model:
     items = block.vectors(weight) @ basis
     lengths = np.linalg.norm(items, axis=1)
     unit = items / np.maximum(lengths, 1e-12)[:, None]
-    return Model(block.ids, block.words, block.answers, block.width, weight > 0, (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32))
+    return Model(block.ids, block.words, block.answers, block.width, weight > 0, (basis * weight[:, None]).astype(np.float32), unit.astype(np.float32), lengths.astype(np.float32), [i for i, _ in block.parts])
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The items in blocks.  Those whose text is null or without words are in none."""
     columns = ["item_id", "text", *(["answer"] if "answer" in benchmark.columns else [])]
     held: list = []
+    parts = 0
     for r in benchmark.select(*columns).where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         held.append(r)
-        if len(held) == BLOCK_ITEMS:
+        parts += len(parts_of(words_of(r.text)))
+        if parts >= BLOCK_ITEMS:
             if block := Block.of(held):
                 yield block
-            held = []
+            held, parts = [], 0
     if held and (block := Block.of(held)):
         yield block
 
