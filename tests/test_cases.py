@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, scalars
-from tidewake.operators import context, describe, ingest, layers, masks, motion, resample, segment, tasks, thin
+from tidewake.operators import context, describe, ingest, layers, masks, motion, resample, segment, tasks, thin, zones
 from tidewake.sources import readers, sinks
 from tidewake.streaming import positions
 

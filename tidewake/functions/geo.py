@@ -17,14 +17,20 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))))
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """x to so many digits: scaled, rounded to the even one of two equally near integers, and scaled back."""
+    scale = float(10**digits)
+    return F.rint(x.cast("double") * scale) / scale
+
+
 def modulo(x: Column, n: float) -> Column:
     """The remainder with the divisor's sign, also for negative x."""
     return F.pmod(x, F.lit(float(n)))
 
 
 def angle_difference(a: Column, b: Column) -> Column:
-    """a - b in degrees, from -180 up to 180."""
-    return F.round(modulo(a - b + 180, 360) - 180, 2)
+    """a - b in degrees, from -180 up to 180, two digits."""
+    return half_even(modulo(a - b + 180, 360) - 180, 2)
 
 
 def bearing_label(degrees: Column) -> Column:

@@ -16,6 +16,13 @@ def kinematics(sog: Column, cog: Column, rot: Column) -> dict[str, Column]:
     return {"speed_n": _clip(sog, 30.0, 0.0, 0.0), "heading_n": _clip(cog, 180.0, 1.0, -1.0), "turn_n": _clip(rot, 720.0, 0.0, -1.0)}
 
 
+def rank_in(values: Column, x: Column, step: int = 128) -> Column:
+    """How many of a sorted array's values are not above x (0 for null): of every step-th first, then within that block."""
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(step))
+    block = F.greatest(F.size(F.filter(firsts, lambda i: F.get(values, i) <= x)) - 1, F.lit(0))
+    return block * step + F.size(F.filter(F.slice(values, block * step + 1, step), lambda v: v <= x))
+
+
 def calendar(day_of_week: Column, hour: Column, minute: Column) -> dict[str, Column]:
     """Weekday (Monday 0), hour and minute from 0 to 1."""
     return {"dow": day_of_week / 6.0, "hod": hour / 23.0, "moh": minute / 59.0}

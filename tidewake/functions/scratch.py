@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -27,3 +28,11 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and read from then on, so that all readers see the same partitions, and none needs its executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+FEW_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df (rows of a few numbers, settled), to be broadcast where a count proves it has at most FEW_ROWS rows."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import half_even
+from ..functions.names import free
+from . import neighbours
+
 
 def recovered(points: DataFrame, raw: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Left join on keys, with matched telling whether the join found a row."""
@@ -44,80 +48,23 @@ def cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size), F.floor(y / size)
 
 
-def _edges(ring: Column) -> Column:
-    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(ring, (i + 1) % F.size(ring))["x"].alias("bx"), F.get(ring, (i + 1) % F.size(ring))["y"].alias("by")))
-
-
-def _inside(x: Column, y: Column, edges: Column) -> Column:
-    """Ray casting: an odd number of edges lies to the right; so holes and separate parts are rings like any other."""
-    crosses = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
-    return F.size(crosses) % 2 == 1
-
-
-def in_polygon(points: DataFrame, polygons: DataFrame, key: str, pick: str, values: list[str], size: float = 0.1) -> DataFrame:
-    """points with values of the polygon with the least ``pick`` among those that hold the point; null without one.
-
-    points have x, y and the unique key; polygons a ring (array of x, y) or rings (several: parts, and holes in them).
-    Polygons are dealt to the cells of their box, each row of cells with the edges only that cross it."""
-    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
-    names = list(dict.fromkeys([pick, *values]))
-    shapes = polygons.select(*names, F.flatten(F.transform(rings, _edges)).alias("_e")).where(F.size("_e") > 0)
-    ends = lambda c: (F.floor(F.array_min(F.transform("_e", lambda e: e[c])) / size), F.floor(F.array_max(F.transform("_e", lambda e: e[c])) / size))
-    (x0, x1), (y0, y1) = ends("ax"), ends("ay")
-    rows = shapes.withColumns({"_x0": x0, "_x1": x1}).select(*names, "_e", "_x0", "_x1", F.explode(F.sequence(y0, y1)).alias("_cy"))
-    crossing = F.filter("_e", lambda e: (F.floor(F.least(e["ay"], e["by"]) / size) <= F.col("_cy")) & (F.floor(F.greatest(e["ay"], e["by"]) / size) >= F.col("_cy")))
-    dealt = rows.select(*names, crossing.alias("_e"), "_cy", F.explode(F.sequence("_x0", "_x1")).alias("_cx"))
-    cx, cy = cells(F.col("x"), F.col("y"), size)
-    near = points.select(key, "x", "y", cx.alias("_cx"), cy.alias("_cy")).join(dealt, ["_cx", "_cy"])
-    near = near.where(_inside(F.col("x"), F.col("y"), F.col("_e")))
-    best = near.groupBy(key).agg(F.min_by(F.struct(*values), F.col(pick)).alias("_p"))
-    return points.join(best, key, "left").select(*points.columns, *(F.col("_p")[v].alias(v) for v in values))
-
-
-BROADCAST_PLACES = 100_000
-
-
-def nearest(points: DataFrame, places: DataFrame, key: str, size: float = 0.1, extent: float = 360.0) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """key, port name and nm (degrees times 60, on the plane) of the nearest place, however far; ties to the smaller
-    port_id.  Without places both are null.
-
-    Cells come in levels, each four times as wide as the one before, up to ``extent``.  A point's level is the first at which
-    its own or a neighbouring cell holds a place; the nearest place is then in the nine cells of the next level, which it
-    meets in one join.  Levels are found by semi-joins with the occupied cells, a broadcast where places are counted few."""
-    named = places.select("port_id", F.col("name").alias("port"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    hint = F.broadcast if named.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES else (lambda df: df)
-    widths = [size]
-    while widths[-1] < extent:
-        widths.append(widths[-1] * 4)
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-
-    def around(s: float) -> DataFrame:
-        a, b = cells(F.col("p_lat"), F.col("p_lon"), s)
-        each = named.withColumns({"_a": a, "_b": b}).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-        return each.withColumns({"_a": F.col("_a") + F.col("_i"), "_b": F.col("_b") + F.col("_j")}).drop("_i", "_j")
-
-    own = points.select(key, "lat", "lon").withColumn("_level", F.lit(None).cast("int"))
-    for i, s in enumerate(widths):
-        a, b = cells(F.col("lat"), F.col("lon"), s)
-        occupied = around(s).select("_a", "_b").distinct().withColumn("_held", F.lit(True))
-        own = own.withColumns({"_a": a, "_b": b}).join(hint(occupied), ["_a", "_b"], "left")
-        own = own.withColumn("_level", F.coalesce("_level", F.when(F.col("_held"), i))).drop("_a", "_b", "_held")
-    dealt = None
-    here = F.lit(None).cast("struct<a:bigint,b:bigint>")
-    for i, s in enumerate(widths):
-        level = around(4 * s).withColumn("_level", F.lit(i))
-        dealt = level if dealt is None else dealt.unionByName(level)
-        a, b = cells(F.col("lat"), F.col("lon"), 4 * s)
-        here = F.when(F.col("_level") == i, F.struct(a.alias("a"), b.alias("b"))).otherwise(here)
-    own = own.withColumn("_c", here).withColumns({"_a": F.col("_c.a"), "_b": F.col("_c.b")}).drop("_c")
-    d = F.sqrt(F.pow(F.col("lat") - F.col("p_lat"), 2) + F.pow(F.col("lon") - F.col("p_lon"), 2))
-    met = own.join(hint(dealt), ["_level", "_a", "_b"], "left")
-    best = met.groupBy(key).agg(F.min(F.when(F.col("port_id").isNotNull(), F.struct(d.alias("d"), "port_id", "port"))).alias("b"))
-    return best.select(key, F.col("b.port").alias("port"), (F.col("b.d") * 60).alias("nm"))
+    port_id.  Without places, or for points whose lat or lon is null, NaN or infinite, both are null."""
+    lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
+    named = places.where(neighbours.finite(lat, lon)).select(F.struct("port_id", F.col("name").alias("port"), lat.alias("x"), lon.alias("y")).alias("_item"))
+    x, y = F.col("_item.x"), F.col("_item.y")
+    boxed = named.withColumn("_box", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
+    own = points.where(neighbours.finite(lat, lon)).select(F.col(key).alias("_key"), lat.alias("_x"), lon.alias("_y"))
+    far = lambda x, y, item: F.sqrt(F.pow(x - item["x"], 2) + F.pow(y - item["y"], 2))
+    found = neighbours.k_nearest(own, boxed, far).select("_key", F.get("_near", F.lit(0)).alias("_b"))
+    found = found.select(F.col("_key").alias(key), F.col("_b.item.port").alias("port"), (F.col("_b.d") * 60).alias("nm"))
+    return points.select(key).join(found, key, "left")
 
 
 def port_label(stopped: Column, in_zone: Column, nm: Column) -> Column:
-    """The later rule wins: anchorage, coastal, approach, berth."""
+    """The later rule wins: anchorage, coastal, approach, berth.  No port is a far one."""
+    nm = F.coalesce(nm, F.lit(9999.0))
     return F.when(in_zone & (nm < 0.5), "berthed").when(nm < 5, "port_approach").when(nm < 20, "coastal").when(stopped & ~in_zone & (nm >= 5), "open_anchorage").otherwise("offshore")
 
 
@@ -147,9 +94,15 @@ def snapped(x: Column, start: float, step: float) -> Column:
 
 
 def via_unique(points: DataFrame, digits: int, feature, columns: tuple[str, str] = ("lat", "lon")) -> DataFrame:
-    """feature(unique rounded coordinates) joined back: costly features are found once per place."""
+    """feature(unique rounded coordinates) joined back: costly features are found once per place.  They replace columns of their
+    names; a place without coordinates is one of its own."""
     lat, lon = columns
-    rounded = points.withColumns({"_lat": F.bround(lat, digits), "_lon": F.bround(lon, digits)})
-    unique = rounded.select(F.col("_lat").alias(lat), F.col("_lon").alias(lon)).distinct()
-    found = feature(unique).withColumnsRenamed({lat: "_lat", lon: "_lon"})
-    return rounded.join(found, ["_lat", "_lon"], "left").drop("_lat", "_lon")
+    a, b = free(points, "_lat", "_lon")
+    rounded = points.withColumns({a: half_even(F.col(lat), digits), b: half_even(F.col(lon), digits)})
+    unique = rounded.select(F.col(a).alias(lat), F.col(b).alias(lon)).distinct()
+    found = feature(unique)
+    new = [c for c in found.columns if c not in columns]
+    x, y = free(rounded, "_x", "_y")
+    found = found.withColumnsRenamed({lat: x, lon: y})
+    out = rounded.drop(*new).join(found, F.col(a).eqNullSafe(F.col(x)) & F.col(b).eqNullSafe(F.col(y)), "left")
+    return out.drop(a, b, x, y)

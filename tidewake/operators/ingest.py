@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
+from . import scan
+
 # Navigational status by code (13 has no label).
 NAV_STATUS = {
     0: "under way using engine", 1: "at anchor", 2: "not under command", 3: "restricted manoeuvrability", 4: "constrained by her draught", 5: "moored", 6: "aground",
@@ -48,10 +51,13 @@ def nav_label(code: Column) -> Column:
 
 
 def category(kind: Column, texts: dict[str, str], codes: list[tuple[int, int, str]], default: str) -> Column:
-    """By text, else by integer code, else the default; a code like '70.0' is no integer."""
+    """By text, else by integer code, else the default.  A number column counts by its whole part (70.9 as 70); the text '70.0'
+    is no integer."""
+    number = F.typeof(kind).isin("tinyint", "smallint", "int", "bigint", "float", "double")
     text = F.lower(F.trim(kind.cast("string")))
-    code = text.try_cast("int")
-    number = F.when(text.rlike(r"^[+-]?\d+$"), code)
+    whole = kind.cast("string").try_cast("double")
+    whole = F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole))
+    number = F.when(number & (F.abs(whole) < 1e9), whole).when(~number & text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
     out = F.lit(default)
     for low, high, label in reversed(codes):
         out = F.when(number.between(low, high), label).otherwise(out)
@@ -74,11 +80,16 @@ def without_noise(df: DataFrame, column: str = "annotation") -> DataFrame:
 
 def deduplicated(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row by ``order`` of each key."""
+    (n,) = free(df, "_n")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
-def forward_filled(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+def forward_filled(df: DataFrame, key: str, order: list[str], columns: list[str], ranges: str | None = None) -> DataFrame:
+    """Columns (those that are there) by their last value that is not null.  ranges: a column of scan.with_ranges(), where a
+    vessel may have too many rows for a task."""
+    if ranges:
+        return scan.forward_filled(df, [key], order, columns, ranges)
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns if c in df.columns})
 

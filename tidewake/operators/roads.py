@@ -1,16 +1,25 @@
-"""Nearest road edge, and neighbouring cells of a vocabulary."""
+"""Nearest road edges and their attributes; neighbouring cells of a vocabulary and the tokens of points."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import neighbours
+
+UNKNOWN = 3  # fixed value: the token of points outside the region; those of cells follow
+
 
 def first_of(text: Column) -> Column:
     """The first of several values, which a list or semicolons hold."""
     return F.nullif(F.trim(F.regexp_replace(F.split(text, "[;,]")[0], r"[\[\]'\"]", "")), F.lit(""))
 
 
+def first_listed(text: Column) -> Column:
+    """The first of a list in brackets; other text as it is."""
+    return F.when(F.trim(text).startswith("["), first_of(text)).otherwise(F.nullif(text, F.lit("")))
+
+
 def first_integer(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
 
@@ -22,35 +31,87 @@ def segments(edges: DataFrame) -> DataFrame:
     return each.select("edge_id", *(F.col(f"p.{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "xy"))
 
 
-def distance(x: Column, y: Column) -> Column:
+def distance(x: Column, y: Column, piece: Column) -> Column:
     """From a point to the piece ax, ay, bx, by, on the plane."""
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    ax, ay = piece["ax"], piece["ay"]
+    dx, dy = piece["bx"] - ax, piece["by"] - ay
     long = dx * dx + dy * dy
-    t = F.when(long > 0, ((x - F.col("ax")) * dx + (y - F.col("ay")) * dy) / long).otherwise(0.0)
+    t = F.when(long > 0, ((x - ax) * dx + (y - ay) * dy) / long).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.sqrt(F.pow(x - F.col("ax") - t * dx, 2) + F.pow(y - F.col("ay") - t * dy, 2))
-
-
-def nearest_edge(points: DataFrame, edges: DataFrame, key: str, within: float) -> DataFrame:
-    """key, edge_id and d of the nearest edge not farther than ``within``; ties to the smaller edge_id.
-
-    Pieces are dealt to all cells, as wide as ``within``, that their box grown by ``within`` touches, so each point meets
-    the pieces of its own cell only; the distance is exact."""
-    cell = lambda c: F.floor(c / within)
-    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - within), cell(F.greatest(a, b) + within)))
-    dealt = segments(edges).select("*", span(F.col("ax"), F.col("bx")).alias("_i")).select("*", span(F.col("ay"), F.col("by")).alias("_j"))
-    own = points.select(key, "x", "y", cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j"))
-    near = own.join(dealt, ["_i", "_j"]).withColumn("d", distance(F.col("x"), F.col("y"))).where(F.col("d") <= within)
-    best = near.groupBy(key).agg(F.min(F.struct("d", "edge_id")).alias("b"))
-    return best.select(key, F.col("b.edge_id").alias("edge_id"), F.col("b.d").alias("d"))
-
-
-def nearest_cells(vocabulary: DataFrame, k: int, reach: int) -> DataFrame:
-    """cell, neighbour, d and rank: the k nearest cells (i, j) of a vocabulary at most ``reach`` cells away in each
-    direction, itself included; ties to the smaller cell.  A cell meets the (2 * reach + 1)^2 places around it by key."""
-    step = F.sequence(F.lit(-reach), F.lit(reach))
-    around = vocabulary.select(F.col("cell"), "i", "j", F.explode(step).alias("_a")).select("*", F.explode(step).alias("_b"))
-    around = around.select("cell", (F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), F.sqrt(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")).alias("d"))
-    found = around.join(vocabulary.select(F.col("cell").alias("neighbour"), "i", "j"), ["i", "j"])
-    w = Window.partitionBy("cell").orderBy("d", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cell", "neighbour", "d", "rank")
+    return F.sqrt(F.pow(x - ax - t * dx, 2) + F.pow(y - ay - t * dy, 2))
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, key: str, within: float | None = None) -> DataFrame:
+    """key, edge_id and d of the nearest edge, however far, or not farther than ``within``; ties to the smaller edge_id.
+
+    points have x and y.  Points without finite coordinates, and pieces of edges without them, find and are nothing."""
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    box = F.struct(F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    pieces = segments(edges).where(neighbours.finite(*ends)).select(F.struct("edge_id", *ends).alias("_item"), box.alias("_box"))
+    own = points.where(neighbours.finite(F.col("x"), F.col("y"))).select(F.col(key).alias("_key"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    found = neighbours.k_nearest(own, pieces, distance).select("_key", F.get("_near", F.lit(0)).alias("_b"))
+    out = found.select(F.col("_key").alias(key), F.col("_b.item.edge_id").alias("edge_id"), F.col("_b.d").alias("d"))
+    return out if within is None else out.where(F.col("d") <= within)
+
+
+def nearest_cells(vocabulary: DataFrame, k: int) -> DataFrame:
+    """cell, neighbour, d and rank: the k nearest cells (i, j) of a vocabulary to each of its cells, itself included; ties to
+    the smaller cell."""
+    return cells_near(vocabulary, vocabulary, k)
+
+
+def cells_near(cells: DataFrame, vocabulary: DataFrame, k: int = 1) -> DataFrame:
+    """cell, neighbour, d and rank: the k cells of the vocabulary nearest to each of cells (cell, i, j), as known or not."""
+    i, j = F.col("i").cast("double"), F.col("j").cast("double")
+    named = vocabulary.where(neighbours.finite(i, j)).select(F.struct("cell", i.alias("x"), j.alias("y")).alias("_item"))
+    x, y = F.col("_item.x"), F.col("_item.y")
+    boxed = named.withColumn("_box", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
+    far = lambda x, y, item: F.sqrt(F.pow(x - item["x"], 2) + F.pow(y - item["y"], 2))
+    own = cells.where(neighbours.finite(i, j)).select(F.col("cell").alias("_key"), i.alias("_x"), j.alias("_y"))
+    found = neighbours.k_nearest(own, boxed, far, k)
+    each = found.select(F.col("_key").alias("cell"), F.posexplode("_near").alias("r", "n"))
+    return each.select("cell", F.col("n.item.cell").alias("neighbour"), F.col("n.d").alias("d"), (F.col("r") + 1).cast("int").alias("rank"))
+
+
+def vocabulary_tokens(points: DataFrame, vocabulary: DataFrame, box: tuple[float, float, float, float], unknown: int = UNKNOWN) -> DataFrame:
+    """points (with cell, i, j, lon and lat) with token: that of their cell, or of the nearest cell of the vocabulary (cell, i, j and
+    token) where theirs is not in it; ``unknown`` outside the region (least lon and lat, greatest lon and lat, which are outside).
+
+    Points in the region meet the vocabulary once a distinct cell."""
+    lon, lat = F.col("lon"), F.col("lat")
+    inside = F.coalesce((lon >= box[0]) & (lon < box[2]) & (lat >= box[1]) & (lat < box[3]), F.lit(False))
+    tokens = vocabulary.select("cell", "token")
+    asked = points.where(inside).select("cell", "i", "j").distinct()
+    known = asked.join(tokens, "cell").select("cell", "token")
+    lost = asked.join(tokens, "cell", "left_anti")
+    near = cells_near(lost, vocabulary).select("cell", F.col("neighbour")).join(tokens.withColumnRenamed("cell", "neighbour"), "neighbour").select("cell", "token")
+    found = known.unionByName(near).withColumnsRenamed({"cell": "_cell", "token": "_token"})
+    out = points.join(found, inside & (points["cell"] == found["_cell"]), "left")
+    return out.withColumn("token", F.coalesce("_token", F.lit(unknown))).drop("_cell", "_token")
+
+
+def attributes(highway: Column, name: Column, maxspeed: Column, lanes: Column, oneway: Column) -> dict[str, Column]:
+    """road_type, road_name, speed_limit_kmh, road_lanes and road_oneway of an edge's raw text: of several values the first;
+    `unclassified`, nothing, null, 0 and false where there is none."""
+    return {
+        "road_type": F.coalesce(first_listed(highway), F.lit("unclassified")), "road_name": F.coalesce(first_listed(name), F.lit("")),
+        "speed_limit_kmh": first_integer(first_of(maxspeed)).cast("double"), "road_lanes": F.coalesce(first_integer(first_of(lanes)), F.lit(0)),
+        "road_oneway": F.coalesce(oneway.cast("boolean"), F.lit(False)),
+    }
+
+
+NO_ROADS = {"road_type": "unknown", "road_name": "", "speed_limit_kmh": None, "road_lanes": 0, "road_oneway": False}
+
+
+def with_roads(points: DataFrame, edges: DataFrame, key: str, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
+    """points with the attributes of their nearest edge, however far; of NO_ROADS without edges or without a place.
+
+    edges have edge_id, line, and highway, name, maxspeed, lanes and oneway as text; what they lack counts as missing."""
+    raw = lambda c: F.col(c) if c in edges.columns else F.lit(None).cast("string")
+    tags = edges.select("edge_id", *(c.alias(n) for n, c in attributes(*map(raw, ("highway", "name", "maxspeed", "lanes", "oneway"))).items()))
+    near = nearest_edge(points.select(key, F.col(columns[0]).alias("x"), F.col(columns[1]).alias("y")), edges, key).select(F.col(key).alias("_key"), "edge_id")
+    found = near.join(tags, "edge_id").select("_key", *NO_ROADS)
+    out = points.drop(*NO_ROADS).join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+    kinds = dict(found.dtypes)
+    fill = {c: F.when(F.col("_key").isNull(), F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in NO_ROADS.items()}
+    return out.withColumns(fill).drop("_key")

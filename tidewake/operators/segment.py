@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_NM, haversine
+from ..functions.names import free
+from . import scan
 
 ORDER = ["ts_unix", "event_id"]
 
@@ -18,27 +20,50 @@ def running(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def gap_segments(df: DataFrame, key: str, gap_s: int = 1800, ts: str = "ts_unix", order: list[str] = ORDER) -> DataFrame:
-    """seg: a new one begins where more than gap_s seconds pass."""
-    w = ordered(key, order)
-    split = F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap_s).cast("int"), F.lit(0))
-    return df.withColumn("_split", split).withColumn("seg", F.sum("_split").over(running(w))).drop("_split")
+def gap_segments(df: DataFrame, key: str, gap_s: int = 1800, ts: str = "ts_unix", order: list[str] = ORDER, ranges: str | None = None) -> DataFrame:
+    """seg: a new one begins where more than gap_s seconds pass.  ranges: a column of scan.with_ranges(), where a trajectory may be
+    too long for a task."""
+    was, split, first = free(df, "_was", "_split", "_first")
+    if ranges:
+        df = scan.previous(df, [key], order, {was: ts}, ranges, first).drop(first)
+    else:
+        df = df.withColumn(was, F.lag(ts).over(ordered(key, order)))
+    df = df.withColumn(split, F.coalesce((F.col(ts) - F.col(was) > gap_s).cast("int"), F.lit(0)))
+    return _summed(df, key, order, split, "seg", ranges).drop(was, split)
 
 
-def label_segments(df: DataFrame, key: str, gap_s: int = 3600, ts: str = "ts_unix", order: list[str] = ORDER) -> DataFrame:
-    """trip_idx: raised by a gap of gap_s or more, by an end label at a later row, and by a start label of the row before."""
-    w = ordered(key, order)
+def label_segments(df: DataFrame, key: str, gap_s: int = 3600, ts: str = "ts_unix", order: list[str] = ORDER, ranges: str | None = None) -> DataFrame:
+    """trip_idx: raised by a gap of gap_s or more, by an end label at a later row, and by a start label of the row before.
+    ranges as in gap_segments."""
     labels = F.split(F.coalesce("annotation", F.lit("")), ";")
     has = lambda *names: F.arrays_overlap(labels, F.array(*map(F.lit, names))).cast("int")
-    df = df.withColumns({"_start": has("STOP_START", "GAP_START"), "_end": has("STOP_END", "GAP_END")})
-    gap = F.coalesce((F.col(ts) - F.lag(ts).over(w) >= gap_s).cast("int"), F.lit(0))
-    end = F.when(F.row_number().over(w) > 1, F.col("_end")).otherwise(0)
-    step = gap + end + F.coalesce(F.lag("_start").over(w), F.lit(0))
-    return df.withColumn("_step", step).withColumn("trip_idx", F.sum("_step").over(running(w))).drop("_start", "_end", "_step")
-
-
-def point_index(df: DataFrame, keys: list[str], order: list[str] = ORDER) -> DataFrame:
-    return df.withColumn("point_idx", F.row_number().over(ordered(keys, order)) - 1)
+    start, was, step, first = free(df, "_start", "_was", "_step", "_first")
+    df = df.withColumn(start, has("STOP_START", "GAP_START"))
+    before = F.struct(F.col(ts).alias("t"), F.col(start).alias("start"))
+    if ranges:
+        df = scan.previous(df.withColumn(step, before), [key], order, {was: step}, ranges, first)
+    else:
+        w = ordered(key, order)
+        df = df.withColumns({was: F.lag(before).over(w), first: F.row_number().over(w) == 1})
+    gap = F.coalesce((F.col(ts) - F.col(was)["t"] >= gap_s).cast("int"), F.lit(0))
+    end = F.when(F.col(first), 0).otherwise(has("STOP_END", "GAP_END"))
+    df = df.withColumn(step, gap + end + F.coalesce(F.col(was)["start"], F.lit(0)))
+    return _summed(df, key, order, step, "trip_idx", ranges).drop(start, was, step, first)
+
+
+def _summed(df: DataFrame, key: str, order: list[str], column: str, name: str, ranges: str | None) -> DataFrame:
+    if ranges:
+        return scan.running_total(df, [key], order, column, name, ranges)
+    return df.withColumn(name, F.sum(column).over(running(ordered(key, order))))
+
+
+def point_index(df: DataFrame, keys: list[str], order: list[str] = ORDER, ranges: str | None = None) -> DataFrame:
+    """point_idx: the row's place in its trajectory, from 0.  ranges as in gap_segments; those of a longer key will do."""
+    if not ranges:
+        return df.withColumn("point_idx", F.row_number().over(ordered(keys, order)) - 1)
+    (one,) = free(df, "_one")
+    out = scan.running_total(df.withColumn(one, F.lit(1)), keys, order, one, "point_idx", ranges)
+    return out.withColumn("point_idx", F.col("point_idx") - 1).drop(one)
 
 
 def trip_id(prefix: str, key: Column, idx: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..functions.scratch import settled
+from ..functions.scratch import few, settled
 
 
 def grid_sample(manifest: DataFrame, key: str, n: int, grid: int = 20) -> DataFrame:
@@ -47,20 +45,72 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(sizes), "_p").withColumn("_i", F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
 
 
-def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
-    """A row a group (one of all rows, without ``by``): exact percentiles of the column, linear between ranks, nulls left
-    out.  All groups are ranked together, so no task holds a group; a rank's weight falls to nothing one place beside the
-    percentile's."""
-    rows = numbered(df.select(*by, column).where(F.col(column).isNotNull()), *by, column)
-    if by:
-        groups = rows.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg((F.min("_i") - 1).alias("_first"), F.count("*").alias("_size"))
-        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
-        rows = rows.join(groups, reduce(lambda a, b: a & b, same))
-        place, size = F.col("_i") - F.col("_first"), F.col("_size")
-    else:
-        place, size = F.col("_i"), F.col("_n")
-    weight = lambda p: F.greatest(F.lit(0.0), 1 - F.abs((place - 1) - (size - 1) * p))
-    return rows.groupBy(*by).agg(*(F.sum(weight(p) * F.col(column)).alias(name) for name, p in shares.items()))
+BUCKET_ROWS = 100_000
+SHIFTS = (40, 20, 0)  # the bits of a value's order that a pass leaves out
+
+
+def ordered_bits(x: Column) -> Column:
+    """A long for each double, in the order of the doubles: the bits of its magnitude, negative for negative values.  Both
+    zeros are equal; NaN comes last."""
+    a = F.abs(x)
+    e = F.floor(F.log2(a))
+    e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
+    e = F.least(e, F.lit(1023))
+    share = lambda c: F.floor(c).cast("long")
+    normal = (e + 1023).cast("long") * F.lit(1 << 52) + share((a / F.pow(F.lit(2.0), e) - 1) * float(1 << 52))
+    size = F.when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0**-1022, share(a / 5e-324)).otherwise(normal)
+    return F.when(F.isnan(x), F.lit((2047 << 52) + 1)).when(x < 0, -size).otherwise(size)
+
+
+def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], sets: list[list[str]] | None = None) -> DataFrame:
+    """A row a group (one of all rows, without ``by``): exact percentiles of the column, linear between ranks, nulls left out, NaN
+    above all.  sets: several groupings by some of ``by``, the others null, and their number in _set.
+
+    Ranks are found by histograms that are refined, of the leading bits of the values' order: each pass counts only rows in the
+    buckets that hold a rank, until few distinct values are left.  Rows are counted where they lie, for all groupings at
+    once; what is shuffled are counts."""
+    x, k = "_x", "_k"
+    of = [f"_g{i}" for i in range(len(by))]
+    value = F.col(column).cast("double")
+    rows = settled(df.where(value.isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, of)), value.alias(x)).withColumn(k, ordered_bits(F.col(x))))
+    kinds = dict(rows.dtypes)
+    groups = F.array(*(
+        F.struct(F.lit(i).alias("_set"), *((F.col(g) if c in chosen else F.lit(None).cast(kinds[g])).alias(g) for c, g in zip(by, of))) for i, chosen in enumerate([by] if sets is None else sets)
+    ))
+    bounds = None  # of each group and rank wanted: the bucket it is in, and how many values come before that
+    for shift, above in zip(SHIFTS, (None, *SHIFTS)):
+        inside = rows
+        if bounds is not None:
+            inside = rows.join(few(bounds.select(F.col("bucket").alias("_in")).distinct()), F.shiftright(k, above) == F.col("_in"), "left_semi")
+        bucket = F.shiftright(k, shift).alias("bucket")
+        counted = inside.groupBy(*of, bucket).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        counted = counted.select(F.explode(groups).alias("g"), "bucket", "n", "low", "high").groupBy("g", "bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        w = Window.partitionBy("g").orderBy("bucket")
+        if bounds is None:
+            counted = counted.withColumn("upto", F.sum("n").over(w)).withColumn("size", F.sum("n").over(Window.partitionBy("g")))
+            place = lambda p: (F.col("size") - 1) * F.lit(p)
+            ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in shares.values()))))
+            ranks = F.filter(ranks, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+            found = counted.select("g", "bucket", "n", "size", "low", "high", (F.col("upto") - F.col("n")).alias("before"), F.explode(ranks).alias("rank"))
+        else:
+            wanted = bounds.select("g", F.col("bucket").alias("_in"), F.col("before").alias("_before"), "rank", "size")
+            w = Window.partitionBy("g", "rank").orderBy("bucket")
+            found = counted.withColumn("_in", F.shiftright("bucket", above - shift)).join(few(wanted), ["g", "_in"])
+            found = found.withColumn("upto", F.col("_before") + F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+            found = found.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))).select("g", "bucket", "n", "size", "low", "high", "before", "rank")
+        bounds = settled(found)
+        if shift == 0 or bounds.where("low < high").isEmpty():
+            break
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at")  # two ranks a percentile at most
+    ranked = bounds.groupBy("g", "size").agg(at)
+
+    def between(p: float) -> Column:
+        place = (F.col("size") - 1) * F.lit(p)
+        a, b = (F.element_at("at", f(place)) for f in (F.floor, F.ceil))
+        return F.when((a == b) | (place == F.floor(place)), a).otherwise(a + (b - a) * (place - F.floor(place)))
+
+    out = [between(p).alias(name) for name, p in shares.items()]
+    return ranked.select(*([F.col("g._set").alias("_set")] if sets is not None else []), *(F.col("g")[g].alias(c) for c, g in zip(by, of)), *out)
 
 
 def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -127,16 +177,17 @@ def interpolated(df: DataFrame, key: str, columns: tuple[str, ...] = ("lat", "lo
 
 
 def errors(df: DataFrame, levels: list[str]) -> DataFrame:
-    """n_points, mae, rmse, median and p90 of error_m, over all and by each of the levels."""
-    empty = [F.lit(None).cast(df.schema[c].dataType) for c in levels]
-    sets = [F.struct(F.lit(0).alias("_set"), *(e.alias(c) for c, e in zip(levels, empty)))]
-    sets += [F.struct(F.lit(i).alias("_set"), *((F.col(c) if c == level else e).alias(c) for c, e in zip(levels, empty))) for i, level in enumerate(levels, 1)]
-    each = df.select("error_m", F.explode(F.array(*sets)).alias("_s")).select("error_m", "_s.*")
-    by = ["_set", *levels]
-    means = each.groupBy(*by).agg(F.count("*").alias("n_points"), F.avg("error_m").alias("mae_m"), F.sqrt(F.avg(F.col("error_m") * F.col("error_m"))).alias("rmse_m"))
-    ranks = percentiles(each, by, "error_m", {"median_m": 0.5, "p90_m": 0.9}).withColumnsRenamed({c: f"_r{c}" for c in by})
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in by))
-    return means.join(ranks, same, "left").select(*levels, "n_points", "mae_m", "rmse_m", "median_m", "p90_m")
+    """n_points, mae, rmse, median and p90 of error_m, over all and by each of the levels.  Means are taken by all levels
+    together and added up, so that rows are not repeated for each level."""
+    n, total, squares = F.count("*"), F.sum("error_m"), F.sum(F.col("error_m") * F.col("error_m"))
+    fine = df.where("error_m is not null").groupBy(*levels).agg(n.alias("n"), total.alias("s"), squares.alias("q"))
+    sets = [[], *([c] for c in levels)]
+    kinds = dict(fine.dtypes)
+    groups = F.array(*(F.struct(F.lit(i).alias("_set"), *((F.col(c) if c in chosen else F.lit(None).cast(kinds[c])).alias(c) for c in levels)) for i, chosen in enumerate(sets)))
+    means = fine.select(F.explode(groups).alias("g"), "n", "s", "q").groupBy("g").agg(F.sum("n").alias("n_points"), (F.sum("s") / F.sum("n")).alias("mae_m"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse_m"))
+    ranks = percentiles(df, levels, "error_m", {"median_m": 0.5, "p90_m": 0.9}, sets)
+    ranks = ranks.select(F.struct("_set", *levels).alias("g"), "median_m", "p90_m")
+    return means.join(ranks, "g").select(*(F.col("g")[c].alias(c) for c in levels), "n_points", "mae_m", "rmse_m", "median_m", "p90_m")
 
 
 def recovery_error(lat: Column, lon: Column, lat_hat: Column, lon_hat: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..functions.names import free
 
 
 def _kept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], keeps: Callable[[tuple, tuple | None], bool]) -> DataFrame:
@@ -63,37 +63,85 @@ def denoise(df: DataFrame, keys: list[str], max_ms: float = 55.0, ts: str = "ts_
 
 def kalman_smoothed(df: DataFrame, keys: list[str], q: float = 1e-4, r: float = 1e-4, order: list[str] | None = None) -> DataFrame:
     """lat_s and lon_s: constant-velocity Kalman filter over the row's place in its trajectory, then the Rauch-Tung-Striebel
-    pass back.  A null or NaN position is a missing observation."""
-    order = order or ["ts_unix", "event_id"]
-    f = np.eye(4)
-    f[0, 2] = f[1, 3] = 1.0
-    h = np.eye(2, 4)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order, kind="stable")
-        z = x[["lat", "lon"]].to_numpy(float)
-        n = len(z)
-        seen = ~np.isnan(z).any(1)
-        m, p = np.zeros(4), np.eye(4)
-        if seen.any():
-            m[:2] = z[np.argmax(seen)]
-        ms, ps, mp, pp = np.zeros((n, 4)), np.zeros((n, 4, 4)), np.zeros((n, 4)), np.zeros((n, 4, 4))
-        for i in range(n):
-            if i:
-                m, p = f @ m, f @ p @ f.T + q * np.eye(4)
-            mp[i], pp[i] = m, p
-            if seen[i]:
-                k = p @ h.T @ np.linalg.inv(h @ p @ h.T + r * np.eye(2))
-                m, p = m + k @ (z[i] - h @ m), (np.eye(4) - k @ h) @ p
-            ms[i], ps[i] = m, p
-        for i in range(n - 2, -1, -1):
-            c = ps[i] @ f.T @ np.linalg.inv(pp[i + 1])
-            ms[i] += c @ (ms[i + 1] - mp[i + 1])
-            ps[i] += c @ (ps[i + 1] - pp[i + 1]) @ c.T
-        return x.assign(lat_s=ms[:, 0], lon_s=ms[:, 1])
-
-    schema = StructType([*df.schema.fields, StructField("lat_s", DoubleType()), StructField("lon_s", DoubleType())])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    pass back.  A null or NaN position is a missing observation; a trajectory without any has nulls.
+
+    The filter starts at the first position seen, at rest, with covariance one, and predicts before each row, the first too.
+    Latitude and longitude share one covariance of position and velocity.  A forward pass over sorted partitions stores the
+    filter's states beside the rows, and a backward pass goes over the same partitions in reverse; each carries one row."""
+    by = [F.col(c) for c in order or ["ts_unix", "event_id"]]
+    new, end, state = free(df, "_new", "_end", "_state")
+    names = df.columns
+    w = Window.partitionBy(*keys)
+    starts = F.row_number().over(w.orderBy(*(c.asc_nulls_last() for c in by))) == 1
+    seen = lambda t: [t.column(c).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).tolist() for c in ("lat", "lon")]
+    known = lambda v: v is not None and v == v
+
+    def predicted(s: tuple) -> tuple:
+        x, y, u, v, a, b, c = s
+        return (x + u, y + v, u, v, a + 2 * b + c + q, b + c, c + q)
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, started = None, False
+        for t in batches:
+            out = []
+            for first, lat, lon in zip(t.column(new).to_pylist(), *seen(t)):
+                if first:
+                    s, started = (0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0), False
+                here = known(lat) and known(lon)
+                if here and not started:  # rows before it are predicted to be where it is; the pass back puts them there
+                    s, started = (lat, lon, 0.0, 0.0, *s[4:]), True
+                x, y, u, v, a, b, c = predicted(s)
+                if here:
+                    k, g = a / (a + r), b / (a + r)
+                    dx, dy = lat - x, lon - y
+                    x, y, u, v, a, b, c = x + k * dx, y + k * dy, u + g * dx, v + g * dy, (1 - k) * a, (1 - k) * b, c - g * b
+                s = (x, y, u, v, a, b, c)
+                out.append([float(started), *s])
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, state])
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later, place = None, None  # the smoothed state of the row after, and the first position seen in what is left
+        for t in batches:
+            lats, lons = [], []
+            for last, s, lat, lon in zip(t.column(end).to_pylist(), t.column(state).to_pylist(), *seen(t)):
+                started, s = s[0], tuple(s[1:])
+                if last:
+                    later, place = None, None
+                if not started:
+                    s = None if place is None else (*place, 0.0, 0.0, *s[4:])
+                elif known(lat) and known(lon):
+                    place = (lat, lon)
+                if s is not None and later is not None:
+                    px, py, pu, pv, pa_, pb, pc = predicted(s)
+                    x, y, u, v, a, b, c = s
+                    det = pa_ * pc - pb * pb
+                    # C = P F' inv(P of the prediction)
+                    xx, xv = ((a + b) * pc - b * pb) / det, (b * pa_ - (a + b) * pb) / det
+                    vx, vv = ((b + c) * pc - c * pb) / det, (c * pa_ - (b + c) * pb) / det
+                    dx, dy, du, dv = later[0] - px, later[1] - py, later[2] - pu, later[3] - pv
+                    s = (x + xx * dx + xv * du, y + xx * dy + xv * dv, u + vx * dx + vv * du, v + vx * dy + vv * dv, a, b, c)
+                later = s
+                lats.append(None if s is None else s[0])
+                lons.append(None if s is None else s[1])
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(lats, pa.float64()), pa.array(lons, pa.float64())], names=[*names, "lat_s", "lon_s"])
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *(c.asc_nulls_last() for c in by)).withColumn(new, starts)
+    filtered = placed.mapInArrow(forward, StructType([*df.schema.fields, StructField(state, ArrayType(DoubleType()))]))
+    # Partitions stay as they are: a trajectory is whole in one of them, and only their order is turned around.
+    turned = filtered.withColumn(end, F.monotonically_increasing_id()).sortWithinPartitions(F.desc(end))
+    changed = lambda a, b: any(not (x is None and y is None) and x != y for x, y in zip(a, b))
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In place of the row's number, whether it is the last of its trajectory (the first here)."""
+        before = None
+        for t in batches:
+            ids, out = list(zip(*(t.column(k).to_pylist() for k in keys))), []
+            for i in ids:
+                out.append(before is None or changed(i, before))
+                before = i
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (*names, state)), pa.array(out, pa.bool_())], names=[*names, state, end])
+
+    return turned.mapInArrow(lambda batches: backward(ended(batches)), StructType([*df.schema.fields, StructField("lat_s", DoubleType()), StructField("lon_s", DoubleType())]))
 
 
 def subsampled(df: DataFrame, keys: list[str], most: int, seed: int = 42, order: list[str] | None = None) -> DataFrame:

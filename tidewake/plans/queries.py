@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
-from ..operators import context, describe, ingest, layers, masks, motion, resample, roads, segment, tasks, thin
+from ..operators import context, describe, ingest, layers, masks, motion, resample, roads, scan, segment, tasks, thin, zones
 from ..sources import demo, readers, sinks
 
 GAP, LEAST = 86400, 5
@@ -127,6 +127,22 @@ def vessel_info(spark, d):
     return ingest.vessel_info(demo.points(spark, d))
 
 
+_HOT = PTS.replace("user_id AS mmsi", "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS mmsi")
+
+
+@query(f"""WITH {_HOT}, f AS (SELECT *, last_value(CASE WHEN event_id % 5 = 0 THEN sog END IGNORE NULLS) OVER w AS s, CASE WHEN ts_unix - lag(ts_unix) OVER w > 600 THEN 1 ELSE 0 END AS sp,
+  CASE WHEN ts_unix - lag(ts_unix) OVER w >= 600 THEN 1 ELSE 0 END + CASE WHEN row_number() OVER w > 1 AND annotation IN ('STOP_END','GAP_END') THEN 1 ELSE 0 END + CASE WHEN coalesce(lag(annotation) OVER w, '') IN ('STOP_START','GAP_START') THEN 1 ELSE 0 END AS inc
+  FROM pts WINDOW w AS (PARTITION BY mmsi ORDER BY ts_unix, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT event_id, s, CAST(sum(sp) OVER w AS BIGINT) AS seg, CAST(sum(inc) OVER w AS BIGINT) AS trip_idx, row_number() OVER w - 1 AS point_idx FROM f WINDOW w AS (PARTITION BY mmsi ORDER BY ts_unix, event_id ROWS UNBOUNDED PRECEDING)""")
+def hot_vessel(spark, d):
+    """Forward fill, both segmentations and places, where one vessel has a third of all rows: by ranges of 1,000 rows."""
+    p = demo.points(spark, d).withColumns({"mmsi": F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("mmsi")), "s": F.when(F.col("event_id") % 5 == 0, F.col("sog"))})
+    p = scan.with_ranges(p, ["mmsi"], rows=1000)
+    p = ingest.forward_filled(p, "mmsi", segment.ORDER, ["s"], "range")
+    p = segment.label_segments(segment.gap_segments(p, "mmsi", 600, ranges="range"), "mmsi", 600, ranges="range")
+    return segment.point_index(p, ["mmsi"], ranges="range").select("event_id", "s", "seg", "trip_idx", "point_idx")
+
+
 @query(f"WITH {SEG} SELECT event_id, mmsi, seg, row_number() OVER (PARTITION BY mmsi, seg ORDER BY ts_unix, event_id) - 1 AS point_idx FROM segs")
 def gap_segments(spark, d):
     return segment.point_index(segments(spark, d), KEYS).select("event_id", "mmsi", "seg", "point_idx")
@@ -182,9 +198,9 @@ def speed_accel_phase(spark, d):
     return motion.kinematics(segments(spark, d), KEYS).select("event_id", F.round("speed_ms", 6).alias("speed_ms"), (F.round("accel_ms2", 6) + 0.0).alias("accel_ms2"), "phase")
 
 
-@query(f"WITH {PTS} SELECT event_id, round((((heading - cog + 180) % 360) + 360) % 360 - 180, 2) AS diff FROM pts")
+@query(f"WITH {PTS} SELECT event_id, round_even(((((heading + event_id % 8 * 0.125 - cog + 180) % 360) + 360) % 360 - 180)*100, 0)/100 AS diff FROM pts")
 def heading_cog_diff(spark, d):
-    return demo.points(spark, d).select("event_id", geo.angle_difference(F.col("heading"), F.col("cog")).alias("diff"))
+    return demo.points(spark, d).select("event_id", geo.angle_difference(F.col("heading") + F.col("event_id") % 8 * 0.125, F.col("cog")).alias("diff"))
 
 
 @query(f"""WITH {PTS} SELECT event_id, CASE WHEN annotation IN ('GAP_START','GAP_END') THEN 'communication_gap' WHEN annotation = 'STOP_START' THEN CASE WHEN sog < 0.5 THEN 'at_berth' ELSE 'anchored' END
@@ -276,21 +292,22 @@ _ZONES = "z AS (SELECT CAST(n_nationkey AS BIGINT) AS zone_id, n_name AS name, 1
 @query(f"WITH {PTS}, {_ZONES}, h AS (SELECT event_id, min(zone_id) AS zone_id FROM pts, z WHERE lon > x0 AND lon < x0+0.5 AND lat > y0 AND lat < y0+0.2 GROUP BY 1) SELECT event_id, h.zone_id, z.name AS zone FROM pts LEFT JOIN h USING (event_id) LEFT JOIN z ON z.zone_id = h.zone_id")  # noqa: E501
 def point_in_polygon(spark, d):
     p = demo.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return context.in_polygon(p, demo.zones(spark, d).withColumnRenamed("name", "zone"), "event_id", "zone_id", ["zone_id", "zone"]).select("event_id", "zone_id", "zone")
+    return zones.in_polygon(p, demo.zones(spark, d).withColumnRenamed("name", "zone"), "event_id", "zone_id", ["zone_id", "zone"]).select("event_id", "zone_id", "zone")
 
 
 @query(f"WITH {PTS}, {_ZONES} SELECT event_id, (SELECT min(name) FROM z WHERE lon > x0 AND lon < x0+0.5 AND lat > y0 AND lat < y0+0.2) AS land_use FROM pts")
 def landuse_tie(spark, d):
     p = demo.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return context.in_polygon(p, demo.zones(spark, d).withColumnRenamed("name", "land_use"), "event_id", "land_use", ["land_use"]).select("event_id", "land_use")
+    return zones.in_polygon(p, demo.zones(spark, d).withColumnRenamed("name", "land_use"), "event_id", "land_use", ["land_use"]).select("event_id", "land_use")
 
 
 @query(f"""WITH {_NEAR} SELECT event_id, CASE WHEN event_id % 9 = 0 AND b[1]*60 < 0.5 THEN 'berthed' WHEN b[1]*60 < 5 THEN 'port_approach' WHEN b[1]*60 < 20 THEN 'coastal'
-  WHEN annotation = 'STOP_START' AND event_id % 9 <> 0 AND b[1]*60 >= 5 THEN 'open_anchorage' ELSE 'offshore' END AS label FROM near JOIN pts USING (event_id)""")
+  WHEN annotation IN ('STOP_START', 'STOP_END') AND event_id % 9 <> 0 THEN 'open_anchorage' ELSE 'offshore' END AS label FROM pts LEFT JOIN near ON near.event_id = pts.event_id AND pts.event_id % 10 <> 3""".replace("SELECT event_id, CASE WHEN event_id", "SELECT pts.event_id, CASE WHEN pts.event_id").replace("AND event_id % 9 <> 0 THEN", "AND pts.event_id % 9 <> 0 THEN"))
 def port_label(spark, d):
-    p = demo.points(spark, d).select("event_id", "lat", "lon", "annotation")
+    """Positions without a latitude have no port, which counts as a far one."""
+    p = demo.points(spark, d).select("event_id", F.when(F.col("event_id") % 10 != 3, F.col("lat")).alias("lat"), "lon", "annotation")
     out = p.join(context.nearest(p, demo.ports(spark, d), "event_id"), "event_id", "left")
-    return out.select("event_id", context.port_label(F.col("annotation") == "STOP_START", F.col("event_id") % 9 == 0, F.col("nm")).alias("label"))
+    return out.select("event_id", context.port_label(F.col("annotation").isin("STOP_START", "STOP_END"), F.col("event_id") % 9 == 0, F.col("nm")).alias("label"))
 
 
 _POI = """q AS (SELECT o_orderkey AS k, CAST(o_orderkey*7919 % 20000 AS DOUBLE) AS x, CAST(o_orderkey*104729 % 20000 AS DOUBLE) AS y FROM orders),
@@ -333,12 +350,26 @@ _NODES = "nodes AS (SELECT i, j, CASE WHEN (i + j) % 11 = 0 THEN NULL ELSE (i*31
 _AT = lambda c, low, step, n: f"CAST(least(greatest(floor(({c}-{low})/{step}+0.5), 0), {n - 1}) AS BIGINT)"
 
 
-@query(f"WITH {PTS}, {_NODES} SELECT event_id, CASE WHEN elevation < 0 THEN round(abs(elevation), 1) END AS depth FROM pts LEFT JOIN nodes ON i = {_AT('lat', 55, 0.0625, 17)} AND j = {_AT('lon', 10, 0.0625, 33)}")
+@query(f"WITH {PTS}, {_NODES} SELECT event_id, CASE WHEN elevation < 0 THEN round_even(abs(elevation)*10, 0)/10 END AS depth FROM pts LEFT JOIN nodes ON i = {_AT('lat', 55, 0.0625, 17)} AND j = {_AT('lon', 10, 0.0625, 33)}")
 def raster_depth(spark, d):
     out = layers.raster_at(demo.points(spark, d), demo.elevations(spark), {"lat": (55.0, 0.0625, 17), "lon": (10.0, 0.0625, 33)}, ["elevation"])
     return out.select("event_id", layers.depth(F.col("elevation")).alias("depth"))
 
 
+_UNEVEN = """ny AS (SELECT i, 55 + i*i*0.015625 AS y FROM range(8) t(i)), nx AS (SELECT j, 10 + j*j*0.03125 AS x FROM range(8) t(j)),
+  py AS (SELECT *, i AS k, (lag(y) OVER (ORDER BY i) + y)/2 AS a, (lead(y) OVER (ORDER BY i) + y)/2 AS b FROM ny), px AS (SELECT *, (lag(x) OVER (ORDER BY j) + x)/2 AS a, (lead(x) OVER (ORDER BY j) + x)/2 AS b FROM nx)"""
+
+
+@query(f"""WITH {PTS}, {_UNEVEN}, q AS (SELECT event_id, floor(lat*64)/64 AS lat, floor(lon*32)/32 AS lon FROM pts)
+  SELECT event_id, CASE WHEN (i + j) % 5 <> 0 AND (i*31 + j*17) % 50 - 30.25 < 0 THEN round_even(abs((i*31 + j*17) % 50 - 30.25)*10, 0)/10 END AS depth
+  FROM q JOIN py ON lat >= coalesce(py.a, -1e9) AND lat < coalesce(py.b, 1e9) JOIN px ON lon >= coalesce(px.a, -1e9) AND lon < coalesce(px.b, 1e9)""")
+def uneven_raster(spark, d):
+    """Depths from a raster of unevenly spaced nodes; positions are rounded, so that many lie just between two of them."""
+    p = demo.points(spark, d).select("event_id", (F.floor(F.col("lat") * 64) / 64).alias("lat"), (F.floor(F.col("lon") * 32) / 32).alias("lon"))
+    out = layers.raster_at(p, demo.uneven_elevations(spark), {"lat": None, "lon": None}, ["elevation"])
+    return out.select("event_id", layers.depth(F.col("elevation")).alias("depth"))
+
+
 _WINDOWS = "w AS (SELECT DISTINCT CAST(floor(ts_unix/259200) AS BIGINT)*259200 AS s FROM pts WHERE CAST(floor(ts_unix/259200) AS BIGINT) % 2 = 1)"
 _IN_WINDOW = "coalesce((SELECT max(s) FROM w WHERE s <= ts_unix), (SELECT min(s) FROM w))"
 
@@ -351,7 +382,7 @@ def asof_window(spark, d):
 
 @query(f"""WITH {PTS}, {_WINDOWS}, x AS (SELECT *, {_IN_WINDOW} AS s FROM pts), a AS (SELECT *, {_AT('ts_unix', 's', 21600, 12)} AS k, {_AT('lat', 55, 0.5, 3)} AS i, {_AT('lon', 10, 0.5, 5)} AS j FROM x),
   v AS (SELECT *, CASE WHEN (i + j + k) % 7 = 0 THEN NULL ELSE (i*7 + j*5 + k*3 + s // 259200) % 40 / 8.0 END AS wave, CASE WHEN (i + 2*j + k) % 5 = 0 THEN 'NaN'::DOUBLE ELSE ((i*3 + j*11 + k*5) % 21 - 10) / 8.0 END AS u, ((i*13 + j*3 + k*7) % 21 - 10) / 8.0 + 0.0625 AS v FROM a)
-  SELECT event_id, round(wave, 2) AS wave_height_m, CASE WHEN NOT isnan(u) THEN round(sqrt(u*u + v*v), 3) END AS current_speed_ms, CASE WHEN NOT isnan(u) THEN round(((degrees(atan2(u, v)) + 360) % 360 + 360) % 360, 1) END AS current_dir_deg FROM v""")
+  SELECT event_id, round_even(wave*100, 0)/100 AS wave_height_m, CASE WHEN NOT isnan(u) THEN round_even(sqrt(u*u + v*v)*1000, 0)/1000 END AS current_speed_ms, CASE WHEN NOT isnan(u) THEN round_even((((degrees(atan2(u, v)) + 360) % 360 + 360) % 360)*10, 0)/10 END AS current_dir_deg FROM v""")
 def ocean_lookup(spark, d):
     """Waves and currents of the nearest node in time and place, in the window that a position is in."""
     p = demo.points(spark, d)
@@ -359,7 +390,7 @@ def ocean_lookup(spark, d):
     at = layers.window_start(p, windows).withColumn("time", F.col("ts_unix"))
     axes = {"time": ("w_start", 21600, 12), "lat": (55.0, 0.5, 3), "lon": (10.0, 0.5, 5)}
     out = layers.raster_at(at, demo.ocean(windows), axes, ["wave", "u", "v"], keys=("w_start",))
-    return out.select("event_id", F.round("wave", 2).alias("wave_height_m"), F.round(geo.speed_from_components(F.col("u"), F.col("v"), 1.0), 3).alias("current_speed_ms"), F.round(geo.current_direction(F.col("u"), F.col("v")), 1).alias("current_dir_deg"))
+    return out.select("event_id", geo.half_even(F.col("wave"), 2).alias("wave_height_m"), geo.half_even(geo.speed_from_components(F.col("u"), F.col("v"), 1.0), 3).alias("current_speed_ms"), geo.half_even(geo.current_direction(F.col("u"), F.col("v")), 1).alias("current_dir_deg"))
 
 
 _CODES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in layers.WMO.items())
@@ -371,7 +402,7 @@ _CODES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in layers.WMO.items())
   CASE WHEN known THEN c ELSE -1 END AS weather_code, CASE WHEN known THEN coalesce(CASE c {_CODES} END, 'unknown') ELSE 'unknown' END AS weather_description FROM h""")
 def weather_lookup(spark, d):
     p = demo.points(spark, d).withColumn("city", F.concat(F.lit("city "), (F.col("mmsi") % 5).cast("string")))
-    out = layers.hourly(p, demo.weather(p), ["city"])
+    out = layers.hourly(p, demo.weather(p).withColumn("city", F.initcap("city")), ["city"])
     return out.select("event_id", "temperature_c", "precipitation_mm", "wind_speed_kmh", "wind_direction_deg", "weather_code", "weather_description")
 
 
@@ -381,7 +412,31 @@ def weather_lookup(spark, d):
 def polygon_parts(spark, d):
     """Zones of two parts, one of them with a hole."""
     p = demo.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return context.in_polygon(p, demo.parted_zones(spark, d), "event_id", "zone_id", ["zone_id", "zone"]).select("event_id", "zone_id", "zone")
+    return zones.in_polygon(p, demo.parted_zones(spark, d), "event_id", "zone_id", ["zone_id", "zone"]).select("event_id", "zone_id", "zone")
+
+
+_RING = """z AS (SELECT n_nationkey AS k, n_name AS name, 11.0 + (n_nationkey % 5 - 2)*0.3 AS cx, 55.5 + (n_nationkey % 7 - 3)*0.1 AS cy, 0.15 + n_nationkey*0.01 AS r FROM nation),
+  i AS (SELECT event_id, k, name, sqrt(pow(lon-cx,2) + pow(lat-cy,2))/r AS d, atan2(lat-cy, lon-cx) AS t FROM pts, z WHERE abs(lon-cx) <= 1.002*r AND abs(lat-cy) <= 1.002*r)"""
+
+
+def _first_zone(least: int, n: int, name: str = "name") -> str:
+    return f"(SELECT arg_min({name}, k) FROM i WHERE i.event_id = pts.event_id AND k % {n} = {least} AND d < 0.999)"
+
+
+@query(f"""WITH {PTS}, {_RING}, {_PORTS}, u AS (SELECT event_id, arg_min((sqrt(pow(lat-plat,2)+pow(lon-plon,2)), name), (sqrt(pow(lat-plat,2)+pow(lon-plon,2)), port_id)) AS b FROM pts, ports GROUP BY 1),
+  o AS (SELECT pts.event_id, annotation, round_even(b[1]*60*100, 0)/100 AS nearest_port_nm, b[2] AS nearest_port_name, coalesce({_first_zone(0, 5)} IS NOT NULL, FALSE) AS in_port_zone, {_first_zone(1, 5)} AS m, {_first_zone(2, 5)} AS t, {_first_zone(3, 5)} AS s, {_first_zone(4, 5)} AS e,
+    (SELECT min(k) FROM i WHERE i.event_id = pts.event_id AND k % 5 = 4 AND d < 0.999) AS ek FROM pts JOIN u USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.event_id = pts.event_id AND d BETWEEN 0.999 AND 1.001))
+  SELECT event_id, nearest_port_nm, nearest_port_name, CASE WHEN in_port_zone AND nearest_port_nm < 0.5 THEN 'berthed' WHEN nearest_port_nm < 5 THEN 'port_approach' WHEN nearest_port_nm < 20 THEN 'coastal' WHEN annotation IN ('STOP_START', 'STOP_END') AND NOT in_port_zone THEN 'open_anchorage' ELSE 'offshore' END AS port_proximity_label,
+    in_port_zone, m IS NOT NULL AS in_mpa, coalesce(m, '') AS mpa_name, t IS NOT NULL AS in_tss, coalesce(t, '') AS tss_name, coalesce(s, '') AS sea_area_name, coalesce(e[1:3], 'high_seas') AS eez_country_iso, coalesce(ek % 2 = 0, FALSE) AS in_territorial_sea FROM o""")
+def maritime_zones(spark, d):
+    """Ports and zones of positions: round zones of 720 corners; positions within a thousandth of a shore are left out, as the
+    other side has true circles."""
+    p = demo.points(spark, d).select("event_id", "lat", "lon", "annotation")
+    z = demo.round_zones(spark, d)
+    of = lambda n: z.where(F.col("zone_order") % 5 == n)
+    out = zones.with_maritime_context(p, "event_id", demo.ports(spark, d), of(0), of(1).withColumnRenamed("name", "name_int"), of(2).withColumnRenamed("name", "name_int"), of(3), of(4).withColumnsRenamed({"name": "SOVEREIGN1", "kind": "POL_TYPE"}))
+    shore = demo.near_shores(p, spark, d)
+    return out.join(shore, "event_id", "left_anti").drop("lat", "lon", "annotation")
 
 
 @query(f"""WITH {PTS}, x AS (SELECT *, to_timestamp(ts_unix) AT TIME ZONE 'UTC' AS t FROM pts) SELECT event_id, greatest(0.0, least(1.0, sog/30)) AS speed_n, greatest(-1.0, least(1.0, cog/180 - 1)) AS heading_n, greatest(-1.0, least(1.0, (heading - 260)*4/720)) AS turn_n,
@@ -554,10 +609,26 @@ def denoise(spark, d):
     return thin.denoise(demo.points(spark, d).select("event_id", "mmsi", "ts_unix", "lat", "lon"), ["mmsi"], 5.0).select("event_id")
 
 
-@query()
+_HIDDEN = "event_id % 4 = 1"
+_STEP = "f.a + 2*f.b + f.c + 1e-4"
+
+
+@query(f"""WITH RECURSIVE {PTS}, o AS (SELECT mmsi, event_id, CASE WHEN NOT {_HIDDEN} THEN lat END AS lat, CASE WHEN NOT {_HIDDEN} THEN lon END AS lon, row_number() OVER (PARTITION BY mmsi ORDER BY ts_unix, event_id) AS i FROM pts),
+  z AS (SELECT mmsi, arg_min(lat, i) AS lat, arg_min(lon, i) AS lon FROM o WHERE lat IS NOT NULL GROUP BY 1),
+  f AS (SELECT mmsi, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, lat AS x, lon AS y, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM z UNION ALL
+    SELECT mmsi, i, event_id, x + k*(coalesce(lat, x) - x), y + k*(coalesce(lon, y) - y), u + g*(coalesce(lat, x) - x), v + g*(coalesce(lon, y) - y), CASE WHEN lat IS NULL THEN a ELSE (1-k)*a END, CASE WHEN lat IS NULL THEN b ELSE (1-k)*b END, CASE WHEN lat IS NULL THEN c ELSE c - g*b END FROM (
+      SELECT *, a/(a + 1e-4) AS k, b/(a + 1e-4) AS g FROM (SELECT o.mmsi, o.i, o.event_id, o.lat, o.lon, f.x + f.u AS x, f.y + f.v AS y, f.u, f.v, {_STEP} AS a, f.b + f.c AS b, f.c + 1e-4 AS c FROM f JOIN o ON o.mmsi = f.mmsi AND o.i = f.i + 1))),
+  l AS (SELECT mmsi, max(i) AS n FROM o GROUP BY 1),
+  s AS (SELECT f.mmsi, f.i, f.event_id, f.x, f.y, f.u, f.v FROM f JOIN l ON l.mmsi = f.mmsi AND f.i = l.n UNION ALL
+    SELECT mmsi, i, event_id, x + xx*dx + xv*du, y + xx*dy + xv*dv, u + vx*dx + vv*du, v + vx*dy + vv*dv FROM (
+      SELECT *, ((a+b)*pc - b*pb)/det AS xx, (b*pa - (a+b)*pb)/det AS xv, ((b+c)*pc - c*pb)/det AS vx, (c*pa - (b+c)*pb)/det AS vv FROM (
+        SELECT *, pa*pc - pb*pb AS det FROM (SELECT f.*, s.x - f.x - f.u AS dx, s.y - f.y - f.v AS dy, s.u - f.u AS du, s.v - f.v AS dv, {_STEP} AS pa, f.b + f.c AS pb, f.c + 1e-4 AS pc FROM s JOIN f ON f.mmsi = s.mmsi AND f.i = s.i - 1 AND f.i > 0))))
+  SELECT event_id, round(x, 6) AS lat_s, round(y, 6) AS lon_s FROM s""")
 def kalman_smooth(spark, d):
-    out = thin.kalman_smoothed(demo.points(spark, d).select("event_id", "mmsi", "ts_unix", "lat", "lon"), ["mmsi"])
-    return out.select("event_id", F.round("lat_s", 6).alias("lat_s"), F.round("lon_s", 6).alias("lon_s"))
+    """Positions smoothed, a quarter of them hidden."""
+    seen = lambda c: F.when(F.col("event_id") % 4 != 1, F.col(c)).alias(c)
+    out = thin.kalman_smoothed(demo.points(spark, d).select("event_id", "mmsi", "ts_unix", seen("lat"), seen("lon")), ["mmsi"])
+    return out.where("lat_s is not null").select("event_id", F.round("lat_s", 6).alias("lat_s"), F.round("lon_s", 6).alias("lon_s"))
 
 
 _ROADS = """e AS (SELECT s_suppkey AS edge_id, CAST(s_suppkey*7919 % 20000 AS DOUBLE) AS ax, CAST(s_suppkey*6271 % 20000 AS DOUBLE) AS ay, CAST(s_suppkey*7919 % 20000 + 700 AS DOUBLE) AS bx, CAST(s_suppkey*6271 % 20000 + s_suppkey % 900 AS DOUBLE) AS byy FROM supplier),
@@ -566,22 +637,53 @@ _ROADS = """e AS (SELECT s_suppkey AS edge_id, CAST(s_suppkey*7919 % 20000 AS DO
   d AS (SELECT k, edge_id, sqrt(pow(x-ax-t*(bx-ax),2)+pow(y-ay-t*(byy-ay),2)) AS d FROM t)"""
 
 
-@query(f"WITH {_ROADS} SELECT k, arg_min(edge_id, (round(d, 9), edge_id)) AS edge_id, round(min(d), 5) AS d FROM d WHERE d <= 500 GROUP BY k")
+@query(f"WITH {_ROADS} SELECT k, arg_min(edge_id, (round(d, 9), edge_id)) AS edge_id, round(min(d), 5) AS d FROM d GROUP BY k")
 def nearest_road(spark, d):
     s, q = F.col("s_suppkey"), _poi_points(spark, d)
     ax, ay = (s * 7919 % 20000).cast("double"), (s * 6271 % 20000).cast("double")
     line = F.array(F.struct(ax.alias("x"), ay.alias("y")), F.struct((ax + 700).alias("x"), (ay + s % 900).alias("y")))
-    out = roads.nearest_edge(q, demo.table(spark, d, "supplier").select(s.alias("edge_id"), line.alias("line")), "k", 500.0)
+    out = roads.nearest_edge(q, demo.table(spark, d, "supplier").select(s.alias("edge_id"), line.alias("line")), "k")
     return out.withColumn("d", F.round("d", 5))
 
 
 @query(f"""WITH {PTS}, v AS (SELECT DISTINCT CAST(floor((lat-55)*20) AS BIGINT) AS i, CAST(floor((lon-10)*10) AS BIGINT) AS j FROM pts), c AS (SELECT i*1000 + j AS cell, i, j FROM v),
-  n AS (SELECT a.cell, b.cell AS neighbour, sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)) AS d FROM c a JOIN c b ON abs(a.i-b.i) <= 2 AND abs(a.j-b.j) <= 2)
+  n AS (SELECT a.cell, b.cell AS neighbour, sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)) AS d FROM c a, c b)
   SELECT cell, neighbour, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, neighbour) AS rank FROM n) WHERE rank <= 6""")
 def knn_cells(spark, d):
     i, j = F.floor((F.col("lat") - 55) * 20), F.floor((F.col("lon") - 10) * 10)
     v = demo.points(spark, d).select(i.alias("i"), j.alias("j")).distinct().withColumn("cell", F.col("i") * 1000 + F.col("j"))
-    return roads.nearest_cells(v, 6, 2).withColumn("d", F.round("d", 6))
+    return roads.nearest_cells(v, 6).withColumn("d", F.round("d", 6))
+
+
+@query(f"""WITH {PTS}, p AS (SELECT event_id, CAST(floor((lat-55)*20) AS BIGINT) AS i, CAST(floor((lon-10)*10) AS BIGINT) AS j, lon >= 10.1 AND lon < 11.9 AND lat >= 55.1 AND lat < 55.9 AS inside FROM pts),
+  c AS (SELECT i*1000 + j AS cell, i, j, count(*) AS n FROM p GROUP BY ALL), v AS (SELECT *, row_number() OVER (ORDER BY n DESC, cell) + 3 AS token FROM c QUALIFY row_number() OVER (ORDER BY n DESC, cell) <= 60),
+  near AS (SELECT c.cell, arg_min(v.token, (sqrt((c.i-v.i)*(c.i-v.i)+(c.j-v.j)*(c.j-v.j)), v.cell)) AS token FROM c, v GROUP BY 1)
+  SELECT event_id, CAST(CASE WHEN inside THEN token ELSE 3 END AS INTEGER) AS token FROM p JOIN near ON near.cell = p.i*1000 + p.j""")
+def vocab_tokens(spark, d):
+    """Tokens of positions: their cell's or the nearest known cell's, and one for all outside the region."""
+    p = _celled(spark, d).withColumns({"i": F.floor((F.col("lat") - 55) * 20), "j": F.floor((F.col("lon") - 10) * 10)})
+    v = tasks.vocabulary(p, "cell", most=60).withColumns({"i": F.floor(F.col("cell") / 1000), "j": F.col("cell") % 1000})
+    return roads.vocabulary_tokens(p, v, (10.1, 55.1, 11.9, 55.9)).select("event_id", "token")
+
+
+@query(f"""WITH {PTS}, e AS (SELECT s_suppkey AS edge_id, 10 + ((s_suppkey*6271) % 100000)/50000.0 AS ax, 55 + ((s_suppkey*7919) % 100000)/100000.0 AS ay, (s_suppkey % 7) * 0.01 AS w FROM supplier),
+  q AS (SELECT event_id, round_even(lon, 3) AS x, round_even(lat, 3) AS y FROM pts), u AS (SELECT DISTINCT x, y FROM q),
+  t AS (SELECT x, y, edge_id, ax, ay, w, CASE WHEN w > 0 THEN greatest(0, least(1, (x-ax)/w)) ELSE 0 END AS t FROM u, e),
+  n AS (SELECT x, y, arg_min(edge_id, (round(sqrt(pow(x-ax-t*w,2)+pow(y-ay,2)), 12), edge_id)) AS k FROM t GROUP BY 1, 2)
+  SELECT event_id, CASE k % 5 WHEN 0 THEN 'unclassified' WHEN 1 THEN 'primary' ELSE 'residential' END AS road_type, CASE WHEN k % 3 = 0 THEN '' ELSE 'Road ' || k END AS road_name,
+    CAST(CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 50 ELSE 80 END AS DOUBLE) AS speed_limit_kmh, CAST(CASE WHEN k % 6 = 0 THEN 0 ELSE k % 6 END AS INTEGER) AS road_lanes, k % 2 = 1 AS road_oneway FROM q JOIN n USING (x, y)""")
+def road_attributes(spark, d):
+    """The attributes of the nearest road of each position, found once a place rounded to three digits."""
+    k = F.col("s_suppkey")
+    lat, lon = demo.place(k, F.lit(0))
+    s = demo.table(spark, d, "supplier").select(k, lat.alias("y"), lon.alias("x"))
+    line = F.array(F.struct("x", "y"), F.struct((F.col("x") + k % 7 * 0.01).alias("x"), "y"))
+    edges = s.select(
+        k.alias("edge_id"), line.alias("line"), F.when(k % 5 == 1, "['primary', 'trunk']").when(k % 5 > 1, "residential").alias("highway"), F.when(k % 3 != 0, F.concat(F.lit("Road "), k.cast("string"))).alias("name"),
+        F.when(k % 4 == 1, "50 mph;80").when(k % 4 > 1, "['80', '50']").alias("maxspeed"), F.when(k % 6 != 0, (k % 6).cast("string")).alias("lanes"), (k % 2 == 1).cast("string").alias("oneway"),
+    )
+    out = context.via_unique(demo.points(spark, d), 3, lambda u: roads.with_roads(u.withColumn("place", F.struct("lat", "lon")), edges, "place").drop("place"))
+    return out.select("event_id", *roads.NO_ROADS)
 
 
 @query(f"WITH {PTS} SELECT count(*) AS n_rows, count(DISTINCT mmsi) AS n_trajectories, min(ts_unix) AS start_ts, max(ts_unix) AS end_ts FROM pts")
@@ -589,14 +691,11 @@ def file_stats(spark, d):
     return sinks.file_stats(demo.points(spark, d), "mmsi", "ts_unix")
 
 
-_EVEN = lambda k: f"({k} // 1000 + CASE WHEN {k} % 1000 > 500 OR ({k} % 1000 = 500 AND {k} // 1000 % 2 = 1) THEN 1 ELSE 0 END)"
-
-
-@query(f"WITH r AS (SELECT event_id, (event_id*7919 + user_id*104729) % 100000 AS a, 2*((event_id*6271 + user_id*15485863) % 100000) AS o FROM events) SELECT event_id, count(*) OVER (PARTITION BY {_EVEN('a')}, {_EVEN('o')}) AS n_near FROM r")
+@query(f"WITH {PTS} SELECT event_id, count(*) OVER (PARTITION BY round_even(lat*100, 0), round_even(lon*100, 0)) AS n_near FROM pts")
 def unique_places(spark, d):
     """A feature found once per rounded place (here: how many rows share it) and joined back."""
     p = demo.points(spark, d)
-    n = p.groupBy(F.bround("lat", 2).alias("lat"), F.bround("lon", 2).alias("lon")).agg(F.count("*").alias("n_near"))
+    n = p.groupBy(geo.half_even(F.col("lat"), 2).alias("lat"), geo.half_even(F.col("lon"), 2).alias("lon")).agg(F.count("*").alias("n_near"))
     return context.via_unique(p, 2, lambda u: u.join(n, ["lat", "lon"])).select("event_id", "n_near")
 
 

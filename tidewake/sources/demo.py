@@ -77,6 +77,36 @@ def elevations(spark: SparkSession) -> DataFrame:
     return nodes.select((55 + F.col("i") * 0.0625).alias("lat"), (10 + F.col("j") * 0.0625).alias("lon"), z.alias("elevation"))
 
 
+def uneven_elevations(spark: SparkSession) -> DataFrame:
+    """A raster of 8 by 8 nodes ever farther from each other, some without a value."""
+    nodes = spark.range(64).select(F.floor(F.col("id") / 8).alias("i"), (F.col("id") % 8).alias("j"))
+    z = F.when((F.col("i") + F.col("j")) % 5 != 0, (F.col("i") * 31 + F.col("j") * 17) % 50 - 30.25)
+    return nodes.select((55 + F.col("i") * F.col("i") * 0.015625).alias("lat"), (10 + F.col("j") * F.col("j") * 0.03125).alias("lon"), z.alias("elevation"))
+
+
+def _circle(k: Column) -> tuple[Column, Column, Column]:
+    return 11.0 + (k % 5 - 2) * 0.3, 55.5 + (k % 7 - 3) * 0.1, 0.15 + k * 0.01
+
+
+def round_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zone_order, name, kind and rings of 720 corners, overlapping circles about the region's middle."""
+    k = F.col("n_nationkey")
+    x, y, r = _circle(k)
+    turn = F.transform(F.sequence(F.lit(0), F.lit(719)), lambda i: F.radians(i / 2.0))
+    ring = F.transform(turn, lambda t: F.struct((x + r * F.cos(t)).alias("x"), (y + r * F.sin(t)).alias("y")))
+    kind = F.when(k % 2 == 0, "Territorial sea, 12NM").otherwise("200NM")
+    return table(spark, sf_dir, "nation").select(k.cast("long").alias("zone_order"), F.col("n_name").alias("name"), kind.alias("kind"), F.array(ring).alias("rings"))
+
+
+def near_shores(points: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id of the points within a thousandth of a round zone's radius of its shore."""
+    x, y, r = _circle(F.col("n_nationkey"))
+    circles = table(spark, sf_dir, "nation").select(F.collect_list(F.struct(x.alias("x"), y.alias("y"), r.alias("r"))).alias("circles"))
+    far = lambda c: F.sqrt(F.pow(F.col("lon") - c["x"], 2) + F.pow(F.col("lat") - c["y"], 2)) / c["r"]
+    near = points.join(F.broadcast(circles))  # one row, of 25 nations
+    return near.where(F.exists("circles", lambda c: far(c).between(0.999, 1.001))).select("event_id")
+
+
 def windows(points: DataFrame) -> DataFrame:
     """w_start: every other window of three days that has positions."""
     k = F.floor(F.col("ts_unix") / 259200)
