@@ -5,7 +5,7 @@ them (the last ones up to twice as many) wherever they lie, however crowded; lea
 one root.  A row a node holds its children's boxes.
 
 A point first goes down to one leaf, always to the nearest box; the k-th distance there bounds the search.  Then it goes down
-again, now to every box not farther than that, and compares with the leaves it meets.  A level is an equi-join by node, a
+again, now to every box that may hold something nearer or a tie of a smaller id, and compares with what it meets.  A level is an equi-join by node, a
 broadcast where the level is counted small.
 """
 
@@ -21,7 +21,7 @@ from ..functions.scratch import settled
 from .tasks import numbered
 
 LEAF = 3
-FANOUT = 32
+FANOUT = 8
 BROADCAST_NODES = 20_000
 ONE_TASK = 100_000  # so few rows are numbered in one task
 
@@ -57,21 +57,21 @@ def _hint(level: DataFrame, n: int) -> DataFrame:
 
 
 def tree(things: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels from the leaves up: _node and _kids, structs of _box and of _item (in leaves) or _node.
+    """The levels from the leaves up: _node and _kids, structs of _box, _low (the least id within) and _item (in leaves) or _child.
 
     things have _item (a struct whose first field is the id by which ties are decided) and _box (x0, y0, x1, y1, finite)."""
-    n, rows, tie, what, size = things.count(), things.withColumn("_tie", F.col("_item").getField(things.schema["_item"].dataType[0].name)), "_tie", "_item", leaf
+    n, rows, what, size = things.count(), things.withColumn("_low", F.col("_item").getField(things.schema["_item"].dataType[0].name)), "_item", leaf
     levels = []
     while n:
-        tiled = _tiled(rows, n, size, tie)
+        tiled = _tiled(rows, n, size, "_low" if what == "_item" else what)
         side = lambda f, c: f(F.col(f"_box.{c}")).alias(c)
         box = F.struct(side(F.min, "x0"), side(F.min, "y0"), side(F.max, "x1"), side(F.max, "y1")).alias("_box")
-        level = settled(tiled.groupBy("_node").agg(box, F.collect_list(F.struct("_box", what)).alias("_kids")))
+        level = settled(tiled.groupBy("_node").agg(box, F.min("_low").alias("_low"), F.collect_list(F.struct("_box", "_low", what)).alias("_kids")))
         n = level.count()
         levels.append(_hint(level.select("_node", "_kids"), n))
         if n == 1:
             break
-        rows, tie, what, size = level.select("_box", F.col("_node").alias("_child")), "_child", "_child", fanout
+        rows, what, size = level.select("_box", "_low", F.col("_node").alias("_child")), "_child", fanout
     return levels
 
 
@@ -82,31 +82,35 @@ def _gap(x: Column, y: Column, box: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column, Column, Column], Column], k: int = 1, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column, Column, Column], Column], k: int = 1, slack: float = 0.0, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
     """_key and _near: the k nearest things of each point (all, if there are fewer), structs of d and item, nearest first; ties to
     the smaller first field of the item.
 
     points have _key, unique, and finite _x and _y; things _item and _box as tree() says.  distance(x, y, item) is never less
-    than that to the item's box.  Without things no rows."""
+    than that to the item's box, or by no more than slack times the coordinates' size.  Without things no rows."""
     levels = tree(things, max(leaf, k), fanout)
     if not levels:
         return points.select("_key", F.array(F.struct(F.lit(0.0).alias("d"), F.lit(None).cast(things.schema["_item"].dataType).alias("item"))).alias("_near")).limit(0)
     x, y = F.col("_x"), F.col("_y")
-    measured = F.transform("_kids", lambda c: F.struct(distance(x, y, c["_item"]).alias("d"), c["_item"].alias("item")))
-    best = lambda found: F.slice(F.array_sort(found), 1, k)
-    rows = points.select("_key", "_x", "_y", F.lit(0).cast("long").alias("_node"))
+    # Dealt by key at once, as the end needs them: a search costs more than its few bytes let adaptive execution expect.
+    rows = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
+    rows = rows.select("_key", "_x", "_y", F.lit(0).cast("long").alias("_node"))
     for level in levels[:0:-1]:
         nearest = F.array_min(F.transform("_kids", lambda c: F.struct(_gap(x, y, c["_box"]).alias("d"), c["_child"].alias("c"))))
         rows = rows.join(level, "_node").select("_key", "_x", "_y", nearest["c"].alias("_node"))
-    rows = rows.join(levels[0], "_node").select("_key", "_x", "_y", F.col("_node").alias("_home"), best(measured).alias("_near"))
-    bound = F.coalesce(F.get("_near", F.lit(k - 1))["d"], F.lit(float("inf")))
-    rows = rows.withColumns({"_upto": bound * (1 + 1e-12) + 1e-300, "_node": F.lit(0).cast("long")})
-    own = ["_key", "_x", "_y", "_home", "_near", "_upto"]
+    first = things.schema["_item"].dataType[0].name
+    measured = F.transform("_kids", lambda c: F.struct(distance(x, y, c["_item"]).alias("d"), c["_item"].alias("item")))
+    kth = F.get(F.array_sort(measured), F.lit(k - 1))
+    rows = rows.join(levels[0], "_node").select("_key", "_x", "_y", kth.alias("_kth"))
+    rows = rows.select("_key", "_x", "_y", F.coalesce("_kth.d", F.lit(float("inf"))).alias("_upto"), F.col("_kth.item")[first].alias("_last"), F.lit(0).cast("long").alias("_node"))
+    # A box as far as the k-th so far can only hold a tie, and is met if it has a smaller id.
+    gap, low = _gap(x, y, F.col("_c._box")), F.col("_c._low")
+    near = gap <= F.col("_upto") + slack * (F.abs(x) + F.abs(y)) if slack else (gap < F.col("_upto")) | ((gap == F.col("_upto")) & F.coalesce(low <= F.col("_last"), F.lit(True)))
+    own = ["_key", "_x", "_y", "_upto", "_last"]
     for level in levels[:0:-1]:
-        within = F.filter("_kids", lambda c: _gap(x, y, c["_box"]) <= F.col("_upto"))
-        rows = rows.join(level, "_node").select(*own, F.explode(F.transform(within, lambda c: c["_child"])).alias("_node"))
-    here = F.filter(measured, lambda c: c["d"] <= F.col("_upto"))
-    rows = rows.join(levels[0], "_node").select("_key", F.when(F.col("_node") == F.col("_home"), F.col("_near")).otherwise(best(here)).alias("_near")).where(F.size("_near") > 0)
+        rows = rows.join(level, "_node").select(*own, F.explode("_kids").alias("_c")).where(near).select(*own, F.col("_c._child").alias("_node"))
+    rows = rows.join(levels[0], "_node").select(*own, F.explode("_kids").alias("_c")).where(near)
+    rows = rows.select("_key", "_upto", F.struct(distance(x, y, F.col("_c._item")).alias("d"), F.col("_c._item").alias("item")).alias("_n")).where(F.col("_n.d") <= F.col("_upto"))
     if k == 1:
-        return rows.groupBy("_key").agg(F.min(F.get("_near", F.lit(0))).alias("_n")).select("_key", F.array("_n").alias("_near"))
-    return rows.groupBy("_key").agg(best(F.flatten(F.collect_list("_near"))).alias("_near"))
+        return rows.groupBy("_key").agg(F.min("_n").alias("_n")).select("_key", F.array("_n").alias("_near"))
+    return rows.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("_n")), 1, k).alias("_near"))

@@ -49,7 +49,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, key: str, within: float |
     box = F.struct(F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
     pieces = segments(edges).where(neighbours.finite(*ends)).select(F.struct("edge_id", *ends).alias("_item"), box.alias("_box"))
     own = points.where(neighbours.finite(F.col("x"), F.col("y"))).select(F.col(key).alias("_key"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-    found = neighbours.k_nearest(own, pieces, distance).select("_key", F.get("_near", F.lit(0)).alias("_b"))
+    found = neighbours.k_nearest(own, pieces, distance, slack=1e-9).select("_key", F.get("_near", F.lit(0)).alias("_b"))
     out = found.select(F.col("_key").alias(key), F.col("_b.item.edge_id").alias("edge_id"), F.col("_b.d").alias("d"))
     return out if within is None else out.where(F.col("d") <= within)
 
