@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.llm import hard_negatives, multi_index, prefix_trie
+from tidewake.llm import decontaminate, hard_negatives, langid, multi_index, prefix_trie
 from tidewake.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -237,3 +237,28 @@ def test_query_equals_its_oracle(spark, name):
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF).select(*want.columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and got
+
+
+# --- letters and answers ----------------------------------------------------------------------------------------------
+
+def test_letters_of_large_alphabets_share_no_symbol(spark):
+    """Two languages of 300 letters each, most of them rare: every letter is told apart, and the languages are."""
+    first, second = [chr(0x4E00 + i) for i in range(300)], [chr(0x20000 + 7 * i) for i in range(300)]
+    rnd = random.Random(2)
+    said = lambda letters: "".join(rnd.choice(letters[:8]) if rnd.random() < 0.3 else rnd.choice(letters) for _ in range(1500))
+    p = langid.Parser([("a", said(first)), ("b", said(second)), ("c", "plain letters " * 50)])
+    for letters in (first, second, ["é", "z"]):
+        written = [tuple(p.symbols(c).tolist()) for c in letters]
+        assert len(set(written)) == len(letters) and all(written)
+    bits = p.entropies([said(first), said(second), "plain letters", "".join(first[100:200])])
+    assert [p.languages[i] for i in bits.argmin(1)] == ["a", "b", "c", "a"]
+    assert (p.symbols(" a\u4e00 b\n\n\u4e01 ") == 0).sum() == 2
+
+
+def test_answers_of_any_type(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank at noon and then it answers 42"
+    docs = spark.createDataFrame([(1, f"some words before {text} and after"), (2, "nothing of the kind here"), (None, None)], "doc_id long, text string")
+    for kind, answer in (("int", 42), ("double", 42.0), ("string", "42"), ("int", None)):
+        bench = spark.createDataFrame([(7, text, answer), (None, text + " again", answer), (8, None, answer)], f"item_id long, text string, answer {kind}")
+        found = decontaminate.leaks(docs, bench).collect()
+        assert {r.doc_id for r in found} <= {1} and (kind == "double" or {(r.doc_id, r.item_id) for r in found} >= {(1, 7)})

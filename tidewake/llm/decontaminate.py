@@ -363,7 +363,7 @@ def fit(rows: DataFrame, block: Block) -> Model:
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The items in blocks.  Those whose text is null or without words are in none."""
-    columns = ["item_id", "text", *(["answer"] if "answer" in benchmark.columns else [])]
+    columns = ["item_id", "text", *([F.col("answer").cast("string").alias("answer")] if "answer" in benchmark.columns else [])]
     held: list = []
     parts = 0
     for r in benchmark.select(*columns).where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():

@@ -25,7 +25,9 @@ SAMPLE_TEXTS = 120
 SAMPLE_CHARS = 20_000
 SAMPLE_SYMBOLS = 60_000
 LETTERS = 90
-"""Letters that have a symbol of their own: the most frequent of the samples; the others share one."""
+"""Letters that have one symbol: the most frequent of the samples.  Every other letter is written as DIGITS hexadecimal digits, so
+none shares its symbols with another, and an alphabet of any size costs no wider table."""
+DIGITS = 6
 WINDOW = 256
 FOLDS, HELD_OUT = 5, 0
 
@@ -72,7 +74,8 @@ class Parser:
     def __init__(self, sample: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in sample})
         counts = Counter(c for _, t in sample for c in t.lower() if c.isalpha())
-        # symbols: 0 separator, 1 other letters, 2.. letters, last: nothing (behind a window's end)
+        # symbols: 0 separator, 2.. letters, then the digits of other letters, last: nothing (behind a window's end); 1 marks
+        # a letter that is written in digits
         self.symbol = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000:
@@ -81,7 +84,7 @@ class Parser:
                 self.symbol[c] = 1
         for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
             self.symbol[ord(c)] = i + 2
-        self.alphabet = LETTERS + 3
+        self.alphabet = LETTERS + 2 + 16 + 1
         self.nothing = self.alphabet - 1
         tables, self.roots, self.bits, base = [], [], [], 0
         for lang in self.languages:
@@ -105,7 +108,15 @@ class Parser:
 
     def symbols(self, text: str) -> np.ndarray:
         """The text's symbols, each run of separators as one, none at the ends."""
-        x = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = self.symbol[points]
+        rare = np.flatnonzero(x == 1)
+        if len(rare):
+            width = np.where(x == 1, DIGITS, 1)
+            at = (np.cumsum(width) - DIGITS)[rare]
+            x = np.repeat(x, width)
+            for i in range(DIGITS):
+                x[at + i] = LETTERS + 2 + ((points[rare] >> 4 * (DIGITS - 1 - i)) & 15)
         keep = x > 0
         keep[1:] |= x[:-1] > 0
         x = x[keep]

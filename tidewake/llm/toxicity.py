@@ -282,7 +282,8 @@ class Model:
 
 def differences(docs: DataFrame, counts: DataFrame) -> DataFrame:
     likely = probabilities(stored(corpus_grams(docs), "toxicity-corpus-grams"), counts)
-    return stored(likely.select("gram", (F.log("toxic") - F.log("plain")).alias("value")), "toxicity-differences")
+    value = (F.log("toxic") - F.log("plain")).cast("float")  # as it is broadcast, so that joined tables give the same scores
+    return stored(likely.select("gram", value.cast("double").alias("value")), "toxicity-differences")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
