@@ -51,15 +51,11 @@ STAGES = [
 ORACLE_SQL = None  # no stage but the dedup's last step can be said in SQL; tests/llm compares with brute force
 
 
-PACKING_CHUNKS = 100_000
+PACKING_CHUNKS = 60_000
 """Chunks that packing remembers: fewer than alone, as the executors still hold what earlier stages left."""
-BATCH_ROWS = 1000
-"""Rows in a batch that passes to a Python worker.  Documents are long: ten thousand, the default, are 50 MB and more, which
-a task holds several times, in the JVM and in the worker."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
