@@ -20,17 +20,26 @@ def recovered(points: DataFrame, raw: DataFrame, keys: list[str], columns: list[
 
 
 def majority(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """key and label: the most frequent one, `unknown` if several are."""
+    """key and label, as text: the most frequent one, `unknown` if several are."""
     n = labels.groupBy(key, label).agg(F.count("*").alias("n"))
     top = n.groupBy(key).agg(F.max(F.struct("n", label)).alias("best"), F.collect_list("n").alias("ns"))
     ties = F.size(F.filter("ns", lambda x: x == F.col("best.n")))
-    return top.select(key, F.when(ties > 1, "unknown").otherwise(F.col(f"best.{label}")).alias(label))
+    return top.select(key, F.when(ties > 1, "unknown").otherwise(F.col(f"best.{label}").cast("string")).alias(label))
 
 
 def contained(segments: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """label of the first interval (t0, t1, label, label_order) that holds a segment (s, e), else `unknown`."""
-    hit = segments.join(intervals, key).where("t0 <= s and e <= t1").groupBy("seg_id").agg(F.min_by("label", "label_order").alias("label"))
-    return segments.join(hit, "seg_id", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
+    """label of the first interval (t0, t1, label, label_order) that holds a segment (s, e, of seg_id), else `unknown`.
+
+    Intervals are dealt to the one or two bins of time about as wide as themselves; a segment meets, of each width there is, the
+    bin it starts in.  So a key of many intervals is no product of them and its segments."""
+    width = F.ceil(F.log2(F.greatest(F.col("t1") - F.col("t0"), F.lit(1)).cast("double"))).cast("int")
+    dealt = intervals.where("t0 <= t1").withColumn("_w", width)
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_w").cast("double"))).cast("long")
+    dealt = dealt.select(key, "t0", "t1", "label", "label_order", "_w", F.explode(F.array_distinct(F.array(place("t0"), place("t1")))).alias("_bin"))
+    widths = sorted(r[0] for r in dealt.select("_w").distinct().collect())  # 64 at most
+    asked = segments.select(key, "seg_id", "s", "e", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")).alias("_w")).withColumn("_bin", place("s"))
+    hit = asked.join(dealt, [key, "_w", "_bin"]).where("t0 <= s and e <= t1").groupBy("seg_id").agg(F.min_by("label", "label_order").alias("label"))
+    return segments.drop("label").join(hit, "seg_id", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
 
 
 def as_of(points: DataFrame, windows: DataFrame, key: str, ts: str = "ts_unix", start: str = "w_start", value: str = "w_value") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
-from ..operators import context, describe, ingest, layers, masks, motion, resample, roads, scan, segment, tasks, thin, zones
+from ..functions.scratch import shared_dir
+from ..operators import context, describe, ingest, layers, masks, motion, resample, roads, scan, segment, tasks, thin, units, zones
 from ..sources import demo, readers, sinks
+from . import chain
 
 GAP, LEAST = 86400, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -778,3 +781,66 @@ def gather_vectors(spark, d):
     """The vectors of some rows, by key; as many come out as were asked for."""
     rows = demo.table(spark, d, "embeddings")
     return sinks.gathered(rows.where("vec_id % 7 < 3").select("vec_id"), rows.select("vec_id", "label", F.size("embedding").alias("n")), ["vec_id"])
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_FROZEN = f"""{_PLACED}, p AS (SELECT *, CASE WHEN i <= 10 THEN 1.0 ELSE 1 - (1 - 70.0/n)*ln(greatest(i - 9, 1))/ln(greatest(n - 9, 2)) END AS p FROM p0),
+  kept AS (SELECT * EXCLUDE (i, n, p) FROM p QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY {_drawn("'42|' || mmsi || '|' || i")} - p, i) <= 70),
+  k0 AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY mmsi) AS n, lat - first_value(lat) OVER w AS dy, lon - first_value(lon) OVER w AS dx, coalesce(ts_unix - lag(ts_unix) OVER w, 0) AS dt FROM kept WINDOW w AS (PARTITION BY mmsi ORDER BY ts_unix, event_id)),
+  k1 AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY {_drawn("'42|' || mmsi || '|' || i")}, i) <= greatest(1, CAST(round_even(n*0.5, 0) AS INTEGER)) AS rec, i >= n - least(10, greatest(1, CAST(round_even(n*0.15, 0) AS INTEGER))) AS prd FROM k0),
+  u AS (SELECT mmsi, CASE WHEN mmsi % 5 < 3 THEN 'train' ELSE 'test' END AS split, CASE WHEN mmsi % 2 = 0 THEN 'urban' ELSE 'maritime' END AS domain, 'd' || any_value(ship_code) % 7 AS dataset, count(*) AS n, arg_min(lat, i) AS lat0, arg_min(lon, i) AS lon0, arg_min(ts_unix, i) AS t0,
+    greatest(max(greatest(abs(dy), abs(dx))), 1e-8) AS half, ln(1 + max(dt)) AS log_dt, count(*) FILTER (rec) AS n_rec, count(*) FILTER (prd) AS n_prd, sum(dx) AS sx FROM k1 GROUP BY 1)"""
+
+
+def _frozen(spark, d):
+    p = demo.points(spark, d)
+    unit = {"split": F.when(F.col("mmsi") % 5 < 3, "train").otherwise("test"), "domain": F.when(F.col("mmsi") % 2 == 0, "urban").otherwise("maritime"), "dataset": F.concat(F.lit("d"), (F.col("ship_code") % 7).cast("string"))}
+    return units.frozen(p.withColumns(unit), "mmsi", tuple(unit), max_len=70)
+
+
+@query(f"WITH {_FROZEN} SELECT mmsi, split, dataset, CAST(n AS INTEGER) AS traj_len, t0, round(half, 9) AS bbox_half, round(log_dt, 9) AS log_max_dt, CAST(n_rec AS INTEGER) AS n_recovery, CAST(n_prd AS INTEGER) AS n_prediction, round(sx/half, 6) AS x FROM u WHERE domain = 'maritime'")
+def frozen_units(spark, d):
+    """Units frozen under a folder and read again, one domain of them; the second freezing finds all of them there."""
+    root = _scratch(spark, "units")
+    units.freeze(_frozen(spark, d), root)
+    units.freeze(_frozen(spark, d), root, verify=False)
+    n = lambda c: F.size(F.filter(c, lambda x: x))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return units.units(spark, root, domain="maritime").select(
+        "mmsi", F.col("split").cast("string").alias("split"), "dataset", "traj_len", "t0", F.round("bbox_half", 9).alias("bbox_half"), F.round("log_max_dt", 9).alias("log_max_dt"),
+        n("recovery").alias("n_recovery"), n("prediction").alias("n_prediction"), F.round(total, 6).alias("x"),
+    )
+
+
+@query(f"""WITH {_FROZEN}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mmsi) - 1 AS j FROM u)
+  SELECT o.dataset || '#' || j AS uid, o.mmsi, CAST(count(*) AS INTEGER) AS n_hidden, round(avg({hav('lat', 'lon', 'lat0', 'lon0')}), 3) AS err_m FROM o JOIN k1 USING (mmsi) WHERE prd AND o.n <= 66 GROUP BY ALL""")
+def prediction_records(spark, d):
+    """Records of a prediction that stays where a trajectory began, of trajectories of at most 66 rows."""
+    rows = _frozen(spark, d)
+    still = F.transform("x", lambda _: F.lit(0.0))
+    out = units.records(rows, rows.select("mmsi", still.alias("pred_x"), still.alias("pred_y")), "mmsi", max_len=66)
+    mean = F.aggregate("err_m", F.lit(0.0), lambda a, e: a + e) / F.size("err_m")
+    return out.select("uid", "mmsi", F.size("at").alias("n_hidden"), F.round(mean, 3).alias("err_m"))
+
+
+@query(f"WITH {KIN} SELECT event_id, seg, CASE WHEN v < 0.5 THEN 'stopped' WHEN v < 1.5 THEN 'slow' ELSE 'moving' END AS phase FROM kin")
+def stage_chain(spark, d):
+    """Segments and kinematics as a chain of stages, each written and summed up, and run a second time from what is there."""
+    stages = [
+        chain.Stage("segments", lambda df, o: segment.gap_segments(df, "mmsi", o["gap_s"]), {"gap_s": GAP}, chain.spread("seg")),
+        chain.Stage("kinematics", lambda df, _: motion.kinematics(df, KEYS), {}, {**chain.spread("speed_ms"), **chain.shares("phase", ["stopped", "slow", "moving"])}),
+    ]
+    folder = _scratch(spark, "chain")
+    chain.run(demo.points(spark, d), stages, folder, d)
+    rows, _ = chain.run(demo.points(spark, d), stages, folder, d)
+    return rows.select("event_id", "seg", "phase")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS b FROM events) SELECT event_id, CAST(sum(CASE WHEN b IS NOT NULL AND b <> event_type THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS run FROM e""")
+def consecutive_runs(spark, d):
+    """Runs of rows of one type in a file's order, in pieces of 1,000 rows."""
+    e = demo.table(spark, d, "events").select("event_id", "event_type", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return scan.runs(e, "event_type", "file", "row", rows=1000).select("event_id", "run")

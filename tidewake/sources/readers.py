@@ -6,9 +6,11 @@ left out.  Paths may be globs or folders; all are read by Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import context, resample, scan, segment, thin
+
 AIS_SCHEMA = "`# Timestamp` string, `Type of mobile` string, MMSI long, Latitude double, Longitude double, `Navigational status` string, ROT double, SOG double, COG double, Heading double, IMO string, Callsign string, Name string, `Ship type` string, `Cargo type` string, Width double, Length double, `Type of position fixing device` string, Draught double, Destination string, ETA string"
 PNEUMA_EVERY = 25
 PNEUMA_MODES = {"Car": "car", "Taxi": "taxi", "Bus": "bus", "Motorcycle": "motorcycle", "Medium Vehicle": "truck", "Heavy Vehicle": "truck"}
@@ -98,14 +100,64 @@ def tdrive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geolife(spark: SparkSession, path: str) -> DataFrame:
-    """.plt lines of at least 7 fields; headers do not parse and so go."""
+    """key, user, stem, line (the order of lines), lat, lon and timestamp of .plt lines of at least 7 fields; headers do not parse and so
+    go.  The user is the folder above that of the file."""
     f = F.split("value", ",")
-    rows = spark.read.text(path).select(_stem().alias("key"), f.alias("f")).where(F.size("f") >= 7)
+    name = F.input_file_name()
+    rows = spark.read.text(path).select(F.regexp_extract(name, r"/([^/]+)/[^/]+/[^/]+$", 1).alias("user"), _stem().alias("stem"), F.monotonically_increasing_id().alias("line"), f.alias("f")).where(F.size("f") >= 7)
     time = F.concat_ws(" ", F.get("f", F.lit(5)), F.get("f", F.lit(6)))
-    out = rows.select("key", F.get("f", F.lit(0)).try_cast("double").alias("lat"), F.get("f", F.lit(1)).try_cast("double").alias("lon"), _seconds(time, "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
+    out = rows.select(F.concat_ws("_", "user", "stem").alias("key"), "user", "stem", "line", F.get("f", F.lit(0)).try_cast("double").alias("lat"), F.get("f", F.lit(1)).try_cast("double").alias("lon"), _seconds(time, "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
     return out.where("timestamp is not null and lat is not null and lon is not null")
 
 
+def geolife_labels(spark: SparkSession, path: str) -> DataFrame:
+    """user, t0, t1, label and label_order (the order of lines) of the users' label files: begin, end and mode, parted by tabs."""
+    f = F.split(F.trim("value"), "\t")
+    user = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
+    rows = spark.read.text(path).select(user.alias("user"), F.monotonically_increasing_id().alias("label_order"), f.alias("f")).where(F.size("f") == 3)
+    at = lambda i: _seconds(F.get("f", F.lit(i)), "yyyy/MM/dd HH:mm:ss")
+    return rows.select("user", at(0).alias("t0"), at(1).alias("t1"), F.trim(F.get("f", F.lit(2))).alias("label"), "label_order").where("t0 is not null and t1 is not null")
+
+
+GEOLIFE_BOX = (38.5, 41.5, 114.5, 118.5)
+
+
+def geolife_trips(points: DataFrame, labels: DataFrame, gap_s: int = 1800, box: tuple[float, float, float, float] = GEOLIFE_BOX) -> DataFrame:
+    """trajectory_id, point_idx, lat, lon, timestamp and transport_mode: files cut at gaps, the parts whose mean place lies in the box, each with the
+    mode of the first label that holds it whole, else `unknown`."""
+    order = ["timestamp", "line"]
+    rows = segment.gap_segments(points, "key", gap_s, "timestamp", order)
+    parts = rows.groupBy("user", "stem", "key", "seg").agg(F.avg("lat").alias("a"), F.avg("lon").alias("o"), F.min("timestamp").alias("s"), F.max("timestamp").alias("e"))
+    parts = parts.where(F.col("a").between(*box[:2]) & F.col("o").between(*box[2:])).withColumn("seg_id", F.struct("key", "seg"))
+    named = context.contained(parts.select("user", "stem", "key", "seg", "seg_id", "s", "e"), labels, "user")
+    tid = F.concat_ws("_", F.lit("geolife"), "user", "stem", F.col("seg").cast("string"))
+    named = named.select("key", "seg", tid.alias("trajectory_id"), F.col("label").alias("transport_mode"))
+    return segment.point_index(rows.join(named, ["key", "seg"]), ["trajectory_id"], order).select("trajectory_id", "point_idx", "lat", "lon", "timestamp", "transport_mode")
+
+
+# Modes by the labels of the moves.
+NYC_MODES = {0: "walk", 1: "bike", 2: "bus", 3: "car", 4: "subway", 5: "train", 6: "taxi"}
+
+
+def nyc_trips(points: DataFrame, moves: DataFrame | None, seconds: int = 1) -> DataFrame:
+    """trajectory_id, lat, lon, timestamp and transport_mode: the first position of each bucket of seconds, and the mode that most
+    rows of moves (tid, label) give a trajectory: `unknown` if several do, null without moves or for a label that is none.
+
+    points have traj_id, time, lat and lon; time is a timestamp or nanoseconds since 1970 (as Spark reads such files with
+    spark.sql.legacy.parquet.nanosAsLong)."""
+    kind = dict(points.dtypes)["time"]
+    ts = F.floor(F.col("time") / 1_000_000_000).cast("long") if kind == "bigint" else F.unix_seconds(F.col("time")) if kind == "timestamp" else _wall(F.col("time"))
+    rows = points.select("traj_id", ts.alias("timestamp"), "lat", "lon", F.monotonically_increasing_id().alias("event_id"))
+    rows = resample.one_per_bucket(rows, ["traj_id"], seconds, "timestamp")
+    out = rows.withColumn("trajectory_id", F.concat(F.lit("nyc_"), F.col("traj_id").cast("string")))
+    if moves is None:
+        return out.select("trajectory_id", "lat", "lon", "timestamp", F.lit(None).cast("string").alias("transport_mode"))
+    most = context.majority(moves.select(F.col("tid").cast("string").alias("tid"), F.col("label").cast("int").alias("label")), "tid", "label")
+    words = F.create_map(*(F.lit(x) for k, v in NYC_MODES.items() for x in (str(k), v)))
+    mode = F.when(F.col("label") == "unknown", "unknown").otherwise(F.try_element_at(words, F.col("label")))
+    return out.join(most, out["traj_id"].cast("string") == most["tid"], "left").select("trajectory_id", "lat", "lon", "timestamp", mode.alias("transport_mode"))
+
+
 def cabspotting(spark: SparkSession, path: str) -> DataFrame:
     """lat lon occupancy time, latest first, within San Francisco's box."""
     f = F.split("value", " ")
@@ -126,3 +178,20 @@ def rome(spark: SparkSession, path: str) -> DataFrame:
 def parquet_points(spark: SparkSession, path: str, key: str = "tripid", ts: str = "ts") -> DataFrame:
     """Positions already in Parquet; only the columns that are used are read."""
     return spark.read.parquet(path).select(F.col(key).cast("string").alias("key"), "lat", "lon", F.col(ts).alias("timestamp"))
+
+
+def simulated_trips(spark: SparkSession, path: str, prefix: str, every_s: float = 8.0, rows: int = 1_000_000) -> DataFrame:
+    """trajectory_id, point_idx, lat, lon and timestamp of Parquet of tripid, lat, lon and ts, where a trip is a run of consecutive rows of one tripid:
+    an id that recurs is another trip.  A row is kept if every_s have passed since the last one kept; times are cut to seconds.
+
+    Files are scanned in pieces of ``rows`` rows, and a run goes on across them, so the result does not depend on how files are split."""
+    read = spark.read.parquet(path)
+    at = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "tripid", "lat", "lon", "ts")
+    runs = scan.runs(at, "tripid", "file", "row", rows=rows)
+    kept = thin.greedy_thin(runs, ["file", "run"], every_s, "ts", ["ts", "row"])
+    names = kept.select("file", "run", "tripid").distinct()
+    again = F.row_number().over(Window.partitionBy("tripid").orderBy("file", "run")) - 1
+    tid = F.concat(F.lit(f"{prefix}_"), F.coalesce(F.col("tripid").cast("string"), F.lit("null")), F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""))
+    named = names.withColumn("n", again).select("file", "run", tid.alias("trajectory_id"))
+    out = segment.point_index(kept.join(named, ["file", "run"]), ["trajectory_id"], ["ts", "row"])
+    return out.select("trajectory_id", "point_idx", "lat", "lon", F.col("ts").cast("long").alias("timestamp"))
