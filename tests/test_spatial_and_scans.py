@@ -289,6 +289,11 @@ def test_kalman_streams_with_one_row_in_memory(spark):
             assert (a, b) == ((None, None) if x is None else (pytest.approx(x, abs=1e-9), pytest.approx(y, abs=1e-9)))
 
 
+def test_bearings_of_missing_headings(spark):
+    df = spark.createDataFrame([(1, 359.0), (2, None), (3, -46.0), (4, NAN)], "k int, h double").select("k", geo.bearing_label(F.nanvl(F.col("h"), F.lit(None).cast("double"))).alias("b"))
+    assert [r.b for r in df.orderBy("k").collect()] == ["North", "unknown", "Northwest", "unknown"]
+
+
 def test_free_names(spark):
     df = spark.createDataFrame([(1, 2)], "a long, _A long")
     assert names.free(df, "a", "b", "a") == ["__a", "b", "___a"]

@@ -36,7 +36,7 @@ def angle_difference(a: Column, b: Column) -> Column:
 def bearing_label(degrees: Column) -> Column:
     names = ["North", "Northeast", "East", "Southeast", "South", "Southwest", "West", "Northwest"]
     i = F.floor((modulo(degrees, 360) + 22.5) / 45) % 8
-    return F.coalesce(F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1), F.lit("unknown"))
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), i.cast("int")), F.lit("unknown"))
 
 
 def geohash(lat: Column, lon: Column, length: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import bearing_label
 from .tasks import top_categories
 
+# The words of the descriptions, here and below.
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 

@@ -17,22 +17,22 @@ from .tasks import numbered
 # Weather codes, place classes and land-use tags as the source data define them.
 WMO = {0: "clear sky", 1: "mainly clear", 2: "partly cloudy", 3: "overcast", 45: "fog", 48: "rime fog", 51: "light drizzle", 53: "moderate drizzle", 55: "heavy drizzle", 56: "light freezing drizzle", 57: "heavy freezing drizzle", 61: "light rain", 63: "moderate rain", 65: "heavy rain", 66: "light freezing rain", 67: "heavy freezing rain", 71: "light snow", 73: "moderate snow", 75: "heavy snow", 77: "snow grains", 80: "light rain showers", 81: "moderate rain showers", 82: "violent rain showers", 85: "light snow showers", 86: "heavy snow showers", 95: "thunderstorm", 96: "thunderstorm with light hail", 99: "thunderstorm with heavy hail"}
 PLACE_RULES = [
-    ("amenity", "restaurant cafe bar fast_food food_court pub ice_cream bakery biergarten", "food_drink"),
-    ("amenity", "school university college library kindergarten", "education"),
-    ("amenity", "hospital clinic pharmacy doctors dentist veterinary", "healthcare"),
-    ("amenity", "bus_station taxi car_rental bicycle_rental fuel parking", "transport"),
-    ("amenity", "hotel", "accommodation"),
-    ("amenity", "bank atm", "office_finance"),
-    ("amenity", "place_of_worship", "religion"),
-    ("amenity", "town_hall police fire_station post_office courthouse embassy", "government"),
-    ("amenity", "theatre cinema arts_centre nightclub", "culture"),
+    ("amenity", ["restaurant", "cafe", "bar", "fast_food", "food_court", "pub", "ice_cream", "bakery", "biergarten"], "food_drink"),
+    ("amenity", ["school", "university", "college", "library", "kindergarten"], "education"),
+    ("amenity", ["hospital", "clinic", "pharmacy", "doctors", "dentist", "veterinary"], "healthcare"),
+    ("amenity", ["bus_station", "taxi", "car_rental", "bicycle_rental", "fuel", "parking"], "transport"),
+    ("amenity", ["hotel"], "accommodation"),
+    ("amenity", ["bank", "atm"], "office_finance"),
+    ("amenity", ["place_of_worship"], "religion"),
+    ("amenity", ["town_hall", "police", "fire_station", "post_office", "courthouse", "embassy"], "government"),
+    ("amenity", ["theatre", "cinema", "arts_centre", "nightclub"], "culture"),
     ("shop", None, "retail"),
-    ("leisure", "park sports_centre playground gym swimming_pool stadium fitness_centre", "recreation"),
-    ("tourism", "hotel hostel motel guest_house chalet", "accommodation"),
-    ("tourism", "museum gallery attraction artwork viewpoint", "culture"),
+    ("leisure", ["park", "sports_centre", "playground", "gym", "swimming_pool", "stadium", "fitness_centre"], "recreation"),
+    ("tourism", ["hotel", "hostel", "motel", "guest_house", "chalet"], "accommodation"),
+    ("tourism", ["museum", "gallery", "attraction", "artwork", "viewpoint"], "culture"),
     ("office", None, "office_finance"),
-    ("railway", "station halt tram_stop subway_entrance", "transport"),
-    ("public_transport", "station stop_position", "transport"),
+    ("railway", ["station", "halt", "tram_stop", "subway_entrance"], "transport"),
+    ("public_transport", ["station", "stop_position"], "transport"),
 ]
 
 
@@ -149,7 +149,7 @@ def code_text(code: Column) -> Column:
 
 
 def reanalysis_text(celsius: Column, mm: Column) -> Column:
-    """Weather in words from temperature and hourly precipitation."""
+    """Weather in words from temperature and hourly precipitation; the thresholds are fixed values."""
     missing = celsius.isNull() | F.isnan(celsius) | mm.isNull() | F.isnan(mm)
     wet = F.when((mm >= 0.5) & (celsius < 2.0), "snow").when(mm >= 4.0, "heavy rain").when(mm >= 0.3, "moderate rain").when(mm >= 0.05, "light rain")
     return F.when(missing, "unknown").otherwise(wet.otherwise("dry"))
@@ -160,7 +160,7 @@ def place_class(df: DataFrame) -> Column:
     out = F
     for tag, values, name in PLACE_RULES:
         if tag in df.columns:
-            out = out.when(F.col(tag).isNotNull() if values is None else F.col(tag).cast("string").isin(values.split()), name)
+            out = out.when(F.col(tag).isNotNull() if values is None else F.col(tag).cast("string").isin(values), name)
     return F.lit("other") if out is F else out.otherwise("other")
 
 

@@ -582,18 +582,68 @@ def polyline_explode(spark, d):
     return readers.polylines(demo.points(spark, d), F.col("event_id"), F.col("ts_unix"), line)
 
 
-@query(f"""WITH {KIN} SELECT event_id, '[AGENT]: vehicle, ' || p || ' at ' || k || ' km/h [CORRIDOR]: unknown, is not one-way. [INFRASTRUCTURE]: no points of interest nearby. [REGULATORY_ZONE]: no designated land use zone. [BEHAVIORAL_PHASE]: ' || p || ', ' || k || ' km/h. [ENVIRONMENT]: weather data unavailable. [TEMPORAL]: time unknown. [SPATIAL_CONTEXT]: sparse point of interest density (0 points of interest within 500 m).' AS description
-  FROM (SELECT event_id, CASE WHEN v < 0.5 THEN 'stopped' WHEN v < 1.5 THEN 'slow' ELSE 'moving' END AS p, printf('%.2f', round(v*3.6, 2)) AS k FROM kin)""")
+# What the layers say of a position, in SQL that both engines read: every slot filled on some rows and empty on others.
+_URBAN = {
+    "transport_mode": "CASE WHEN event_id % 3 <> 0 THEN 'car' END", "behavioral_phase": "CASE event_id % 4 WHEN 0 THEN 'stopped' WHEN 1 THEN 'slow' WHEN 2 THEN 'moving' END",
+    "speed_ms": "CASE WHEN event_id % 10 <> 9 THEN CAST(event_id % 50 AS DOUBLE) / 4 END", "acceleration_ms2": "CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 9 - 4 AS DOUBLE) / 4 END",
+    "road_type": "CASE WHEN event_id % 5 <> 0 THEN 'living_street' END", "road_name": "CASE event_id % 3 WHEN 0 THEN 'Main Street' WHEN 1 THEN ' ' END", "speed_limit_kmh": "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 8 * 10 AS DOUBLE) END",
+    "road_lanes": "CAST(event_id % 4 AS INT)", "road_oneway": "event_id % 7 < 3", "poi_count_50m": "CAST(event_id % 3 AS INT)", "poi_count_200m": "CAST(event_id % 5 AS INT)", "poi_count_500m": "CAST(event_id % 60 AS INT)",
+    "poi_categories_50m": "CASE WHEN event_id % 2 = 0 THEN '{\"retail\":2,\"food_drink\":3,\"other\":1}' ELSE '{}' END", "poi_categories_500m": "CASE WHEN event_id % 5 = 0 THEN '{\"transport\":7}' END",
+    "land_use": "CASE event_id % 4 WHEN 0 THEN 'recreation_ground' WHEN 1 THEN 'other' WHEN 2 THEN 'unknown' END", "temperature_c": "CASE WHEN event_id % 6 <> 5 THEN CAST(event_id % 80 AS DOUBLE) / 2 - 10 END",
+    "precipitation_mm": "CASE WHEN event_id % 6 <> 5 THEN CAST(event_id % 7 AS DOUBLE) / 10 END", "wind_speed_kmh": "CASE WHEN event_id % 6 < 4 THEN CAST(event_id % 90 AS DOUBLE) / 2 END", "wind_direction_deg": "CASE WHEN event_id % 6 < 3 THEN CAST(event_id * 11 % 360 AS DOUBLE) END",
+    "weather_description": "CASE event_id % 6 WHEN 0 THEN 'light rain' WHEN 1 THEN 'unknown' WHEN 2 THEN 'fog' END", "day_of_week": "CASE WHEN event_id % 8 <> 7 THEN CAST(event_id % 7 AS INT) END", "hour_of_day": "CASE WHEN event_id % 8 < 6 THEN CAST(event_id % 24 AS INT) END",
+    "time_of_day_category": "CASE WHEN event_id % 8 < 5 THEN 'am_rush' END", "season": "CASE WHEN event_id % 8 < 4 THEN 'winter' END", "is_weekend": "event_id % 8 <> 7 AND event_id % 7 >= 5",
+}
+_MARITIME = {
+    "transport_mode": "CASE WHEN event_id % 4 <> 0 THEN 'tanker' END", "behavioral_phase": "CASE event_id % 3 WHEN 0 THEN 'slow_transit' WHEN 1 THEN 'anchored' END", "Draught": "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 20 AS DOUBLE) / 2 END",
+    "SOG": "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 40 AS DOUBLE) / 2 END", "in_tss": "event_id % 3 = 0", "tss_name": "CASE WHEN event_id % 6 = 0 THEN 'North lane' ELSE '' END", "sea_area_name": "CASE WHEN event_id % 4 < 2 THEN 'Aegean Sea' ELSE '' END",
+    "port_proximity_label": "CASE event_id % 3 WHEN 0 THEN 'coastal' WHEN 1 THEN 'berthed' END", "nearest_port_name": "CASE WHEN event_id % 7 <> 0 THEN 'Piraeus' ELSE '' END", "nearest_port_nm": "CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 100 AS DOUBLE) / 4 + 0.0625 END",
+    "eez_country_iso": "CASE event_id % 3 WHEN 0 THEN 'high_seas' WHEN 1 THEN 'GRC' END", "in_territorial_sea": "event_id % 3 = 1 AND event_id % 2 = 0", "in_mpa": "event_id % 5 = 1", "mpa_name": "CASE WHEN event_id % 10 = 1 THEN 'Reef park' ELSE '' END",
+    "Heading": "CASE WHEN event_id % 9 <> 0 THEN CAST(event_id * 53 % 360 AS DOUBLE) END", "heading_to_cog_diff_deg": "CASE WHEN event_id % 4 <> 1 THEN CAST(event_id % 51 - 25 AS DOUBLE) END", "Navigational status": "CASE WHEN event_id % 2 = 1 THEN ' Moored' END",
+    "wave_height_m": "CASE WHEN event_id % 3 <> 2 THEN CAST(event_id % 30 AS DOUBLE) / 8 + 0.0625 END", "current_speed_ms": "CASE WHEN event_id % 4 <> 3 THEN CAST(event_id % 16 AS DOUBLE) / 8 + 0.03125 END", "current_dir_deg": "CASE WHEN event_id % 8 <> 1 THEN CAST(event_id * 7 % 360 AS DOUBLE) END",
+    "day_of_week": "CASE WHEN event_id % 8 <> 7 THEN CAST(event_id % 7 AS INT) END", "hour_of_day": "CASE WHEN event_id % 8 < 6 THEN CAST(event_id % 24 AS INT) END", "time_of_day_category": "CASE WHEN event_id % 8 < 5 THEN 'am_rush' END", "season": "CASE WHEN event_id % 8 < 4 THEN 'winter' END",
+    "water_depth_m": "CASE WHEN event_id % 5 <> 2 THEN CAST(event_id % 200 AS DOUBLE) + 0.25 END", "geohash_7": "CASE WHEN event_id % 6 <> 0 THEN 'u4pruyd' END",
+}
+
+
+def _said(columns: dict[str, str]) -> str:
+    return "x AS (SELECT event_id, " + ", ".join(f'{e} AS "{n}"' for n, e in columns.items()) + " FROM events)"
+
+
+_FIX = lambda x, digits: f"printf('%.{digits}f', round_even({x}*{10**digits}, 0)/{10**digits})"
+_POI_TEXT = lambda r, cats: f"CASE WHEN poi_count_{r}m > 0 THEN poi_count_{r}m || ' point(s) of interest within {r}m ' || {cats} END"
+_DAY = "list_extract(['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'], day_of_week + 1)"
+_BEARING = lambda x: f"coalesce(list_extract(['North','Northeast','East','Southeast','South','Southwest','West','Northwest'], CAST(floor(({x} % 360 + 22.5)/45) AS INTEGER) % 8 + 1), 'unknown')"
+
+
+@query(f"""WITH {_said(_URBAN)}, t AS (SELECT *, {_FIX('speed_ms*3.6', 2)} || ' km/h' AS kmh,
+    concat_ws(', ', {_POI_TEXT(50, "CASE WHEN event_id % 2 = 0 THEN '(food drink, retail)' ELSE '' END")}, {_POI_TEXT(200, "''")}, {_POI_TEXT(500, "CASE WHEN event_id % 5 = 0 THEN '(transport)' ELSE '' END")}) AS around,
+    concat_ws(', ', {_FIX('temperature_c', 1)} || ' degrees Celcius', CASE WHEN weather_description <> 'unknown' THEN weather_description END, CASE WHEN precipitation_mm > 0.05 THEN {_FIX('precipitation_mm', 1)} || ' mm/h precipitation' END, 'wind ' || {_FIX('wind_speed_kmh', 2)} || ' km/h', 'wind direction ' || {_FIX('wind_direction_deg', 1)} || ' degrees') AS sky,
+    concat_ws(', ', {_DAY}, printf('%02d:00', hour_of_day), replace(time_of_day_category, '_', ' '), season, CASE WHEN is_weekend THEN 'weekend' END) AS t FROM x)
+  SELECT event_id, '[AGENT]: ' || coalesce(transport_mode, 'vehicle') || ', ' || coalesce(behavioral_phase, 'moving') || coalesce(' at ' || kmh, '')
+    || ' [CORRIDOR]: ' || concat_ws(', ', replace(coalesce(road_type, 'unknown'), '_', ' '), 'named ' || nullif(trim(road_name), ''), {_FIX('speed_limit_kmh', 0)} || ' km/h limit', CASE WHEN road_lanes <> 0 THEN 'has ' || road_lanes || ' lanes' END, CASE WHEN road_oneway THEN 'is one-way' ELSE 'is not one-way' END)
+    || '. [INFRASTRUCTURE]: ' || CASE WHEN around = '' THEN 'no points of interest nearby' ELSE around END || '. [REGULATORY_ZONE]: ' || CASE WHEN coalesce(land_use, 'unknown') IN ('unknown', 'other') THEN 'no designated land use zone' ELSE replace(land_use, '_', ' ') || ' zone' END
+    || '. [BEHAVIORAL_PHASE]: ' || concat_ws(', ', coalesce(behavioral_phase, 'unknown'), kmh, CASE WHEN abs(acceleration_ms2) > 0.5 THEN CASE WHEN acceleration_ms2 > 0 THEN 'accelerating' ELSE 'decelerating' END || ' at ' || {_FIX('abs(acceleration_ms2)', 2)} || ' m/s^2' END)
+    || '. [ENVIRONMENT]: ' || CASE WHEN sky = '' THEN 'weather data unavailable.' ELSE sky END || ' [TEMPORAL]: ' || CASE WHEN t = '' THEN 'time unknown' ELSE t END
+    || '. [SPATIAL_CONTEXT]: ' || CASE WHEN poi_count_500m = 0 THEN 'sparse' WHEN poi_count_500m < 10 THEN 'low' WHEN poi_count_500m < 40 THEN 'moderate' ELSE 'high' END || ' point of interest density (' || poi_count_500m || ' points of interest within 500 m).' AS description FROM t""")
 def describe_urban(spark, d):
-    rows = motion.kinematics(segments(spark, d), KEYS).withColumnRenamed("phase", "behavioral_phase")
+    rows = demo.table(spark, d, "events").select("event_id", *(F.expr(e).alias(n) for n, e in _URBAN.items()))
     return rows.select("event_id", describe.urban(rows).alias("description"))
 
 
-@query(f"""WITH {PTS} SELECT event_id, '[AGENT]: ' || {_ranges('ship_code', ingest.TRIP_CODES, 'unknown')} || ', transiting, draught unknown, speed over ground: unknown kn. [CORRIDOR]: open sea, no traffic separation scheme. [INFRASTRUCTURE]: offshore, closest to port unknown. [REGULATORY_ZONE]: high seas, not within a marine protected area. [BEHAVIORAL_PHASE]: transiting, unknown speed, heading ' ||
-  list_extract(['North','Northeast','East','Southeast','South','Southwest','West','Northwest'], CAST(floor((heading % 360 + 22.5)/45) AS INTEGER) % 8 + 1) || ', navigational status: unknown. [ENVIRONMENT]: wave height unknown, current data unavailable. [TEMPORAL]: unknown, unknown, , . [SPATIAL_CONTEXT]: water depth unknown, geohash ' || {_geohash_sql(7)} || '.' AS description FROM pts""")
+@query(f"""WITH {_said(_MARITIME)}
+  SELECT event_id, '[AGENT]: ' || coalesce(transport_mode, 'vessel') || ', ' || coalesce(behavioral_phase, 'transiting') || ', draught ' || coalesce(CAST("Draught" AS VARCHAR), 'unknown') || ', speed over ground: ' || coalesce(CAST("SOG" AS VARCHAR), 'unknown') || ' kn.'
+    || ' [CORRIDOR]: ' || CASE WHEN sea_area_name = '' THEN 'open sea' ELSE sea_area_name END || ', ' || CASE WHEN in_tss THEN 'inside traffic separation scheme (name: ' || CASE WHEN tss_name = '' THEN 'unknown' ELSE tss_name END || ')' ELSE 'no traffic separation scheme' END
+    || '. [INFRASTRUCTURE]: ' || coalesce(port_proximity_label, 'offshore') || ', closest to port ' || CASE WHEN nearest_port_name = '' THEN 'unknown' ELSE nearest_port_name END || coalesce(' (' || {_FIX('nearest_port_nm', 1)} || ' nm)', '')
+    || '. [REGULATORY_ZONE]: ' || CASE WHEN coalesce(eez_country_iso, 'high_seas') = 'high_seas' THEN 'high seas' ELSE eez_country_iso || ' Exclusive Economic Zone' END || CASE WHEN in_territorial_sea THEN ' (territorial sea)' ELSE '' END
+    || ', ' || CASE WHEN in_mpa THEN 'marine protected area (' || CASE WHEN mpa_name = '' THEN 'unknown' ELSE mpa_name END || ')' ELSE 'not within a marine protected area' END
+    || '. [BEHAVIORAL_PHASE]: ' || replace(coalesce(behavioral_phase, 'transiting'), '_', ' ') || ', ' || coalesce({_FIX('"SOG"', 1)} || ' kn', 'unknown speed') || ', heading ' || {_BEARING('"Heading"')}
+    || CASE WHEN abs(heading_to_cog_diff_deg) > 10 THEN ', leeway ' || CASE WHEN heading_to_cog_diff_deg > 0 THEN '+' ELSE '' END || CAST(heading_to_cog_diff_deg AS INTEGER) || ' degrees' ELSE '' END || ', navigational status: ' || coalesce(lower(trim("Navigational status")), 'unknown')
+    || '. [ENVIRONMENT]: ' || coalesce('waves ' || {_FIX('wave_height_m', 1)} || ' m', 'wave height unknown') || ', ' || CASE WHEN current_speed_ms IS NOT NULL AND current_dir_deg IS NOT NULL THEN 'current ' || {_FIX('current_speed_ms', 2)} || ' m/s ' || {_BEARING('current_dir_deg')} ELSE 'current data unavailable' END
+    || '. [TEMPORAL]: ' || coalesce({_DAY}, 'unknown') || ', ' || coalesce(printf('%02d:00', hour_of_day), 'unknown') || ', ' || coalesce(time_of_day_category, '') || ', ' || coalesce(season, '')
+    || '. [SPATIAL_CONTEXT]: ' || concat_ws(', ', coalesce('water depth ' || {_FIX('water_depth_m', 0)} || ' m', 'water depth unknown'), 'geohash ' || geohash_7) || '.' AS description FROM x""")
 def describe_maritime(spark, d):
-    p = demo.points(spark, d)
-    rows = p.select("event_id", ingest.trip_category(F.col("ship_code")).alias("transport_mode"), F.col("heading").alias("Heading"), geo.geohash(F.col("lat"), F.col("lon"), 7).alias("geohash_7"))
+    rows = demo.table(spark, d, "events").select("event_id", *(F.expr(e).alias(n) for n, e in _MARITIME.items()))
     return rows.select("event_id", describe.maritime(rows).alias("description"))
 
 
