@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import context, units
+from tidewake.functions import scalars
+from tidewake.operators import context, masks, motion, resample, tasks, thin, units
 from tidewake.plans import chain
 from tidewake.sources import readers
 
@@ -154,3 +155,27 @@ def test_simulated_trips_that_recur(spark, tmp_path, rows):
     assert [(r.trajectory_id, r.timestamp) for r in got if r.trajectory_id != "sim_2"] == [("sim_1", t) for t in (0, 8, 16, 24, 32)] + [("sim_1_1", t) for t in (100, 110)]
     assert [r.timestamp for r in got if r.trajectory_id == "sim_2"] == [0, 9, 18, 27] and [r.point_idx for r in got if r.trajectory_id == "sim_1_1"] == [0, 1]
     assert math.isclose(sum(r.lat for r in got), 55 * 5 + 56 * 4 + 57 * 2)
+
+
+def test_ais_headers(spark, tmp_path):
+    (tmp_path / "dma.csv").write_text("# Timestamp,Type of mobile,MMSI,Latitude,Longitude,SOG,Name\n01/02/2020 00:00:00,Class A,219000001,55.5,10.25,,VESSEL\n01/02/2020 00:00:01,Class A,x,1e1,10,3.5,\n")
+    df = readers.ais_csv(spark, str(tmp_path / "dma.csv"))
+    assert dict(df.dtypes) == {"# Timestamp": "string", "Type of mobile": "string", "MMSI": "bigint", "Latitude": "double", "Longitude": "double", "SOG": "double", "Name": "string"}
+    assert [tuple(r)[2:] for r in df.collect()] == [(219000001, 55.5, 10.25, None, "VESSEL"), (None, 10.0, 10.0, 3.5, None)]
+    assert [r.t for r in df.select(readers.as_epoch(df, "# Timestamp", "dd/MM/yyyy HH:mm:ss").alias("t")).collect()] == [1580515200, 1580515201]
+
+
+def test_own_columns_that_look_like_helpers_stay(spark):
+    rows = [(m, i, 10 * i, 55.0 + i, 10.0, i % 3 == 0, "a", "b", 7, 8) for m in (1, 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "mmsi long, event_id long, ts_unix long, lat double, lon double, masked boolean, _i string, _n string, _v int, _draw int")
+    for made in (
+        masks.random_mask(df, "mmsi"), masks.block_mask(df, "mmsi"), masks.downsampled(df, "mmsi"), masks.jittered(df, "mmsi"), masks.within_length(df, "mmsi"), tasks.normalised(df, "mmsi"), tasks.last_n_mask(df, "mmsi"),
+        tasks.key_point_mask(df, "mmsi"), tasks.interpolated(df, "mmsi"), tasks.token_runs(df, "mmsi", "_draw"), motion.kinematics(df, ["mmsi"]), resample.one_per_bucket(df, ["mmsi"], 5), resample.every_kth(df, ["mmsi"], 2),
+        thin.subsampled(df, ["mmsi"], 4), tasks.chronological_split(df.withColumn("start_ts", F.col("ts_unix")), "event_id"),
+    ):
+        assert {(r["_i"], r["_n"], r["_v"], r["_draw"]) for r in made.collect()} == {("a", "b", 7, 8)}
+
+
+def test_units_of_scalars(spark):
+    r = spark.range(1).select(scalars.celsius(F.lit(300.15)).alias("c"), scalars.millimetres(F.lit(0.25)).alias("mm"), *(c.alias(n) for n, c in zip(("lat", "lon"), scalars.denormalised(F.lit(0.5), F.lit(-1.0), F.lit(2.0), F.lit(55.0), F.lit(10.0))))).first()
+    assert (round(r.c, 9), r.mm, r.lat, r.lon) == (27.0, 250.0, 56.0, 8.0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import from_mercator, mercator
+from ..functions.names import guarded
 from . import tasks
 
 ORDER = ["ts_unix", "event_id"]
@@ -30,6 +31,7 @@ def _share(share: float | Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0).cast("int"))
 
 
+@guarded
 def random_mask(df: DataFrame, key: str, share: float = 0.5, seed: int = 42, order: list[str] | None = None) -> DataFrame:
     """masked: max(1, round(share * n)) rows of each trajectory, by the order of their draws."""
     df = _placed(df, key, order).withColumn("_draw", draw(seed, F.col(key), F.col("_i")))
@@ -37,6 +39,7 @@ def random_mask(df: DataFrame, key: str, share: float = 0.5, seed: int = 42, ord
     return df.withColumn("masked", first <= _share(share)).drop("_i", "_n", "_draw")
 
 
+@guarded
 def block_mask(df: DataFrame, key: str, least: float = 0.20, most: float = 0.30, seed: int = 42, order: list[str] | None = None) -> DataFrame:
     """masked: one run of rows, a share between least and most of the trajectory, anywhere in it."""
     size = _share(F.lit(least) + (most - least) * draw(seed, "size", F.col(key)))
@@ -72,6 +75,7 @@ def masked(df: DataFrame, key: str, mode: Column, seed: int = 42, order: list[st
     return df.withColumn("masked", chosen).drop("_mode", *ways)
 
 
+@guarded
 def downsampled(df: DataFrame, key: str, rate: float = 0.3, seed: int = 42, order: list[str] | None = None) -> DataFrame:
     """Rows between a trajectory's ends go with probability rate; the ends stay."""
     df = _placed(df, key, order)
@@ -79,6 +83,7 @@ def downsampled(df: DataFrame, key: str, rate: float = 0.3, seed: int = 42, orde
     return df.where(ends | (draw(seed, F.col(key), F.col("_i")) > rate)).drop("_i", "_n")
 
 
+@guarded
 def jittered(df: DataFrame, key: str, rate: float = 0.3, radius: float = 50.0, seed: int = 42, order: list[str] | None = None) -> DataFrame:
     """With probability rate a row's lat and lon move by radius metres of the Mercator plane, in a drawn direction."""
     df = _placed(df, key, order)
@@ -107,6 +112,7 @@ def prefixes(df: DataFrame, key: str, token: str, target: list[str], order: list
     return out.select(key, F.transform("a", lambda x: x[f"_{token}"]).alias("tokens"), targets.alias("targets"))
 
 
+@guarded
 def within_length(df: DataFrame, key: str, most: int = 200) -> DataFrame:
     """The trajectories of at most ``most`` rows."""
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") <= most).drop("_n")

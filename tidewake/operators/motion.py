@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..functions.names import guarded
 from .segment import ordered
 
 # Behaviour by navigational status.
@@ -17,6 +18,7 @@ NAV_PHASES = {
 }
 
 
+@guarded
 def kinematics(df: DataFrame, keys: list[str], ts: str = "ts_unix", order: list[str] | None = None) -> DataFrame:
     """speed_ms, accel_ms2 and phase.  Speed looks ahead, and the last row repeats the one before; acceleration is that of
     the inner rows, which the ends copy; one row: 0 and stopped; two rows: acceleration 0."""

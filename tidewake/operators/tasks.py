@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..functions.names import guarded
 from ..functions.scratch import few, settled
 
 
@@ -113,6 +114,7 @@ def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, flo
     return ranked.select(*([F.col("g._set").alias("_set")] if sets is not None else []), *(F.col("g")[g].alias(c) for c, g in zip(by, of)), *out)
 
 
+@guarded
 def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """split of each trajectory by start_ts, then key: int(n * train), int(n * val), and the rest to test."""
     rows = numbered(starts, "start_ts", key)
@@ -120,6 +122,7 @@ def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: f
     return rows.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "val").otherwise("test")).drop("_n", "_i")
 
 
+@guarded
 def normalised(df: DataFrame, key: str, ts: str = "ts_unix", order: list[str] | None = None) -> DataFrame:
     """x, y: offsets from the first point over the largest of them; tau: log1p of the step over the largest, or 1."""
     w = Window.partitionBy(key).orderBy(*(order or [ts, "event_id"]))
@@ -131,6 +134,7 @@ def normalised(df: DataFrame, key: str, ts: str = "ts_unix", order: list[str] |
     return df.withColumns({"y": F.col("_y") / half, "x": F.col("_x") / half, "tau": F.when(most > 0, F.log1p("_dt") / F.log1p(most)).otherwise(F.lit(1.0))}).drop("_y", "_x", "_dt")
 
 
+@guarded
 def last_n_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str] | None = None) -> DataFrame:
     """masked: the last min(10, max(1, round(share * n))) rows, rounding half to even."""
     order = order or ["ts_unix", "event_id"]
@@ -140,6 +144,7 @@ def last_n_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str] |
     return df.withColumn("masked", back <= k)
 
 
+@guarded
 def key_point_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str] | None = None) -> DataFrame:
     """masked: the points farthest from the chord between the ends, ties with the last of them too; where the ends are one
     point, those farthest from it.  Trajectories of fewer than three points have none."""
@@ -154,6 +159,7 @@ def key_point_mask(df: DataFrame, key: str, share: float = 0.15, order: list[str
     return df.withColumn("masked", far & (F.col("_n") >= 3)).drop("_a", "_b", "_n", "_off")
 
 
+@guarded
 def interpolated(df: DataFrame, key: str, columns: tuple[str, ...] = ("lat", "lon"), order: list[str] | None = None) -> DataFrame:
     """<c>_hat of masked rows: linear by place between the visible neighbours; beyond the ends on from the last (or first)
     two visible rows; a copy if there is one."""
@@ -208,6 +214,7 @@ def vocabulary(df: DataFrame, cell: str, most: int = 50_000, least: int = 1) ->
     return top.withColumn("token", F.row_number().over(Window.orderBy(F.desc("n"), cell)) + 3)
 
 
+@guarded
 def token_runs(df: DataFrame, key: str, token: str, order: list[str] | None = None) -> DataFrame:
     """The rows whose token differs from the row's before."""
     w = Window.partitionBy(key).orderBy(*(order or ["ts_unix", "event_id"]))
@@ -215,10 +222,19 @@ def token_runs(df: DataFrame, key: str, token: str, order: list[str] | None = No
     return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(token))).drop("_b")
 
 
+MOST_COMPONENTS = 1024
+
+
 def mean_pooled(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, i and v: the mean of each component over the key's rows."""
-    each = df.select(key, F.posexplode(vector).alias("i", "x"))
-    return each.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    """key, i and v: the mean of each component over the key's rows; null vectors count for nothing.  Components are averages of one
+    aggregate, so a key is one row a task; vectors wider than MOST_COMPONENTS are dealt by component instead."""
+    width = df.agg(F.max(F.size(vector))).first()[0] or 0
+    if not 0 < width <= MOST_COMPONENTS:
+        each = df.select(key, F.posexplode(vector).alias("i", "x"))
+        return each.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    means = [F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(width)]
+    pooled = df.where(F.col(vector).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.array(*means).alias("_v"), F.max(F.size(vector)).alias("_n"))
+    return pooled.select(key, F.posexplode(F.slice("_v", 1, F.col("_n"))).alias("i", "v"))
 
 
 def top_categories(counts: Column, n: int = 2) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.names import free
+from ..functions.names import free, guarded
 
 
 def _kept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], keeps: Callable[[tuple, tuple | None], bool]) -> DataFrame:
@@ -144,6 +144,7 @@ def kalman_smoothed(df: DataFrame, keys: list[str], q: float = 1e-4, r: float =
     return turned.mapInArrow(lambda batches: backward(ended(batches)), StructType([*df.schema.fields, StructField("lat_s", DoubleType()), StructField("lon_s", DoubleType())]))
 
 
+@guarded
 def subsampled(df: DataFrame, keys: list[str], most: int, seed: int = 42, order: list[str] | None = None) -> DataFrame:
     """At most ``most`` rows a trajectory: row i stays with probability 1 for i <= 10, then falling with log(i - 9); the
     draw is a hash of seed, key and place, and the result is topped up or cut, by the draw's order, to exactly ``most``."""

@@ -409,6 +409,15 @@ def weather_lookup(spark, d):
     return out.select("event_id", "temperature_c", "precipitation_mm", "wind_speed_kmh", "wind_direction_deg", "weather_code", "weather_description")
 
 
+@query(f"""WITH {PTS}, x AS (SELECT *, round_even(lat*10, 0)/10 AS a, round_even(lon*10, 0)/10 AS o, CAST(floor(ts_unix/3600) AS BIGINT) AS hr FROM pts), h AS (SELECT *, (hr + CAST(round(a*10) AS BIGINT) + CAST(round(o*10) AS BIGINT)) % 3 <> 0 AS known FROM x)
+  SELECT event_id, CASE WHEN known THEN CAST((hr + CAST(round(a*10) AS BIGINT)) % 30 AS DOUBLE) END AS temperature_c, CASE WHEN known THEN CAST(hr % 4 AS INTEGER) ELSE -1 END AS weather_code FROM h""")
+def weather_by_place(spark, d):
+    """Hourly weather by coordinates of one digit."""
+    p = demo.points(spark, d)
+    out = layers.hourly(p, demo.gridded_weather(p), ["lat", "lon"])
+    return out.select("event_id", "temperature_c", "weather_code")
+
+
 @query(f"""WITH {PTS}, z AS (SELECT CAST(n_nationkey AS BIGINT) AS zone_id, n_name AS zone, 10.000003 + (n_nationkey % 5)*0.35 AS x0, 55.000003 + (n_nationkey % 7)*0.12 AS y0 FROM nation),
   h AS (SELECT event_id, min(zone_id) AS zone_id FROM pts, z WHERE (lon > x0 AND lon < x0+0.5 AND lat > y0 AND lat < y0+0.2 AND NOT (lon > x0+0.1 AND lon < x0+0.3 AND lat > y0+0.05 AND lat < y0+0.15)) OR (lon > x0+0.6 AND lon < x0+0.7 AND lat > y0 AND lat < y0+0.1) GROUP BY 1)
   SELECT event_id, zone_id, zone FROM pts LEFT JOIN h USING (event_id) LEFT JOIN z USING (zone_id)""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import half_even
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -134,3 +136,16 @@ def weather(points: DataFrame) -> DataFrame:
         "city", F.date_format(day, "yyyy-MM-dd").alias("date"), (h % 24).cast("int").alias("hour"), (h % 30).cast("double").alias("temperature_c"), (h % 9 / 4.0).alias("precipitation_mm"),
         (h % 70 + 0.5).alias("wind_speed_kmh"), (h * 11 % 360).cast("double").alias("wind_direction_deg"), (h * 7 % 100).cast("int").alias("weather_code"),
     )
+
+
+def gridded_weather(points: DataFrame) -> DataFrame:
+    """Hourly weather of the places of positions, of one digit, two hours of three: lat, lon, date, hour and values."""
+    hours = points.select(half_even(F.col("lat"), 1).alias("lat"), half_even(F.col("lon"), 1).alias("lon"), F.floor(F.col("ts_unix") / 3600).alias("h")).distinct()
+    a, o, h = F.round(F.col("lat") * 10).cast("long"), F.round(F.col("lon") * 10).cast("long"), F.col("h")
+    hours = hours.where((h + a + o) % 3 != 0)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(h / 24).cast("int"))
+    none = F.lit(None).cast("double")
+    return hours.select(
+        "lat", "lon", F.date_format(day, "yyyy-MM-dd").alias("date"), (h % 24).cast("int").alias("hour"), ((h + a) % 30).cast("double").alias("temperature_c"), none.alias("precipitation_mm"),
+        none.alias("wind_speed_kmh"), none.alias("wind_direction_deg"), (h % 4).cast("int").alias("weather_code"),
+    )

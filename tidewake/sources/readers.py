@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import context, resample, scan, segment, thin
 
-AIS_SCHEMA = "`# Timestamp` string, `Type of mobile` string, MMSI long, Latitude double, Longitude double, `Navigational status` string, ROT double, SOG double, COG double, Heading double, IMO string, Callsign string, Name string, `Ship type` string, `Cargo type` string, Width double, Length double, `Type of position fixing device` string, Draught double, Destination string, ETA string"
+# The columns of both AIS formats that are not text.
+AIS_TYPES = {
+    "long": ["MMSI"], "double": ["Latitude", "Longitude", "ROT", "SOG", "COG", "Heading", "Width", "Length", "Draught", "LAT", "LON", "Draft"],
+    "int": ["Status", "VesselType", "Cargo"],
+}
 PNEUMA_EVERY = 25
 PNEUMA_MODES = {"Car": "car", "Taxi": "taxi", "Bus": "bus", "Motorcycle": "motorcycle", "Medium Vehicle": "truck", "Heavy Vehicle": "truck"}
 
@@ -45,9 +49,14 @@ def _stem() -> Column:
 
 
 def ais_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Header CSV; the file's own columns by name where no schema is given."""
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True).option("samplingRatio", 0.1)).csv(path)
+    """Header CSV.  Without a schema the header's names have the types of AIS_TYPES, or are text: only its line is read for that, and
+    nothing is inferred.  Files have one header.  A value that is none of its type is null."""
+    if schema is None:
+        header = spark.read.text(path).first()
+        names = [] if header is None else [c.strip().strip('"') for c in header[0].split(",")]
+        kinds = {c: kind for kind, columns in AIS_TYPES.items() for c in columns}
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in names)
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def annotated_csv(spark: SparkSession, path: str) -> DataFrame:
