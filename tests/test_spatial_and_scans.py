@@ -141,6 +141,8 @@ def test_land_use_and_maritime_defaults(spark):
     eez = spark.createDataFrame([(1, *square, "NORWAY", "Territorial")], "zone_order long, rings array<array<struct<x: double, y: double>>>, ISO_SOV1 string, POL_TYPE string")
     got = zones.with_maritime_context(points, "k", eez=eez, harbours=eez).where("k = 1").first()
     assert (got.eez_country_iso, got.in_territorial_sea, got.in_port_zone, got.port_proximity_label) == ("NOR", True, True, "offshore")
+    named = zones.with_maritime_context(points.withColumn("city", F.lit("open_sea")), "k", seas=eez.withColumnRenamed("ISO_SOV1", "NAME"))
+    assert {r.k: (r.city, r.sea_area_name) for r in named.collect()} == {1: ("norway", "NORWAY"), 2: ("open_sea", "")}
 
 
 # --- rasters ----------------------------------------------------------------------------------------------------------

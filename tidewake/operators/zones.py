@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import free
+from ..functions.scalars import city_of
 from ..functions.scratch import settled
 from .context import nearest, port_label
 from .layers import land_use, territorial, zone_state
@@ -153,7 +154,7 @@ def with_maritime_context(points: DataFrame, key: str, ports: DataFrame | None =
     mpa_name, in_tss, tss_name, sea_area_name, eez_country_iso and in_territorial_sea, which replace columns of their names.
 
     Layers of zones have zone_order, by which the first of several counts, and a ring or rings; a layer that is absent leaves its
-    columns at their defaults: null, empty, false, `high_seas`."""
+    columns at their defaults: null, empty, false, `high_seas`.  A column city becomes the sea's name where there is one."""
     layers = {
         "port": (harbours, {"in_port_zone": F.lit(True)}),
         "mpa": (protected, {"in_mpa": F.lit(True), "mpa_name": _first_name(protected, "name_int") if protected else None}),
@@ -179,4 +180,6 @@ def with_maritime_context(points: DataFrame, key: str, ports: DataFrame | None =
     stopped = F.coalesce(F.col("annotation").contains("STOP_START") | F.col("annotation").contains("STOP_END"), F.lit(False)) if "annotation" in points.columns else F.lit(False)
     nm = F.rint(F.col("nearest_port_nm") * 100) / 100
     out = out.withColumns({"nearest_port_nm": nm, "nearest_port_name": F.coalesce("nearest_port_name", F.lit(""))})
+    if "city" in out.columns:
+        out = out.withColumn("city", city_of(F.col("city"), F.col("sea_area_name")))
     return out.withColumn("port_proximity_label", port_label(stopped, F.col("in_port_zone"), F.col("nearest_port_nm")))
