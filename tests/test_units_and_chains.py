@@ -179,3 +179,17 @@ def test_own_columns_that_look_like_helpers_stay(spark):
 def test_units_of_scalars(spark):
     r = spark.range(1).select(scalars.celsius(F.lit(300.15)).alias("c"), scalars.millimetres(F.lit(0.25)).alias("mm"), *(c.alias(n) for n, c in zip(("lat", "lon"), scalars.denormalised(F.lit(0.5), F.lit(-1.0), F.lit(2.0), F.lit(55.0), F.lit(10.0))))).first()
     assert (round(r.c, 9), r.mm, r.lat, r.lon) == (27.0, 250.0, 56.0, 8.0)
+
+
+def test_standardised_offsets_come_back(spark):
+    rows = [(m, i, i * (4 * m), 55 + i * 0.001 * m, 10 + (i * i % 7) * 0.002, f"d{m % 2}", "urban") for m in (1, 2, 3) for i in range(20)] + [(8, 0, 5, 1.0, 2.0, "d1", "urban")]
+    points = spark.createDataFrame(rows, "m long, event_id long, ts_unix long, lat double, lon double, dataset string, domain string")
+    frozen = units.frozen(points, "m", ("dataset", "domain"))
+    out = units.standardised(frozen, "m")
+    lat, lon = units.restored(F.get("lon_n", F.lit(7)), F.get("lat_n", F.lit(7)))
+    got = {r.m: r for r in out.select("m", "uid", "dt", "at", lat.alias("lat"), lon.alias("lon")).collect()}
+    assert {m: r.uid for m, r in got.items()} == {1: "d1#0", 2: "d0#0", 3: "d1#1"}  # the one of a single row is hidden whole
+    for m, r in got.items():
+        assert (r.lat, r.lon) == (pytest.approx(55 + 7 * 0.001 * m), pytest.approx(10.0)) and r.dt == pytest.approx([0.0] + [min(15.0, 4.0 * m)] * 19) and r["at"] == [17, 18, 19]
+    hidden = {r.m: r for r in units.hidden(frozen, "m").collect()}
+    assert hidden[1]["at"] == [17, 18, 19] and len(hidden[1].tau) == 3 and hidden[8]["at"] == [0]

@@ -140,3 +140,44 @@ def records(frozen_units: DataFrame, predicted: DataFrame, key: str, mask: str =
     err = F.transform(F.sequence(F.lit(0), F.size("at") - 1), lambda i: tasks.recovery_error(of("true_lat", i), of("true_lon", i), of("pred_lat", i), of("pred_lon", i)))
     uid = F.concat(F.col("dataset").cast("string"), F.lit("#"), F.col("ordinal").cast("string"))
     return rows.select(uid.alias("uid"), key, "domain", "dataset", "traj_len", "at", "true_lat", "true_lon", "pred_lat", "pred_lon", err.alias("err_m"))
+
+
+def hidden(frozen_units: DataFrame, key: str, mask: str = "prediction") -> DataFrame:
+    """key, at (the places of a trajectory's hidden rows) and their x, y and tau, gathered into arrays; empty where none is hidden."""
+    at = F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    rows = frozen_units.withColumn("_at", at)
+    of = lambda c: F.transform("_at", lambda i: F.get(c, i)).alias(c)
+    return rows.select(key, F.col("_at").alias("at"), of("x"), of("y"), of("tau"))
+
+
+def standardised(frozen_units: DataFrame, key: str, mask: str = "prediction", max_len: int | None = 200, clamp_s: float | None = 15.0) -> DataFrame:
+    """A row a trajectory, as a model of offsets takes it: uid (dataset#place in it), key, domain, dataset, traj_len, at (its hidden rows), and arrays
+    lon_n and lat_n (offsets from its first row, less the dataset's median, over half of its 16th to 84th percentile) and dt (seconds
+    from the row before, between 0 and clamp_s); besides lon0, lat0 and the dataset's lon_center, lon_scale, lat_center and lat_scale, which restored()
+    takes.
+
+    Trajectories longer than max_len, or with no row or every row hidden, are left out, but keep their place; the statistics are of
+    those that stay."""
+    rows = ordinals(frozen_units, "dataset", [key])
+    at = F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("at", at).where((F.size("at") > 0) & (F.size("at") < F.col("traj_len")))
+    if max_len is not None:
+        rows = rows.where(F.col("traj_len") <= max_len)
+    moved = lambda c: F.transform(c, lambda v: v * F.col("bbox_half"))
+    seconds = lambda t: F.expm1(t * F.col("log_max_dt"))
+    step = (lambda t: seconds(t)) if clamp_s is None else (lambda t: F.greatest(F.lit(0.0), F.least(F.lit(clamp_s), seconds(t))))
+    rows = settled(rows.select(F.concat(F.col("dataset").cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("uid"), key, "domain", "dataset", "traj_len", "at", "lat0", "lon0", moved("x").alias("dlon"), moved("y").alias("dlat"), F.transform("tau", step).alias("dt")))
+    each = rows.select("dataset", F.explode(F.arrays_zip("dlon", "dlat")).alias("p")).select("dataset", F.explode(F.create_map(F.lit("lon"), F.col("p.dlon"), F.lit("lat"), F.col("p.dlat"))).alias("axis", "v"))
+    stats = tasks.percentiles(each, ["dataset", "axis"], "v", {"center": 0.5, "lo": 0.16, "hi": 0.84})
+    half = (F.col("hi") - F.col("lo")) / 2
+    stats = stats.select("dataset", "axis", "center", F.when(half < 1e-9, 1.0).otherwise(half).alias("scale"))
+    of = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}")
+    stats = stats.groupBy("dataset").agg(*(of(a, c) for a in ("lon", "lat") for c in ("center", "scale")))
+    rows = rows.join(few(settled(stats)), "dataset")
+    scaled = lambda a: F.transform(f"d{a}", lambda v: (v - F.col(f"{a}_center")) / F.col(f"{a}_scale")).alias(f"{a}_n")
+    return rows.select("uid", key, "domain", "dataset", "traj_len", "at", scaled("lon"), scaled("lat"), "dt", "lon0", "lat0", "lon_center", "lon_scale", "lat_center", "lat_scale")
+
+
+def restored(lon_n: Column, lat_n: Column) -> tuple[Column, Column]:
+    """lat and lon of values standardised as standardised() has them, with its columns at hand."""
+    return lat_n * F.col("lat_scale") + F.col("lat_center") + F.col("lat0"), lon_n * F.col("lon_scale") + F.col("lon_center") + F.col("lon0")

@@ -885,6 +885,24 @@ def prediction_records(spark, d):
     return out.select("uid", "mmsi", F.size("at").alias("n_hidden"), F.round(mean, 3).alias("err_m"))
 
 
+@query(f"WITH {_FROZEN} SELECT mmsi, CAST(count(*) FILTER (prd) AS INTEGER) AS n_hidden, CAST(sum(i) FILTER (prd) AS BIGINT) AS places, round(sum(dx) FILTER (prd)/any_value(half), 6) AS x FROM k1 JOIN (SELECT mmsi, half FROM u) USING (mmsi) GROUP BY 1")
+def hidden_blocks(spark, d):
+    """The hidden rows of each frozen trajectory, gathered."""
+    out = units.hidden(_frozen(spark, d), "mmsi")
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, v: a + v)
+    return out.select("mmsi", F.size("at").alias("n_hidden"), total(F.transform("at", lambda i: i.cast("long")), F.lit(0).cast("long")).alias("places"), F.round(total("x", F.lit(0.0)), 6).alias("x"))
+
+
+@query(f"""WITH {_FROZEN}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mmsi) - 1 AS j FROM u), g AS (SELECT o.dataset, o.j, k1.* FROM o JOIN k1 USING (mmsi) WHERE o.n <= 66 AND n_prd < o.n),
+  s AS (SELECT dataset, quantile_cont(dx, 0.5) AS cx, (quantile_cont(dx, 0.84) - quantile_cont(dx, 0.16))/2 AS sx, quantile_cont(dy, 0.5) AS cy, (quantile_cont(dy, 0.84) - quantile_cont(dy, 0.16))/2 AS sy FROM g GROUP BY 1)
+  SELECT dataset || '#' || j AS uid, mmsi, round(sum((dx - cx)/sx), 5) AS lon_n, round(sum((dy - cy)/sy), 5) AS lat_n, round(sum(least(greatest(dt, 0), 15)), 4) AS seconds FROM g JOIN s USING (dataset) GROUP BY ALL""")
+def adapter_inputs(spark, d):
+    """Frozen trajectories of at most 66 rows as a model of standardised offsets takes them."""
+    out = units.standardised(_frozen(spark, d), "mmsi", max_len=66)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return out.select("uid", "mmsi", F.round(total("lon_n"), 5).alias("lon_n"), F.round(total("lat_n"), 5).alias("lat_n"), F.round(total("dt"), 4).alias("seconds"))
+
+
 @query(f"WITH {KIN} SELECT event_id, seg, CASE WHEN v < 0.5 THEN 'stopped' WHEN v < 1.5 THEN 'slow' ELSE 'moving' END AS phase FROM kin")
 def stage_chain(spark, d):
     """Segments and kinematics as a chain of stages, each written and summed up, and run a second time from what is there."""
