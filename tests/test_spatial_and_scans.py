@@ -113,6 +113,20 @@ def test_holding_zones_equal_ray_casting(spark, most):
     assert got == {(k, z) for k, x, y in points for z, rings in rows if within(x, y, rings)}
 
 
+def test_points_find_their_zones_alike_with_and_without_a_shuffle(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(5, [ring_of(300, 1, 2, 3, 0.2), ring_of(100, 1, 2, 1)]), (2, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]]), (3, [ring_of(50, -3, 1, 0.5)]), (4, [ring_of(200, 0, 0, 40, 0.1)])]
+    points = [(i, rnd.uniform(-6, 8), rnd.uniform(-6, 8)) for i in range(800)] + [(900 + i, i / 2 + 0.25, 0.5 * i + 0.125) for i in range(9)] + [(None, 1.0, 1.0), (950, None, 1.0), (951, NAN, 1.0), (952, 1.0, INF), (953, 500.0, 1.0)]
+    df = spark.createDataFrame(points, "k long, x double, y double").withColumns({"_cx": F.lit(7), "_px": F.lit(8)})
+    want = {k: min((z for z, rings in rows if x is not None and within(x, y, rings)), default=None) for k, x, y in points}
+    for most in (zones.MAP_CELLS, 0):
+        monkeypatch.setattr(zones, "MAP_CELLS", most)
+        out = zones.in_polygon(df, polygons_of(spark, rows), "k", "zone_order", ["zone_order"])
+        assert out.columns == ["k", "x", "y", "_cx", "_px", "zone_order"]
+        assert {r.k: r.zone_order for r in out.collect()} == want and {(r._cx, r._px) for r in out.collect()} == {(7, 8)}
+        assert not most or "hashpartitioning(k" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_zone_as_wide_as_an_ocean_is_few_rows(spark):
     n = 20_000
     cells = zones.covering(polygons_of(spark, [(1, [ring_of(n, -30, 10, 20, 0.05)])]), ["zone_order"])
@@ -223,7 +237,10 @@ def test_bits_are_in_the_order_of_doubles(spark):
         assert r.k == ((2047 << 52) + 1 if r.x != r.x else -bits if r.x < 0 else bits)
 
 
-def test_percentiles_equal_sparks_also_with_nan_and_infinities(spark):
+@pytest.mark.parametrize("most", [tasks.BUCKET_ROWS, 500, 0])
+def test_percentiles_equal_sparks_also_with_nan_and_infinities(spark, monkeypatch, most):
+    """Buckets are sorted as soon as they are small, or refined to the last bit."""
+    monkeypatch.setattr(tasks, "BUCKET_ROWS", most)
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2]), rnd.choice([1.0, 2.0, INF, -INF, NAN, rnd.gauss(0, 1), None])) for _ in range(1500)]
     rows += [("c", 1, 1.0), ("c", 1, 2.0), ("c", 1, 3.0), ("c", 1, INF), ("d", 1, NAN), ("e", 1, None)] + [("f", 1, 1 + i * 2.0**-50) for i in range(900)]

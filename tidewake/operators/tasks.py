@@ -63,17 +63,18 @@ def ordered_bits(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit((2047 << 52) + 1)).when(x < 0, -size).otherwise(size)
 
 
-def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], sets: list[list[str]] | None = None) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], sets: list[list[str]] | None = None, ready: bool = False) -> DataFrame:
     """A row a group (one of all rows, without ``by``): exact percentiles of the column, linear between ranks, nulls left out, NaN
-    above all.  sets: several groupings by some of ``by``, the others null, and their number in _set.
+    above all.  sets: several groupings by some of ``by``, the others null, and their number in _set.  ready: df is settled.
 
     Ranks are found by histograms that are refined, of the leading bits of the values' order: each pass counts only rows in the
-    buckets that hold a rank, until few distinct values are left.  Rows are counted where they lie, for all groupings at
-    once; what is shuffled are counts."""
+    buckets that hold a rank, until those hold one value, or at most BUCKET_ROWS rows each, which are then sorted.  Rows are
+    counted where they lie, for all groupings at once; what is shuffled are counts, and the rows of those last buckets."""
     x, k = "_x", "_k"
     of = [f"_g{i}" for i in range(len(by))]
     value = F.col(column).cast("double")
-    rows = settled(df.where(value.isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, of)), value.alias(x)).withColumn(k, ordered_bits(F.col(x))))
+    rows = df.where(value.isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, of)), value.alias(x)).withColumn(k, ordered_bits(F.col(x)))
+    rows = rows if ready else settled(rows)
     kinds = dict(rows.dtypes)
     groups = F.array(*(
         F.struct(F.lit(i).alias("_set"), *((F.col(g) if c in chosen else F.lit(None).cast(kinds[g])).alias(g) for c, g in zip(by, of))) for i, chosen in enumerate([by] if sets is None else sets)
@@ -100,7 +101,13 @@ def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, flo
             found = found.withColumn("upto", F.col("_before") + F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
             found = found.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))).select("g", "bucket", "n", "size", "low", "high", "before", "rank")
         bounds = settled(found)
-        if shift == 0 or bounds.where("low < high").isEmpty():
+        if shift == 0:
+            break
+        most = bounds.where("low < high").agg(F.max("n")).first()[0]  # rows of the largest bucket that is not yet decided
+        if most is None:
+            break
+        if most <= BUCKET_ROWS:
+            bounds = _sorted_out(rows.join(few(bounds.select(F.col("bucket").alias("_in")).distinct()), F.shiftright(k, shift) == F.col("_in"), "left_semi"), bounds, groups, x, k, shift)
             break
     at = F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at")  # two ranks a percentile at most
     ranked = bounds.groupBy("g", "size").agg(at)
@@ -114,6 +121,17 @@ def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, flo
     return ranked.select(*([F.col("g._set").alias("_set")] if sets is not None else []), *(F.col("g")[g].alias(c) for c, g in zip(by, of)), *out)
 
 
+def _sorted_out(inside: DataFrame, bounds: DataFrame, groups: Column, x: str, k: str, shift: int) -> DataFrame:
+    """bounds, with the value of each rank as low: the rows of a group's bucket, at most BUCKET_ROWS where their values differ, are
+    sorted; buckets of one value need none."""
+    open_ = bounds.where("low < high").select("g", "bucket", "before").distinct()
+    w = Window.partitionBy("g", "bucket").orderBy(k)
+    each = inside.select(F.explode(groups).alias("g"), F.shiftright(k, shift).alias("bucket"), x, k).join(few(open_), ["g", "bucket"])
+    each = each.select("g", F.col(x).alias("_value"), (F.col("before") + F.row_number().over(w) - 1).alias("rank"))
+    found = bounds.join(each, ["g", "rank"], "left")
+    return found.select("g", "size", "rank", F.coalesce("_value", "low").alias("low"))
+
+
 @guarded
 def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """split of each trajectory by start_ts, then key: int(n * train), int(n * val), and the rest to test."""
@@ -186,12 +204,13 @@ def errors(df: DataFrame, levels: list[str]) -> DataFrame:
     """n_points, mae, rmse, median and p90 of error_m, over all and by each of the levels.  Means are taken by all levels
     together and added up, so that rows are not repeated for each level."""
     n, total, squares = F.count("*"), F.sum("error_m"), F.sum(F.col("error_m") * F.col("error_m"))
-    fine = df.where("error_m is not null").groupBy(*levels).agg(n.alias("n"), total.alias("s"), squares.alias("q"))
+    df = settled(df.where("error_m is not null").select(*levels, "error_m"))
+    fine = df.groupBy(*levels).agg(n.alias("n"), total.alias("s"), squares.alias("q"))
     sets = [[], *([c] for c in levels)]
     kinds = dict(fine.dtypes)
     groups = F.array(*(F.struct(F.lit(i).alias("_set"), *((F.col(c) if c in chosen else F.lit(None).cast(kinds[c])).alias(c) for c in levels)) for i, chosen in enumerate(sets)))
     means = fine.select(F.explode(groups).alias("g"), "n", "s", "q").groupBy("g").agg(F.sum("n").alias("n_points"), (F.sum("s") / F.sum("n")).alias("mae_m"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse_m"))
-    ranks = percentiles(df, levels, "error_m", {"median_m": 0.5, "p90_m": 0.9}, sets)
+    ranks = percentiles(df, levels, "error_m", {"median_m": 0.5, "p90_m": 0.9}, sets, ready=True)
     ranks = ranks.select(F.struct("_set", *levels).alias("g"), "median_m", "p90_m")
     return means.join(ranks, "g").select(*(F.col("g")[c].alias(c) for c in levels), "n_points", "mae_m", "rmse_m", "median_m", "p90_m")
 

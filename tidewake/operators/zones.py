@@ -23,6 +23,9 @@ from .layers import land_use, territorial, zone_state
 from .neighbours import finite
 
 CELL_EDGES = 32
+MAP_CELLS = 20_000
+"""Coverings of at most so many cells, which are counted, pass to every task, so that points are not shuffled.  A cell has at most
+CELL_EDGES edges, but for those of the least level."""
 LEAST_LEVEL = -20  # cells are 2^level wide; smaller ones are not cut
 REF_X, REF_Y = 0.381966011250105, 0.276393202250021  # the reference point's place in a cell, on no round coordinate
 
@@ -41,15 +44,23 @@ def _inside(x: Column, y: Column, edges: Column) -> Column:
     return _odd(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
 
 
+def _x_at(e: Column, y: Column) -> Column:
+    return (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+
+
+def _y_at(e: Column, x: Column) -> Column:
+    return (e["by"] - e["ay"]) * (x - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"]
+
+
 def _sides_differ(x0: Column, y0: Column, x1: Column, y1: Column, edges: Column) -> Column:
     """Whether the way from one point along x, then along y, to another crosses an odd number of edges."""
 
     def along_x(e: Column) -> Column:
-        at = (e["bx"] - e["ax"]) * (y0 - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+        at = _x_at(e, y0)
         return ((e["ay"] > y0) != (e["by"] > y0)) & ((x0 < at) != (x1 < at))
 
     def along_y(e: Column) -> Column:
-        at = (e["by"] - e["ay"]) * (x1 - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"]
+        at = _y_at(e, x1)
         return ((e["ax"] > x1) != (e["bx"] > x1)) & ((y0 < at) != (y1 < at))
 
     return _odd(edges, along_x) != _odd(edges, along_y)
@@ -115,8 +126,16 @@ def covering(polygons: DataFrame, values: list[str], most: int = CELL_EDGES) ->
 
 def holding(points: DataFrame, polygons: DataFrame, key: str, values: list[str], x: str = "x", y: str = "y", most: int = CELL_EDGES) -> DataFrame:
     """_key and _v, a struct of values, for each point and polygon that holds it."""
-    cells = covering(polygons, values, most)
-    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # a few dozen at most, by the width of numbers
+    return _met(points, covering(polygons, values, most), key, x, y)
+
+
+def _levels(cells: DataFrame) -> list[int]:
+    return sorted(r[0] for r in cells.select("_level").distinct().collect())  # a few dozen at most, by the width of numbers
+
+
+def _met(points: DataFrame, cells: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """holding() by a covering: points meet its cells by level and place."""
+    levels = _levels(cells)
     own = points.where(finite(F.col(x), F.col(y))).select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     own = own.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     place = lambda c: F.floor(F.col(c) / _width(F.col("_level"))).cast("long")
@@ -129,10 +148,46 @@ def in_polygon(points: DataFrame, polygons: DataFrame, key: str, pick: str, valu
     """points with values of the polygon with the least ``pick`` (of one pick, the least values) among those that hold the point;
     null without one.  They replace columns of their names.  key is unique; a null key finds its polygon as well."""
     names = list(dict.fromkeys([pick, *values]))
-    found = holding(points, polygons, key, names, *columns, most).groupBy("_key").agg(F.min(F.struct(F.col("_v")[pick].alias("p"), "_v"))["_v"].alias("_v"))
-    own, got = free(points, "_key", "_v")
-    out = points.join(found.withColumnsRenamed({"_key": own, "_v": got}), F.col(key).eqNullSafe(F.col(own)), "left")
-    return out.select(*(c for c in points.columns if c not in values), *(F.col(got)[v].alias(v) for v in values))
+    cells = covering(polygons, names, most)
+    if cells.limit(MAP_CELLS + 1).count() <= MAP_CELLS:
+        best, own = _best_in_place(points, cells, pick, *columns)
+    else:
+        found = _met(points, cells, key, *columns).groupBy("_key").agg(F.min(F.struct(F.col("_v")[pick].alias("p"), "_v"))["_v"].alias("_v"))
+        mark, own = free(points, "_key", "_v")
+        best = points.join(found.withColumnsRenamed({"_key": mark, "_v": own}), F.col(key).eqNullSafe(F.col(mark)), "left")
+    return best.select(*(c for c in points.columns if c not in values), *(F.col(own)[v].alias(v) for v in values))
+
+
+def _best_in_place(points: DataFrame, cells: DataFrame, pick: str, x: str, y: str) -> tuple[DataFrame, str]:
+    """points with a column more, which is named too: the values of the polygon with the least pick that holds the point.  Each
+    level's cells, one row a place, are broadcast; points stay where they are."""
+    best, px, py = free(points, "_best", "_px", "_py")
+    there = finite(F.col(x), F.col(y))
+    out, found = points.withColumns({p: F.when(there, F.col(c).cast("double")) for p, c in ((px, x), (py, y))}), []
+
+    def least_of(held: Column, rx: Column) -> Column:
+        """As _sides_differ has it; where the ways along x cross is known beforehand."""
+        at_x, at_y = F.col(px), F.col(py)
+
+        def crosses(c: Column) -> Column:
+            along_y = _odd(c["_e"], lambda e: ((e["ax"] > at_x) != (e["bx"] > at_x)) & ((c["_ry"] < _y_at(e, at_x)) != (at_y < _y_at(e, at_x))))
+            return _odd(c["_xs"], lambda at: (rx < at) != (at_x < at)) != along_y
+
+        return F.array_min(F.transform(F.filter(held, lambda c: c["_in"] != crosses(c)), lambda c: F.struct(c["_v"][pick].alias("p"), c["_v"].alias("v"))))
+
+    for level in _levels(cells):
+        rx, ry = _ref(F.lit(level), F.col("_cx"), F.col("_cy"))
+        one = cells.where(F.col("_level") == level).withColumns({"_rx": rx, "_ry": ry})
+        ahead = F.transform(F.filter("_e", lambda e: (e["ay"] > F.col("_ry")) != (e["by"] > F.col("_ry"))), lambda e: _x_at(e, F.col("_ry")))
+        one = one.withColumn("_xs", ahead).groupBy("_cx", "_cy", "_rx").agg(F.collect_list(F.struct("_in", "_e", "_xs", "_ry", "_v")).alias("_c"))  # MAP_CELLS bounds it
+        mx, my, mr, mc = free(out, "_cx", "_cy", "_rx", "_held")
+        place = [F.floor(F.col(p) / F.lit(2.0**level)).cast("long") for p in (px, py)]
+        out = out.join(F.broadcast(one.toDF(mx, my, mr, mc)), (place[0] == F.col(mx)) & (place[1] == F.col(my)), "left")
+        found.append(least_of(F.col(mc), F.col(mr)))
+    if not found:
+        return out.withColumn(best, F.lit(None).cast(cells.schema["_v"].dataType)), best
+    least = F.least(*found) if len(found) > 1 else found[0]
+    return out.withColumn(best, least["v"]).select(*points.columns, best), best
 
 
 def with_land_use(points: DataFrame, areas: DataFrame | None, key: str, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
