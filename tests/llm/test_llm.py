@@ -466,10 +466,29 @@ def test_wrappers_decide(spark):
 def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     html_wrappers.folded([t.path for t in html_wrappers.blocks(page)])
-    html_wrappers.main_text(page, (1, frozenset()))
+    html_wrappers.main_text(page, (1, True, frozenset()))
     assert time.process_time() - began < 10
 
 
+def plain_page(i: int, paragraphs: list[str]) -> str:
+    """A page without telling elements or names: menu, advert, text and footer are divs."""
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<body><div><ul><li><a href='/{i}'>menu {i}</a></li></ul></div><div>advert {i}</div><div><h1>Title {i}</h1>{body}<ul><li>point {i}</li></ul></div><div>&copy; {i}</div></body>"
+
+
+def test_html_that_varies_beside_prose_goes(spark):
+    """Also on a page whose prose is short, and on a host with one page; a page without prose keeps what it has."""
+    long = "many words of prose that are longer than what is around them"
+    rows = [(i, f"http://plain.example/{i}", plain_page(i, [f"{long} {i}", f"more {i}"])) for i in range(5)]
+    rows += [(5, "http://plain.example/5", plain_page(5, ["x"])), (6, "http://one.example/6", plain_page(6, [long])), (7, "http://plain.example/7", "<body><div>only 7</div></body>"), (8, "http://none.example/8", "<body><div>a note</div><div>much longer text in a division</div></body>")]
+    got = {r.page_id: r.text for r in html_wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"Title {i} {long} {i} more {i} point {i}" for i in range(5))
+    assert (got[5], got[6], got[7], got[8]) == ("Title 5 x point 5", f"Title 6 {long} point 6", "only 7", "a note much longer text in a division")
+    for i in range(5):  # null pages, ids and urls
+        rows[i] = (None, None, rows[i][2])
+    assert sorted(r.text for r in html_wrappers.extracted(spark.createDataFrame([*rows[:5], (None, None, None)], "page_id long, url string, html string")).collect())[1:] == sorted(got[i] for i in range(5))
+
+
 def test_html_inside_articles_stays(spark):
     rows = [(i, "http://h.example/a", page(f"<article><h1>T {i}</h1><div class='social-history'><p>Kept {i}</p></div><p class='promo-text'>Also {i}</p><div class='ad-box'>Buy {i}</div></article>")) for i in range(4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

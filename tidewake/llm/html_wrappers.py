@@ -9,8 +9,11 @@ TEMPLATE_PAGES at least, is a constant, everything else is a slot.
 The wrapper decides what is main text.  Its main element is found by going down from the page's root to the child with the
 most text in slots, links not counted, for as long as that child has half of it and its parent has no prose of its own;
 an article or main element ends the way down.  A page's main text are the blocks inside that element that are no constants.
+Where no article or main element tells, and most of that text is prose, texts that vary from page to page but stand apart from
+it, as footers and teasers do, are told by the page's elements: only what is inside one that has paragraphs or headings of its
+own is main text.
 Only a host of fewer than TEMPLATE_PAGES pages, or a page that has nothing in that element, falls back on elements: its
-article or main element, or everything.  Never taken are the blocks of menus, footers, asides, forms, adverts, comments and
+article or main element, or everything, by the same rule.  Never taken are the blocks of menus, footers, asides, forms, adverts, comments and
 the like, told by element, or by a class, id or role all of whose words say so.
 
 Shapes, texts and paths are counted by Spark, and every host's shapes are aligned in one order, so that the result does
@@ -121,12 +124,15 @@ class Element:
     header: bool
     content: bool
     inside: bool
+    above: Element | None = None
+    held: bool = False
+    """Has prose of its own, or is in an element that has"""
 
 
 @dataclass(slots=True)
 class Text:
     """path; whether in an element that is never main text, in an article or main element, in the wrapper's main element;
-    in a header outside of both; how many of its characters are links."""
+    in a header outside of both; how many of its characters are links; the element it stands in."""
 
     path: int
     text: str
@@ -135,6 +141,7 @@ class Text:
     inside: bool
     header: bool
     linked: int
+    element: Element
 
 
 def _tells(names: list[str]) -> bool:
@@ -151,7 +158,7 @@ def blocks(page: str | None, main: int = 0, elements: dict[int, Element] | None
     what it stands in, or with the page.  ``elements`` is given the elements by path."""
     out: list[Text] = []
     root = Element(0, 0, "", False, False, False, False)
-    stack, open_names = [root], Counter()
+    stack, open_names, every = [root], Counter(), [root]
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -162,7 +169,7 @@ def blocks(page: str | None, main: int = 0, elements: dict[int, Element] | None
             parts.clear()
             if text:
                 e = stack[-1]
-                out.append(Text(e.path, text, e.outside, e.content, e.inside, e.header, min(linked, len(text))))
+                out.append(Text(e.path, text, e.outside, e.content, e.inside, e.header, min(linked, len(text)), e))
             linked = 0
 
     for token, name in tokens(page or ""):
@@ -198,12 +205,16 @@ def blocks(page: str | None, main: int = 0, elements: dict[int, Element] | None
         content = (above.content or name in CONTENT or "main" in names and name != "nav") and not outside
         inside = above.inside or path == main
         header = above.header or (name == "header" and not content and not inside)
-        e = Element(path, above.path, name, outside, header, content, inside)
+        e = Element(path, above.path, name, outside, header, content, inside, above)
+        above.held |= name in PROSE and not outside
+        every.append(e)
         if elements is not None:
             elements.setdefault(path, e)
         stack.append(e)
         open_names[name] += 1
     flush()
+    for e in every[1:]:  # each after the one it stands in
+        e.held |= e.above.held
     return out
 
 
@@ -328,17 +339,21 @@ class Host:
     slots: dict[int, int] = field(default_factory=dict)
     constants: list[tuple[int, int]] = field(default_factory=list)
 
-    def main(self) -> int:
-        """The path of the main element; 0, the whole page, if no slot has text."""
+    def main(self) -> tuple[int, bool]:
+        """The path of the main element, 0, the whole page, if no slot has text; whether most of its text is prose."""
         own = {p: self.slots.get(p, 0) for x in self.wrapper for p in x.paths}
         own = {p: n for p, n in own.items() if n and p in self.elements and not self.elements[p][1]}
-        mass, below = Counter(), {}
+        mass, prose, below = Counter(), Counter(), {}
         for p, n in sorted(own.items()):
+            written = n * self.elements[p][3]
             while p in self.elements:
-                mass[p] += n
                 parent = self.elements[p][0]
                 below.setdefault(parent, set()).add(p)
+                mass[p] += n
+                prose[p] += written
                 p = parent
+            mass[0] += n
+            prose[0] += written
         at = 0
         while children := below.get(at):
             if any(self.elements[c][3] for c in children) or at in self.elements and self.elements[at][2]:
@@ -347,7 +362,7 @@ class Host:
             if mass[best] < MAIN_SHARE * sum(mass[c] for c in children):
                 break
             at = best
-        return at
+        return at, prose[at] > MAIN_SHARE * mass[at]
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -393,8 +408,8 @@ def _read(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages (different ones), main (the path of the main element), constants (array of path and digest) and wrapper
-    (JSON), of the hosts of TEMPLATE_PAGES different pages or more."""
+    """host, pages (different ones), main (the path of the main element), prose (whether most of its text is), constants (array of
+    path and digest) and wrapper (JSON), of the hosts of TEMPLATE_PAGES different pages or more."""
     found = stored(_read(pages), "page-parts")
     texts = found.where(F.col("kind") == _TEXT)
     hosts = texts.groupBy("host").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
@@ -420,10 +435,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         host, pages, held = None, 0, Host()
 
         def out() -> pa.RecordBatch:
-            pairs = sorted(held.constants)
+            pairs, (main, prose) = sorted(held.constants), held.main()
             return pa.RecordBatch.from_arrays(
-                [pa.array([host], pa.string()), pa.array([pages], pa.int64()), pa.array([held.main()], pa.int64()), pa.array([[x for pair in pairs for x in pair]], pa.list_(pa.int64())), pa.array([dumped(held.wrapper)], pa.string())],
-                names=["host", "pages", "main", "constants", "wrapper"],
+                [pa.array([host], pa.string()), pa.array([pages], pa.int64()), pa.array([main], pa.int64()), pa.array([prose], pa.bool_()), pa.array([[x for pair in pairs for x in pair]], pa.list_(pa.int64())), pa.array([dumped(held.wrapper)], pa.string())],
+                names=["host", "pages", "main", "prose", "constants", "wrapper"],
             )
 
         for b in batches:
@@ -446,18 +461,27 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield out()
 
     ordered = parts.select("kind", "host", "path", "digest", "n", "flags", "shape", "pages").repartition("host").sortWithinPartitions("host", "kind", F.desc("n"), "shape", "path", "digest")
-    return ordered.mapInArrow(merge, "host string, pages long, main long, constants array<long>, wrapper string")
+    return ordered.mapInArrow(merge, "host string, pages long, main long, prose boolean, constants array<long>, wrapper string")
+
+
+def _with_prose(texts: list[Text]) -> list[Text]:
+    """The texts of article and main elements and inside elements that have prose of their own; all, if there are none."""
+    return [t for t in texts if t.content or t.element.held] or texts
 
 
-def main_text(page: str | None, rules: tuple[int, frozenset[tuple[int, int]]] | None) -> tuple[str, bool]:
-    """The main text, and whether the wrapper decided it; rules are a wrapper's main element and constants."""
+def main_text(page: str | None, rules: tuple[int, bool, frozenset[tuple[int, int]]] | None) -> tuple[str, bool]:
+    """The main text, and whether the wrapper decided it; rules are a wrapper's main element, whether that is prose, and its
+    constants."""
     if rules is not None:
-        main, constants = rules
+        main, prose, constants = rules
         kept = [t for t in blocks(page, main) if (t.inside or not main) and not t.outside and not t.header and (t.path, _digest(t.text)) not in constants]
         if kept:
-            return " ".join(t.text for t in kept), True
+            return " ".join(t.text for t in (_with_prose(kept) if prose else kept)), True
     free = [t for t in blocks(page) if not t.outside and not t.header]
-    return " ".join(t.text for t in [t for t in free if t.content] or free), False
+    content = [t for t in free if t.content]
+    if not content and sum(len(t.text) for t in free if t.element.name in PROSE) > MAIN_SHARE * sum(len(t.text) for t in free):
+        content = _with_prose(free)
+    return " ".join(t.text for t in content or free), False
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -465,23 +489,23 @@ def extracted(pages: DataFrame) -> DataFrame:
     without main text, have text ''.  Pages without a host share a wrapper; repeated rows stay repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules: dict[str, tuple[int, frozenset[tuple[int, int]]]] = {}
+        rules: dict[str, tuple[int, bool, frozenset[tuple[int, int]]]] = {}
         for b in batches:
             found = []
-            for page, host, main, constants in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+            for page, host, main, prose, constants in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
                 if main is None:
                     found.append(main_text(page, None))
                     continue
                 if host not in rules:
                     if len(rules) > HELD_HOSTS:
                         rules.clear()
-                    rules[host] = (main, frozenset(zip(constants[::2], constants[1::2])))
+                    rules[host] = (main, prose, frozenset(zip(constants[::2], constants[1::2])))
                 found.append(main_text(page, rules[host]))
             texts = [t for t, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([w for _, w in found], pa.bool_())], names=["page_id", "url", "text", "n_chars", "by_wrapper"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    known = stored(wrappers(pages), "wrappers").select("host", "main", "constants")
+    known = stored(wrappers(pages), "wrappers").select("host", "main", "prose", "constants")
     size = known.agg(F.coalesce(F.sum(F.size("constants") * 8 + F.length("host") + 16), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select("page_id", "url", "html", "host", "main", "constants")
+    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select("page_id", "url", "html", "host", "main", "prose", "constants")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
