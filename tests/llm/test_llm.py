@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and their stated edge cases."""
 
+import collections
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 import xxhash
 from pyspark.sql import functions as F
 
@@ -323,6 +325,54 @@ def test_phrases_are_the_longest():
     assert round(e[0] * 9 / p.bits[0]) == brute_phrases("abracabar", sample)
 
 
+def brute_language(texts, sample, letters):
+    """langid's definition by substring search: a character a symbol, a space a run of separators."""
+    counts = collections.Counter(c for _, t in sample for c in t.lower() if c.isalpha())
+    own = set(sorted(counts, key=lambda c: (-counts[c], c))[:letters])
+
+    def symbols(text):
+        out = "".join(c if c in own else f"{ord(c):06x}".translate({ord(d): 0xE000 + int(d, 16) for d in "0123456789abcdef"}) if c.isalpha() else " " for c in (text or "").lower())
+        return " ".join(out.split())
+
+    known = {lang: "".join(symbols(t) + " " for x, t in sample if x == lang) for lang, _ in sample}
+    for text in texts:
+        x = symbols(text)
+        if not x:
+            yield "und", 0.0
+            continue
+        windows = [x[i : i + langid.WINDOW] for i in range(0, len(x), langid.WINDOW)]
+        needed = sorted((sum(brute_phrases(w, known[lang]) for w in windows) * np.log2(len(known[lang])) / len(x), lang) for lang in known)
+        yield needed[0][1], needed[1][0] / (needed[0][0] + needed[1][0])
+
+
+@pytest.mark.parametrize("letters", [langid.LETTERS, 12])
+def test_languages_equal_brute_force(spark, monkeypatch, letters):
+    """Whole texts of several windows, letters that a language never has, letters written in digits, texts that tie."""
+    monkeypatch.setattr(langid, "LETTERS", letters)
+    monkeypatch.setattr(langid, "_built", {})
+    rows = table(spark, "/root/testdata/sf0.001", "documents").where("lang is not null and length(text) between 20 and 3000").orderBy("doc_id").limit(60).collect()
+    sample = [(r.lang, r.text) for r in rows[:24]] + [("zz", "жжж зз"), ("aa", "same"), ("bb", "same")]
+    texts = [r.text for r in rows[24:]] + ["", None, "12 ...", "same", "жаж", "ж", "aжaжa", "日本 語x", "x" * 600 + "é" * 300]
+    got_lang, got = langid.Parser(sample).predict(texts)
+    want = list(brute_language(texts, sample, letters))
+    assert got_lang == [w[0] for w in want] and got == pytest.approx([w[1] for w in want], rel=1e-12)
+    assert got_lang[texts.index("same")] == "aa" and max(map(len, texts[:36])) > langid.WINDOW
+
+
+def test_quality_equals_brute_force(spark):
+    """The score of each document by the definition, with a compressor of its own for every block."""
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    m = quality.fit(docs, labels, F.lit(True))
+    size = lambda block, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(block))
+    for r in quality.with_score(docs.limit(80), m).collect():
+        raw = (r.text or "").encode()
+        parts = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)]
+        good, bad = (sum(size(p, d) for p in parts) for d in (m.good, m.bad))
+        x = [(bad - good) / (bad + good), np.log(good / len(raw)), np.log(good / len(raw)) ** 2] if raw else [0.0] * 3
+        z = sum((v - mean) / scale * w for v, mean, scale, w in zip(x, m.mean, m.scale, m.weights)) + m.weights[3]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.9), (toxicity, "toxic", 0.85)])
 def test_labels_are_predicted(spark, module, label, least):
     sf = "/root/testdata/sf0.01"

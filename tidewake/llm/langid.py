@@ -96,9 +96,13 @@ class Parser:
                     break
             own = own[:SAMPLE_SYMBOLS]
             to = suffix_automaton(own, self.alphabet)
-            # where a phrase ends, the next one starts with the symbol that did not fit: marked by the complement
-            first = np.where(to[0] >= 0, to[0], 0)
+            # where a phrase ends, the next one starts with the symbol that did not fit: marked by the complement; a symbol that
+            # is nowhere in the language's text is a phrase of its own, whose state, the last, nothing goes on from
+            alone = len(to)
+            first = np.where(to[0] >= 0, to[0], alone)
+            to = np.vstack([to, np.full((1, self.alphabet), -1, np.int32)])
             to = np.where(to >= 0, to + base, ~(first + base)[None, :]).astype(np.int32)
+            to[0] = first + base  # only a window's start, where no phrase ends
             to[:, self.nothing] = np.arange(len(to)) + base
             tables.append(to)
             self.roots.append(base)
