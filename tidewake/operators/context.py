@@ -79,22 +79,28 @@ def port_label(stopped: Column, in_zone: Column, nm: Column) -> Column:
 
 def poi_profile(points: DataFrame, pois: DataFrame, key: str, radii: tuple[int, ...] = (50, 200, 500), mode: str = "circle") -> DataFrame:
     """poi_count_<r>m and poi_categories_<r>m, the categories' counts (JSON, most frequent first), for each radius; mode
-    `envelope` takes the square around a point.  Points meet the pois of 3 by 3 cells as wide as the largest radius."""
+    `envelope` takes the square around a point.  Points meet the pois of 3 by 3 cells as wide as the largest radius.
+
+    Pois of one place and category meet points as one row with their number, and points of one place as one.  What meets is merged:
+    a table's size on disk says nothing of its ninefold rows, which a broadcast would bring to the driver."""
     size = float(max(radii))
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a, b = cells(F.col("x"), F.col("y"), size)
-    dealt = pois.select("category", F.col("x").alias("px"), F.col("y").alias("py"), a.alias("_a"), b.alias("_b")).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-    dealt = dealt.select("category", "px", "py", (F.col("_a") + F.col("_i")).alias("_a"), (F.col("_b") + F.col("_j")).alias("_b"))
+    places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    dealt = pois.groupBy("category", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("_w"))
+    dealt = dealt.select("category", "_w", F.col("x").alias("px"), F.col("y").alias("py"), a.alias("_a"), b.alias("_b")).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
+    dealt = dealt.select("category", "_w", "px", "py", (F.col("_a") + F.col("_i")).alias("_a"), (F.col("_b") + F.col("_j")).alias("_b"))
     dx, dy = F.abs(F.col("px") - F.col("x")), F.abs(F.col("py") - F.col("y"))
     far = F.greatest(dx, dy) if mode == "envelope" else F.sqrt(dx * dx + dy * dy)
-    near = points.select(key, "x", "y", a.alias("_a"), b.alias("_b")).join(dealt, ["_a", "_b"]).withColumn("d", far).where(F.col("d") <= size)
-    n = near.groupBy(key, "category").agg(*(F.count(F.when(F.col("d") <= r, 1)).alias(f"n_{r}") for r in radii))
+    near = places.select("x", "y", a.alias("_a"), b.alias("_b")).join(dealt.hint("merge"), ["_a", "_b"]).withColumn("d", far).where(F.col("d") <= size)
+    n = near.groupBy("x", "y", "category").agg(*(F.sum(F.when(F.col("d") <= r, F.col("_w")).otherwise(0)).alias(f"n_{r}") for r in radii))
     entries = lambda r: F.sort_array(F.collect_list(F.when(F.col(f"n_{r}") > 0, F.struct((-F.col(f"n_{r}")).alias("k"), "category"))))
-    counts = n.groupBy(key).agg(*(F.sum(f"n_{r}").alias(f"n_{r}") for r in radii), *(entries(r).alias(f"e_{r}") for r in radii))
+    counts = n.groupBy("x", "y").agg(*(F.sum(f"n_{r}").alias(f"n_{r}") for r in radii), *(entries(r).alias(f"e_{r}") for r in radii))
     text = lambda r: F.to_json(F.map_from_entries(F.transform(f"e_{r}", lambda x: F.struct(x["category"], -x["k"]))))
-    out = points.select(key).join(counts, key, "left")
-    columns = [(F.coalesce(f"n_{r}", F.lit(0)).cast("long").alias(f"poi_count_{r}m"), F.coalesce(text(r), F.lit("{}")).alias(f"poi_categories_{r}m")) for r in radii]
-    return out.select(key, *(c for pair in columns for c in pair))
+    found = counts.select(F.col("x").alias("_x"), F.col("y").alias("_y"), *(c for r in radii for c in (F.col(f"n_{r}").alias(f"_n_{r}"), text(r).alias(f"_t_{r}"))))
+    own = points.select(key, "x", "y").join(found.hint("merge"), (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y")), "left")
+    columns = [(F.coalesce(f"_n_{r}", F.lit(0)).cast("long").alias(f"poi_count_{r}m"), F.coalesce(f"_t_{r}", F.lit("{}")).alias(f"poi_categories_{r}m")) for r in radii]
+    return own.select(key, *(c for pair in columns for c in pair))
 
 
 def snapped(x: Column, start: float, step: float) -> Column:
