@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,9 +136,10 @@ def _sorted_out(inside: DataFrame, bounds: DataFrame, groups: Column, x: str, k:
 
 @guarded
 def chronological_split(starts: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """split of each trajectory by start_ts, then key: int(n * train), int(n * val), and the rest to test."""
+    """split of each trajectory by start_ts, then key: the whole part of n * train, of n * val, and the rest to test.  The shares count
+    as the decimals they are written as: 0.7 of 170 is 119, which as a double is a little less."""
     rows = numbered(starts, "start_ts", key)
-    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    a, b = (F.floor(F.col("_n") * F.lit(Decimal(str(share)))) for share in (train, val))
     return rows.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "val").otherwise("test")).drop("_n", "_i")
 
 
