@@ -82,12 +82,13 @@ def _gap(x: Column, y: Column, box: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column, Column, Column], Column], k: int = 1, slack: float = 0.0, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column, Column, Column], Column], k: int = 1, slack: float = 0.0, leaf: int = LEAF, fanout: int = FANOUT, digits: int | None = None) -> DataFrame:
     """_key and _near: the k nearest things of each point (all, if there are fewer), structs of d and item, nearest first; ties to
     the smaller first field of the item.
 
     points have _key, unique, and finite _x and _y; things _item and _box as tree() says.  distance(x, y, item) is never less
-    than that to the item's box, or by no more than slack times the coordinates' size.  Without things no rows."""
+    than that to the item's box, or by no more than slack times the coordinates' size.  Without things no rows.  digits: distances
+    that are equal when rounded to so many digits are ties; the distance returned is not rounded, and that of k = 1 is the least."""
     levels = tree(things, max(leaf, k), fanout)
     if not levels:
         return points.select("_key", F.array(F.struct(F.lit(0.0).alias("d"), F.lit(None).cast(things.schema["_item"].dataType).alias("item"))).alias("_near")).limit(0)
@@ -99,18 +100,29 @@ def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column,
         nearest = F.array_min(F.transform("_kids", lambda c: F.struct(_gap(x, y, c["_box"]).alias("d"), c["_child"].alias("c"))))
         rows = rows.join(level, "_node").select("_key", "_x", "_y", nearest["c"].alias("_node"))
     first = things.schema["_item"].dataType[0].name
-    measured = F.transform("_kids", lambda c: F.struct(distance(x, y, c["_item"]).alias("d"), c["_item"].alias("item")))
+    step = 10.0 ** -(digits or 0)
+    ranked = lambda d: d if digits is None else F.rint(d / step)
+    measured = F.transform("_kids", lambda c: F.struct(ranked(distance(x, y, c["_item"])).alias("d"), c["_item"].alias("item")))
     kth = F.get(F.array_sort(measured), F.lit(k - 1))
     rows = rows.join(levels[0], "_node").select("_key", "_x", "_y", kth.alias("_kth"))
     rows = rows.select("_key", "_x", "_y", F.coalesce("_kth.d", F.lit(float("inf"))).alias("_upto"), F.col("_kth.item")[first].alias("_last"), F.lit(0).cast("long").alias("_node"))
     # A box as far as the k-th so far can only hold a tie, and is met if it has a smaller id.
     gap, low = _gap(x, y, F.col("_c._box")), F.col("_c._low")
-    near = gap <= F.col("_upto") + slack * (F.abs(x) + F.abs(y)) if slack else (gap < F.col("_upto")) | ((gap == F.col("_upto")) & F.coalesce(low <= F.col("_last"), F.lit(True)))
+    most = F.col("_upto") if digits is None else (F.col("_upto") + 1) * step  # what rounds to the bound is half a step above it at most
+    near = gap <= most + slack * (F.abs(x) + F.abs(y)) if slack or digits is not None else (gap < F.col("_upto")) | ((gap == F.col("_upto")) & F.coalesce(low <= F.col("_last"), F.lit(True)))
     own = ["_key", "_x", "_y", "_upto", "_last"]
     for level in levels[:0:-1]:
         rows = rows.join(level, "_node").select(*own, F.explode("_kids").alias("_c")).where(near).select(*own, F.col("_c._child").alias("_node"))
     rows = rows.join(levels[0], "_node").select(*own, F.explode("_kids").alias("_c")).where(near)
-    rows = rows.select("_key", "_upto", F.struct(distance(x, y, F.col("_c._item")).alias("d"), F.col("_c._item").alias("item")).alias("_n")).where(F.col("_n.d") <= F.col("_upto"))
+    d, item = F.col("_d"), F.col("_c._item").alias("item")
+    rows = rows.withColumn("_d", distance(x, y, F.col("_c._item"))).where(ranked(d) <= F.col("_upto"))
+    if digits is None:
+        rows = rows.select("_key", F.struct(d.alias("d"), item).alias("_n"))
+        if k == 1:
+            return rows.groupBy("_key").agg(F.min("_n").alias("_n")).select("_key", F.array("_n").alias("_near"))
+        return rows.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("_n")), 1, k).alias("_near"))
+    rows = rows.select("_key", "_d", F.struct(ranked(d).alias("r"), item, d.alias("d")).alias("_n"))
     if k == 1:
-        return rows.groupBy("_key").agg(F.min("_n").alias("_n")).select("_key", F.array("_n").alias("_near"))
-    return rows.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("_n")), 1, k).alias("_near"))
+        return rows.groupBy("_key").agg(F.min("_n").alias("_n"), F.min("_d").alias("_d")).select("_key", F.array(F.struct(d.alias("d"), F.col("_n.item").alias("item"))).alias("_near"))
+    found = rows.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("_n")), 1, k).alias("_near"))
+    return found.select("_key", F.transform("_near", lambda n: F.struct(n["d"].alias("d"), n["item"].alias("item"))).alias("_near"))
