@@ -57,18 +57,19 @@ def cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size), F.floor(y / size)
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, key: str, least: int | None = None) -> DataFrame:
     """key, port name and nm (degrees times 60, on the plane) of the nearest place, however far; ties to the smaller
-    port_id.  Without places, or for points whose lat or lon is null, NaN or infinite, both are null."""
+    port_id.  Without places, or for points whose lat or lon is null, NaN or infinite, both are null.  least: as
+    neighbours.one_nearest() has it."""
     lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
     named = places.where(neighbours.finite(lat, lon)).select(F.struct("port_id", F.col("name").alias("port"), lat.alias("x"), lon.alias("y")).alias("_item"))
     x, y = F.col("_item.x"), F.col("_item.y")
+    named = named.groupBy(x.alias("x"), y.alias("y")).agg(F.min("_item").alias("_item")).select("_item")  # of one place only the least can be nearest
     boxed = named.withColumn("_box", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
-    own = points.where(neighbours.finite(lat, lon)).select(F.col(key).alias("_key"), lat.alias("_x"), lon.alias("_y"))
+    own = points.select(F.col(key).alias("_key"), lat.alias("_x"), lon.alias("_y"))
     far = lambda x, y, item: F.sqrt(F.pow(x - item["x"], 2) + F.pow(y - item["y"], 2))
-    found = neighbours.k_nearest(own, boxed, far).select("_key", F.get("_near", F.lit(0)).alias("_b"))
-    found = found.select(F.col("_key").alias(key), F.col("_b.item.port").alias("port"), (F.col("_b.d") * 60).alias("nm"))
-    return points.select(key).join(found, key, "left")
+    found = neighbours.one_nearest(own, boxed, far, least)
+    return found.select(F.col("_key").alias(key), F.col("_b.item.port").alias("port"), (F.col("_b.d") * 60).alias("nm"))
 
 
 def port_label(stopped: Column, in_zone: Column, nm: Column) -> Column:

@@ -24,6 +24,8 @@ LEAF = 3
 FANOUT = 8
 BROADCAST_NODES = 20_000
 ONE_TASK = 100_000  # so few rows are numbered in one task
+CELL_THINGS = 8
+CELLS_FROM = 8  # so many points a thing are worth cells
 
 
 def finite(*columns: Column) -> Column:
@@ -126,3 +128,39 @@ def k_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column,
         return rows.groupBy("_key").agg(F.min("_n").alias("_n"), F.min("_d").alias("_d")).select("_key", F.array(F.struct(d.alias("d"), F.col("_n.item").alias("item"))).alias("_near"))
     found = rows.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("_n")), 1, k).alias("_near"))
     return found.select("_key", F.transform("_near", lambda n: F.struct(n["d"].alias("d"), n["item"].alias("item"))).alias("_near"))
+
+
+def one_nearest(points: DataFrame, things: DataFrame, distance: Callable[[Column, Column, Column], Column], least: int | None = None) -> DataFrame:
+    """points (_key, _x and _y, which may be null) with _b, a struct of d and item: the nearest thing of each point, ties to the smaller first
+    field of the item; null where _x or _y is not finite, or without things.
+
+    Where points are many (``least``, else CELLS_FROM a thing), square cells, as many as things, find the CELL_THINGS things nearest to
+    their middles, and a point meets those of its cell.  It is settled if it is nearer to one of them than any other thing can be; else, or
+    outside the cells, it is searched for by k_nearest().  A thing's distance must not differ between two points by more than theirs."""
+    there = finite(F.col("_x"), F.col("_y"))
+    side = lambda f, c: f(F.col(f"_box.{c}"))
+    n, x0, y0, x1, y1 = things.agg(F.count("*"), side(F.min, "x0"), side(F.min, "y0"), side(F.max, "x1"), side(F.max, "y1")).first()
+    if not n:
+        return points.withColumn("_b", F.lit(None).cast(f"struct<d: double, item: {things.schema['_item'].dataType.simpleString()}>"))
+    w = max(math.sqrt((x1 - x0) * (y1 - y0) / n), max(x1 - x0, y1 - y0) / n)
+    if w < 1e-9 * max(abs(x0), abs(y0), abs(x1), abs(y1), 1.0) or points.count() < (CELLS_FROM * n if least is None else least):
+        found = k_nearest(points.where(there), things, distance).select(F.col("_key").alias("_own"), F.get("_near", F.lit(0)).alias("_b"))
+        return points.join(found, F.col("_key").eqNullSafe(F.col("_own")), "left").drop("_own")
+    x, y = F.col("_x"), F.col("_y")
+    inside = there & x.between(x0 - w, x1 + w) & y.between(y0 - w, y1 + w)
+    celled = points.withColumns({"_cx": F.when(inside, F.floor((x - x0) / w)), "_cy": F.when(inside, F.floor((y - y0) / w))})
+    middle = [((F.col(c) + 0.5) * w + low).alias(f"_{p}") for c, low, p in (("_cx", x0, "x"), ("_cy", y0, "y"))]
+    cells = celled.where("_cx is not null").select("_cx", "_cy").distinct().select(F.struct("_cx", "_cy").alias("_key"), *middle)
+    near = k_nearest(cells, things, distance, CELL_THINGS)
+    held = settled(near.select(F.col("_key._cx").alias("_hx"), F.col("_key._cy").alias("_hy"), F.transform("_near", lambda c: c["item"]).alias("_items"), F.get("_near", F.lit(CELL_THINGS - 1))["d"].alias("_rim")))
+    met = celled.join(held, (F.col("_cx") == F.col("_hx")) & (F.col("_cy") == F.col("_hy")), "left")
+    met = met.withColumn("_b", F.array_min(F.transform("_items", lambda i: F.struct(distance(x, y, i).alias("d"), i.alias("item")))))
+    # No thing beyond the rim is nearer to the point than this.
+    off = F.sqrt(F.pow(x - ((F.col("_cx") + 0.5) * w + x0), 2) + F.pow(y - ((F.col("_cy") + 0.5) * w + y0), 2))
+    beyond = (F.coalesce("_rim", F.lit(float("inf"))) - off) * (1 - 1e-9) - 1e-9 * (F.abs(x) + F.abs(y))
+    done = F.coalesce(F.col("_b.d") < beyond, ~there, F.lit(False))
+    met = met.withColumn("_done", done)
+    open_ = met.where(~F.col("_done")).select("_key", "_x", "_y")
+    rest = k_nearest(open_, things, distance).select(F.col("_key").alias("_own"), F.get("_near", F.lit(0)).alias("_b"))
+    late = open_.join(rest, F.col("_key").eqNullSafe(F.col("_own")), "left").select("_key", "_x", "_y", "_b")
+    return met.where("_done").select("_key", "_x", "_y", "_b").unionByName(late)
