@@ -15,30 +15,28 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.names import free
-from ..functions.scalars import rank_in
-from ..functions.scratch import few, settled
+from ..functions.scratch import few, settled, stored
 
 RANGE_ROWS = 1_000_000
-MOST_RANGES = 4096  # a trajectory that would make more has longer ranges
+MOST_RANGES = 1024  # more, of fewer rows than RANGE_ROWS, are not made: ranges are longer then
 
 
 def with_ranges(df: DataFrame, keys: list[str], ts: str = "ts_unix", rows: int = RANGE_ROWS, name: str = "range") -> DataFrame:
     """df with the number of a row's range, null where its trajectory has at most ``rows`` rows.
 
-    Ranges are cut at approximate quantiles of ts, which rows of one ts do not straddle; a null ts is in the first."""
-    n, cuts, *marks = free(df, "_n", "_cuts", *(f"_{k}" for k in keys))
+    Rows are dealt by ranges of keys and ts, which rows of one ts do not straddle, and stored, so that scans read the columns they
+    need; a null ts is in a trajectory's first range."""
+    n, *marks = free(df, "_n", *(f"_{k}" for k in keys))
     of = dict(zip(keys, marks))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(m)) for k, m in of.items()))
-    long = settled(df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > rows).withColumnsRenamed(of))  # at most one in ``rows`` rows
-    most = long.agg(F.max(n)).first()[0]
-    if most is None:
+    sizes = stored(df.groupBy(*keys).agg(F.count("*").alias(n)).withColumnsRenamed(of))
+    total, most = sizes.agg(F.sum(n), F.max(n)).first()
+    if most is None or most <= rows:
         return df.withColumn(name, F.lit(None).cast("int"))
-    m = min(MOST_RANGES, math.ceil(most / rows))
-    shares = [i / m for i in range(1, m)] or [0.5]
-    found = df.join(few(long), same, "left_semi").groupBy(*keys).agg(F.array_distinct(F.percentile_approx(ts, shares, max(10_000, 20 * m))).alias(cuts))
-    found = settled(found.withColumnsRenamed(of))
-    number = F.when(F.col(cuts).isNotNull(), rank_in(F.col(cuts), F.col(ts)))
-    return df.join(few(found), same, "left").withColumn(name, number).drop(cuts, *marks)
+    m = max(min(MOST_RANGES, math.ceil(total / rows)), math.ceil(total / RANGE_ROWS))
+    long = few(sizes.where(F.col(n) > rows))  # at most one in ``rows`` rows
+    dealt = df.join(long, same, "left").repartitionByRange(m, *keys, ts)
+    return stored(dealt.withColumn(name, F.when(F.col(n).isNotNull(), F.spark_partition_id())).drop(n, *marks))
 
 
 def last(name: str, w: WindowSpec) -> Column:
